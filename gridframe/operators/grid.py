@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.functions.arrays import mask_equal
+from gridframe.functions.arrays import mask_equal  # noqa: F401  (re-exported)
 
 
 # --------------------------------------------------------------------------

@@ -210,3 +210,121 @@ def q_record_vectors(spark, sf_dir):
         (F.col("block_id").cast("long") * BLOCK + F.col("k")).alias("pos"),
         F.col("value").cast("double").alias("value"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Grid views of the embeddings
+# ---------------------------------------------------------------------------
+def _cells_out(cells: DataFrame) -> DataFrame:
+    return cells.select(
+        "record_name", "var", F.col("level").cast("int"), F.col("i").cast("int"), F.col("j").cast("int"),
+        F.col("value").cast("double").alias("value"),
+    )
+
+
+@query("unflatten_2d", f"""
+WITH {_EMB}
+SELECT record_name, 'emb' AS var, 0 AS level, CAST(pos // 8 AS INTEGER) AS i, CAST(pos % 8 AS INTEGER) AS j,
+       CAST(value AS DOUBLE) AS value
+FROM c
+""")
+def q_unflatten_2d(spark, sf_dir):
+    vec = fx.embedding_vectors(spark, sf_dir)
+    return _cells_out(grid.unflatten_2d(vec, 8, 8, var="emb"))
+
+
+@query("unflatten_3d", f"""
+WITH {_EMB}
+SELECT record_name, 'emb' AS var, CAST(pos // 16 AS INTEGER) AS level, CAST((pos % 16) // 4 AS INTEGER) AS i,
+       CAST(pos % 4 AS INTEGER) AS j, CAST(value AS DOUBLE) AS value
+FROM c
+""")
+def q_unflatten_3d(spark, sf_dir):
+    vec = fx.embedding_vectors(spark, sf_dir)
+    return _cells_out(grid.unflatten_3d(vec, 4, 4, 4, var="emb"))
+
+
+@query("permute_axes", f"""
+WITH {_EMB}
+SELECT record_name, CAST(pos % 4 AS INTEGER) AS k, CAST(pos // 4 AS INTEGER) AS cell, CAST(value AS DOUBLE) AS value
+FROM c
+""")
+def q_permute_axes(spark, sf_dir):
+    vec = fx.embedding_vectors(spark, sf_dir)
+    rows = grid.permute_axes(vec, depth=4)
+    return rows.select("record_name", "k", F.posexplode("values").alias("cell", "value")).select(
+        "record_name", "k", F.col("cell").cast("int"), F.col("value").cast("double")
+    )
+
+
+@query("level_slice", f"""
+WITH {_EMB}
+SELECT record_name, CAST((pos - 16) // 4 AS INTEGER) AS i, CAST(pos % 4 AS INTEGER) AS j,
+       CAST(value AS DOUBLE) AS value
+FROM c WHERE pos // 16 = 1
+""")
+def q_level_slice(spark, sf_dir):
+    vec = fx.embedding_vectors(spark, sf_dir)
+    lvl = grid.level_slice(vec, level=1, n_lat=4, n_lon=4)
+    return lvl.select("record_name", F.posexplode("values").alias("p", "value")).select(
+        "record_name", (F.col("p") / 4).cast("int").alias("i"), (F.col("p") % 4).cast("int").alias("j"),
+        F.col("value").cast("double"),
+    )
+
+
+@query("column_range", f"""
+WITH {_EMB}
+SELECT record_name, CAST(pos AS BIGINT) AS pos, CAST(value AS DOUBLE) AS value FROM c WHERE pos >= 20 AND pos < 36
+""")
+def q_column_range(spark, sf_dir):
+    vec = fx.embedding_vectors(spark, sf_dir)
+    part = grid.column_range(vec, 20, 36)
+    return part.select("record_name", F.posexplode("values").alias("p", "value")).select(
+        "record_name", (F.col("p") + 20).cast("long").alias("pos"), F.col("value").cast("double")
+    )
+
+
+# ---------------------------------------------------------------------------
+# Missing data on the event grids
+# ---------------------------------------------------------------------------
+def _event_segments(spark, sf_dir):
+    layout = fx.event_layout(spark, sf_dir)
+    gv = grid.fill_missing_variables(fx.event_grid_vars(spark, sf_dir), layout, fx.FILL)
+    return layout, grid.to_record_segments(gv, layout, BLOCK)
+
+
+@query("missing_mask", f"""
+WITH {_EV}
+SELECT record_name, pos, value = CAST(1e20 AS FLOAT) AS is_missing FROM vec
+""")
+def q_missing_mask(spark, sf_dir):
+    _, seg = _event_segments(spark, sf_dir)
+    masked = seg.select("record_name", "block_id", grid.mask_equal("values", fx.FILL).alias("mask"))
+    return masked.select("record_name", "block_id", F.posexplode("mask").alias("k", "is_missing")).select(
+        "record_name", (F.col("block_id").cast("long") * BLOCK + F.col("k")).alias("pos"), "is_missing"
+    )
+
+
+@query("missing_census", f"""
+WITH {_EV}
+SELECT var, CAST(level AS INTEGER) AS level, CAST(bin // 3 AS INTEGER) AS i, CAST(bin % 3 AS INTEGER) AS j,
+       CAST(sum(CASE WHEN value = CAST(1e20 AS FLOAT) THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
+       count(*) AS n_records
+FROM vec GROUP BY var, level, bin
+""")
+def q_missing_census(spark, sf_dir):
+    layout, seg = _event_segments(spark, sf_dir)
+    cells = grid.cells_with_layout(seg, layout, BLOCK, fx.FILL)
+    return grid.missing_census(cells)
+
+
+@query("missing_any", f"""
+WITH {_EV}
+SELECT record_name, var, bool_or(value = CAST(1e20 AS FLOAT)) AS any_missing,
+       CAST(sum(CASE WHEN value = CAST(1e20 AS FLOAT) THEN 1 ELSE 0 END) AS BIGINT) AS n_missing
+FROM vec GROUP BY record_name, var
+""")
+def q_missing_any(spark, sf_dir):
+    layout, seg = _event_segments(spark, sf_dir)
+    cells = grid.cells_with_layout(seg, layout, BLOCK, fx.FILL)
+    return grid.missing_any(cells)
