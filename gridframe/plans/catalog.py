@@ -328,3 +328,307 @@ def q_missing_any(spark, sf_dir):
     layout, seg = _event_segments(spark, sf_dir)
     cells = grid.cells_with_layout(seg, layout, BLOCK, fx.FILL)
     return grid.missing_any(cells)
+
+
+# ---------------------------------------------------------------------------
+# J5 variable groups joined back on the record
+# ---------------------------------------------------------------------------
+GROUP_CELLS = 24
+
+
+@query("variable_group_join", f"""
+WITH {_EV},
+grp AS (SELECT var, (var_pos * 12) // {GROUP_CELLS} AS g FROM vars),
+pres AS (SELECT DISTINCT ev.record_name, grp.g FROM ev JOIN grp USING (var)),
+allg AS (SELECT r.record_name, g.g FROM recs r, (SELECT DISTINCT g FROM grp) g),
+miss AS (SELECT a.record_name,
+                string_agg(CAST(a.g AS VARCHAR), ',' ORDER BY a.g) FILTER (WHERE p.g IS NULL) AS missing
+         FROM allg a LEFT JOIN pres p USING (record_name, g) GROUP BY a.record_name),
+tot AS (SELECT record_name, sum(CAST(value AS DOUBLE)) FILTER (WHERE value <> CAST(1e20 AS FLOAT)) AS total
+        FROM vec GROUP BY record_name)
+SELECT m.record_name, coalesce(m.missing, '') AS missing_groups,
+       CAST(CASE WHEN m.missing IS NULL THEN (SELECT count(*) * 12 FROM vars) ELSE 0 END AS BIGINT) AS n_values,
+       CASE WHEN m.missing IS NULL THEN round(t.total, 2) END AS total
+FROM miss m JOIN tot t USING (record_name)
+""")
+def q_variable_group_join(spark, sf_dir):
+    layout = fx.event_layout(spark, sf_dir, max_group_length=GROUP_CELLS)
+    gv = fx.event_grid_vars(spark, sf_dir)
+    group_ids = [r[0] for r in layout.select("group_id").distinct().orderBy("group_id").collect()]
+    groups = []
+    for g in group_ids:
+        glayout = layout.where(F.col("group_id") == g)
+        start = glayout.agg(F.min("offset")).first()[0]
+        glayout = glayout.withColumn("offset", F.col("offset") - F.lit(start))
+        gvars = gv.join(glayout.select("var").distinct(), "var", "left_semi")
+        seg = grid.to_record_segments(grid.fill_missing_variables(gvars, glayout, fx.FILL), glayout, BLOCK)
+        groups.append(matrix.unsegment(seg))
+    joined = grid.join_variable_groups(groups)
+    present = F.filter("values", lambda v: v != F.lit(fx.FILL).cast("float"))
+    return joined.select(
+        "record_name",
+        F.array_join(F.transform("missing_groups", lambda g: g.cast("string")), ",").alias("missing_groups"),
+        F.coalesce(F.size("values").cast("long"), F.lit(0).cast("long")).alias("n_values"),
+        F.round(F.aggregate(present, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double")), 2).alias("total"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# Store: chunked writes, union, counts, lookups, semi / anti joins
+# ---------------------------------------------------------------------------
+N_CHUNKS = 4
+
+
+def _stored_embeddings(spark, sf_dir):
+    """Write the embedding segments as a chunked store and read it back."""
+    from gridframe.session import scratch_path
+    from gridframe.sources import store
+
+    vec = fx.embedding_vectors(spark, sf_dir)
+    seg = matrix.segment(vec.withColumn("chunk_id", (F.col("vec_id") % N_CHUNKS).cast("int")), BLOCK,
+                         keys=("record_name", "chunk_id"))
+    path = scratch_path(spark, "embeddings-at")
+    store.write_segments(seg, path)
+    return store.read_segments(spark, path)
+
+
+@query("chunk_union", f"""
+WITH {_EMB}
+SELECT CAST(e.vec_id % 4 AS INTEGER) AS chunk_id, c.record_name, CAST(c.pos AS BIGINT) AS pos,
+       CAST(c.value AS DOUBLE) AS value
+FROM c JOIN e USING (record_name)
+""")
+def q_chunk_union(spark, sf_dir):
+    from gridframe.sources import store
+
+    seg = _stored_embeddings(spark, sf_dir)
+    return store.export_record_long(seg.select("record_name", "block_id", "values", "chunk_id"), BLOCK).join(
+        seg.select("record_name", "chunk_id").distinct(), "record_name"
+    ).select("chunk_id", "record_name", "pos", F.col("value").cast("double"))
+
+
+@query("chunk_counts", """
+SELECT CAST(vec_id % 4 AS INTEGER) AS chunk_id, count(*) AS n_records,
+       sum(CAST(ceil(len(embedding) / 16) AS BIGINT)) AS n_segments
+FROM embeddings GROUP BY 1
+""")
+def q_chunk_counts(spark, sf_dir):
+    seg = _stored_embeddings(spark, sf_dir)
+    return seg.groupBy("chunk_id").agg(
+        F.countDistinct("record_name").alias("n_records"), F.count(F.lit(1)).alias("n_segments")
+    )
+
+
+@query("record_lookup", f"""
+WITH {_EMB}
+SELECT record_name, CAST(pos AS BIGINT) AS pos, CAST(value AS DOUBLE) AS value
+FROM c WHERE record_name = (SELECT min(record_name) FROM e)
+""")
+def q_record_lookup(spark, sf_dir):
+    from gridframe.sources import store
+
+    seg = _stored_embeddings(spark, sf_dir)
+    first = seg.agg(F.min("record_name")).first()[0]
+    found = store.lookup_record(seg, first)
+    return store.export_record_long(found, BLOCK).select("record_name", "pos", F.col("value").cast("double"))
+
+
+@query("record_semi_join", f"""
+WITH {_EV}
+SELECT record_name, pos, CAST(value AS DOUBLE) AS value FROM vec
+WHERE record_name IN (SELECT record_name FROM ev WHERE var = 'purchase')
+""")
+def q_record_semi_join(spark, sf_dir):
+    from gridframe.sources import store
+
+    _, seg = _event_segments(spark, sf_dir)
+    wanted = fx.event_hours(spark, sf_dir).where(F.col("var") == "purchase")
+    picked = store.semi_join_records(seg, wanted)
+    return store.export_record_long(picked, BLOCK).select("record_name", "pos", F.col("value").cast("double"))
+
+
+_MANIFEST_SQL = """
+hrs AS (SELECT DISTINCT hour, record_name FROM ev),
+p AS (SELECT hour, record_name, CAST(least((day(hour) - 1) // 5, 5) AS INTEGER) AS period FROM hrs),
+man AS (SELECT '/archives/pgbh02.gdas.' || strftime(make_date(year(hour), month(hour), period * 5 + 1), '%Y%m%d')
+               || '-' || strftime(CASE WHEN period = 5 THEN last_day(hour)
+                                       ELSE make_date(year(hour), month(hour), period * 5 + 5) END, '%Y%m%d')
+               || '.tar' AS archive_path, record_name, hour FROM p),
+manifest AS (SELECT archive_path,
+                    CAST(row_number() OVER (PARTITION BY archive_path ORDER BY hour) - 1 AS INTEGER) AS entry_idx,
+                    record_name FROM man)
+"""
+
+
+def _event_manifest(spark, sf_dir):
+    from gridframe.sources import archives
+
+    hours = fx.event_hours(spark, sf_dir).select("hour", "record_name").distinct()
+    return archives.manifest_from_times(hours, "/archives", "hour")
+
+
+@query("resume_anti_join", f"""
+WITH {_EV}, {_MANIFEST_SQL}
+SELECT archive_path, entry_idx, record_name FROM manifest
+WHERE record_name NOT IN (SELECT record_name FROM ev WHERE var = 'purchase')
+""")
+def q_resume_anti_join(spark, sf_dir):
+    from gridframe.sources import store
+
+    manifest = _event_manifest(spark, sf_dir)
+    done = fx.event_hours(spark, sf_dir).where(F.col("var") == "purchase").select("record_name").distinct()
+    ingested = manifest.join(done, "record_name", "left_semi")
+    return store.pending_entries(manifest, ingested).select("archive_path", "entry_idx", "record_name")
+
+
+# ---------------------------------------------------------------------------
+# Validation
+# ---------------------------------------------------------------------------
+@query("vector_length_check", f"""
+WITH {_EV},
+v AS (SELECT record_name, count(*) AS length FROM ev GROUP BY record_name)
+SELECT record_name, length, (SELECT max(length) FROM v) AS expected, length = (SELECT max(length) FROM v) AS is_ok
+FROM v
+""")
+def q_vector_length_check(spark, sf_dir):
+    from gridframe.operators import verify
+
+    ragged = fx.event_hours(spark, sf_dir).groupBy("record_name").agg(
+        F.collect_list(F.col("value").cast("float")).alias("values")
+    )
+    return verify.check_lengths(ragged).select("record_name", "length", "expected", "is_ok")
+
+
+@query("duplicate_names", f"""
+WITH {_EV}
+SELECT record_name, count(*) AS n_copies FROM ev GROUP BY record_name HAVING count(*) > 1
+""")
+def q_duplicate_names(spark, sf_dir):
+    from gridframe.operators import verify
+
+    return verify.duplicate_names(fx.event_hours(spark, sf_dir))
+
+
+@query("order_check", f"""
+WITH {_EV}
+SELECT count(*) AS n, count(*) AS n_distinct, CAST(0 AS BIGINT) AS min_idx, count(*) - 1 AS max_idx,
+       CAST(0 AS BIGINT) AS n_out_of_order, CAST(0 AS BIGINT) AS n_holes
+FROM recs
+""")
+def q_order_check(spark, sf_dir):
+    from gridframe.operators import verify
+
+    names = timeaxis.column_names(fx.event_hours(spark, sf_dir), order="time")
+    return verify.check_order(names)
+
+
+@query("compare_norm", f"""
+WITH {_EMB}
+SELECT record_name, count(*) AS n_a, count(*) AS n_b, CAST(0 AS BIGINT) AS n_mismatch, 0.0::DOUBLE AS l2
+FROM c GROUP BY record_name
+""")
+def q_compare_norm(spark, sf_dir):
+    from gridframe.operators import verify
+
+    vec = fx.embedding_vectors(spark, sf_dir)
+    # independent path: 3-D cells, re-flattened and re-assembled by segment
+    cells = grid.flatten_cells(grid.unflatten_3d(vec, 4, 4, 4), 4, 4)
+    rebuilt = cells.groupBy("record_name").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_p")
+    ).select("record_name", F.transform("_p", lambda s: s["value"]).alias("values"))
+    return verify.compare_vectors(vec.select("record_name", "values"), rebuilt)
+
+
+# ---------------------------------------------------------------------------
+# Products (M5-M7, P10)
+# ---------------------------------------------------------------------------
+@query("matvec", f"""
+WITH {_EMB},
+x AS (SELECT pos, avg(CAST(value AS DOUBLE)) AS xv FROM c GROUP BY pos)
+SELECT record_name, round(sum(CAST(value AS DOUBLE) * xv), 6) AS value FROM c JOIN x USING (pos) GROUP BY record_name
+""")
+def q_matvec(spark, sf_dir):
+    vec = fx.embedding_vectors(spark, sf_dir)
+    seg = matrix.segment(vec, BLOCK)
+    x = matrix.column_means(seg, BLOCK)
+    out = matrix.matvec(seg, x, BLOCK)
+    return out.select("record_name", F.round("value", 6).alias("value"))
+
+
+@query("matvec_transpose", f"""
+WITH {_EMB}
+SELECT CAST(pos AS BIGINT) AS row_idx, round(sum(CAST(value AS DOUBLE) * label), 6) AS value
+FROM c JOIN e USING (record_name) GROUP BY pos
+""")
+def q_matvec_transpose(spark, sf_dir):
+    vec = fx.embedding_vectors(spark, sf_dir)
+    seg = matrix.segment(vec, BLOCK)
+    y = vec.select("record_name", F.col("label").cast("double").alias("y"))
+    out = matrix.matvec_transpose(seg, y, BLOCK)
+    return out.select("row_idx", F.round("value", 6).alias("value"))
+
+
+# ---------------------------------------------------------------------------
+# Ingest (S1-S5, S13, S14, G2): the embeddings written as NetCDF grids in
+# tar archives (100 records per archive), then listed, decoded and
+# vectorised back through the same layout.
+# ---------------------------------------------------------------------------
+RECORDS_PER_ARCHIVE = 100
+
+
+def _embedding_grid_layout(spark):
+    variables = spark.createDataFrame(
+        [("emb2d", 0, 1, 4, 8), ("emb3d", 1, 2, 4, 4)], "var string, var_pos int, n_levels int, n_lat int, n_lon int"
+    )
+    return grid.layout_offsets(variables)
+
+
+def _written_archives(spark, sf_dir):
+    """Write the archives and their list file; return (list path, root)."""
+    from gridframe.session import scratch_path
+    from gridframe.sources import archives
+
+    root = scratch_path(spark, "archives")
+    vec = fx.embedding_vectors(spark, sf_dir).select(
+        F.concat(F.lit("emb-"), F.lpad((F.col("vec_id") / RECORDS_PER_ARCHIVE).cast("long").cast("string"), 6, "0"),
+                 F.lit(".tar")).alias("archive_name"),
+        "record_name", "values",
+    )
+    spec = [("emb2d", 0, 32, (4, 8)), ("emb3d", 32, 32, (2, 4, 4))]
+    listing = f"{root}/_archive_list"
+    archives.write_grid_archives(vec, root, spec).select("archive_name").write.text(listing)
+    return listing, root
+
+
+def _ingested(spark, sf_dir):
+    from gridframe.sources import archives
+
+    listing, root = _written_archives(spark, sf_dir)
+    paths = archives.tar_only(archives.archive_paths(archives.read_archive_list(spark, listing), root))
+    manifest = archives.expand_archives(paths)
+    decoded = archives.decode_entries(manifest, _embedding_grid_layout(spark), BLOCK)
+    return manifest, decoded
+
+
+@query("ingest_archive", f"""
+WITH {_EMB}
+SELECT record_name, CAST(pos AS BIGINT) AS pos, CAST(value AS DOUBLE) AS value FROM c
+""")
+def q_ingest_archive(spark, sf_dir):
+    from gridframe.sources import archives, store
+
+    _, decoded = _ingested(spark, sf_dir)
+    good, _ = archives.split_quarantine(decoded)
+    return store.export_record_long(good, BLOCK).select("record_name", "pos", F.col("value").cast("double"))
+
+
+@query("archive_counts", f"""
+SELECT 'emb-' || lpad(CAST(vec_id // {RECORDS_PER_ARCHIVE} AS VARCHAR), 6, '0') || '.tar' AS archive_name,
+       count(*) AS n_entries
+FROM embeddings GROUP BY 1
+""")
+def q_archive_counts(spark, sf_dir):
+    manifest, _ = _ingested(spark, sf_dir)
+    return manifest.groupBy(F.element_at(F.split("archive_path", "/"), -1).alias("archive_name")).agg(
+        F.count(F.lit(1)).alias("n_entries")
+    )
