@@ -52,3 +52,22 @@ def dot(a, b) -> Column:
         F.lit(0.0).cast("double"),
         lambda acc, v: acc + v,
     )
+
+
+def dense_from_entries(entries, length, fill, value_type: str = "float") -> Column:
+    """Dense array of ``length`` from sparse ``array<struct<k, value>>``
+    (distinct 0-based ``k``); absent positions get ``fill``.
+
+    Built as: present entries + one fill entry per absent position
+    (``array_except``), sorted by ``k``. Everything is evaluated once per
+    row; a map lookup inside a ``transform`` lambda would instead be
+    re-evaluated for every element.
+    """
+    e = _col(entries)
+    length_col = F.lit(length) if isinstance(length, int) else _col(length)
+    fill_col = F.lit(fill).cast(value_type)
+    keys = F.transform(e, lambda s: s["k"])
+    missing = F.array_except(F.sequence(F.lit(0), length_col - 1), keys)
+    filler = F.transform(missing, lambda k: F.struct(k.alias("k"), fill_col.alias("value")))
+    typed = F.transform(e, lambda s: F.struct(s["k"].cast("int").alias("k"), s["value"].cast(value_type).alias("value")))
+    return F.transform(F.array_sort(F.concat(typed, filler)), lambda s: s["value"])

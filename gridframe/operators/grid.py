@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridframe.functions.arrays import mask_equal  # noqa: F401  (re-exported)
+from gridframe.functions.arrays import dense_from_entries, mask_equal  # noqa: F401  (re-exported)
 
 
 # --------------------------------------------------------------------------
@@ -230,3 +230,38 @@ def join_variable_groups(groups: list[DataFrame]) -> DataFrame:
         F.concat(*[F.col(n) for n in names]).alias("values"),
         absent.alias("missing_groups"),
     )
+
+
+def cells_to_segments(
+    cells: DataFrame, n_cells: int, block_size: int, fill: float, keys=("record_name",), partitions: int | None = None
+) -> DataFrame:
+    """A1-A3 from sparse cells ``(record_name, pos, value)``: dense segments
+    of a fixed-length vector, absent cells = ``fill``.
+
+    A group is one segment (at most ``block_size`` cells). Blocks with no
+    cell at all are found per record from the set of blocks it has (bounded
+    by the block count), not from a records x blocks cross product."""
+    keys = list(keys)
+    n_blocks = -(-n_cells // block_size)
+    last_len = n_cells - (n_blocks - 1) * block_size
+    fill_f = F.lit(fill).cast("float")
+    c = cells.select(
+        *keys,
+        (F.col("pos") / block_size).cast("int").alias("block_id"),
+        (F.col("pos") % block_size).cast("int").alias("k"),
+        F.col("value").cast("float").alias("value"),
+    )
+    # The sparse input is small next to the dense output: partition by the
+    # output segment with at least one partition per core, so AQE does not
+    # coalesce the expansion into a handful of tasks. The aggregation below
+    # reuses this partitioning (no second exchange).
+    parts = max(cells.sparkSession.sparkContext.defaultParallelism, partitions or 0)
+    c = c.repartition(parts, *keys, "block_id")
+    present = c.groupBy(*keys, "block_id").agg(F.collect_list(F.struct("k", "value")).alias("_e"))
+    length = F.when(F.col("block_id") == n_blocks - 1, F.lit(last_len)).otherwise(F.lit(block_size))
+    dense = present.select(*keys, "block_id", dense_from_entries("_e", length, fill).alias("values"))
+    have = present.groupBy(*keys).agg(F.collect_set("block_id").alias("_have"))
+    absent = have.select(
+        *keys, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.col("_have"))).alias("block_id")
+    ).select(*keys, "block_id", F.array_repeat(fill_f, length).alias("values"))
+    return dense.unionByName(absent)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.functions.arrays import block_count, dot
+from gridframe.functions.arrays import block_count, dense_from_entries, dot
 from gridframe.operators.index import broadcast_if_small
 
 # Bytes of a broadcast side we accept per join (vector x of a product).
@@ -175,6 +175,20 @@ def vector_segments(spark, values, block_size: int) -> DataFrame:
     return spark.createDataFrame(rows, "block_id int, values array<double>")
 
 
+def vector_from_cells(cells: DataFrame, n_cells: int, block_size: int, default: float = 0.0) -> DataFrame:
+    """A vector given as a table ``(pos, value)`` -> segments ``(block_id,
+    values array<double>)``; absent positions get ``default``. A group is
+    one block (at most ``block_size`` entries)."""
+    n_blocks = -(-n_cells // block_size)
+    last_len = n_cells - (n_blocks - 1) * block_size
+    grouped = cells.select(
+        (F.col("pos") / block_size).cast("int").alias("block_id"),
+        F.struct((F.col("pos") % block_size).cast("int").alias("k"), F.col("value").cast("double").alias("value")).alias("e"),
+    ).groupBy("block_id").agg(F.collect_list("e").alias("_e"))
+    length = F.when(F.col("block_id") == n_blocks - 1, F.lit(last_len)).otherwise(F.lit(block_size))
+    return grouped.select("block_id", dense_from_entries("_e", length, default, "double").alias("values"))
+
+
 def column_means(segments: DataFrame, block_size: int) -> DataFrame:
     """Mean record vector as segments ``(block_id, values array<double>)``.
 
@@ -187,11 +201,19 @@ def column_means(segments: DataFrame, block_size: int) -> DataFrame:
     ).select("block_id", F.transform("_p", lambda s: s["m"]).alias("values"))
 
 
+def _masked(values: str, fill: float | None):
+    if fill is None:
+        return F.col(values)
+    fill_f = F.lit(fill).cast("float")
+    return F.transform(values, lambda v: F.when(v == fill_f, F.lit(0.0).cast("float")).otherwise(v))
+
+
 def matvec(
     segments: DataFrame,
     x_segments: DataFrame,
     block_size: int,
     max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+    fill: float | None = None,
 ) -> DataFrame:
     """M6: ``A^T x``, one number per record ``(record_name, value)``.
 
@@ -199,7 +221,7 @@ def matvec(
     per cell): when it fits ``max_broadcast_bytes`` it is broadcast whole,
     otherwise the product runs in passes over block ranges, each pass
     broadcasting one slice of ``x``. Partial dot products are summed per
-    record with a map-side combine.
+    record with a map-side combine. Cells equal to ``fill`` count as 0.
     """
     n_blocks = x_segments.agg(F.max("block_id")).first()[0]
     n_blocks = 0 if n_blocks is None else n_blocks + 1
@@ -210,20 +232,21 @@ def matvec(
         hi = lo + per_pass - 1
         piece = segments.where(F.col("block_id").between(lo, hi)).join(
             F.broadcast(xs.where(F.col("block_id").between(lo, hi))), "block_id"
-        ).select("record_name", dot("values", "_x").alias("_d"))
+        ).select("record_name", dot(_masked("values", fill), "_x").alias("_d"))
         partials = piece if partials is None else partials.unionByName(piece)
     return partials.groupBy("record_name").agg(F.sum("_d").alias("value"))
 
 
-def matvec_transpose(segments: DataFrame, y: DataFrame, block_size: int) -> DataFrame:
+def matvec_transpose(segments: DataFrame, y: DataFrame, block_size: int, fill: float | None = None) -> DataFrame:
     """M7: ``A y``, one number per cell ``(row_idx, value)``.
 
     ``y`` has one number per record ``(record_name, y)``; it is broadcast
     after a row count. Cells are summed with a map-side partial aggregate,
     which is small when segments are stored clustered by ``block_id``.
+    Cells equal to ``fill`` count as 0.
     """
     scaled = segments.join(broadcast_if_small(y.select("record_name", "y")), "record_name")
-    cells = scaled.select("block_id", "y", F.posexplode("values").alias("k", "v"))
+    cells = scaled.select("block_id", "y", F.posexplode(_masked("values", fill)).alias("k", "v"))
     return cells.groupBy(
         (F.col("block_id").cast("long") * block_size + F.col("k")).alias("row_idx")
     ).agg(F.sum(F.col("v").cast("double") * F.col("y").cast("double")).alias("value"))

@@ -632,3 +632,110 @@ def q_archive_counts(spark, sf_dir):
     return manifest.groupBy(F.element_at(F.split("archive_path", "/"), -1).alias("archive_name")).agg(
         F.count(F.lit(1)).alias("n_entries")
     )
+
+
+# ---------------------------------------------------------------------------
+# The daily part matrix from lineitem: records = ship days, cells = parts,
+# value = quantity shipped, absent = fill. It grows with the scale factor
+# (2,499 x 20,000 = 50M cells at sf0.1) and drives the benchmark.
+# ---------------------------------------------------------------------------
+DAILY_BLOCK = 1024
+DAILY_RECORDS_PER_TILE = 4096
+
+_DAILY = """
+d AS (SELECT strftime(date_trunc('day', l_shipdate), 'pgbh02.gdas.%Y%m%d00.grb2') AS record_name,
+             l_partkey AS pos, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+dn AS (SELECT record_name, row_number() OVER (ORDER BY record_name) - 1 AS col_idx
+       FROM (SELECT DISTINCT record_name FROM d)),
+ds AS (SELECT pos, count(*) AS n_present, sum(q) AS total, sum(q * (col_idx + 1)) AS weighted
+       FROM d JOIN dn USING (record_name) GROUP BY pos)
+"""
+
+_DAILY_A_ORACLE = f"""
+WITH {_DAILY}
+SELECT CAST(p.p_partkey AS BIGINT) AS row_idx, (SELECT count(*) FROM dn) AS n_values,
+       coalesce(ds.n_present, 0) AS n_present, CAST(coalesce(ds.total, 0) AS DOUBLE) AS total,
+       CAST(coalesce(ds.weighted, 0) AS DOUBLE) AS weighted
+FROM part p LEFT JOIN ds ON ds.pos = p.p_partkey
+"""
+
+
+def daily_segments(spark, sf_dir):
+    n_cells = fx.part_count(spark, sf_dir)
+    return grid.cells_to_segments(fx.daily_cells(spark, sf_dir), n_cells, DAILY_BLOCK, fx.FILL)
+
+
+def _a_summary(rows: DataFrame) -> DataFrame:
+    fill = F.lit(fx.FILL).cast("float")
+    present = F.filter("values", lambda v: v != fill)
+    weighted = F.transform("values", lambda v, i: F.when(v != fill, v.cast("double") * (i + 1)).otherwise(0.0))
+    return rows.select(
+        F.col("row_idx").cast("long"),
+        F.size("values").cast("long").alias("n_values"),
+        F.size(present).cast("long").alias("n_present"),
+        F.aggregate(present, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double")).alias("total"),
+        F.aggregate(weighted, F.lit(0.0).cast("double"), lambda a, v: a + v).alias("weighted"),
+    )
+
+
+@query("daily_matrix", f"""
+WITH {_DAILY}
+SELECT record_name, CAST((SELECT max(p_partkey) + 1 FROM part) AS BIGINT) AS n_values,
+       count(*) AS n_present, CAST(sum(q) AS DOUBLE) AS total
+FROM d GROUP BY record_name
+""")
+def q_daily_matrix(spark, sf_dir):
+    seg = daily_segments(spark, sf_dir)
+    fill = F.lit(fx.FILL).cast("float")
+    present = F.filter("values", lambda v: v != fill)
+    return seg.groupBy("record_name").agg(
+        F.sum(F.size("values")).cast("long").alias("n_values"),
+        F.sum(F.size(present)).cast("long").alias("n_present"),
+        F.sum(F.aggregate(present, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double"))).alias("total"),
+    )
+
+
+@query("daily_transpose_blocked", _DAILY_A_ORACLE)
+def q_daily_transpose_blocked(spark, sf_dir):
+    seg = daily_segments(spark, sf_dir)
+    names = timeaxis.column_names(seg.select("record_name"), order="time")
+    return _a_summary(matrix.transpose(seg, names, DAILY_BLOCK, DAILY_RECORDS_PER_TILE))
+
+
+@query("daily_transpose_sql", _DAILY_A_ORACLE)
+def q_daily_transpose_sql(spark, sf_dir):
+    seg = daily_segments(spark, sf_dir)
+    names = timeaxis.column_names(seg.select("record_name"), order="time")
+    return _a_summary(matrix.transpose_sql(seg, names, DAILY_BLOCK))
+
+
+@query("daily_matvec", f"""
+WITH {_DAILY}
+SELECT record_name, round(sum(q * p_retailprice), 2) AS value FROM d JOIN part ON d.pos = part.p_partkey
+GROUP BY record_name
+""")
+def q_daily_matvec(spark, sf_dir):
+    n_cells = fx.part_count(spark, sf_dir)
+    seg = daily_segments(spark, sf_dir)
+    price = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("value"))
+    x = matrix.vector_from_cells(price, n_cells, DAILY_BLOCK)
+    out = matrix.matvec(seg, x, DAILY_BLOCK, fill=fx.FILL)
+    return out.select("record_name", F.round("value", 2).alias("value"))
+
+
+@query("daily_matvec_transpose", f"""
+WITH {_DAILY},
+y AS (SELECT strftime(date_trunc('day', l_shipdate), 'pgbh02.gdas.%Y%m%d00.grb2') AS record_name, count(*) AS y
+      FROM lineitem GROUP BY 1),
+s AS (SELECT pos, sum(q * y) AS value FROM d JOIN y USING (record_name) GROUP BY pos)
+SELECT CAST(p.p_partkey AS BIGINT) AS row_idx, round(CAST(coalesce(s.value, 0) AS DOUBLE), 2) AS value
+FROM part p LEFT JOIN s ON s.pos = p.p_partkey
+""")
+def q_daily_matvec_transpose(spark, sf_dir):
+    seg = daily_segments(spark, sf_dir)
+    li = fx.table(spark, sf_dir, "lineitem")
+    y = li.groupBy(fx.record_name_for(F.date_trunc("day", "l_shipdate")).alias("record_name")).agg(
+        F.count(F.lit(1)).cast("double").alias("y")
+    )
+    out = matrix.matvec_transpose(seg, y, DAILY_BLOCK, fill=fx.FILL)
+    return out.select("row_idx", F.round("value", 2).alias("value"))

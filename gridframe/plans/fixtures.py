@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridframe.functions.arrays import dense_from_entries
 from gridframe.functions.names import record_name_for
 from gridframe.operators.grid import layout_offsets
 from gridframe.operators.index import dense_index
@@ -79,16 +80,28 @@ def event_grid_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     entries = per_bin.select(
         "record_name", "var",
-        F.struct(F.col("bin").alias("k"), F.col("total").alias("v")).alias("e0"),
-        F.struct((F.col("bin") + EVENT_LAT * EVENT_LON).alias("k"), F.col("n").alias("v")).alias("e1"),
+        F.struct(F.col("bin").alias("k"), F.col("total").alias("value")).alias("e0"),
+        F.struct((F.col("bin") + EVENT_LAT * EVENT_LON).alias("k"), F.col("n").alias("value")).alias("e1"),
     )
-    grouped = entries.groupBy("record_name", "var").agg(
-        F.map_from_entries(F.flatten(F.collect_list(F.array("e0", "e1")))).alias("m")
-    )
-    fill = F.lit(FILL).cast("float")
+    grouped = entries.groupBy("record_name", "var").agg(F.flatten(F.collect_list(F.array("e0", "e1"))).alias("_e"))
     return grouped.select(
         "record_name", "var",
         F.array(*[F.lit(d) for d in (EVENT_LEVELS, EVENT_LAT, EVENT_LON)]).alias("dims"),
-        fill.alias("fill"),
-        F.transform(F.sequence(F.lit(0), F.lit(EVENT_CELLS - 1)), lambda k: F.coalesce(F.col("m")[k], fill)).alias("values"),
+        F.lit(FILL).cast("float").alias("fill"),
+        dense_from_entries("_e", EVENT_CELLS, FILL).alias("values"),
+    )
+
+
+def daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as daily records: cell = part key, value = total quantity
+    shipped that day (sparse; absent = fill)."""
+    li = table(spark, sf_dir, "lineitem")
+    day = F.date_trunc("day", F.col("l_shipdate"))
+    return li.groupBy(record_name_for(day).alias("record_name"), F.col("l_partkey").alias("pos")).agg(
+        F.sum("l_quantity").alias("value")
     )
+
+
+def part_count(spark: SparkSession, sf_dir: str) -> int:
+    """Cells per daily record: one per part (keys are dense from 0)."""
+    return int(table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]) + 1
