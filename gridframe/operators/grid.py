@@ -232,6 +232,36 @@ def join_variable_groups(groups: list[DataFrame]) -> DataFrame:
     )
 
 
+def _scatter_segments(keys, block_size: int, n_blocks: int, last_len: int, fill: float):
+    """Arrow batch kernel: sparse ``(k, value)`` entries per segment -> dense
+    segments, one vectorised numpy scatter per batch."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for batch in batches:
+            entries = batch.column("_e")
+            block_id = batch.column("block_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = np.where(block_id == n_blocks - 1, last_len, block_size).astype(np.int64)
+            out_offsets = np.zeros(len(block_id) + 1, dtype=np.int64)
+            np.cumsum(lengths, out=out_offsets[1:])
+            dense = np.full(int(out_offsets[-1]), fill, dtype=np.float32)
+            flat = entries.flatten()
+            if len(flat):
+                parent = pc.list_parent_indices(entries).to_numpy(zero_copy_only=False)
+                k = flat.field("k").to_numpy(zero_copy_only=False).astype(np.int64)
+                v = flat.field("value").to_numpy(zero_copy_only=False)
+                dense[out_offsets[parent] + k] = v
+            values = pa.ListArray.from_arrays(pa.array(out_offsets.astype(np.int32)), pa.array(dense))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keys] + [batch.column("block_id"), values],
+                names=list(keys) + ["block_id", "values"],
+            )
+
+    return run
+
+
 def cells_to_segments(
     cells: DataFrame, n_cells: int, block_size: int, fill: float, keys=("record_name",), partitions: int | None = None
 ) -> DataFrame:
@@ -259,7 +289,11 @@ def cells_to_segments(
     c = c.repartition(parts, *keys, "block_id")
     present = c.groupBy(*keys, "block_id").agg(F.collect_list(F.struct("k", "value")).alias("_e"))
     length = F.when(F.col("block_id") == n_blocks - 1, F.lit(last_len)).otherwise(F.lit(block_size))
-    dense = present.select(*keys, "block_id", dense_from_entries("_e", length, fill).alias("values"))
+    key_ddl = ", ".join(f"{k} {present.schema[k].dataType.simpleString()}" for k in keys)
+    dense = present.mapInArrow(
+        _scatter_segments(keys, block_size, n_blocks, last_len, fill),
+        f"{key_ddl}, block_id int, values array<float>",
+    )
     have = present.groupBy(*keys).agg(F.collect_set("block_id").alias("_have"))
     absent = have.select(
         *keys, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.col("_have"))).alias("block_id")

@@ -665,6 +665,12 @@ def daily_segments(spark, sf_dir):
     return grid.cells_to_segments(fx.daily_cells(spark, sf_dir), n_cells, DAILY_BLOCK, fx.FILL)
 
 
+def daily_names(spark, sf_dir):
+    """Column names of the daily matrix, from the sparse cells (cheaper than
+    from the dense segments)."""
+    return timeaxis.column_names(fx.daily_cells(spark, sf_dir).select("record_name"), order="time")
+
+
 def _a_summary(rows: DataFrame) -> DataFrame:
     fill = F.lit(fx.FILL).cast("float")
     present = F.filter("values", lambda v: v != fill)
@@ -698,15 +704,13 @@ def q_daily_matrix(spark, sf_dir):
 @query("daily_transpose_blocked", _DAILY_A_ORACLE)
 def q_daily_transpose_blocked(spark, sf_dir):
     seg = daily_segments(spark, sf_dir)
-    names = timeaxis.column_names(seg.select("record_name"), order="time")
-    return _a_summary(matrix.transpose(seg, names, DAILY_BLOCK, DAILY_RECORDS_PER_TILE))
+    return _a_summary(matrix.transpose(seg, daily_names(spark, sf_dir), DAILY_BLOCK, DAILY_RECORDS_PER_TILE))
 
 
 @query("daily_transpose_sql", _DAILY_A_ORACLE)
 def q_daily_transpose_sql(spark, sf_dir):
     seg = daily_segments(spark, sf_dir)
-    names = timeaxis.column_names(seg.select("record_name"), order="time")
-    return _a_summary(matrix.transpose_sql(seg, names, DAILY_BLOCK))
+    return _a_summary(matrix.transpose_sql(seg, daily_names(spark, sf_dir), DAILY_BLOCK))
 
 
 @query("daily_matvec", f"""
