@@ -9,7 +9,7 @@ order, so cell (l, i, j) of a 3-D variable is at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.functions.arrays import dense_from_entries, mask_equal  # noqa: F401  (re-exported)
@@ -18,26 +18,37 @@ from gridframe.functions.arrays import dense_from_entries, mask_equal  # noqa: F
 # --------------------------------------------------------------------------
 # W3 layout
 # --------------------------------------------------------------------------
+# A layout has one row per variable level (211 for the full data set); it is
+# a job parameter, built on the driver and shipped as a local relation.
+MAX_LAYOUT_ROWS = 1_000_000
+
+
 def layout_offsets(variables: DataFrame, max_group_length: int | None = None) -> DataFrame:
     """Layout table from ``(var, var_pos, n_levels, n_lat, n_lon)``.
 
-    One row per variable level with its ``offset`` and ``length``; offsets
-    are running sums in ``(var_pos, level)`` order (one row per layer, a
-    metadata-sized table). ``group_id`` packs whole variables into groups of
-    about ``max_group_length`` cells (the variable-group chunking).
+    One row per variable level with its ``offset`` and ``length``, in
+    ``(var_pos, level)`` order. ``group_id`` packs whole variables into
+    groups of about ``max_group_length`` cells (the variable-group chunking):
+    group = offset of the variable's first level div ``max_group_length``.
     """
-    levels = variables.select(
-        "var", F.col("var_pos").cast("int").alias("var_pos"),
-        F.explode(F.sequence(F.lit(0), F.col("n_levels").cast("int") - 1)).alias("level"),
-        F.col("n_lat").cast("int").alias("n_lat"), F.col("n_lon").cast("int").alias("n_lon"),
-    ).withColumn("length", (F.col("n_lat") * F.col("n_lon")).cast("long"))
-    before = Window.orderBy("var_pos", "level").rowsBetween(Window.unboundedPreceding, -1)
-    layout = levels.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    layout = layout.select("var", "var_pos", "level", "n_lat", "n_lon", "offset", "length")
-    if max_group_length:
-        var_start = F.min("offset").over(Window.partitionBy("var"))
-        layout = layout.withColumn("group_id", (var_start / F.lit(max_group_length)).cast("int"))
-    return layout
+    spark = variables.sparkSession
+    specs = sorted(
+        (int(r["var_pos"]), r["var"], int(r["n_levels"]), int(r["n_lat"]), int(r["n_lon"]))
+        for r in variables.select("var", "var_pos", "n_levels", "n_lat", "n_lon").collect()
+    )
+    rows, offset = [], 0
+    for var_pos, var, n_levels, n_lat, n_lon in specs:
+        group_id = offset // max_group_length if max_group_length else None
+        for level in range(n_levels):
+            rows.append((var, var_pos, level, n_lat, n_lon, offset, n_lat * n_lon, group_id))
+            offset += n_lat * n_lon
+    if len(rows) > MAX_LAYOUT_ROWS:
+        raise ValueError(f"layout has {len(rows)} rows; expected one row per variable level")
+    layout = spark.createDataFrame(
+        rows,
+        "var string, var_pos int, level int, n_lat int, n_lon int, offset long, length long, group_id int",
+    )
+    return layout if max_group_length else layout.drop("group_id")
 
 
 def variable_spans(layout: DataFrame) -> DataFrame:
@@ -299,3 +310,31 @@ def cells_to_segments(
         *keys, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.col("_have"))).alias("block_id")
     ).select(*keys, "block_id", F.array_repeat(fill_f, length).alias("values"))
     return dense.unionByName(absent)
+
+
+def join_variable_group_segments(
+    groups: list[DataFrame], layout: DataFrame, block_size: int
+) -> tuple[DataFrame, DataFrame]:
+    """J5 at full size: variables of several groups, joined on the record.
+
+    ``groups[g]`` holds ``(record_name, var, dims, fill, values)`` for the
+    variables of group ``g``. Returns ``(segments, report)``: the record
+    segments of every record present in all groups (assembled by
+    ``to_record_segments`` with the global layout), and one report row per
+    record seen in any group with the sorted ids of the groups it lacks.
+    Presence is a small per-record aggregate; no whole vectors are joined.
+    """
+    from functools import reduce
+
+    from gridframe.operators.index import broadcast_if_small
+
+    tagged = [g.select("record_name", F.lit(i).alias("_g")) for i, g in enumerate(groups)]
+    presence = reduce(lambda a, b: a.unionByName(b), tagged).groupBy("record_name").agg(
+        F.collect_set("_g").alias("_have")
+    )
+    all_ids = F.array(*[F.lit(i) for i in range(len(groups))])
+    report = presence.select("record_name", F.array_sort(F.array_except(all_ids, F.col("_have"))).alias("missing_groups"))
+    complete = report.where(F.size("missing_groups") == 0).select("record_name")
+    variables = reduce(lambda a, b: a.unionByName(b), [g.select("record_name", "var", "values") for g in groups])
+    variables = variables.join(broadcast_if_small(complete), "record_name", "left_semi")
+    return to_record_segments(variables, layout, block_size), report

@@ -1,8 +1,8 @@
 """Dense global indexes and size-checked broadcasts.
 
 ``dense_index`` numbers rows 0..n-1 in a sort order without moving all rows
-into one task: a range-partitioned sort, a per-partition row count (one row
-per partition), a running sum over those counts and a broadcast join of the
+into one task: a range-partitioned sort, a per-partition row count (one
+number per partition, summed up on the driver) and a broadcast join of the
 offsets (bounded by the number of partitions). The sorted, tagged rows are
 checkpointed so the counts and the numbering see the same partitioning even
 if executors are lost and the sort is recomputed.
@@ -10,7 +10,7 @@ if executors are lost and the sort is recomputed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.session import checkpoint_dir
@@ -24,16 +24,22 @@ def dense_index(df: DataFrame, order_by: list, index_col: str = "col_idx") -> Da
 
     Ties are broken arbitrarily, so callers order by a unique key.
     """
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
     cols = df.columns
     tagged = df.orderBy(*order_by).select(
         *cols,
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().alias("_mono"),
     ).checkpoint(eager=True)
-    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # one (part, count) pair per partition: prefix sums on the driver, as
+    # RDD.zipWithIndex does with its partition sizes
+    counts = sorted((r[0], r[1]) for r in tagged.groupBy("_part").count().collect())
+    starts, running = [], 0
+    for part, n in counts:
+        starts.append((part, running))
+        running += n
+    offsets = spark.createDataFrame(starts or [(0, 0)], "_part int, _start long")
     # the part index occupies the upper 31 bits of monotonically_increasing_id
     local = F.col("_mono") - F.shiftleft(F.col("_part").cast("long"), 33)
     return tagged.join(F.broadcast(offsets), "_part").select(

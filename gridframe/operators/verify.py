@@ -11,9 +11,13 @@ from gridframe.operators.index import broadcast_if_small
 def check_lengths(vectors: DataFrame, expected: int | None = None) -> DataFrame:
     """Per record its vector length and whether it matches.
 
+    Accepts vectors or precomputed ``(record_name, length)`` rows.
     ``expected`` defaults to the longest vector seen (a global max, a
     one-row aggregate) instead of the first row's length."""
-    sized = vectors.select("record_name", F.size("values").cast("long").alias("length"))
+    if "length" in vectors.columns:
+        sized = vectors.select("record_name", F.col("length").cast("long").alias("length"))
+    else:
+        sized = vectors.select("record_name", F.size("values").cast("long").alias("length"))
     if expected is None:
         expected = sized.agg(F.max("length")).first()[0] or 0
     sized = sized.withColumn("expected", F.lit(int(expected)).cast("long"))

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from gridframe.functions.arrays import dense_from_entries
 from gridframe.functions.names import record_name_for
 from gridframe.operators.grid import layout_offsets
-from gridframe.operators.index import dense_index
 
 # Fill value of the derived grids (stored as float).
 FILL = 1e20
@@ -63,10 +62,11 @@ def event_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_layout(spark: SparkSession, sf_dir: str, max_group_length: int | None = None) -> DataFrame:
     """Layout of the event records: one 2x2x3 variable per event type."""
-    types = table(spark, sf_dir, "events").select(F.col("event_type").alias("var")).distinct()
-    variables = dense_index(types, [F.col("var")], "var_pos").select(
-        "var", "var_pos",
-        F.lit(EVENT_LEVELS).alias("n_levels"), F.lit(EVENT_LAT).alias("n_lat"), F.lit(EVENT_LON).alias("n_lon"),
+    # the variable list is metadata: one name per event type
+    types = sorted(r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect())
+    variables = spark.createDataFrame(
+        [(t, pos, EVENT_LEVELS, EVENT_LAT, EVENT_LON) for pos, t in enumerate(types)],
+        "var string, var_pos int, n_levels int, n_lat int, n_lon int",
     )
     return layout_offsets(variables, max_group_length)
 

@@ -53,6 +53,7 @@ MANIFEST = T.StructType([
     T.StructField("entry_idx", T.IntegerType(), False),
     T.StructField("record_name", T.StringType(), True),
     T.StructField("size", T.LongType(), True),
+    T.StructField("data_offset", T.LongType(), True),
 ])
 
 # D4 gridded variable of one record

@@ -25,7 +25,13 @@ DECODED_SCHEMA = (
     "archive_path string, entry_idx int, record_name string, block_id int, "
     "values array<float>, reason string"
 )
-MANIFEST_DDL = "archive_path string, entry_idx int, record_name string, size long"
+MANIFEST_DDL = "archive_path string, entry_idx int, record_name string, size long, data_offset long"
+
+
+MANIFEST_ARROW = pa.schema([
+    ("archive_path", pa.string()), ("entry_idx", pa.int32()), ("record_name", pa.string()),
+    ("size", pa.int64()), ("data_offset", pa.int64()),
+])
 
 
 # --------------------------------------------------------------------------
@@ -44,19 +50,17 @@ def _open(path: str):
     return filesystem.open_input_file(inner)
 
 
-def _write(path: str, payload: bytes) -> None:
+def _output(path: str):
+    """Writable binary stream for a local path or a pyarrow filesystem URI."""
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     if "://" not in path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as fh:
-            fh.write(payload)
-        return
+        return open(path, "wb")
     from pyarrow import fs
 
     filesystem, inner = fs.FileSystem.from_uri(path)
-    with filesystem.open_output_stream(inner) as out:
-        out.write(payload)
+    return filesystem.open_output_stream(inner)
 
 
 # --------------------------------------------------------------------------
@@ -74,28 +78,27 @@ def archive_paths(archive_list: DataFrame, root: str) -> DataFrame:
 
 def _list_entries(batches):
     for batch in batches:
-        out = {"archive_path": [], "entry_idx": [], "record_name": [], "size": []}
+        out = {"archive_path": [], "entry_idx": [], "record_name": [], "size": [], "data_offset": []}
+
+        def add(path, idx, name, size, offset):
+            out["archive_path"].append(path)
+            out["entry_idx"].append(idx)
+            out["record_name"].append(name)
+            out["size"].append(size)
+            out["data_offset"].append(offset)
+
         for path in batch.column("archive_path").to_pylist():
             if not path.endswith(".tar"):
                 # Q10: a plain file is a one-entry record
                 with _open(path) as fh:
-                    size = fh.seek(0, 2)
-                out["archive_path"].append(path)
-                out["entry_idx"].append(0)
-                out["record_name"].append(os.path.basename(path))
-                out["size"].append(size)
+                    add(path, 0, os.path.basename(path), fh.seek(0, 2), 0)
                 continue
+            # headers only: the seekable reader skips over member data
             with _open(path) as fh, tarfile.open(fileobj=fh, mode="r:") as tar:
                 for idx, member in enumerate(tar):
                     if member.isfile():  # Q15: directories count but are not records
-                        out["archive_path"].append(path)
-                        out["entry_idx"].append(idx)
-                        out["record_name"].append(os.path.basename(member.name))
-                        out["size"].append(member.size)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-            ("archive_path", pa.string()), ("entry_idx", pa.int32()),
-            ("record_name", pa.string()), ("size", pa.int64()),
-        ]))
+                        add(path, idx, os.path.basename(member.name), member.size, member.offset_data)
+        yield pa.RecordBatch.from_pydict(out, schema=MANIFEST_ARROW)
 
 
 def expand_archives(paths: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -188,45 +191,51 @@ def _decoder(spec, total: int, block_size: int):
         except Exception as exc:  # noqa: BLE001 - every failure becomes a quarantine row
             return emit_bad(path, idx, name, f"{type(exc).__name__}: {exc}")
 
-    def decode_archive(table: pa.Table) -> pa.Table:
-        path = table.column("archive_path")[0].as_py()
-        wanted = set(table.column("entry_idx").to_pylist())
-        parts = []
+    def decode_batches(batches):
+        """Entries in any order: each is read with one seek + one read of its
+        own bytes, so an archive's entries spread over many tasks."""
+        handles = {}
         try:
-            if not path.endswith(".tar"):
-                with _open(path) as fh:
-                    parts.append(decode_one(path, 0, os.path.basename(path), fh.read()))
-            else:
-                with _open(path) as fh, tarfile.open(fileobj=fh, mode="r:") as tar:
-                    for idx, member in enumerate(tar):
-                        if idx not in wanted or not member.isfile():
-                            continue
-                        name = os.path.basename(member.name)
-                        try:
-                            payload = tar.extractfile(member).read()
-                        except (tarfile.TarError, OSError) as exc:
-                            parts.append(emit_bad(path, idx, name, f"unreadable entry: {exc}"))
-                            continue
-                        parts.append(decode_one(path, idx, name, payload))
-        except (tarfile.TarError, OSError) as exc:
-            parts.append(emit_bad(path, None, None, f"unreadable archive: {exc}"))
-        if not parts:
-            return schema.empty_table()
-        return pa.Table.from_batches(parts, schema=schema)
-
-    return decode_archive
-
-
-def decode_entries(manifest: DataFrame, layout: DataFrame, block_size: int) -> DataFrame:
+            for batch in batches:
+                cols = batch.to_pydict()
+                for path, idx, name, size, offset in zip(
+                    cols["archive_path"], cols["entry_idx"], cols["record_name"], cols["size"], cols["data_offset"]
+                ):
+                    try:
+                        fh = handles.get(path)
+                        if fh is None:
+                            for old in handles.values():
+                                old.close()
+                            handles.clear()
+                            fh = handles[path] = _open(path)
+                        fh.seek(offset)
+                        payload = fh.read(size)
+                        if len(payload) != size:
+                            raise OSError(f"short read: {len(payload)} of {size} bytes")
+                    except OSError as exc:
+                        yield emit_bad(path, idx, name, f"unreadable entry: {exc}")
+                        continue
+                    yield decode_one(path, idx, name, payload)
+        finally:
+            for fh in handles.values():
+                fh.close()
+
+    return decode_batches
+
+
+def decode_entries(manifest: DataFrame, layout: DataFrame, block_size: int, partitions: int | None = None) -> DataFrame:
     """Decode the manifest's entries into segments + failure rows.
 
-    Entries are grouped by archive (one group = one archive's entry list,
-    bounded by the archive), so each archive is read once, sequentially."""
+    Entries are spread over ``partitions`` tasks (default: four per core),
+    ordered by archive and offset inside a task so reads stay sequential; a
+    large archive is decoded by many tasks at once, and no task holds more
+    than one record vector at a time."""
     spec = layout_spec(layout)
     total = max(o + n for _, o, n, _ in spec)
-    return manifest.select("archive_path", "entry_idx").groupBy("archive_path").applyInArrow(
-        _decoder(spec, total, block_size), DECODED_SCHEMA
-    )
+    n = partitions or manifest.sparkSession.sparkContext.defaultParallelism * 4
+    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
+    entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
+    return entries.mapInArrow(_decoder(spec, total, block_size), DECODED_SCHEMA)
 
 
 def split_quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -246,8 +255,8 @@ def _archive_writer(out_dir: str, spec):
         name = table.column("archive_name")[0].as_py()
         records = table.column("record_name").to_pylist()
         values = table.column("values")
-        buf = io.BytesIO()
-        with tarfile.open(fileobj=buf, mode="w") as tar:
+        path = f"{out_dir.rstrip('/')}/{name}"
+        with _output(path) as stream, tarfile.open(fileobj=stream, mode="w|") as tar:
             for k, rec in enumerate(records):
                 vec = np.asarray(values[k].values.to_numpy(zero_copy_only=False), dtype=np.float32)
                 dims, variables = {}, []
@@ -260,8 +269,6 @@ def _archive_writer(out_dir: str, spec):
                 info = tarfile.TarInfo(rec)
                 info.size = len(payload)
                 tar.addfile(info, io.BytesIO(payload))
-        path = f"{out_dir.rstrip('/')}/{name}"
-        _write(path, buf.getvalue())
         return pa.table({"archive_name": [name], "archive_path": [path], "n_entries": [len(records)]},
                         schema=pa.schema([("archive_name", pa.string()), ("archive_path", pa.string()),
                                           ("n_entries", pa.int64())]))
