@@ -23,9 +23,14 @@ RECOMMENDED_CONF = {
 }
 
 
-def get_spark(master: str = "local[*]", app: str = "gridframe", **conf: str) -> SparkSession:
-    """Build (or reuse) a session with the recommended settings."""
-    builder = SparkSession.builder.master(master).appName(app)
+def get_spark(master: str | None = None, app: str = "gridframe", **conf: str) -> SparkSession:
+    """Build (or reuse) a session with the recommended settings.
+
+    ``master`` is left to ``spark-submit`` unless given (tests and the bench
+    pass ``local[N]``)."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
     for key, value in {**RECOMMENDED_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
