@@ -250,3 +250,12 @@ def matvec_transpose(segments: DataFrame, y: DataFrame, block_size: int, fill: f
     return cells.groupBy(
         (F.col("block_id").cast("long") * block_size + F.col("k")).alias("row_idx")
     ).agg(F.sum(F.col("v").cast("double") * F.col("y").cast("double")).alias("value"))
+
+
+def indexed_rows(segments: DataFrame, names: DataFrame) -> DataFrame:
+    """``A^T`` as an indexed row matrix: row number = the
+    record's column index (date order), values widened to double; kept as
+    segments ``(row, block_id, values array<double>)``."""
+    return attach_col_idx(segments, names).select(
+        F.col("col_idx").alias("row"), "block_id", F.col("values").cast("array<double>").alias("values")
+    )

@@ -744,3 +744,20 @@ def q_daily_matvec_transpose(spark, sf_dir):
     )
     out = matrix.matvec_transpose(seg, y, DAILY_BLOCK, fill=fx.FILL)
     return out.select("row_idx", F.round("value", 2).alias("value"))
+
+
+# M5 ------------------------------------------------------------------------
+@query("indexed_row_matrix", f"""
+WITH {_EV}
+SELECT CAST(n.col_idx AS BIGINT) AS "row", v.pos AS pos, CAST(v.value AS DOUBLE) AS value
+FROM vec v JOIN (SELECT record_name,
+                        row_number() OVER (ORDER BY epoch_ms(strptime(record_name, 'pgbh02.gdas.%Y%m%d%H.grb2'))) - 1
+                        AS col_idx FROM recs) n USING (record_name)
+""")
+def q_indexed_row_matrix(spark, sf_dir):
+    _, seg = _event_segments(spark, sf_dir)
+    names = timeaxis.column_names(fx.event_hours(spark, sf_dir).select("record_name"), order="time")
+    rows = matrix.indexed_rows(seg, names)
+    return rows.select("row", "block_id", F.posexplode("values").alias("k", "value")).select(
+        F.col("row").cast("long"), (F.col("block_id").cast("long") * BLOCK + F.col("k")).alias("pos"), "value"
+    )
