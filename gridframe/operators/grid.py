@@ -243,32 +243,66 @@ def join_variable_groups(groups: list[DataFrame]) -> DataFrame:
     )
 
 
-def _scatter_segments(keys, block_size: int, n_blocks: int, last_len: int, fill: float):
-    """Arrow batch kernel: sparse ``(k, value)`` entries per segment -> dense
-    segments, one vectorised numpy scatter per batch."""
+def _scatter_segments(keys, block_size: int, n_blocks: int, last_len: int, fill: float, out_rows: int = 256):
+    """Arrow kernel: sparse ``(k, value)`` entries per segment -> dense
+    segments, one vectorised numpy scatter per batch. The partition holds
+    every block of its records, so blocks no entry touched are emitted at
+    the end as all-fill segments (in batches of ``out_rows``)."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    def lengths_of(block_id):
+        return np.where(block_id == n_blocks - 1, last_len, block_size).astype(np.int64)
+
+    def make_batch(key_arrays, block_id, dense, lengths):
+        offsets = np.zeros(len(block_id) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=offsets[1:])
+        values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(dense, pa.float32()))
+        return pa.RecordBatch.from_arrays(
+            list(key_arrays) + [pa.array(block_id.astype(np.int32)), values], names=list(keys) + ["block_id", "values"]
+        )
+
     def run(batches):
+        seen = {}
+        key_types = None
         for batch in batches:
+            key_types = [batch.schema.field(k).type for k in keys]
             entries = batch.column("_e")
             block_id = batch.column("block_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            lengths = np.where(block_id == n_blocks - 1, last_len, block_size).astype(np.int64)
-            out_offsets = np.zeros(len(block_id) + 1, dtype=np.int64)
-            np.cumsum(lengths, out=out_offsets[1:])
-            dense = np.full(int(out_offsets[-1]), fill, dtype=np.float32)
+            lengths = lengths_of(block_id)
+            starts = np.zeros(len(block_id) + 1, dtype=np.int64)
+            np.cumsum(lengths, out=starts[1:])
+            dense = np.full(int(starts[-1]), fill, dtype=np.float32)
             flat = entries.flatten()
             if len(flat):
                 parent = pc.list_parent_indices(entries).to_numpy(zero_copy_only=False)
                 k = flat.field("k").to_numpy(zero_copy_only=False).astype(np.int64)
                 v = flat.field("value").to_numpy(zero_copy_only=False)
-                dense[out_offsets[parent] + k] = v
-            values = pa.ListArray.from_arrays(pa.array(out_offsets.astype(np.int32)), pa.array(dense))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keys] + [batch.column("block_id"), values],
-                names=list(keys) + ["block_id", "values"],
-            )
+                dense[starts[parent] + k] = v
+            for key, b in zip(zip(*(batch.column(c).to_pylist() for c in keys)), block_id.tolist()):
+                mask = seen.get(key)
+                if mask is None:
+                    mask = seen[key] = np.zeros(n_blocks, dtype=bool)
+                mask[b] = True
+            yield make_batch([batch.column(c) for c in keys], block_id, dense, lengths)
+        pending_keys, pending_blocks = [], []
+        for key, mask in seen.items():
+            for b in np.flatnonzero(~mask).tolist():
+                pending_keys.append(key)
+                pending_blocks.append(b)
+                if len(pending_blocks) == out_rows:
+                    yield _fill_batch(pending_keys, pending_blocks, key_types)
+                    pending_keys, pending_blocks = [], []
+        if pending_blocks:
+            yield _fill_batch(pending_keys, pending_blocks, key_types)
+
+    def _fill_batch(key_rows, blocks, key_types):
+        block_id = np.asarray(blocks, dtype=np.int64)
+        lengths = lengths_of(block_id)
+        dense = np.full(int(lengths.sum()), fill, dtype=np.float32)
+        key_arrays = [pa.array([r[i] for r in key_rows], key_types[i]) for i in range(len(keys))]
+        return make_batch(key_arrays, block_id, dense, lengths)
 
     return run
 
@@ -280,36 +314,32 @@ def cells_to_segments(
     of a fixed-length vector, absent cells = ``fill``.
 
     A group is one segment (at most ``block_size`` cells). Blocks with no
-    cell at all are found per record from the set of blocks it has (bounded
-    by the block count), not from a records x blocks cross product."""
+    cell at all are filled in by the kernel from the blocks each record has
+    (bounded by the block count), not from a records x blocks cross
+    product."""
     keys = list(keys)
     n_blocks = -(-n_cells // block_size)
     last_len = n_cells - (n_blocks - 1) * block_size
-    fill_f = F.lit(fill).cast("float")
     c = cells.select(
         *keys,
         (F.col("pos") / block_size).cast("int").alias("block_id"),
         (F.col("pos") % block_size).cast("int").alias("k"),
         F.col("value").cast("float").alias("value"),
     )
-    # The sparse input is small next to the dense output: partition by the
-    # output segment with at least one partition per core, so AQE does not
-    # coalesce the expansion into a handful of tasks. The aggregation below
-    # reuses this partitioning (no second exchange).
+    # Partition by record: the grouping below reuses this exchange, and each
+    # partition sees all blocks of its records, so the kernel also emits the
+    # blocks without any cell. At least one partition per core: the sparse
+    # input is small next to the dense output, and AQE must not coalesce
+    # the expansion into a handful of tasks.
     parts = max(cells.sparkSession.sparkContext.defaultParallelism, partitions or 0)
-    c = c.repartition(parts, *keys, "block_id")
-    present = c.groupBy(*keys, "block_id").agg(F.collect_list(F.struct("k", "value")).alias("_e"))
-    length = F.when(F.col("block_id") == n_blocks - 1, F.lit(last_len)).otherwise(F.lit(block_size))
+    present = c.repartition(parts, *keys).groupBy(*keys, "block_id").agg(
+        F.collect_list(F.struct("k", "value")).alias("_e")
+    )
     key_ddl = ", ".join(f"{k} {present.schema[k].dataType.simpleString()}" for k in keys)
-    dense = present.mapInArrow(
+    return present.mapInArrow(
         _scatter_segments(keys, block_size, n_blocks, last_len, fill),
         f"{key_ddl}, block_id int, values array<float>",
     )
-    have = present.groupBy(*keys).agg(F.collect_set("block_id").alias("_have"))
-    absent = have.select(
-        *keys, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.col("_have"))).alias("block_id")
-    ).select(*keys, "block_id", F.array_repeat(fill_f, length).alias("values"))
-    return dense.unionByName(absent)
 
 
 def join_variable_group_segments(

@@ -17,6 +17,14 @@ from gridframe.session import checkpoint_dir
 
 # Rows of a side we accept to broadcast (names, per-record scalars, offsets).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+# Target bytes per shuffle partition for the large, size-predictable shuffles.
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def partitions_for(spark, n_bytes: float, target: int = TARGET_PARTITION_BYTES) -> int:
+    """Partition count for a shuffle of ``n_bytes``: ~``target`` bytes each,
+    at least one per core of the cluster."""
+    return max(spark.sparkContext.defaultParallelism, int(-(-n_bytes // target)))
 
 
 def dense_index(df: DataFrame, order_by: list, index_col: str = "col_idx") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.functions.arrays import block_count, dense_from_entries, dot
-from gridframe.operators.index import broadcast_if_small
+from gridframe.operators.index import broadcast_if_small, partitions_for
 
 # Bytes of a broadcast side we accept per join (vector x of a product).
 DEFAULT_BROADCAST_BYTES = 512 * 1024 * 1024
@@ -54,6 +54,16 @@ def unsegment(segments: DataFrame, keys=("record_name",)) -> DataFrame:
     ).select(*keys, F.flatten(F.transform("_parts", lambda p: p["values"])).alias("values"))
 
 
+def matrix_shape(segments: DataFrame, names: DataFrame, block_size: int, n_cells: int | None = None) -> tuple[int, int]:
+    """``(n_records, n_cells)``: the record count from the name table; the
+    cell count if known (layout), else rounded up to whole blocks from one
+    aggregate over ``block_id`` (cheap on a stored table: one column)."""
+    if n_cells is None:
+        n_blocks = segments.agg(F.max("block_id")).first()[0]
+        n_cells = 0 if n_blocks is None else (n_blocks + 1) * block_size
+    return names.count(), n_cells
+
+
 def attach_col_idx(frame: DataFrame, names: DataFrame) -> DataFrame:
     """Record name -> column index of ``A`` (inner equi-join)."""
     return frame.join(broadcast_if_small(names.select("record_name", "col_idx")), "record_name")
@@ -66,7 +76,11 @@ def transpose_sql(segments: DataFrame, names: DataFrame, block_size: int) -> Dat
     """``A^T`` segments -> rows of ``A`` ``(row_idx, values)``.
 
     Every cell travels once through the shuffle as ``(row_idx, col_idx,
-    value)``; each output group holds one value per record.
+    value)``; each output group holds one value per record. This is the
+    explode-and-group method of the original, kept for small matrices and
+    as a cross-check: it ships several times the bytes of
+    ``transpose_blocked`` and its exchange follows
+    ``spark.sql.shuffle.partitions`` (AQE coalesces it).
     """
     cells = attach_col_idx(segments, names).select(
         "col_idx", "block_id", F.posexplode("values").alias("_k", "value")
@@ -113,46 +127,62 @@ def _tile_transposer(block_size: int, records_per_tile: int):
 
 
 def transpose_blocked(
-    segments: DataFrame, names: DataFrame, block_size: int, records_per_tile: int = 16384
+    segments: DataFrame,
+    names: DataFrame,
+    block_size: int,
+    records_per_tile: int = 16384,
+    partitions: int | None = None,
+    n_cells: int | None = None,
 ) -> DataFrame:
     """``A^T`` segments -> column chunks of ``A`` ``(row_idx, rblock, values)``.
 
     Group ``(block_id, rblock)`` is one tile of at most ``block_size x
     records_per_tile`` floats (64 MiB at the defaults), transposed with numpy
     on the executor. Tiles are all the same size except at the edges, so no
-    key is hot. Use ``merge_column_chunks`` for whole rows.
+    key is hot. The one exchange is sized from the matrix shape (about 128
+    MiB per partition). Use ``merge_column_chunks`` for whole rows.
     """
+    if partitions is None:
+        n_rec, n_cells = matrix_shape(segments, names, block_size, n_cells)
+        partitions = partitions_for(segments.sparkSession, 4.0 * n_rec * n_cells)
     tiles = attach_col_idx(segments, names).select(
         "block_id",
         (F.col("col_idx") / F.lit(records_per_tile)).cast("int").alias("rblock"),
         "col_idx",
         "values",
     )
-    return tiles.groupBy("block_id", "rblock").applyInArrow(
+    return tiles.repartition(partitions, "block_id", "rblock").groupBy("block_id", "rblock").applyInArrow(
         _tile_transposer(block_size, records_per_tile),
         "row_idx long, rblock int, values array<float>",
     )
 
 
-def merge_column_chunks(chunks: DataFrame) -> DataFrame:
+def merge_column_chunks(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
     """Stitch column chunks of ``A`` into whole rows on ``row_idx``.
 
     One shuffle (not one join per chunk); a group holds one segment per
-    record block, i.e. one value per record in total.
+    record block, i.e. one value per record in total. ``partitions`` sizes
+    that shuffle (default: Spark's setting, adjusted by AQE).
     """
+    if partitions:
+        chunks = chunks.repartition(partitions, "row_idx")
     return chunks.groupBy("row_idx").agg(
         F.sort_array(F.collect_list(F.struct("rblock", "values"))).alias("_p")
     ).select("row_idx", F.flatten(F.transform("_p", lambda s: s["values"])).alias("values"))
 
 
-def transpose(segments: DataFrame, names: DataFrame, block_size: int, records_per_tile: int = 16384) -> DataFrame:
+def transpose(
+    segments: DataFrame, names: DataFrame, block_size: int, records_per_tile: int = 16384, n_cells: int | None = None
+) -> DataFrame:
     """Blocked transpose to whole rows of ``A``; skips the merge shuffle when
-    all records fit one tile."""
-    n_records = names.count()
-    chunks = transpose_blocked(segments, names, block_size, records_per_tile)
+    all records fit one tile. ``n_cells`` (from the layout) saves a pass
+    over computed segments."""
+    n_records, n_cells = matrix_shape(segments, names, block_size, n_cells)
+    partitions = partitions_for(segments.sparkSession, 4.0 * n_records * n_cells)
+    chunks = transpose_blocked(segments, names, block_size, records_per_tile, partitions)
     if n_records <= records_per_tile:
         return chunks.select("row_idx", "values")
-    return merge_column_chunks(chunks)
+    return merge_column_chunks(chunks, partitions)
 
 
 def to_long(rows: DataFrame, row_col: str = "row_idx", col_col: str = "col_idx") -> DataFrame:

@@ -91,14 +91,14 @@ def q_transpose_sql(spark, sf_dir):
 @query("transpose_blocked", _transpose_oracle())
 def q_transpose_blocked(spark, sf_dir):
     vec, names = _embedding_names(spark, sf_dir)
-    return _long_a(matrix.transpose(matrix.segment(vec, BLOCK), names, BLOCK, records_per_tile=1 << 20))
+    return _long_a(matrix.transpose(matrix.segment(vec, BLOCK), names, BLOCK, records_per_tile=1 << 20, n_cells=64))
 
 
 # M2 + M3 (several record blocks, merged on row index) ------------------------
 @query("chunk_transpose_merge", _transpose_oracle())
 def q_chunk_transpose_merge(spark, sf_dir):
     vec, names = _embedding_names(spark, sf_dir)
-    chunks = matrix.transpose_blocked(matrix.segment(vec, BLOCK), names, BLOCK, RECORDS_PER_TILE)
+    chunks = matrix.transpose_blocked(matrix.segment(vec, BLOCK), names, BLOCK, RECORDS_PER_TILE, n_cells=64)
     return _long_a(matrix.merge_column_chunks(chunks))
 
 
@@ -705,7 +705,8 @@ def q_daily_matrix(spark, sf_dir):
 @query("daily_transpose_blocked", _DAILY_A_ORACLE)
 def q_daily_transpose_blocked(spark, sf_dir):
     seg = daily_segments(spark, sf_dir)
-    return _a_summary(matrix.transpose(seg, daily_names(spark, sf_dir), DAILY_BLOCK, DAILY_RECORDS_PER_TILE))
+    return _a_summary(matrix.transpose(seg, daily_names(spark, sf_dir), DAILY_BLOCK, DAILY_RECORDS_PER_TILE,
+                                       n_cells=fx.part_count(spark, sf_dir)))
 
 
 @query("daily_transpose_sql", _DAILY_A_ORACLE)

@@ -96,10 +96,10 @@ def daily_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as daily records: cell = part key, value = total quantity
     shipped that day (sparse; absent = fill)."""
     li = table(spark, sf_dir, "lineitem")
-    day = F.date_trunc("day", F.col("l_shipdate"))
-    return li.groupBy(record_name_for(day).alias("record_name"), F.col("l_partkey").alias("pos")).agg(
+    per_day = li.groupBy(F.date_trunc("day", F.col("l_shipdate")).alias("day"), F.col("l_partkey").alias("pos")).agg(
         F.sum("l_quantity").alias("value")
     )
+    return per_day.select(record_name_for("day").alias("record_name"), "pos", "value")
 
 
 def part_count(spark: SparkSession, sf_dir: str) -> int:

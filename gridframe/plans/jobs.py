@@ -67,12 +67,17 @@ def convert(
     pending = manifest
     if _exists(spark, decoded_path):
         pending = store.pending_entries(manifest, spark.read.parquet(decoded_path))
+    # size the clustering shuffle from what is known before decoding:
+    # entries x cells x 4 bytes
+    n_pending = pending.count()
+    total_cells = max(o + n for _, o, n, _ in archives.layout_spec(layout))
+    write_parts = index.partitions_for(spark, 4.0 * n_pending * total_cells)
     decoded = archives.decode_entries(pending, layout, block_size, partitions).join(
         manifest.select("archive_path", "entry_idx", "chunk_id"), ["archive_path", "entry_idx"]
     ).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine"))
     # one pass: segments clustered by block (products combine map-side,
     # row groups skip on block / record predicates), failures alongside
-    (decoded.repartitionByRange("status", "block_id", "record_name")
+    (decoded.repartitionByRange(write_parts, "status", "block_id", "record_name")
         .sortWithinPartitions("status", "block_id", "record_name")
         .write.mode("append").partitionBy("status", "chunk_id").option("compression", "zstd")
         .parquet(decoded_path))
@@ -124,7 +129,8 @@ def transpose(
         rows = matrix.transpose_sql(seg, col_names, block_size)
     else:
         raise ValueError("method is 'blocked' or 'sql'")
-    store.write_matrix(rows, out_path)
+    n_rec, n_cells = matrix.matrix_shape(seg, col_names, block_size)
+    store.write_matrix(rows, out_path, partitions=index.partitions_for(spark, 4.0 * n_rec * n_cells))
     return spark.read.parquet(out_path)
 
 
