@@ -343,28 +343,40 @@ def cells_to_segments(
 
 
 def join_variable_group_segments(
-    groups: list[DataFrame], layout: DataFrame, block_size: int
+    grid_vars: DataFrame, layout: DataFrame, block_size: int, fill: float
 ) -> tuple[DataFrame, DataFrame]:
-    """J5 at full size: variables of several groups, joined on the record.
-
-    ``groups[g]`` holds ``(record_name, var, dims, fill, values)`` for the
-    variables of group ``g``. Returns ``(segments, report)``: the record
-    segments of every record present in all groups (assembled by
-    ``to_record_segments`` with the global layout), and one report row per
-    record seen in any group with the sorted ids of the groups it lacks.
-    Presence is a small per-record aggregate; no whole vectors are joined.
+    """J5 at full size: variable groups joined back on the record.
+
+    ``grid_vars`` holds ``(record_name, var, dims, fill, values)`` of all
+    groups; ``layout`` carries ``group_id`` per variable. A group is present
+    for a record when it has any of the group's variables; inside a present
+    group, absent variables are all ``fill``. Returns ``(segments, report)``:
+    segments of the records present in every group, and one report row per
+    record with the sorted ids of the groups it lacks. Presence is a small
+    per-record aggregate; no whole vectors are joined.
     """
-    from functools import reduce
-
     from gridframe.operators.index import broadcast_if_small
 
-    tagged = [g.select("record_name", F.lit(i).alias("_g")) for i, g in enumerate(groups)]
-    presence = reduce(lambda a, b: a.unionByName(b), tagged).groupBy("record_name").agg(
-        F.collect_set("_g").alias("_have")
+    var_groups = layout.select("var", "group_id").distinct()
+    by_group: dict[int, list[str]] = {}
+    for r in var_groups.collect():  # metadata: one row per variable
+        by_group.setdefault(int(r["group_id"]), []).append(r["var"])
+    group_ids = sorted(by_group)
+    spans = variable_spans(layout)
+    tagged = grid_vars.join(F.broadcast(var_groups), "var")
+    have = tagged.groupBy("record_name", "group_id").agg(F.collect_set("var").alias("_have"))
+    group_vars = F.create_map(*[x for g in group_ids for x in (F.lit(g), F.array(*[F.lit(v) for v in sorted(by_group[g])]))])
+    absent = have.select(
+        "record_name", F.explode(F.array_except(group_vars[F.col("group_id")], F.col("_have"))).alias("var")
+    ).join(F.broadcast(spans.select("var", "length")), "var").select(
+        "record_name", "var", F.array_repeat(F.lit(fill).cast("float"), F.col("length").cast("int")).alias("values")
+    )
+    present = have.groupBy("record_name").agg(F.collect_set("group_id").alias("_groups"))
+    all_ids = F.array(*[F.lit(g) for g in group_ids])
+    report = present.select(
+        "record_name", F.array_sort(F.array_except(all_ids, F.col("_groups"))).alias("missing_groups")
     )
-    all_ids = F.array(*[F.lit(i) for i in range(len(groups))])
-    report = presence.select("record_name", F.array_sort(F.array_except(all_ids, F.col("_have"))).alias("missing_groups"))
     complete = report.where(F.size("missing_groups") == 0).select("record_name")
-    variables = reduce(lambda a, b: a.unionByName(b), [g.select("record_name", "var", "values") for g in groups])
+    variables = tagged.select("record_name", "var", "values").unionByName(absent)
     variables = variables.join(broadcast_if_small(complete), "record_name", "left_semi")
     return to_record_segments(variables, layout, block_size), report

@@ -353,14 +353,7 @@ FROM miss m JOIN tot t USING (record_name)
 """)
 def q_variable_group_join(spark, sf_dir):
     layout = fx.event_layout(spark, sf_dir, max_group_length=GROUP_CELLS)
-    gv = fx.event_grid_vars(spark, sf_dir)
-    group_ids = [r[0] for r in layout.select("group_id").distinct().orderBy("group_id").collect()]
-    groups = []
-    for g in group_ids:
-        glayout = layout.where(F.col("group_id") == g)
-        gvars = gv.join(glayout.select("var").distinct(), "var", "left_semi")
-        groups.append(grid.fill_missing_variables(gvars, glayout, fx.FILL))
-    seg, report = grid.join_variable_group_segments(groups, layout, BLOCK)
+    seg, report = grid.join_variable_group_segments(fx.event_grid_vars(spark, sf_dir), layout, BLOCK, fx.FILL)
     fill = F.lit(fx.FILL).cast("float")
     present = F.filter("values", lambda v: v != fill)
     sums = seg.groupBy("record_name").agg(
