@@ -380,3 +380,9 @@ def join_variable_group_segments(
     variables = tagged.select("record_name", "var", "values").unionByName(absent)
     variables = variables.join(broadcast_if_small(complete), "record_name", "left_semi")
     return to_record_segments(variables, layout, block_size), report
+
+
+def project_variables(grid_vars: DataFrame, variables: list[str]) -> DataFrame:
+    """Keep the named variables (a pushed ``IN`` filter on a stored
+    table); their order in the vector comes from the layout, not this list."""
+    return grid_vars.where(F.col("var").isin(list(variables)))

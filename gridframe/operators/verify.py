@@ -70,18 +70,22 @@ def check_order(names: DataFrame) -> DataFrame:
         (F.col("col_idx") + 1).alias("col_idx"), F.col("ts").alias("_pts"), F.col("record_name").alias("_pname")
     )
     pairs = names.join(prev, "col_idx", "left")
-    out_of_order = F.when(
-        F.col("_pts").isNotNull()
-        & ((F.col("_pts") > F.col("ts")) | ((F.col("_pts") == F.col("ts")) & (F.col("_pname") > F.col("record_name")))),
-        1,
-    ).otherwise(0)
+    pts, ts, pname, name = F.col("_pts"), F.col("ts"), F.col("_pname"), F.col("record_name")
+    # (ts, name) order with null times last, as column_names sorts
+    prev_after = (
+        F.when(pts.isNull() & ts.isNull(), pname > name)
+        .when(pts.isNull(), F.lit(True))
+        .when(ts.isNull(), F.lit(False))
+        .otherwise((pts > ts) | ((pts == ts) & (pname > name)))
+    )
+    out_of_order = F.when(pname.isNotNull() & prev_after, 1).otherwise(0)
     return pairs.agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("col_idx").alias("n_distinct"),
         F.min("col_idx").alias("min_idx"),
         F.max("col_idx").alias("max_idx"),
         F.sum(out_of_order).cast("long").alias("n_out_of_order"),
-        F.sum(F.when(F.col("_pts").isNull() & (F.col("col_idx") > 0), 1).otherwise(0)).cast("long").alias("n_holes"),
+        F.sum(F.when(pname.isNull() & (F.col("col_idx") > 0), 1).otherwise(0)).cast("long").alias("n_holes"),
     )
 
 
@@ -102,3 +106,30 @@ def compare_vectors(a: DataFrame, b: DataFrame, tol: float = 0.0) -> DataFrame:
         F.sum(F.when(both & (F.abs(d) > tol), 1).otherwise(0)).cast("long").alias("n_mismatch"),
         F.sqrt(F.sum(F.when(both, d * d).otherwise(0.0))).alias("l2"),
     )
+
+
+class ValidationError(ValueError):
+    """A matrix invariant does not hold; the message carries the counts."""
+
+
+def require_uniform_length(vectors: DataFrame) -> int:
+    """All vectors have one length (min == max); returns it or raises."""
+    row = length_summary(vectors).first()
+    if row["n_records"] and row["min_length"] != row["max_length"]:
+        raise ValidationError(
+            f"{row['n_records']} vectors with lengths {row['min_length']}..{row['max_length']}"
+        )
+    return int(row["max_length"] or 0)
+
+
+def require_order(names: DataFrame) -> None:
+    """V1: ``col_idx`` is 0..n-1 without holes and follows (ts, name);
+    raises with the counts otherwise."""
+    r = check_order(names).first()
+    ok = (r["n"] == r["n_distinct"] and (r["n"] == 0 or (r["min_idx"] == 0 and r["max_idx"] == r["n"] - 1))
+          and r["n_out_of_order"] == 0 and r["n_holes"] == 0)
+    if not ok:
+        raise ValidationError(
+            f"column order: n={r['n']} distinct={r['n_distinct']} range={r['min_idx']}..{r['max_idx']} "
+            f"out_of_order={r['n_out_of_order']} holes={r['n_holes']}"
+        )

@@ -94,3 +94,36 @@ def test_embeddings_flagship(spark):
     assert df.columns == ["row_idx", "col_idx", "value"]
     n = fx.table(spark, SF_SMALL, "embeddings").count()
     assert df.count() == n * 64
+
+
+def test_column_chunks_store_round_trip(spark, tmp_dir):
+    from gridframe.sources import store
+
+    data, df = _matrix(spark, 23, 17, seed=5)
+    names = timeaxis.column_names(df, order="name")
+    chunks = matrix.transpose_blocked(matrix.segment(df, 5), names, 5, records_per_tile=6)
+    path = f"{tmp_dir}/chunks"
+    store.write_column_chunks(chunks, path)
+    back = spark.read.parquet(path)
+    assert sorted(r["rblock"] for r in back.select("rblock").distinct().collect()) == [0, 1, 2, 3]
+    merged = _dense(matrix.merge_column_chunks(back).collect(), 17)
+    assert np.array_equal(merged, data.T)
+    store.write_matrix(matrix.merge_column_chunks(back), f"{tmp_dir}/a")
+    assert np.array_equal(_dense(spark.read.parquet(f"{tmp_dir}/a").collect(), 17), data.T)
+
+
+def test_validators(spark):
+    import pytest
+
+    from gridframe.operators import verify
+
+    _, df = _matrix(spark, 4, 6)
+    assert verify.require_uniform_length(df) == 6
+    ragged = df.unionByName(spark.createDataFrame([("x", [1.0])], "record_name string, values array<float>"))
+    with pytest.raises(verify.ValidationError, match="lengths 1..6"):
+        verify.require_uniform_length(ragged)
+    names = timeaxis.column_names(df, order="name")
+    verify.require_order(names.withColumn("ts", F.lit(None).cast("timestamp")))
+    holes = names.withColumn("col_idx", F.col("col_idx") * 2).withColumn("ts", F.lit(None).cast("timestamp"))
+    with pytest.raises(verify.ValidationError, match="holes"):
+        verify.require_order(holes)
