@@ -404,7 +404,7 @@ def q_chunk_union(spark, sf_dir):
 
 @query("chunk_counts", """
 SELECT CAST(vec_id % 4 AS INTEGER) AS chunk_id, count(*) AS n_records,
-       sum(CAST(ceil(len(embedding) / 16) AS BIGINT)) AS n_segments
+       CAST(sum(ceil(len(embedding) / 16)) AS BIGINT) AS n_segments
 FROM embeddings GROUP BY 1
 """)
 def q_chunk_counts(spark, sf_dir):
@@ -589,7 +589,7 @@ def _written_archives(spark, sf_dir):
         "record_name", "values",
     )
     spec = [("emb2d", 0, 32, (4, 8)), ("emb3d", 32, 32, (2, 4, 4))]
-    listing = f"{root}/_archive_list"
+    listing = f"{root}-list"
     archives.write_grid_archives(vec, root, spec).select("archive_name").write.text(listing)
     return listing, root
 

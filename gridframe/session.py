@@ -20,6 +20,8 @@ RECOMMENDED_CONF = {
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of DataFrames that are gone (dense-index sorts) are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
