@@ -96,29 +96,29 @@ def transpose_sql(segments: DataFrame, names: DataFrame, block_size: int) -> Dat
 # --------------------------------------------------------------------------
 # M2 blocked transpose: tiles of (block of cells) x (block of records)
 # --------------------------------------------------------------------------
-def _tile_transposer(block_size: int, records_per_tile: int):
+def _tile_transposer(records_per_tile: int):
     def transpose_tile(table: pa.Table) -> pa.Table:
         n = table.num_rows
-        block_id = int(table.column("block_id")[0].as_py())
+        row0 = int(table.column("row0")[0].as_py())
         rblock = int(table.column("rblock")[0].as_py())
         col_idx = table.column("col_idx").to_numpy()
         first = rblock * records_per_tile
         if col_idx.min() != first or col_idx.max() != first + n - 1:
             raise ValueError(
-                f"tile ({block_id}, {rblock}): records {col_idx.min()}..{col_idx.max()} for {n} rows; "
+                f"tile (row {row0}, record block {rblock}): records {col_idx.min()}..{col_idx.max()} for {n} rows; "
                 "a segment is missing or duplicated"
             )
         vals = table.column("values").combine_chunks()
         lengths = pc.list_value_length(vals).to_numpy(zero_copy_only=False)
         width = int(lengths[0])
         if (lengths != width).any():
-            raise ValueError(f"tile ({block_id}, {rblock}): ragged segments {sorted(set(lengths.tolist()))}")
+            raise ValueError(f"tile (row {row0}, record block {rblock}): ragged segments {sorted(set(lengths.tolist()))}")
         dense = vals.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(n, width)
         tile = np.empty((width, n), dtype=np.float32)
         tile[:, col_idx - first] = dense.T
         offsets = pa.array(np.arange(0, width * n + 1, n, dtype=np.int32))
         return pa.table({
-            "row_idx": pa.array(block_id * block_size + np.arange(width, dtype=np.int64)),
+            "row_idx": pa.array(row0 + np.arange(width, dtype=np.int64)),
             "rblock": pa.array(np.full(width, rblock, dtype=np.int32)),
             "values": pa.ListArray.from_arrays(offsets, pa.array(tile.ravel(), type=pa.float32())),
         })
@@ -126,6 +126,23 @@ def _tile_transposer(block_size: int, records_per_tile: int):
     return transpose_tile
 
 
+# Bytes of one transpose tile (input floats); the Python worker holds about
+# three copies while transposing it.
+DEFAULT_TILE_BYTES = 128 * 1024 * 1024
+
+
+def tile_plan(n_records: int, block_size: int, max_tile_bytes: int = DEFAULT_TILE_BYTES) -> tuple[int, int]:
+    """``(sub_block, records_per_tile)`` for a tile of at most
+    ``max_tile_bytes``: all records in one tile when a single cell's record
+    column fits (then no merge shuffle), with segments cut into sub-blocks
+    so that sub_block x records stays in budget; else one cell per tile and
+    record blocks of the budget."""
+    per_cell = 4 * max(1, n_records)
+    if per_cell <= max_tile_bytes:
+        return min(block_size, max_tile_bytes // per_cell), max(1, n_records)
+    return 1, max(1, max_tile_bytes // 4)
+
+
 def transpose_blocked(
     segments: DataFrame,
     names: DataFrame,
@@ -133,26 +150,43 @@ def transpose_blocked(
     records_per_tile: int = 16384,
     partitions: int | None = None,
     n_cells: int | None = None,
+    sub_block: int | None = None,
 ) -> DataFrame:
     """``A^T`` segments -> column chunks of ``A`` ``(row_idx, rblock, values)``.
 
-    Group ``(block_id, rblock)`` is one tile of at most ``block_size x
-    records_per_tile`` floats (64 MiB at the defaults), transposed with numpy
-    on the executor. Tiles are all the same size except at the edges, so no
-    key is hot. The one exchange is sized from the matrix shape (about 128
-    MiB per partition). Use ``merge_column_chunks`` for whole rows.
+    A tile is ``sub_block`` cells (default: the whole segment) x
+    ``records_per_tile`` records, transposed with numpy on the executor.
+    Segments are cut into sub-blocks by slicing (narrow, no shuffle). Tiles
+    are all the same size except at the edges, so no key is hot. The one
+    exchange is sized from the matrix shape (about 128 MiB per partition).
+    Use ``merge_column_chunks`` for whole rows when there are several record
+    blocks.
     """
     if partitions is None:
         n_rec, n_cells = matrix_shape(segments, names, block_size, n_cells)
         partitions = partitions_for(segments.sparkSession, 4.0 * n_rec * n_cells)
+    sub = block_size if not sub_block or sub_block >= block_size else int(sub_block)
     tiles = attach_col_idx(segments, names).select(
         "block_id",
         (F.col("col_idx") / F.lit(records_per_tile)).cast("int").alias("rblock"),
         "col_idx",
         "values",
     )
-    return tiles.repartition(partitions, "block_id", "rblock").groupBy("block_id", "rblock").applyInArrow(
-        _tile_transposer(block_size, records_per_tile),
+    if sub < block_size:
+        n_sub = -(-block_size // sub)
+        tiles = tiles.select(
+            "block_id", "rblock", "col_idx", "values", F.explode(F.sequence(F.lit(0), F.lit(n_sub - 1))).alias("_s")
+        ).select(
+            (F.col("block_id").cast("long") * block_size + F.col("_s") * sub).alias("row0"),
+            "rblock", "col_idx",
+            F.slice("values", F.col("_s") * sub + 1, F.lit(sub)).alias("values"),
+        ).where(F.size("values") > 0)
+    else:
+        tiles = tiles.select(
+            (F.col("block_id").cast("long") * block_size).alias("row0"), "rblock", "col_idx", "values"
+        )
+    return tiles.repartition(partitions, "row0", "rblock").groupBy("row0", "rblock").applyInArrow(
+        _tile_transposer(records_per_tile),
         "row_idx long, rblock int, values array<float>",
     )
 
@@ -172,14 +206,27 @@ def merge_column_chunks(chunks: DataFrame, partitions: int | None = None) -> Dat
 
 
 def transpose(
-    segments: DataFrame, names: DataFrame, block_size: int, records_per_tile: int = 16384, n_cells: int | None = None
+    segments: DataFrame,
+    names: DataFrame,
+    block_size: int,
+    records_per_tile: int | None = None,
+    n_cells: int | None = None,
+    max_tile_bytes: int = DEFAULT_TILE_BYTES,
 ) -> DataFrame:
-    """Blocked transpose to whole rows of ``A``; skips the merge shuffle when
-    all records fit one tile. ``n_cells`` (from the layout) saves a pass
-    over computed segments."""
+    """Blocked transpose to whole rows of ``A``.
+
+    By default the tile shape comes from ``tile_plan``: one shuffle, no
+    merge, unless a single cell's column over all records exceeds the tile
+    budget. An explicit ``records_per_tile`` forces record blocks (and the
+    merge when there is more than one). ``n_cells`` (from the layout) saves
+    a pass over computed segments."""
     n_records, n_cells = matrix_shape(segments, names, block_size, n_cells)
     partitions = partitions_for(segments.sparkSession, 4.0 * n_records * n_cells)
-    chunks = transpose_blocked(segments, names, block_size, records_per_tile, partitions)
+    if records_per_tile is None:
+        sub, records_per_tile = tile_plan(n_records, block_size, max_tile_bytes)
+    else:
+        sub = block_size
+    chunks = transpose_blocked(segments, names, block_size, records_per_tile, partitions, n_cells, sub)
     if n_records <= records_per_tile:
         return chunks.select("row_idx", "values")
     return merge_column_chunks(chunks, partitions)

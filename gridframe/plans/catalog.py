@@ -91,7 +91,9 @@ def q_transpose_sql(spark, sf_dir):
 @query("transpose_blocked", _transpose_oracle())
 def q_transpose_blocked(spark, sf_dir):
     vec, names = _embedding_names(spark, sf_dir)
-    return _long_a(matrix.transpose(matrix.segment(vec, BLOCK), names, BLOCK, records_per_tile=1 << 20, n_cells=64))
+    # a tile budget of 4 cells x all records: segments are cut into sub-blocks
+    n_records = names.count()
+    return _long_a(matrix.transpose(matrix.segment(vec, BLOCK), names, BLOCK, n_cells=64, max_tile_bytes=16 * n_records))
 
 
 # M2 + M3 (several record blocks, merged on row index) ------------------------
@@ -634,7 +636,6 @@ def q_archive_counts(spark, sf_dir):
 # (2,499 x 20,000 = 50M cells at sf0.1) and drives the benchmark.
 # ---------------------------------------------------------------------------
 DAILY_BLOCK = 1024
-DAILY_RECORDS_PER_TILE = 4096
 
 _DAILY = """
 d AS (SELECT strftime(date_trunc('day', l_shipdate), 'pgbh02.gdas.%Y%m%d00.grb2') AS record_name,
@@ -698,8 +699,7 @@ def q_daily_matrix(spark, sf_dir):
 @query("daily_transpose_blocked", _DAILY_A_ORACLE)
 def q_daily_transpose_blocked(spark, sf_dir):
     seg = daily_segments(spark, sf_dir)
-    return _a_summary(matrix.transpose(seg, daily_names(spark, sf_dir), DAILY_BLOCK, DAILY_RECORDS_PER_TILE,
-                                       n_cells=fx.part_count(spark, sf_dir)))
+    return _a_summary(matrix.transpose(seg, daily_names(spark, sf_dir), DAILY_BLOCK, n_cells=fx.part_count(spark, sf_dir)))
 
 
 @query("daily_transpose_sql", _DAILY_A_ORACLE)

@@ -37,6 +37,10 @@ def test_transposes_agree_with_numpy(spark):
         seg = matrix.segment(df, block)
         a_sql = _dense(matrix.transpose_sql(seg, names, block).collect(), data.shape[1])
         a_blk = _dense(matrix.transpose(seg, names, block, records_per_tile=1000).collect(), data.shape[1])
+        # automatic plan with a tiny tile budget: sub-blocks of 3 cells x all records
+        a_sub = _dense(matrix.transpose(seg, names, block, max_tile_bytes=3 * 4 * 37).collect(), data.shape[1])
+        assert np.array_equal(a_sub, data.T)
+        assert matrix.tile_plan(37, block, 3 * 4 * 37) == (min(3, block), 37)
         chunks = matrix.transpose_blocked(seg, names, block, records_per_tile=5)
         a_mrg = _dense(matrix.merge_column_chunks(chunks).collect(), data.shape[1])
         for a in (a_sql, a_blk, a_mrg):

@@ -44,7 +44,7 @@ def test_blocked_transpose_one_sized_exchange(spark):
     names = timeaxis.column_names(vec, order="name")
     plan = plan_of(matrix.transpose_blocked(matrix.segment(vec, 16), names, 16, 128, partitions=37, n_cells=64))
     assert shuffles(plan) == 1
-    assert "hashpartitioning(block_id" in plan and ", 37)" in plan
+    assert "hashpartitioning(row0#" in plan and ", 37)" in plan
     assert "BroadcastHashJoin" in plan  # names attached without shuffling segments
     assert "FlatMapGroupsInArrow" in plan
 
