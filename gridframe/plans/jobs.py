@@ -117,10 +117,13 @@ def transpose(
     names_path: str,
     out_path: str,
     block_size: int = DEFAULT_BLOCK_SIZE,
-    records_per_tile: int = 16384,
+    records_per_tile: int | None = None,
     method: str = "blocked",
 ) -> DataFrame:
-    """Rows of ``A`` ``(row_idx, values)`` written sorted by ``row_idx``."""
+    """Rows of ``A`` ``(row_idx, values)`` written sorted by ``row_idx``.
+
+    The blocked method plans its tiles from the shape (one shuffle unless a
+    cell's column over all records exceeds the tile budget)."""
     seg = segments(spark, decoded_path)
     col_names = spark.read.parquet(names_path)
     if method == "blocked":
@@ -192,7 +195,7 @@ def main(argv=None) -> None:
     t = sub.add_parser("transpose")
     t.add_argument("out_dir"), t.add_argument("--method", default="blocked")
     t.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
-    t.add_argument("--records-per-tile", type=int, default=16384)
+    t.add_argument("--records-per-tile", type=int, default=None)
     e = sub.add_parser("export")
     e.add_argument("out_dir"), e.add_argument("record_name"), e.add_argument("target")
     e.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
