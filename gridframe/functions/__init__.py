@@ -3,6 +3,7 @@
 from gridframe.functions.arrays import (  # noqa: F401
     block_count,
     ceil_div,
+    dense_from_entries,
     dot,
     mask_equal,
     slice0,

@@ -243,7 +243,9 @@ def to_long(rows: DataFrame, row_col: str = "row_idx", col_col: str = "col_idx")
 # Products (M5-M7, P10)
 # --------------------------------------------------------------------------
 def vector_segments(spark, values, block_size: int) -> DataFrame:
-    """A driver-side vector (bounded by the number of cells) as segments."""
+    """A small driver-side vector (tests, hand-made probes) as segments.
+    Vectors that come from data are built distributed with
+    ``vector_from_cells`` or ``column_means`` instead."""
     arr = np.asarray(values, dtype=np.float64)
     rows = [
         (b, arr[b * block_size:(b + 1) * block_size].tolist())
