@@ -85,8 +85,11 @@ def transpose_sql(segments: DataFrame, names: DataFrame, block_size: int) -> Dat
     cells = attach_col_idx(segments, names).select(
         "col_idx", "block_id", F.posexplode("values").alias("_k", "value")
     )
+    # col_idx < 2^31 (one per record): an int keeps the shuffled structs small
     cells = cells.select(
-        (F.col("block_id").cast("long") * block_size + F.col("_k")).alias("row_idx"), "col_idx", "value"
+        (F.col("block_id").cast("long") * block_size + F.col("_k")).alias("row_idx"),
+        F.col("col_idx").cast("int").alias("col_idx"),
+        "value",
     )
     return cells.groupBy("row_idx").agg(
         F.sort_array(F.collect_list(F.struct("col_idx", "value"))).alias("_p")

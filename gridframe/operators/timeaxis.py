@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.functions.names import (
+from gridframe.functions.names import (  # noqa: F401  (record_name_for re-exported)
     archive_first_day,
     archive_last_day,
     archive_name_for,
     decoded_name,
+    record_name_for,
     record_time,
 )
 from gridframe.operators.index import dense_index

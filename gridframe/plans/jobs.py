@@ -196,6 +196,12 @@ def main(argv=None) -> None:
     t.add_argument("out_dir"), t.add_argument("--method", default="blocked")
     t.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
     t.add_argument("--records-per-tile", type=int, default=None)
+    m = sub.add_parser("multiply", help="A^T x for x given as Parquet (pos, value); writes (record_name, value)")
+    m.add_argument("out_dir"), m.add_argument("x_path"), m.add_argument("target")
+    m.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
+    m.add_argument("--fill", type=float, default=None)
+    g = sub.add_parser("gaps", help="missing 6-hourly records on the time axis of the stored names")
+    g.add_argument("out_dir"), g.add_argument("target"), g.add_argument("--step-hours", type=int, default=6)
     e = sub.add_parser("export")
     e.add_argument("out_dir"), e.add_argument("record_name"), e.add_argument("target")
     e.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
@@ -211,6 +217,15 @@ def main(argv=None) -> None:
         transpose(spark, f"{d}/decoded", f"{d}/names", f"{d}/matrix", a.block_size, a.records_per_tile, a.method)
     elif a.cmd == "export":
         export_record(spark, f"{d}/decoded", a.record_name, a.target, a.block_size)
+    elif a.cmd == "multiply":
+        x_cells = spark.read.parquet(a.x_path)
+        n_cells = x_cells.agg(F.max("pos")).first()[0] + 1
+        x = matrix.vector_from_cells(x_cells, n_cells, a.block_size)
+        multiply(spark, f"{d}/decoded", x, a.block_size, a.fill).write.parquet(a.target)
+    elif a.cmd == "gaps":
+        stamps = spark.read.parquet(f"{d}/names").where(F.col("ts").isNotNull())
+        gaps = timeaxis.time_gaps(stamps, "ts", step_hours=a.step_hours)
+        gaps.select(timeaxis.record_name_for("slot").alias("missing_record")).write.parquet(a.target)
 
 
 if __name__ == "__main__":

@@ -74,3 +74,34 @@ def test_convert_transpose_lookup_resume(spark, tmp_dir):
     y = names.select("record_name", F.lit(1.0).alias("y"))
     cells = {r["row_idx"]: r["value"] for r in jobs.multiply_transpose(spark, f"{out}/decoded", y, 8).collect()}
     assert np.allclose([cells[i] for i in range(30)], data.astype(np.float64).sum(axis=0))
+
+
+def test_cli_flow(spark, tmp_dir):
+    import json
+
+    rng = np.random.default_rng(3)
+    hours = [f"pgbh02.gdas.1979030{d}{h:02d}.grb2" for d in (1, 2) for h in (0, 6, 12, 18) if (d, h) != (1, 12)]
+    data = rng.standard_normal((len(hours), 6)).astype(np.float32)
+    vec = spark.createDataFrame([("pgbh02.gdas.19790301-19790305.tar", n, data[i].tolist()) for i, n in enumerate(hours)],
+                                "archive_name string, record_name string, values array<float>")
+    root = os.path.join(tmp_dir, "raw")
+    archives.write_grid_archives(vec, root, [("v", 0, 6, (2, 3))]).collect()
+    with open(os.path.join(tmp_dir, "list.txt"), "w") as fh:
+        fh.write("pgbh02.gdas.19790301-19790305.tar\n")
+    with open(os.path.join(tmp_dir, "layout.json"), "w") as fh:
+        json.dump([["v", 1, 2, 3]], fh)
+    out = os.path.join(tmp_dir, "out")
+    jobs.main(["convert", root, os.path.join(tmp_dir, "list.txt"), os.path.join(tmp_dir, "layout.json"), out,
+               "--block-size", "4"])
+    jobs.main(["names", out])
+    jobs.main(["transpose", out, "--block-size", "4"])
+    a = {r["row_idx"]: r["values"] for r in spark.read.parquet(f"{out}/matrix").collect()}
+    assert np.array_equal(np.array([a[i] for i in range(6)], np.float32), data.T)
+    spark.createDataFrame([(i, 1.0) for i in range(6)], "pos long, value double").write.parquet(f"{tmp_dir}/x")
+    jobs.main(["multiply", out, f"{tmp_dir}/x", f"{tmp_dir}/ax", "--block-size", "4"])
+    ax = {r["record_name"]: r["value"] for r in spark.read.parquet(f"{tmp_dir}/ax").collect()}
+    assert np.allclose([ax[h] for h in hours], data.astype(np.float64).sum(axis=1))
+    jobs.main(["gaps", out, f"{tmp_dir}/gaps"])
+    assert [r[0] for r in spark.read.parquet(f"{tmp_dir}/gaps").collect()] == ["pgbh02.gdas.1979030112.grb2"]
+    jobs.main(["export", out, hours[0], f"{tmp_dir}/one", "--block-size", "4"])
+    assert spark.read.json(f"{tmp_dir}/one").count() == 6
