@@ -755,3 +755,22 @@ def q_indexed_row_matrix(spark, sf_dir):
     return rows.select("row", "block_id", F.posexplode("values").alias("k", "value")).select(
         F.col("row").cast("long"), (F.col("block_id").cast("long") * BLOCK + F.col("k")).alias("pos"), "value"
     )
+
+
+# A9, G6 at the source ---------------------------------------------------------
+@query("ingest_describe", f"""
+WITH {_EMB}
+SELECT e.record_name, v.var, v.dims, CAST(1e20 AS FLOAT) AS fill, CAST(v.n AS BIGINT) AS n_cells,
+       CAST(0 AS BIGINT) AS n_missing
+FROM e, (VALUES ('emb2d', '4x8', 32), ('emb3d', '2x4x4', 32)) v(var, dims, n)
+""")
+def q_ingest_describe(spark, sf_dir):
+    from gridframe.sources import archives
+
+    manifest, _ = _ingested(spark, sf_dir)
+    d = archives.describe_entries(manifest, ["emb2d", "emb3d"])
+    return d.select(
+        "record_name", "var",
+        F.array_join(F.transform("dims", lambda x: x.cast("string")), "x").alias("dims"),
+        "fill", "n_cells", "n_missing",
+    )

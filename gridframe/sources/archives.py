@@ -284,3 +284,82 @@ def write_grid_archives(vectors: DataFrame, out_dir: str, spec: list[tuple[str,
     return vectors.groupBy("archive_name").applyInArrow(
         _archive_writer(out_dir, spec), "archive_name string, archive_path string, n_entries long"
     )
+
+
+# --------------------------------------------------------------------------
+# A9 / G6 at the source: what each entry holds
+# --------------------------------------------------------------------------
+DESCRIBE_SCHEMA = (
+    "archive_path string, entry_idx int, record_name string, var string, dims array<int>, "
+    "nc_type int, fill float, n_cells long, n_missing long, reason string"
+)
+
+_NC_FLOAT = 5
+
+
+def _describer(variables: list[str]):
+    schema = pa.schema([
+        ("archive_path", pa.string()), ("entry_idx", pa.int32()), ("record_name", pa.string()),
+        ("var", pa.string()), ("dims", pa.list_(pa.int32())), ("nc_type", pa.int32()), ("fill", pa.float32()),
+        ("n_cells", pa.int64()), ("n_missing", pa.int64()), ("reason", pa.string()),
+    ])
+
+    def describe(batches):
+        handles = {}
+        try:
+            for batch in batches:
+                cols = batch.to_pydict()
+                rows = {name: [] for name in schema.names}
+
+                def add(path, idx, name, var, dims, nc_type, fill, n_cells, n_missing, reason):
+                    for key, value in zip(schema.names, (path, idx, name, var, dims, nc_type, fill, n_cells,
+                                                         n_missing, reason)):
+                        rows[key].append(value)
+
+                for path, idx, name, size, offset in zip(
+                    cols["archive_path"], cols["entry_idx"], cols["record_name"], cols["size"], cols["data_offset"]
+                ):
+                    try:
+                        fh = handles.get(path)
+                        if fh is None:
+                            for old in handles.values():
+                                old.close()
+                            handles.clear()
+                            fh = handles[path] = _open(path)
+                        fh.seek(offset)
+                        ds = netcdf.loads(fh.read(size))
+                    except (OSError, netcdf.NetCDFError) as exc:
+                        add(path, idx, name, None, None, None, None, None, None, f"{type(exc).__name__}: {exc}")
+                        continue
+                    for var in variables:
+                        v = ds.variables.get(var)
+                        if v is None:
+                            add(path, idx, name, var, None, None, None, None, None, "missing variable")
+                            continue
+                        fill = v.attrs.get("_FillValue")
+                        fill = None if fill is None else float(np.float32(np.asarray(fill).reshape(-1)[0]))
+                        data = ds.read(var).reshape(-1) if v.nc_type == _NC_FLOAT else None
+                        n_missing = None
+                        if data is not None and fill is not None:
+                            f32 = np.float32(fill)
+                            n_missing = int(np.count_nonzero(np.isnan(data)) if np.isnan(f32)
+                                            else np.count_nonzero(data == f32))
+                        add(path, idx, name, var, [int(x) for x in v.shape], int(v.nc_type), fill,
+                            int(np.prod(v.shape)) if v.shape else 1, n_missing, None)
+                yield pa.RecordBatch.from_pydict(rows, schema=schema)
+        finally:
+            for fh in handles.values():
+                fh.close()
+
+    return describe
+
+
+def describe_entries(manifest: DataFrame, variables: list[str], partitions: int | None = None) -> DataFrame:
+    """A9/G6/P1 at the source: per entry and requested variable, its dims,
+    NetCDF type, ``_FillValue`` (as float) and how many cells equal it; a
+    ``reason`` when the entry or variable cannot be read. Entries are read
+    by offset, spread over tasks like ``decode_entries``."""
+    n = partitions or manifest.sparkSession.sparkContext.defaultParallelism * 4
+    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
+    entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
+    return entries.mapInArrow(_describer(list(variables)), DESCRIBE_SCHEMA)

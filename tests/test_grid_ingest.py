@@ -64,6 +64,12 @@ def test_ingest_with_quarantine(spark, tmp_dir):
     # the directory entry counts (entry 0) but is not a record
     assert m[0] == ("a.tar", 1, "pgbh02.gdas.1979010100.grb2")
     assert len(m) == 6
+    desc = {(r["record_name"], r["var"]): r for r in archives.describe_entries(manifest, ["cc", "tmp"]).collect()}
+    assert desc[("pgbh02.gdas.1979010100.grb2", "tmp")]["dims"] == [2, 2, 3]
+    assert desc[("pgbh02.gdas.1979010100.grb2", "cc")]["n_missing"] == 0
+    assert desc[("pgbh02.gdas.1979010112.grb2", "tmp")]["reason"] == "missing variable"
+    assert desc[("pgbh02.gdas.1979010200.grb2", "tmp")]["dims"] == [1, 2, 2, 3]
+    assert desc[("pgbh02.gdas.1979010118.grb2", None)]["reason"].startswith("NetCDFError")
     good, bad = archives.split_quarantine(archives.decode_entries(manifest, _layout(spark), 4))
     reasons = {r["record_name"]: r["reason"] for r in bad.collect()}
     assert set(reasons) == {"pgbh02.gdas.1979010112.grb2", "pgbh02.gdas.1979010118.grb2", "pgbh02.gdas.1979010200.grb2"}
