@@ -17,14 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.schemas import COLUMN_NAMES, MATRIX_ROW, RECORD_SEGMENT
-
-DEFAULT_MAX_RECORDS_PER_FILE = 1_000_000
-
-
-def _bytes_partitions(df_rows: int, row_bytes: int, target: int = 128 << 20) -> int:
-    return max(1, int(df_rows * row_bytes // target) + 1)
-
+from gridframe.schemas import COLUMN_NAMES, MATRIX_ROW
 
 def write_segments(
     segments: DataFrame,
