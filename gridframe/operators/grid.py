@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.functions.arrays import mask_equal  # noqa: F401  (re-exported)
+from gridframe.session import ship_package
 
 
 # --------------------------------------------------------------------------
@@ -331,6 +332,7 @@ def cells_to_segments(
     # blocks without any cell. At least one partition per core: the sparse
     # input is small next to the dense output, and AQE must not coalesce
     # the expansion into a handful of tasks.
+    ship_package(cells.sparkSession)
     parts = max(cells.sparkSession.sparkContext.defaultParallelism, partitions or 0)
     present = c.repartition(parts, *keys).groupBy(*keys, "block_id").agg(
         F.collect_list(F.struct("k", "value")).alias("_e")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from gridframe.functions.arrays import block_count, dense_from_entries, dot
 from gridframe.operators.index import broadcast_if_small, partitions_for
+from gridframe.session import ship_package
 
 # Bytes of a broadcast side we accept per join (vector x of a product).
 DEFAULT_BROADCAST_BYTES = 512 * 1024 * 1024
@@ -168,6 +169,7 @@ def transpose_blocked(
     if partitions is None:
         n_rec, n_cells = matrix_shape(segments, names, block_size, n_cells)
         partitions = partitions_for(segments.sparkSession, 4.0 * n_rec * n_cells)
+    ship_package(segments.sparkSession)
     sub = block_size if not sub_block or sub_block >= block_size else int(sub_block)
     tiles = attach_col_idx(segments, names).select(
         "block_id",

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridframe.functions.names import archive_name_for
 from gridframe.operators import grid, matrix, timeaxis
 from gridframe.plans import fixtures as fx
 
@@ -774,3 +775,45 @@ def q_ingest_describe(spark, sf_dir):
         F.array_join(F.transform("dims", lambda x: x.cast("string")), "x").alias("dims"),
         "fill", "n_cells", "n_missing",
     )
+
+
+# S1-S5, S13 at a larger record size: the daily matrix written as one tar per
+# 5-day archive period (NetCDF grid per day), then listed and decoded -----------
+def _daily_grid_shape(n_cells: int) -> tuple[int, int]:
+    return (n_cells // 100, 100) if n_cells % 100 == 0 else (1, n_cells)
+
+
+@query("daily_ingest", ORACLE_SQL["daily_matrix"])
+def q_daily_ingest(spark, sf_dir):
+    from gridframe.session import scratch_path
+    from gridframe.sources import archives, store
+
+    n_cells = fx.part_count(spark, sf_dir)
+    n_lat, n_lon = _daily_grid_shape(n_cells)
+    seg = daily_segments(spark, sf_dir)
+    root = scratch_path(spark, "daily-archives")
+    # one group per archive period (at most six days), records as whole grids
+    per_record = matrix.unsegment(seg).select(
+        "record_name", "values",
+        F.regexp_extract("record_name", r"(\d{8})00", 1).alias("_day"),
+    ).select(
+        "record_name", "values",
+        archive_name_for(F.to_timestamp("_day", "yyyyMMdd")).alias("archive_name"),
+    )
+    listing = f"{root}-list"
+    archives.write_grid_archives(per_record, root, [("qty", 0, n_cells, (n_lat, n_lon))]).select(
+        "archive_name"
+    ).write.text(listing)
+    variables = spark.createDataFrame([("qty", 0, 1, n_lat, n_lon)],
+                                      "var string, var_pos int, n_levels int, n_lat int, n_lon int")
+    manifest = archives.expand_archives(archives.archive_paths(archives.read_archive_list(spark, listing), root))
+    good, _ = archives.split_quarantine(
+        archives.decode_entries(manifest, grid.layout_offsets(variables), DAILY_BLOCK)
+    )
+    fill = F.lit(fx.FILL).cast("float")
+    present = F.filter("values", lambda v: v != fill)
+    return good.groupBy("record_name").agg(
+        F.sum(F.size("values")).cast("long").alias("n_values"),
+        F.sum(F.size(present)).cast("long").alias("n_present"),
+        F.sum(F.aggregate(present, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double"))).alias("total"),
+    )

@@ -82,3 +82,30 @@ def is_local_uri(uri: str) -> bool:
 def ensure_dir(uri: str) -> None:
     if is_local_uri(uri):
         os.makedirs(local_path(uri), exist_ok=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gridframe`` importable in the Python workers (as
+    ``spark-submit --py-files`` would): zip the package once per application
+    and ``addPyFile`` it. Called by every operator that runs Python tasks."""
+    import zipfile
+
+    import gridframe
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(gridframe.__file__))
+    base = os.path.dirname(pkg_dir)
+    target = os.path.join(tempfile.mkdtemp(prefix="gridframe-pyfiles-"), "gridframe.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, base))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridframe.functions.names import archive_name_for, is_archive, join_path
+from gridframe.session import ship_package
 from gridframe.sources import netcdf
 
 DECODED_SCHEMA = (
@@ -104,6 +105,7 @@ def _list_entries(batches):
 def expand_archives(paths: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(archive_path)`` -> manifest, one task per archive (archive lists
     are small: one row per file)."""
+    ship_package(paths.sparkSession)
     n = partitions or max(1, paths.count())
     return paths.select("archive_path").repartition(n, "archive_path").mapInArrow(_list_entries, MANIFEST_DDL)
 
@@ -230,6 +232,7 @@ def decode_entries(manifest: DataFrame, layout: DataFrame, block_size: int, part
     ordered by archive and offset inside a task so reads stay sequential; a
     large archive is decoded by many tasks at once, and no task holds more
     than one record vector at a time."""
+    ship_package(manifest.sparkSession)
     spec = layout_spec(layout)
     total = max(o + n for _, o, n, _ in spec)
     n = partitions or manifest.sparkSession.sparkContext.defaultParallelism * 4
@@ -281,6 +284,7 @@ def write_grid_archives(vectors: DataFrame, out_dir: str, spec: list[tuple[str,
     one NetCDF classic file per record. ``spec`` = ``(var, offset, length,
     shape)``. Returns ``(archive_name, archive_path, n_entries)``; a group
     is one archive (its size is the caller's archive granularity)."""
+    ship_package(vectors.sparkSession)
     return vectors.groupBy("archive_name").applyInArrow(
         _archive_writer(out_dir, spec), "archive_name string, archive_path string, n_entries long"
     )
@@ -359,6 +363,7 @@ def describe_entries(manifest: DataFrame, variables: list[str], partitions: int
     NetCDF type, ``_FillValue`` (as float) and how many cells equal it; a
     ``reason`` when the entry or variable cannot be read. Entries are read
     by offset, spread over tasks like ``decode_entries``."""
+    ship_package(manifest.sparkSession)
     n = partitions or manifest.sparkSession.sparkContext.defaultParallelism * 4
     entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
