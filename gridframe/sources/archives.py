@@ -103,10 +103,11 @@ def _list_entries(batches):
 
 
 def expand_archives(paths: DataFrame, partitions: int | None = None) -> DataFrame:
-    """``(archive_path)`` -> manifest, one task per archive (archive lists
-    are small: one row per file)."""
+    """``(archive_path)`` -> manifest. Only tar headers are read (seeks
+    over member data), so an archive costs a few reads; archives are hashed
+    over at most four tasks per core (an archive list is one row per file)."""
     ship_package(paths.sparkSession)
-    n = partitions or max(1, paths.count())
+    n = partitions or max(1, min(paths.count(), 4 * paths.sparkSession.sparkContext.defaultParallelism))
     return paths.select("archive_path").repartition(n, "archive_path").mapInArrow(_list_entries, MANIFEST_DDL)
 
 
@@ -225,17 +226,23 @@ def _decoder(spec, total: int, block_size: int):
     return decode_batches
 
 
+def _decode_partitions(manifest: DataFrame, bytes_per_task: int = 1 << 30) -> int:
+    total = manifest.agg(F.sum("size")).first()[0] or 0
+    return max(4 * manifest.sparkSession.sparkContext.defaultParallelism, int(-(-total // bytes_per_task)))
+
+
 def decode_entries(manifest: DataFrame, layout: DataFrame, block_size: int, partitions: int | None = None) -> DataFrame:
     """Decode the manifest's entries into segments + failure rows.
 
-    Entries are spread over ``partitions`` tasks (default: four per core),
-    ordered by archive and offset inside a task so reads stay sequential; a
-    large archive is decoded by many tasks at once, and no task holds more
-    than one record vector at a time."""
+    Entries are spread over ``partitions`` tasks (default: about 1 GiB of
+    entry bytes per task, at least four per core; the manifest carries the
+    sizes), ordered by archive and offset inside a task so reads stay
+    sequential; a large archive is decoded by many tasks at once, and no
+    task holds more than one record vector at a time."""
     ship_package(manifest.sparkSession)
     spec = layout_spec(layout)
     total = max(o + n for _, o, n, _ in spec)
-    n = partitions or manifest.sparkSession.sparkContext.defaultParallelism * 4
+    n = partitions or _decode_partitions(manifest)
     entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
     return entries.mapInArrow(_decoder(spec, total, block_size), DECODED_SCHEMA)
@@ -364,7 +371,7 @@ def describe_entries(manifest: DataFrame, variables: list[str], partitions: int
     ``reason`` when the entry or variable cannot be read. Entries are read
     by offset, spread over tasks like ``decode_entries``."""
     ship_package(manifest.sparkSession)
-    n = partitions or manifest.sparkSession.sparkContext.defaultParallelism * 4
+    n = partitions or _decode_partitions(manifest)
     entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
     return entries.mapInArrow(_describer(list(variables)), DESCRIBE_SCHEMA)
