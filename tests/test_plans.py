@@ -84,3 +84,16 @@ def test_products_read_store_once(spark):
     y = vec.select("record_name", F.col("label").cast("double").alias("y"))
     plan = plan_of(matrix.matvec_transpose(seg, y, 16))
     assert scans(plan) == 2  # segments + the broadcast y side
+
+
+def test_chunk_selection_prunes_partitions(spark, tmp_dir):
+    from gridframe.sources import store
+
+    vec = fx.embedding_vectors(spark, SF_SMALL).withColumn("chunk_id", (F.col("vec_id") % 4).cast("int"))
+    store.write_segments(matrix.segment(vec, 16, keys=("record_name", "chunk_id")), f"{tmp_dir}/at")
+    two = store.read_segments(spark, f"{tmp_dir}/at", chunk_ids=[0, 1])
+    plan = plan_of(two)
+    assert re.search(r"PartitionFilters: \[chunk_id#\d+ IN \(0,1\)\]", plan)
+    assert sorted(r[0] for r in two.select("chunk_id").distinct().collect()) == [0, 1]
+    one = plan_of(store.lookup_record(store.read_segments(spark, f"{tmp_dir}/at"), "r00000007"))
+    assert "PushedFilters: [IsNotNull(record_name), EqualTo(record_name,r00000007)]" in one
