@@ -133,3 +133,35 @@ def require_order(names: DataFrame) -> None:
             f"column order: n={r['n']} distinct={r['n_distinct']} range={r['min_idx']}..{r['max_idx']} "
             f"out_of_order={r['n_out_of_order']} holes={r['n_holes']}"
         )
+
+
+def segment_completeness(segments: DataFrame, n_cells: int, block_size: int) -> DataFrame:
+    """Q5/Q6 on segmented vectors: records whose segments do not make one
+    ``n_cells`` vector (missing, repeated or short segments).
+
+    One combining aggregate per record: segment count, distinct blocks and
+    total cells against the layout. Returns ``(record_name, n_segments,
+    n_blocks, n_cells, reason)`` for the bad records only."""
+    expected_blocks = -(-n_cells // block_size)
+    per_record = segments.groupBy("record_name").agg(
+        F.count(F.lit(1)).alias("n_segments"),
+        F.countDistinct("block_id").alias("n_blocks"),
+        F.sum(F.size("values")).cast("long").alias("n_cells"),
+    )
+    reason = (
+        F.when(F.col("n_segments") > F.col("n_blocks"), F.lit("repeated segments (duplicate record name)"))
+        .when(F.col("n_blocks") != expected_blocks, F.concat(F.lit("blocks "), F.col("n_blocks").cast("string")))
+        .when(F.col("n_cells") != n_cells, F.concat(F.lit("cells "), F.col("n_cells").cast("string")))
+    )
+    return per_record.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def require_complete(segments: DataFrame, n_cells: int, block_size: int, examples: int = 5) -> None:
+    """Raise with counts and a few record names unless every record's
+    segments form one full vector (run before a transpose)."""
+    bad = segment_completeness(segments, n_cells, block_size)
+    sample = bad.select("record_name", "reason").limit(examples).collect()
+    if sample:
+        total = bad.count()
+        listed = ", ".join(f"{r['record_name']} ({r['reason']})" for r in sample)
+        raise ValidationError(f"{total} records with incomplete segments, e.g. {listed}")

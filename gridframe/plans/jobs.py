@@ -126,6 +126,9 @@ def transpose(
     cell's column over all records exceeds the tile budget)."""
     seg = segments(spark, decoded_path)
     col_names = spark.read.parquet(names_path)
+    _, n_cells = matrix.matrix_shape(seg, col_names, block_size)
+    last = seg.where(F.col("block_id") == n_cells // block_size - 1).agg(F.max(F.size("values"))).first()[0]
+    verify.require_complete(seg, (n_cells // block_size - 1) * block_size + (last or 0), block_size)
     if method == "blocked":
         rows = matrix.transpose(seg, col_names, block_size, records_per_tile)
     elif method == "sql":

@@ -123,3 +123,19 @@ def test_variable_group_join_reports_absent(spark):
     g1 = spark.createDataFrame([("a", [3.0]), ("c", [4.0])], "record_name string, values array<float>")
     out = {r["record_name"]: (r["values"], r["missing_groups"]) for r in grid.join_variable_groups([g0, g1]).collect()}
     assert out == {"a": ([1.0, 3.0], []), "b": (None, [1]), "c": (None, [0])}
+
+
+def test_segment_completeness(spark):
+    import pytest
+
+    from gridframe.operators import matrix
+
+    df = spark.createDataFrame([("a", [1.0] * 10), ("b", [1.0] * 7), ("c", [2.0] * 10)],
+                               "record_name string, values array<float>")
+    seg = matrix.segment(df, 4)
+    dup = seg.where(F.col("record_name") == "c").unionByName(seg)
+    bad = {r["record_name"]: r["reason"] for r in verify.segment_completeness(dup, 10, 4).collect()}
+    assert bad == {"b": "blocks 2", "c": "repeated segments (duplicate record name)"}
+    with pytest.raises(verify.ValidationError, match="2 records with incomplete segments"):
+        verify.require_complete(dup, 10, 4)
+    verify.require_complete(seg.where(F.col("record_name") != "b"), 10, 4)
