@@ -139,3 +139,11 @@ def test_segment_completeness(spark):
     with pytest.raises(verify.ValidationError, match="2 records with incomplete segments"):
         verify.require_complete(dup, 10, 4)
     verify.require_complete(seg.where(F.col("record_name") != "b"), 10, 4)
+
+
+def test_segment_completeness_short_tail(spark):
+    from gridframe.operators import matrix
+
+    df = spark.createDataFrame([("a", [1.0] * 10), ("b", [1.0] * 9)], "record_name string, values array<float>")
+    bad = {r["record_name"]: r["reason"] for r in verify.segment_completeness(matrix.segment(df, 4), 10, 4).collect()}
+    assert bad == {"b": "last block length 1"}
