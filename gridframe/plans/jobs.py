@@ -66,7 +66,7 @@ def convert(
     manifest = spark.read.parquet(manifest_path)
     pending = manifest
     if _exists(spark, decoded_path):
-        pending = store.pending_entries(manifest, spark.read.parquet(decoded_path))
+        pending = store.pending_entries(manifest, entries_done(spark, decoded_path))
     # size the clustering shuffle from what is known before decoding:
     # entries x cells x 4 bytes
     n_pending = pending.count()
@@ -81,13 +81,21 @@ def convert(
         .sortWithinPartitions("status", "block_id", "record_name")
         .write.mode("append").partitionBy("status", "chunk_id").option("compression", "zstd")
         .parquet(decoded_path))
-    done = spark.read.parquet(decoded_path)
-    counts = {r["status"]: r["n"] for r in done.groupBy("status").agg(
-        F.countDistinct("archive_path", "entry_idx").alias("n")).collect()}
+    counts = {r["status"]: r["count"] for r in entries_done(spark, decoded_path).groupBy("status").count().collect()}
     return {"manifest": manifest_path, "decoded": decoded_path,
             "records": counts.get("ok", 0), "quarantined": counts.get("quarantine", 0)}
 
 
+def entries_done(spark: SparkSession, decoded_path: str) -> DataFrame:
+    """One row per entry already in the store: block 0 of each decoded record
+    (row groups skip on the block-sorted files) and the quarantine rows
+    (partition pruning) -- never a scan of every segment."""
+    done = spark.read.parquet(decoded_path)
+    return done.where(
+        ((F.col("status") == "ok") & (F.col("block_id") == 0)) | (F.col("status") == "quarantine")
+    ).select("archive_path", "entry_idx", "status")
+
+
 def segments(spark: SparkSession, decoded_path: str) -> DataFrame:
     """The ``A^T`` store: good segments only (partition pruning on status)."""
     return spark.read.parquet(decoded_path).where(F.col("status") == "ok").select(

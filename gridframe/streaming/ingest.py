@@ -27,10 +27,10 @@ def _batch_writer(root: str, layout: DataFrame, out_dir: str, block_size: int):
         spark = batch.sparkSession
         names = batch.select(F.trim("value").alias("archive_name")).where(F.col("archive_name") != "").distinct()
         manifest = archives.expand_archives(archives.archive_paths(names, root))
-        try:
-            pending = store.pending_entries(manifest, spark.read.parquet(decoded_path))
-        except Exception:  # noqa: BLE001 - first batch: no store yet
-            pending = manifest
+        from gridframe.plans.jobs import _exists, entries_done
+
+        pending = store.pending_entries(manifest, entries_done(spark, decoded_path)) \
+            if _exists(spark, decoded_path) else manifest
         lay = spark.createDataFrame(layout_rows, layout_schema)
         decoded = archives.decode_entries(pending, lay, block_size).withColumn(
             "status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")
