@@ -77,7 +77,8 @@ def convert(
     ).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine"))
     # one pass: segments clustered by block (products combine map-side,
     # row groups skip on block / record predicates), failures alongside
-    (decoded.repartitionByRange(write_parts, "status", "block_id", "record_name")
+    # hash on block (a range partitioning would sample, i.e. decode twice)
+    (decoded.repartition(write_parts, "block_id")
         .sortWithinPartitions("status", "block_id", "record_name")
         .write.mode("append").partitionBy("status", "chunk_id").option("compression", "zstd")
         .parquet(decoded_path))
@@ -144,7 +145,7 @@ def transpose(
     else:
         raise ValueError("method is 'blocked' or 'sql'")
     n_rec, n_cells = matrix.matrix_shape(seg, col_names, block_size)
-    store.write_matrix(rows, out_path, partitions=index.partitions_for(spark, 4.0 * n_rec * n_cells))
+    store.write_matrix(rows, out_path, partitions=index.partitions_for(spark, 4.0 * n_rec * n_cells), n_rows=n_cells)
     return spark.read.parquet(out_path)
 
 

@@ -26,11 +26,14 @@ def write_segments(
     partitions: int | None = None,
     mode: str = "errorifexists",
 ) -> None:
-    """Write ``A^T`` segments, zstd, clustered by block."""
+    """Write ``A^T`` segments, zstd, clustered by block.
+
+    Hash partitioning on ``block_id`` (no sampling pass over the input, which
+    a range partitioning would run first) keeps every record's segment of a
+    block in one file, sorted by ``(block_id, record_name)``."""
     cols = ["record_name", "block_id", "values"] + ([chunk_col] if chunk_col else [])
     out = segments.select(*cols)
-    out = (out.repartitionByRange(partitions, "block_id", "record_name") if partitions
-           else out.repartitionByRange("block_id", "record_name"))
+    out = out.repartition(partitions, "block_id") if partitions else out.repartition("block_id")
     writer = out.sortWithinPartitions("block_id", "record_name").write.mode(mode).option("compression", "zstd")
     if chunk_col:
         writer = writer.partitionBy(chunk_col)
@@ -46,18 +49,38 @@ def read_segments(spark: SparkSession, path: str, chunk_ids: list[int] | None =
     return df
 
 
-def write_matrix(rows: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists") -> None:
-    """Rows of ``A`` sorted by ``row_idx`` (one overwrite-free write)."""
+def _row_range(n_rows: int, partitions: int):
+    """Partition key of contiguous ``row_idx`` ranges (row indexes are dense
+    0..n_rows-1, so no sampling is needed to find the bounds)."""
+    return (F.col("row_idx") * F.lit(partitions) / F.lit(max(1, n_rows))).cast("int")
+
+
+def write_matrix(rows: DataFrame, path: str, partitions: int | None = None, mode: str = "errorifexists",
+                 n_rows: int | None = None) -> None:
+    """Rows of ``A``, each file holding contiguous ``row_idx`` ranges,
+    sorted. With ``n_rows`` the ranges are computed, not sampled (sampling
+    would run the transpose twice)."""
     out = rows.select(*MATRIX_ROW.fieldNames())
-    out = out.repartitionByRange(partitions, "row_idx") if partitions else out.repartitionByRange("row_idx")
+    if n_rows is not None:
+        n = partitions or out.sparkSession.sparkContext.defaultParallelism
+        out = out.repartition(n, _row_range(n_rows, n))
+    else:
+        out = out.repartitionByRange(partitions, "row_idx") if partitions else out.repartitionByRange("row_idx")
     out.sortWithinPartitions("row_idx").write.mode(mode).option("compression", "zstd").parquet(path)
 
 
-def write_column_chunks(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Column chunks of ``A`` partitioned by record block."""
-    chunks.repartitionByRange("rblock", "row_idx").sortWithinPartitions("rblock", "row_idx").write.mode(
-        mode
-    ).partitionBy("rblock").option("compression", "zstd").parquet(path)
+def write_column_chunks(chunks: DataFrame, path: str, mode: str = "errorifexists", n_rows: int | None = None,
+                        partitions: int | None = None) -> None:
+    """Column chunks of ``A`` partitioned by record block; row ranges
+    computed from ``n_rows`` when given."""
+    if n_rows is not None:
+        n = partitions or chunks.sparkSession.sparkContext.defaultParallelism
+        chunks = chunks.repartition(n, "rblock", _row_range(n_rows, n))
+    else:
+        chunks = chunks.repartitionByRange("rblock", "row_idx")
+    chunks.sortWithinPartitions("rblock", "row_idx").write.mode(mode).partitionBy("rblock").option(
+        "compression", "zstd"
+    ).parquet(path)
 
 
 def write_names(names: DataFrame, path: str, mode: str = "errorifexists") -> None:

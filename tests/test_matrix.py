@@ -107,12 +107,12 @@ def test_column_chunks_store_round_trip(spark, tmp_dir):
     names = timeaxis.column_names(df, order="name")
     chunks = matrix.transpose_blocked(matrix.segment(df, 5), names, 5, records_per_tile=6)
     path = f"{tmp_dir}/chunks"
-    store.write_column_chunks(chunks, path)
+    store.write_column_chunks(chunks, path, n_rows=17)
     back = spark.read.parquet(path)
     assert sorted(r["rblock"] for r in back.select("rblock").distinct().collect()) == [0, 1, 2, 3]
     merged = _dense(matrix.merge_column_chunks(back).collect(), 17)
     assert np.array_equal(merged, data.T)
-    store.write_matrix(matrix.merge_column_chunks(back), f"{tmp_dir}/a")
+    store.write_matrix(matrix.merge_column_chunks(back), f"{tmp_dir}/a", n_rows=17, partitions=3)
     assert np.array_equal(_dense(spark.read.parquet(f"{tmp_dir}/a").collect(), 17), data.T)
 
 
