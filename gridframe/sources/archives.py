@@ -22,6 +22,9 @@ from gridframe.functions.names import archive_name_for, is_archive, join_path
 from gridframe.session import ship_package
 from gridframe.sources import netcdf
 
+# Segments per Arrow batch from the decoder (4 MiB at 1024-float segments).
+SEGMENTS_PER_BATCH = 1024
+
 DECODED_SCHEMA = (
     "archive_path string, entry_idx int, record_name string, block_id int, "
     "values array<float>, reason string"
@@ -174,13 +177,19 @@ def _decoder(spec, total: int, block_size: int):
     ])
 
     def emit_record(path, idx, name, vector):
-        offsets = np.minimum(np.arange(n_blocks + 1, dtype=np.int64) * block_size, total).astype(np.int32)
-        return pa.RecordBatch.from_arrays([
-            pa.array([path] * n_blocks, pa.string()), pa.array([idx] * n_blocks, pa.int32()),
-            pa.array([name] * n_blocks, pa.string()), pa.array(np.arange(n_blocks, dtype=np.int32)),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(vector, pa.float32())),
-            pa.nulls(n_blocks, pa.string()),
-        ], schema=schema)
+        """The record's segments in batches of at most ``SEGMENTS_PER_BATCH``
+        (a few MiB each, however large the record)."""
+        for first in range(0, n_blocks, SEGMENTS_PER_BATCH):
+            last = min(n_blocks, first + SEGMENTS_PER_BATCH)
+            k = last - first
+            lo, hi = first * block_size, min(total, last * block_size)
+            offsets = (np.minimum(np.arange(first, last + 1, dtype=np.int64) * block_size, total) - lo).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([path] * k, pa.string()), pa.array([idx] * k, pa.int32()),
+                pa.array([name] * k, pa.string()), pa.array(np.arange(first, last, dtype=np.int32)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(vector[lo:hi], pa.float32())),
+                pa.nulls(k, pa.string()),
+            ], schema=schema)
 
     def emit_bad(path, idx, name, reason):
         return pa.RecordBatch.from_arrays([
@@ -190,9 +199,10 @@ def _decoder(spec, total: int, block_size: int):
 
     def decode_one(path, idx, name, payload):
         try:
-            return emit_record(path, idx, name, vectorize(netcdf.loads(payload), spec, total))
+            vector = vectorize(netcdf.loads(payload), spec, total)
         except Exception as exc:  # noqa: BLE001 - every failure becomes a quarantine row
-            return emit_bad(path, idx, name, f"{type(exc).__name__}: {exc}")
+            return [emit_bad(path, idx, name, f"{type(exc).__name__}: {exc}")]
+        return emit_record(path, idx, name, vector)
 
     def decode_batches(batches):
         """Entries in any order: each is read with one seek + one read of its
@@ -218,7 +228,7 @@ def _decoder(spec, total: int, block_size: int):
                     except OSError as exc:
                         yield emit_bad(path, idx, name, f"unreadable entry: {exc}")
                         continue
-                    yield decode_one(path, idx, name, payload)
+                    yield from decode_one(path, idx, name, payload)
         finally:
             for fh in handles.values():
                 fh.close()
