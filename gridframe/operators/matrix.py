@@ -121,11 +121,14 @@ def _tile_transposer(records_per_tile: int):
         tile = np.empty((width, n), dtype=np.float32)
         tile[:, col_idx - first] = dense.T
         offsets = pa.array(np.arange(0, width * n + 1, n, dtype=np.int32))
-        return pa.table({
+        out = pa.table({
             "row_idx": pa.array(row0 + np.arange(width, dtype=np.int64)),
             "rblock": pa.array(np.full(width, rblock, dtype=np.int32)),
             "values": pa.ListArray.from_arrays(offsets, pa.array(tile.ravel(), type=pa.float32())),
         })
+        # hand the tile back in batches of about 4 MiB, not one tile-sized batch
+        rows_per_batch = max(1, (4 << 20) // (4 * n))
+        return pa.Table.from_batches(out.to_batches(max_chunksize=rows_per_batch), schema=out.schema)
 
     return transpose_tile
 
