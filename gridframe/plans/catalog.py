@@ -817,3 +817,21 @@ def q_daily_ingest(spark, sf_dir):
         F.sum(F.size(present)).cast("long").alias("n_present"),
         F.sum(F.aggregate(present, F.lit(0.0).cast("double"), lambda a, v: a + v.cast("double"))).alias("total"),
     )
+
+
+# S15, P6 at the source: level 1 of the 3-D variable, read from the archives ----
+@query("ingest_level_slice", f"""
+WITH {_EMB}
+SELECT record_name, CAST((pos - 48) // 4 AS INTEGER) AS i, CAST(pos % 4 AS INTEGER) AS j,
+       CAST(value AS DOUBLE) AS value
+FROM c WHERE pos >= 48
+""")
+def q_ingest_level_slice(spark, sf_dir):
+    from gridframe.sources import archives
+
+    manifest, _ = _ingested(spark, sf_dir)
+    plane = archives.read_variable(manifest, "emb3d", level=1).where(F.col("reason").isNull())
+    return plane.select("record_name", F.posexplode("values").alias("p", "value")).select(
+        "record_name", (F.col("p") / 4).cast("int").alias("i"), (F.col("p") % 4).cast("int").alias("j"),
+        F.col("value").cast("double"),
+    )

@@ -385,3 +385,65 @@ def describe_entries(manifest: DataFrame, variables: list[str], partitions: int
     entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
     return entries.mapInArrow(_describer(list(variables)), DESCRIBE_SCHEMA)
+
+
+# --------------------------------------------------------------------------
+# S15 / P6 at the source: one variable's values (optionally one level)
+# --------------------------------------------------------------------------
+def _variable_reader(var: str, level: int | None):
+    schema = pa.schema([
+        ("record_name", pa.string()), ("var", pa.string()), ("dims", pa.list_(pa.int32())),
+        ("fill", pa.float32()), ("values", pa.list_(pa.float32())), ("reason", pa.string()),
+    ])
+
+    def read(batches):
+        handles = {}
+        try:
+            for batch in batches:
+                cols = batch.to_pydict()
+                for path, name, size, offset in zip(
+                    cols["archive_path"], cols["record_name"], cols["size"], cols["data_offset"]
+                ):
+                    row = {"record_name": [name], "var": [var], "dims": [None], "fill": [None],
+                           "values": [None], "reason": [None]}
+                    try:
+                        fh = handles.get(path)
+                        if fh is None:
+                            for old in handles.values():
+                                old.close()
+                            handles.clear()
+                            fh = handles[path] = _open(path)
+                        fh.seek(offset)
+                        ds = netcdf.loads(fh.read(size))
+                        data = ds.read(var)
+                        if level is not None:
+                            if data.ndim != 3 or not 0 <= level < data.shape[0]:
+                                raise ValueError(f"no level {level} in {var} of shape {list(data.shape)}")
+                            data = data[level]
+                        fill = ds.variables[var].attrs.get("_FillValue")
+                        row["dims"] = [[int(x) for x in data.shape]]
+                        row["fill"] = [None if fill is None else float(np.asarray(fill).reshape(-1)[0])]
+                        row["values"] = [pa.array(np.ascontiguousarray(data, dtype=np.float32).reshape(-1))]
+                    except (OSError, ValueError) as exc:
+                        row["reason"] = [f"{type(exc).__name__}: {exc}"]
+                    yield pa.RecordBatch.from_pydict(row, schema=schema)
+        finally:
+            for fh in handles.values():
+                fh.close()
+
+    return read
+
+
+def read_variable(manifest: DataFrame, var: str, level: int | None = None, partitions: int | None = None) -> DataFrame:
+    """One variable of every manifest entry as D4 rows
+    ``(record_name, var, dims, fill, values, reason)``, row-major; with
+    ``level`` only that level of a 3-D variable (a ``(lat, lon)`` plane).
+    One row per entry: meant for variables or levels that fit a row."""
+    ship_package(manifest.sparkSession)
+    n = partitions or _decode_partitions(manifest)
+    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
+    entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
+    return entries.mapInArrow(
+        _variable_reader(var, level),
+        "record_name string, var string, dims array<int>, fill float, values array<float>, reason string",
+    )

@@ -147,3 +147,17 @@ def test_segment_completeness_short_tail(spark):
     df = spark.createDataFrame([("a", [1.0] * 10), ("b", [1.0] * 9)], "record_name string, values array<float>")
     bad = {r["record_name"]: r["reason"] for r in verify.segment_completeness(matrix.segment(df, 4), 10, 4).collect()}
     assert bad == {"b": "last block length 1"}
+
+
+def test_read_variable_level(spark, tmp_dir):
+    cc = np.arange(6, dtype=np.float32).reshape(2, 3)
+    tmp = np.arange(12, dtype=np.float32).reshape(2, 2, 3) + 100
+    _tar(os.path.join(tmp_dir, "b.tar"), [("pgbh02.gdas.1979010100.grb2", _nc(cc, tmp)),
+                                          ("pgbh02.gdas.1979010106.grb2", _nc(cc, tmp, drop="tmp"))])
+    manifest = archives.expand_archives(spark.createDataFrame([(os.path.join(tmp_dir, "b.tar"),)], "archive_path string"))
+    rows = {r["record_name"]: r for r in archives.read_variable(manifest, "tmp", level=1).collect()}
+    good = rows["pgbh02.gdas.1979010100.grb2"]
+    assert good["dims"] == [2, 3] and good["values"] == tmp[1].ravel().tolist() and good["reason"] is None
+    assert rows["pgbh02.gdas.1979010106.grb2"]["reason"].startswith("NetCDFError")
+    whole = archives.read_variable(manifest, "cc").where("reason IS NULL").first()
+    assert whole["dims"] == [2, 3] and whole["fill"] == np.float32(1e20)
