@@ -95,3 +95,14 @@ def archive_name_for(ts) -> Column:
         F.date_format(last, "yyyyMMdd"),
         F.lit(ARCHIVE_SUFFIX),
     )
+
+
+def utc_wall_clock(frame, ts_col: str) -> Column:
+    """A time column as UTC wall-clock (``timestamp_ntz``), whatever the
+    session zone: instants (``timestamp``) are converted from the session
+    zone, wall-clock values (``timestamp_ntz``) are taken as UTC already."""
+    from pyspark.sql.types import TimestampNTZType
+
+    if isinstance(frame.schema[ts_col].dataType, TimestampNTZType):
+        return F.col(ts_col)
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(ts_col).cast("timestamp_ntz"))

@@ -13,6 +13,7 @@ from gridframe.functions.names import (  # noqa: F401  (record_name_for re-expor
     decoded_name,
     record_name_for,
     record_time,
+    utc_wall_clock,
 )
 from gridframe.operators.index import dense_index
 
@@ -56,7 +57,8 @@ def time_gaps(
 ) -> DataFrame:
     """Slots of a regular time axis with no record, per ``by`` group.
 
-    The calendar runs from the first to the last record of each group; it is
+    Slots are UTC wall-clock (``timestamp_ntz``) for instants and wall-clock
+    inputs alike. The calendar runs from the first to the last record of each group; it is
     generated in coarse windows of 1024 steps, then expanded, so no array
     longer than 1024 slots is built. Missing slots are a left anti join of
     the calendar against the slots present.
@@ -66,7 +68,7 @@ def time_gaps(
     coarse = F.expr(f"INTERVAL {int(step_hours) * 1024} HOURS")
     if 24 % int(step_hours):
         raise ValueError("step_hours must divide 24")
-    ts = F.col(ts_col).cast("timestamp_ntz")
+    ts = utc_wall_clock(stamps, ts_col)
     slot = F.date_trunc("day", ts) + F.make_dt_interval(
         hours=(F.hour(ts) / int(step_hours)).cast("int") * int(step_hours)
     )
@@ -85,7 +87,7 @@ def time_gaps(
 def archive_periods(stamps: DataFrame, ts_col: str = "ts") -> DataFrame:
     """Archive of each record time, with the period parsed back from
     the name and the number of records per archive."""
-    hours = stamps.select(F.date_trunc("hour", F.col(ts_col)).alias("hour")).distinct()
+    hours = stamps.select(F.date_trunc("hour", utc_wall_clock(stamps, ts_col)).alias("hour")).distinct()
     per_archive = hours.groupBy(archive_name_for("hour").alias("archive_name")).agg(
         F.count(F.lit(1)).alias("n_records")
     )

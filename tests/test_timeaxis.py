@@ -37,3 +37,18 @@ def test_column_names_time_order_with_bad_names_last(spark):
                                "record_name string")
     got = [r["record_name"] for r in timeaxis.column_names(df, order="time").orderBy("col_idx").collect()]
     assert got == ["pgbh02.gdas.1979010100.grb2", "pgbh02.gdas.1979010106.grb2", "bad"]
+
+
+def test_gaps_and_periods_of_instants_ignore_session_zone(spark):
+    names = spark.createDataFrame([("pgbh02.gdas.1979010100.grb2",), ("pgbh02.gdas.1979010112.grb2",),
+                                   ("pgbh02.gdas.1979013118.grb2",)], "record_name string")
+    spark.conf.set("spark.sql.session.timeZone", "America/Denver")
+    try:
+        cols = timeaxis.column_names(names, order="time")
+        gaps = timeaxis.time_gaps(cols.where(F.col("col_idx") < 2), "ts", step_hours=6)
+        got = [r[0] for r in gaps.select(timeaxis.record_name_for("slot")).collect()]
+        periods = sorted(r["archive_name"] for r in timeaxis.archive_periods(cols, "ts").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["pgbh02.gdas.1979010106.grb2"]
+    assert periods == ["pgbh02.gdas.19790101-19790105.tar", "pgbh02.gdas.19790126-19790131.tar"]
