@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridframe.functions.names import archive_name_for, is_archive, join_path
+from gridframe.functions.names import archive_name_for, is_archive, join_path, utc_wall_clock
 from gridframe.session import ship_package
 from gridframe.sources import netcdf
 
@@ -119,7 +119,7 @@ def manifest_from_times(times: DataFrame, root: str, ts_col: str = "ts") -> Data
     entries in time order within each archive (a group is one archive)."""
     by_archive = Window.partitionBy("archive_path").orderBy(ts_col)
     return times.select(
-        join_path(root, archive_name_for(F.col(ts_col))).alias("archive_path"), "record_name", ts_col
+        join_path(root, archive_name_for(utc_wall_clock(times, ts_col))).alias("archive_path"), "record_name", ts_col
     ).select(
         "archive_path",
         (F.row_number().over(by_archive) - 1).cast("int").alias("entry_idx"),
