@@ -131,3 +131,21 @@ def test_validators(spark):
     holes = names.withColumn("col_idx", F.col("col_idx") * 2).withColumn("ts", F.lit(None).cast("timestamp"))
     with pytest.raises(verify.ValidationError, match="holes"):
         verify.require_order(holes)
+
+
+def test_matvec_equals_mllib_indexed_row_matrix(spark):
+    from pyspark.mllib.linalg import DenseMatrix
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    data, df = _matrix(spark, 13, 21, seed=9)
+    names = timeaxis.column_names(df, order="name")
+    seg = matrix.segment(df, 8)
+    x = np.linspace(0.5, 2.0, 21)
+    ours = {r["row"]: r["value"] for r in
+            matrix.matvec(seg, matrix.vector_segments(spark, x, 8), 8).join(
+                names.select("record_name", F.col("col_idx").alias("row")), "record_name").collect()}
+    rows = spark.sparkContext.parallelize([IndexedRow(i, data[i].astype(float).tolist()) for i in range(13)])
+    product = IndexedRowMatrix(rows).multiply(DenseMatrix(21, 1, x.tolist()))
+    mllib = {r.index: r.vector[0] for r in product.rows.collect()}
+    assert set(ours) == set(mllib)
+    assert max(abs(ours[i] - mllib[i]) for i in ours) < 1e-9
