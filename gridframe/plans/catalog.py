@@ -351,7 +351,7 @@ tot AS (SELECT record_name, sum(CAST(value AS DOUBLE)) FILTER (WHERE value <> CA
         FROM vec GROUP BY record_name)
 SELECT m.record_name, coalesce(m.missing, '') AS missing_groups,
        CAST(CASE WHEN m.missing IS NULL THEN (SELECT count(*) * 12 FROM vars) ELSE 0 END AS BIGINT) AS n_values,
-       CASE WHEN m.missing IS NULL THEN round(t.total, 2) END AS total
+       CASE WHEN m.missing IS NULL THEN round(t.total, 2) + 0.0 END AS total
 FROM miss m JOIN tot t USING (record_name)
 """)
 def q_variable_group_join(spark, sf_dir):
@@ -367,7 +367,7 @@ def q_variable_group_join(spark, sf_dir):
         "record_name",
         F.array_join(F.transform("missing_groups", lambda g: g.cast("string")), ",").alias("missing_groups"),
         F.coalesce("n_values", F.lit(0).cast("long")).alias("n_values"),
-        F.round("_t", 2).alias("total"),
+        (F.round("_t", 2) + F.lit(0.0)).alias("total"),
     )
 
 
@@ -542,19 +542,19 @@ def q_compare_norm(spark, sf_dir):
 @query("matvec", f"""
 WITH {_EMB},
 x AS (SELECT pos, avg(CAST(value AS DOUBLE)) AS xv FROM c GROUP BY pos)
-SELECT record_name, round(sum(CAST(value AS DOUBLE) * xv), 6) AS value FROM c JOIN x USING (pos) GROUP BY record_name
+SELECT record_name, round(sum(CAST(value AS DOUBLE) * xv), 6) + 0.0 AS value FROM c JOIN x USING (pos) GROUP BY record_name
 """)
 def q_matvec(spark, sf_dir):
     vec = fx.embedding_vectors(spark, sf_dir)
     seg = matrix.segment(vec, BLOCK)
     x = matrix.column_means(seg, BLOCK)
     out = matrix.matvec(seg, x, BLOCK)
-    return out.select("record_name", F.round("value", 6).alias("value"))
+    return out.select("record_name", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 @query("matvec_transpose", f"""
 WITH {_EMB}
-SELECT CAST(pos AS BIGINT) AS row_idx, round(sum(CAST(value AS DOUBLE) * label), 6) AS value
+SELECT CAST(pos AS BIGINT) AS row_idx, round(sum(CAST(value AS DOUBLE) * label), 6) + 0.0 AS value
 FROM c JOIN e USING (record_name) GROUP BY pos
 """)
 def q_matvec_transpose(spark, sf_dir):
@@ -562,7 +562,7 @@ def q_matvec_transpose(spark, sf_dir):
     seg = matrix.segment(vec, BLOCK)
     y = vec.select("record_name", F.col("label").cast("double").alias("y"))
     out = matrix.matvec_transpose(seg, y, BLOCK)
-    return out.select("row_idx", F.round("value", 6).alias("value"))
+    return out.select("row_idx", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 # ---------------------------------------------------------------------------
@@ -711,7 +711,7 @@ def q_daily_transpose_sql(spark, sf_dir):
 
 @query("daily_matvec", f"""
 WITH {_DAILY}
-SELECT record_name, round(sum(q * p_retailprice), 2) AS value FROM d JOIN part ON d.pos = part.p_partkey
+SELECT record_name, round(sum(q * p_retailprice), 2) + 0.0 AS value FROM d JOIN part ON d.pos = part.p_partkey
 GROUP BY record_name
 """)
 def q_daily_matvec(spark, sf_dir):
@@ -720,7 +720,7 @@ def q_daily_matvec(spark, sf_dir):
     price = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_retailprice").alias("value"))
     x = matrix.vector_from_cells(price, n_cells, DAILY_BLOCK)
     out = matrix.matvec(seg, x, DAILY_BLOCK, fill=fx.FILL)
-    return out.select("record_name", F.round("value", 2).alias("value"))
+    return out.select("record_name", (F.round("value", 2) + F.lit(0.0)).alias("value"))
 
 
 @query("daily_matvec_transpose", f"""
@@ -728,7 +728,7 @@ WITH {_DAILY},
 y AS (SELECT strftime(date_trunc('day', l_shipdate), 'pgbh02.gdas.%Y%m%d00.grb2') AS record_name, count(*) AS y
       FROM lineitem GROUP BY 1),
 s AS (SELECT pos, sum(q * y) AS value FROM d JOIN y USING (record_name) GROUP BY pos)
-SELECT CAST(p.p_partkey AS BIGINT) AS row_idx, round(CAST(coalesce(s.value, 0) AS DOUBLE), 2) AS value
+SELECT CAST(p.p_partkey AS BIGINT) AS row_idx, round(CAST(coalesce(s.value, 0) AS DOUBLE), 2) + 0.0 AS value
 FROM part p LEFT JOIN s ON s.pos = p.p_partkey
 """)
 def q_daily_matvec_transpose(spark, sf_dir):
@@ -738,7 +738,7 @@ def q_daily_matvec_transpose(spark, sf_dir):
         F.count(F.lit(1)).cast("double").alias("y")
     )
     out = matrix.matvec_transpose(seg, y, DAILY_BLOCK, fill=fx.FILL)
-    return out.select("row_idx", F.round("value", 2).alias("value"))
+    return out.select("row_idx", (F.round("value", 2) + F.lit(0.0)).alias("value"))
 
 
 # M5 ------------------------------------------------------------------------
