@@ -72,9 +72,11 @@ def convert(
     n_pending = pending.count()
     total_cells = max(o + n for _, o, n, _ in archives.layout_spec(layout))
     write_parts = index.partitions_for(spark, 4.0 * n_pending * total_cells)
-    decoded = archives.decode_entries(pending, layout, block_size, partitions).join(
-        manifest.select("archive_path", "entry_idx", "chunk_id"), ["archive_path", "entry_idx"]
-    ).withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine"))
+    # chunk_id rides along from the manifest row into the decoded rows: no
+    # join of the decoded data afterwards
+    decoded = archives.decode_entries(pending, layout, block_size, partitions, carry=["chunk_id"]).withColumn(
+        "status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")
+    )
     # one pass: segments clustered by block (products combine map-side,
     # row groups skip on block / record predicates), failures alongside
     # hash on block (a range partitioning would sample, i.e. decode twice)

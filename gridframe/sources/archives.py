@@ -169,14 +169,19 @@ def vectorize(ds: netcdf.Dataset, spec, total: int) -> np.ndarray:
     return out
 
 
-def _decoder(spec, total: int, block_size: int):
+def _decoder(spec, total: int, block_size: int, carry: tuple = ()):
+    """Decode kernel; ``carry`` = ``((name, arrow_type), ...)`` manifest
+    columns copied onto every output row (e.g. the store's chunk id)."""
     n_blocks = -(-total // block_size)
     schema = pa.schema([
         ("archive_path", pa.string()), ("entry_idx", pa.int32()), ("record_name", pa.string()),
         ("block_id", pa.int32()), ("values", pa.list_(pa.float32())), ("reason", pa.string()),
-    ])
+    ] + [(name, typ) for name, typ in carry])
+
+    def carried(extra, k):
+        return [pa.array([value] * k, typ) for (_name, typ), value in zip(carry, extra)]
 
-    def emit_record(path, idx, name, vector):
+    def emit_record(path, idx, name, vector, extra):
         """The record's segments in batches of at most ``SEGMENTS_PER_BATCH``
         (a few MiB each, however large the record)."""
         for first in range(0, n_blocks, SEGMENTS_PER_BATCH):
@@ -189,20 +194,20 @@ def _decoder(spec, total: int, block_size: int):
                 pa.array([name] * k, pa.string()), pa.array(np.arange(first, last, dtype=np.int32)),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(vector[lo:hi], pa.float32())),
                 pa.nulls(k, pa.string()),
-            ], schema=schema)
+            ] + carried(extra, k), schema=schema)
 
-    def emit_bad(path, idx, name, reason):
+    def emit_bad(path, idx, name, reason, extra):
         return pa.RecordBatch.from_arrays([
             pa.array([path], pa.string()), pa.array([idx], pa.int32()), pa.array([name], pa.string()),
             pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.float32())), pa.array([reason], pa.string()),
-        ], schema=schema)
+        ] + carried(extra, 1), schema=schema)
 
-    def decode_one(path, idx, name, payload):
+    def decode_one(path, idx, name, payload, extra):
         try:
             vector = vectorize(netcdf.loads(payload), spec, total)
         except Exception as exc:  # noqa: BLE001 - every failure becomes a quarantine row
-            return [emit_bad(path, idx, name, f"{type(exc).__name__}: {exc}")]
-        return emit_record(path, idx, name, vector)
+            return [emit_bad(path, idx, name, f"{type(exc).__name__}: {exc}", extra)]
+        return emit_record(path, idx, name, vector, extra)
 
     def decode_batches(batches):
         """Entries in any order: each is read with one seek + one read of its
@@ -211,8 +216,10 @@ def _decoder(spec, total: int, block_size: int):
         try:
             for batch in batches:
                 cols = batch.to_pydict()
-                for path, idx, name, size, offset in zip(
-                    cols["archive_path"], cols["entry_idx"], cols["record_name"], cols["size"], cols["data_offset"]
+                extras = list(zip(*(cols[c] for c, _ in carry))) if carry else [()] * batch.num_rows
+                for path, idx, name, size, offset, extra in zip(
+                    cols["archive_path"], cols["entry_idx"], cols["record_name"], cols["size"], cols["data_offset"],
+                    extras,
                 ):
                     try:
                         fh = handles.get(path)
@@ -226,9 +233,9 @@ def _decoder(spec, total: int, block_size: int):
                         if len(payload) != size:
                             raise OSError(f"short read: {len(payload)} of {size} bytes")
                     except OSError as exc:
-                        yield emit_bad(path, idx, name, f"unreadable entry: {exc}")
+                        yield emit_bad(path, idx, name, f"unreadable entry: {exc}", extra)
                         continue
-                    yield from decode_one(path, idx, name, payload)
+                    yield from decode_one(path, idx, name, payload, extra)
         finally:
             for fh in handles.values():
                 fh.close()
@@ -241,9 +248,13 @@ def _decode_partitions(manifest: DataFrame, bytes_per_task: int = 1 << 30) -> in
     return max(4 * manifest.sparkSession.sparkContext.defaultParallelism, int(-(-total // bytes_per_task)))
 
 
-def decode_entries(manifest: DataFrame, layout: DataFrame, block_size: int, partitions: int | None = None) -> DataFrame:
+def decode_entries(
+    manifest: DataFrame, layout: DataFrame, block_size: int, partitions: int | None = None, carry=()
+) -> DataFrame:
     """Decode the manifest's entries into segments + failure rows.
 
+    ``carry`` names manifest columns copied onto every output row (such as
+    the store's ``chunk_id``), so no join is needed after decoding.
     Entries are spread over ``partitions`` tasks (default: about 1 GiB of
     entry bytes per task, at least four per core; the manifest carries the
     sizes), ordered by archive and offset inside a task so reads stay
@@ -253,9 +264,14 @@ def decode_entries(manifest: DataFrame, layout: DataFrame, block_size: int, part
     spec = layout_spec(layout)
     total = max(o + n for _, o, n, _ in spec)
     n = partitions or _decode_partitions(manifest)
-    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
+    carry = list(carry)
+    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset", *carry)
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
-    return entries.mapInArrow(_decoder(spec, total, block_size), DECODED_SCHEMA)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_carry = tuple((c, to_arrow_type(manifest.schema[c].dataType)) for c in carry)
+    ddl = DECODED_SCHEMA + "".join(f", {c} {manifest.schema[c].dataType.simpleString()}" for c in carry)
+    return entries.mapInArrow(_decoder(spec, total, block_size, arrow_carry), ddl)
 
 
 def split_quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:

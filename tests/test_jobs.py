@@ -41,6 +41,9 @@ def test_convert_transpose_lookup_resume(spark, tmp_dir):
     second = jobs.convert(spark, root, listing, layout, out, block_size=8, archives_per_chunk=1)
     assert (second["records"], second["quarantined"]) == (20, 0)
     assert jobs.segments(spark, f"{out}/decoded").groupBy("record_name", "block_id").count().where("count > 1").count() == 0
+    chunks = {r["record_name"][12:20]: r["chunk_id"] for r in
+              jobs.segments(spark, f"{out}/decoded").select("record_name", "chunk_id").distinct().collect()}
+    assert chunks["19790101"] == 0 and chunks["19790107"] == 1  # archive rank div archives_per_chunk
     third = jobs.convert(spark, root, listing, layout, out, block_size=8, archives_per_chunk=1)
     assert third["records"] == 20
     names = jobs.names(spark, f"{out}/decoded", f"{out}/names", text_path=f"{out}/names_txt")
