@@ -142,25 +142,35 @@ def segment_completeness(segments: DataFrame, n_cells: int, block_size: int) ->
     Counts per record use only ``record_name`` and ``block_id`` (the value
     column is not read); lengths are read for the last block only (a pushed
     filter that skips row groups on block-sorted files). Inner segments are
-    length-checked by the tile transpose itself. Returns ``(record_name,
-    n_segments, n_blocks, last_length, reason)`` for the bad records only."""
+    length-checked by the tile transpose itself, which also checks each tile
+    exactly. Returns ``(record_name, n_segments, last_length, reason)`` for
+    the bad records only."""
     expected_blocks = -(-n_cells // block_size)
     last_block = expected_blocks - 1
     last_len = n_cells - last_block * block_size
+    # combinable aggregates only (one partial row per record and partition);
+    # a distinct count would shuffle every (record, block) pair
     counts = segments.groupBy("record_name").agg(
         F.count(F.lit(1)).alias("n_segments"),
-        F.countDistinct("block_id").alias("n_blocks"),
+        F.min("block_id").alias("_lo"),
+        F.max("block_id").alias("_hi"),
+        F.sum(F.col("block_id").cast("long")).alias("_sum"),
     )
     tails = segments.where(F.col("block_id") == last_block).groupBy("record_name").agg(
         F.max(F.size("values")).alias("last_length")
     )
     per_record = counts.join(tails, "record_name", "left")
+    expected_sum = expected_blocks * (expected_blocks - 1) // 2
     reason = (
-        F.when(F.col("n_segments") > F.col("n_blocks"), F.lit("repeated segments (duplicate record name)"))
-        .when(F.col("n_blocks") != expected_blocks, F.concat(F.lit("blocks "), F.col("n_blocks").cast("string")))
+        F.when(F.col("n_segments") > expected_blocks, F.lit("repeated segments (duplicate record name)"))
+        .when(F.col("n_segments") < expected_blocks, F.concat(F.lit("blocks "), F.col("n_segments").cast("string")))
+        .when((F.col("_lo") != 0) | (F.col("_hi") != last_block) | (F.col("_sum") != expected_sum),
+              F.lit("block ids inconsistent"))
         .when(F.col("last_length") != last_len, F.concat(F.lit("last block length "), F.col("last_length").cast("string")))
     )
-    return per_record.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    return per_record.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
+        "record_name", "n_segments", "last_length", "reason"
+    )
 
 
 def require_complete(segments: DataFrame, n_cells: int, block_size: int, examples: int = 5) -> None:
