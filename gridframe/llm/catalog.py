@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import language, packing
+from gridframe.llm import language, packing, toxicity
 from gridframe.llm import text as T
 
 
@@ -25,12 +25,19 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, language.fit(docs), keep=["doc_id", "held_out"])
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rows = docs.withColumn("held_out", T.held_out("doc_id"))
+    return toxicity.classify(rows, toxicity.fit(docs, _read(spark, sf_dir, "labels")), keep=["doc_id", "held_out"])
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
