@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import language, packing
+from gridframe.llm import decontaminate, language, near_dup, packing, toxicity
 from gridframe.session import scratch_path
 
 
@@ -20,6 +20,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(~F.col("rejected")).select("doc.*")
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic; those with a score of 0.5 or more go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.classify(docs.select(F.struct("*").alias("doc"), "text"), model, keep=["doc"])
+    return scored.where("predicted = 0").select("doc.*")
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the least id (one
+    row of it, if rows repeat). Rows without an id have no class and stay."""
+    stay = near_dup.near_duplicates(docs).where("representative").select("doc_id").distinct()
+    chosen = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return chosen.union(docs.where(F.col("doc_id").isNull()))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item. Rows without an id are
+    judged under a stand-in id of their text."""
+    named = docs.withColumn("_gf_id", F.coalesce("doc_id", F.xxhash64("text")))
+    found = decontaminate.contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_gf_id")
+    dirty = found.select(F.col("doc_id").alias("_gf_id")).distinct()
+    return named.join(dirty, "_gf_id", "left_anti").select(docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents in packed windows."""
     return packing.pack(docs)
@@ -27,6 +51,9 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("language", language_stage),
+    ("toxicity", toxicity_stage),
+    ("near_dup", near_dup_stage),
+    ("decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
 
