@@ -12,13 +12,15 @@ is cut into fixed windows. Two passes:
    row moves between tasks and no window is gathered anywhere.
 
 Ids are those of the byte-level BPE file. A text is split by the file's own
-pre-tokenising pattern and every distinct piece is encoded once per task
-through the ``tokenizers`` library; repeated pieces are looked up. Merges never
-cross pieces, so the ids equal those of encoding the whole text.
+pre-tokenising pattern and every distinct piece goes once through the BPE model
+of the ``tokenizers`` library; a Python worker remembers the pieces it has
+seen, for all its tasks. Merges never cross pieces, so the ids equal those of
+encoding the whole text.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,54 +34,54 @@ from gridframe.session import scratch_path, ship_package
 
 WINDOW = 2048
 END_ID = 1
-#: distinct pieces that a task remembers before it starts afresh (about 60 MB)
-REMEMBERED_PIECES = 300_000
+#: distinct pieces that a worker remembers before it starts afresh (about 100 MB)
+REMEMBERED_PIECES = 500_000
 #: the pre-tokenising pattern of the byte-level vocabulary (fixed value)
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class PieceEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes."""
+def _byte_letters() -> dict[int, int]:
+    """The byte-level vocabulary writes printable Latin-1 bytes as themselves and the
+    others, in order, as the characters from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+class PieceEncoder(dict):
+    """Piece -> its token ids as little-endian unsigned 32-bit bytes, filled as pieces come."""
 
     def __init__(self, tokenizer_path: str | None):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True
+        self.tokens_of = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.pieces_of = regex.compile(PIECE_PATTERN).findall
-        self.known: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED_PIECES:
-            self.known = {}
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at:at + 4096]
-            for piece, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(enc.ids, "<u4").tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.tokens_of(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
+        ids = struct.pack("<%dI" % len(tokens), *[t.id for t in tokens])
+        if len(self) >= REMEMBERED_PIECES:
+            self.clear()
+        self[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        out = []
-        pieces = self.pieces_of(text)
-        for at in range(0, len(pieces), 50_000):
-            part = pieces[at:at + 50_000]
-            known = self.known
-            new = [p for p in set(part) if p not in known]
-            if new:
-                self._learn(new)
-                if self.known is not known:  # started afresh: old pieces are needed again
-                    self._learn([p for p in set(part) if p not in self.known])
-            out.append(b"".join(map(self.known.__getitem__, part)))
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, self.pieces_of(text)))
+
+
+_ENCODERS: dict[str | None, PieceEncoder] = {}
 
 
 def _tokenise(tokenizer_path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = PieceEncoder(tokenizer_path)
+        if tokenizer_path not in _ENCODERS:
+            _ENCODERS[tokenizer_path] = PieceEncoder(tokenizer_path)
+        encoder = _ENCODERS[tokenizer_path]
         end = np.array([end_id], "<u4").tobytes()
         start = 0
         for batch in batches:
