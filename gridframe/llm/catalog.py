@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import decontaminate, html, language, licenses, lm_score, near_dup, packing, topk, toxicity
+from gridframe.llm import decontaminate, html, language, licenses, lm_score, near_dup, packing, topk, toxicity, urls
 from gridframe.llm import text as T
 
 
@@ -46,6 +46,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, language.fit(docs), keep=["doc_id", "held_out"])
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = urls.train(urls.labelled_urls(spark))
+    return urls.judge(_read(spark, sf_dir, "pages"), weights, keep=["page_id"])
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.backoff_scores(_read(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_topk": op4_topk,
     "op5_html": op5_html,
     "op6_language_id": op6_language_id,
+    "op7_url_filter": op7_url_filter,
     "op8_lm_score": op8_lm_score,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,

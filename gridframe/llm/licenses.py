@@ -15,8 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: a line that goes on in lower case belongs to the line before it (capture 1: its first letter)
-WRAPPED = r"[ \t]*\r?\n[ \t*#/;>|-]*([a-z(])"
+#: a line that goes on in lower case, or amid a licence's name, belongs to the line before it (capture 1: its beginning)
+WRAPPED = r"[ \t]*\r?\n[ \t*#/;>|-]*([a-z(]|Foundation\b|Software Foundation|Public License|General Public|Lesser General|Affero General|License,)"
 SENTENCE_END = r"[.!?;]+[ \t]+|[.!?;:]*[ \t]*[\r\n]+|[.!?;:]+$"
 ANCHOR = r"licen|copyright|permission|redistribut|warrant|rights reserved|free software|public domain|creative commons|copying and distribution"
 NOT_WORD = r"[^a-z0-9]+"
