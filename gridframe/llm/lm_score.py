@@ -131,7 +131,7 @@ def _scores(order: int, bits: int, buckets: int, corpus_words: int, backoff: flo
             at = np.flatnonzero(enough)
             best[at[seen]] = np.log(top[seen] / np.maximum(under[seen], top[seen]))
             best[~enough] -= np.log(backoff)  # no longer context there: nothing is backed off
-        sums = np.bincount(doc, best, len(lengths))
+        sums = np.bincount(doc, best, len(lengths)).astype(np.float64)
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(lengths.astype(np.int64)),
                          "log_score": pa.array(np.round(sums, 6)), "score": pa.array(np.round(sums / np.maximum(lengths, 1), 6))})
 
