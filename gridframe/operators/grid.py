@@ -9,7 +9,7 @@ order, so cell (l, i, j) of a 3-D variable is at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridframe.functions.arrays import mask_equal  # noqa: F401  (re-exported)
@@ -19,11 +19,6 @@ from gridframe.session import ship_package
 # --------------------------------------------------------------------------
 # W3 layout
 # --------------------------------------------------------------------------
-# A layout has one row per variable level (211 for the full data set); it is
-# a job parameter, built on the driver and shipped as a local relation.
-MAX_LAYOUT_ROWS = 1_000_000
-
-
 def layout_offsets(variables: DataFrame, max_group_length: int | None = None) -> DataFrame:
     """Layout table from ``(var, var_pos, n_levels, n_lat, n_lon)``.
 
@@ -31,25 +26,22 @@ def layout_offsets(variables: DataFrame, max_group_length: int | None = None) ->
     ``(var_pos, level)`` order. ``group_id`` packs whole variables into
     groups of about ``max_group_length`` cells (the variable-group chunking):
     group = offset of the variable's first level div ``max_group_length``.
+
+    A running sum over the variables (metadata: one row per variable), as an
+    expression; the levels are exploded from it.
     """
-    spark = variables.sparkSession
-    specs = sorted(
-        (int(r["var_pos"]), r["var"], int(r["n_levels"]), int(r["n_lat"]), int(r["n_lon"]))
-        for r in variables.select("var", "var_pos", "n_levels", "n_lat", "n_lon").collect()
-    )
-    rows, offset = [], 0
-    for var_pos, var, n_levels, n_lat, n_lon in specs:
-        group_id = offset // max_group_length if max_group_length else None
-        for level in range(n_levels):
-            rows.append((var, var_pos, level, n_lat, n_lon, offset, n_lat * n_lon, group_id))
-            offset += n_lat * n_lon
-    if len(rows) > MAX_LAYOUT_ROWS:
-        raise ValueError(f"layout has {len(rows)} rows; expected one row per variable level")
-    layout = spark.createDataFrame(
-        rows,
-        "var string, var_pos int, level int, n_lat int, n_lon int, offset long, length long, group_id int",
+    before = Window.orderBy("var_pos", "var").rowsBetween(Window.unboundedPreceding, -1)
+    cells = F.col("n_levels").cast("long") * F.col("n_lat") * F.col("n_lon")
+    spans = variables.select("var", "var_pos", "n_levels", "n_lat", "n_lon").withColumn(
+        "_o", F.coalesce(F.sum(cells).over(before), F.lit(0)).cast("long"))
+    plane = F.col("n_lat").cast("long") * F.col("n_lon")
+    levels = spans.where(F.col("n_levels") > 0).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("n_levels").cast("int") - 1)))
+    layout = levels.select(
+        "var", F.col("var_pos").cast("int").alias("var_pos"), "level", F.col("n_lat").cast("int").alias("n_lat"),
+        F.col("n_lon").cast("int").alias("n_lon"), (F.col("_o") + F.col("level") * plane).alias("offset"), plane.alias("length"),
+        *([F.expr(f"cast(_o div {int(max_group_length)} as int)").alias("group_id")] if max_group_length else []),
     )
-    return layout if max_group_length else layout.drop("group_id")
+    return layout
 
 
 def variable_spans(layout: DataFrame) -> DataFrame:
@@ -88,13 +80,20 @@ def to_record_segments(grid_vars: DataFrame, layout: DataFrame, block_size: int)
 
     Each variable is cut into the pieces that fall into each block of the
     record vector; a group is one segment (``block_size`` floats at most),
-    so no whole record vector is ever built in one row.
+    so no whole record vector is ever built in one row. A variable of another
+    length than the layout's, and a block whose pieces leave a gap or overlap
+    (a variable that is absent or given twice), fail the job with the record;
+    ``fill_missing_variables`` supplies absent variables.
     """
+    total = variable_spans(layout).agg(F.sum("length")).first()[0] or 0
     spans = F.broadcast(variable_spans(layout).select("var", F.col("offset").alias("_o"), F.col("length").alias("_n")))
     v = grid_vars.join(spans, "var")
     first = (F.col("_o") / block_size).cast("long")
     last = ((F.col("_o") + F.col("_n") - 1) / block_size).cast("long")
-    pieces = v.select("record_name", "_o", "_n", "values", F.explode(F.sequence(first, last)).alias("block_id"))
+    sized = F.when(F.size("values") == F.col("_n"), F.col("values")).otherwise(F.raise_error(F.concat(
+        F.lit("record "), F.col("record_name"), F.lit(": variable "), F.col("var"), F.lit(" has "), F.size("values").cast("string"),
+        F.lit(" cells, the layout expects "), F.col("_n").cast("string"))).cast("array<float>"))
+    pieces = v.select("record_name", "_o", "_n", sized.alias("values"), F.explode(F.sequence(first, last)).alias("block_id"))
     start = F.greatest(F.col("block_id") * block_size - F.col("_o"), F.lit(0))
     end = F.least(F.col("_n"), (F.col("block_id") + 1) * block_size - F.col("_o"))
     pieces = pieces.select(
@@ -103,9 +102,15 @@ def to_record_segments(grid_vars: DataFrame, layout: DataFrame, block_size: int)
         (F.col("_o") + start - F.col("block_id") * block_size).alias("_at"),
         F.slice("values", (start + 1).cast("int"), (end - start).cast("int")).alias("_piece"),
     )
+    # each piece must begin where the one before it ends, from 0 to the block's length
+    end = F.aggregate("_p", F.lit(0).cast("long"), lambda at, s: F.when(s["_at"] == at, at + F.size(s["_piece"])).otherwise(F.lit(-1).cast("long")))
+    wanted = F.least(F.lit(block_size).cast("long"), F.lit(int(total)) - F.col("block_id").cast("long") * block_size)
+    whole = F.flatten(F.transform("_p", lambda s: s["_piece"]))
+    message = F.concat(F.lit("record "), F.col("record_name"), F.lit(", block "), F.col("block_id").cast("string"),
+                       F.lit(": a variable is absent or given twice"))
     return pieces.groupBy("record_name", "block_id").agg(
         F.sort_array(F.collect_list(F.struct("_at", "_piece"))).alias("_p")
-    ).select("record_name", "block_id", F.flatten(F.transform("_p", lambda s: s["_piece"])).alias("values"))
+    ).select("record_name", "block_id", F.when(end == wanted, whole).otherwise(F.raise_error(message).cast("array<float>")).alias("values"))
 
 
 # --------------------------------------------------------------------------
@@ -254,6 +259,8 @@ def _scatter_segments(keys, block_size: int, n_blocks: int, last_len: int, fill:
     import pyarrow.compute as pc
 
     def lengths_of(block_id):
+        if len(block_id) and block_id.max() >= n_blocks:
+            raise ValueError(f"a position lies in block {block_id.max()} of {n_blocks}: outside the record")
         return np.where(block_id == n_blocks - 1, last_len, block_size).astype(np.int64)
 
     def make_batch(key_arrays, block_id, dense, lengths):
@@ -280,7 +287,15 @@ def _scatter_segments(keys, block_size: int, n_blocks: int, last_len: int, fill:
                 parent = pc.list_parent_indices(entries).to_numpy(zero_copy_only=False)
                 k = flat.field("k").to_numpy(zero_copy_only=False).astype(np.int64)
                 v = flat.field("value").to_numpy(zero_copy_only=False)
-                dense[starts[parent] + k] = v
+                outside = np.flatnonzero((k < 0) | (k >= lengths[parent]) | (block_id[parent] < 0))
+                at = starts[parent] + k
+                if len(outside) or len(np.unique(at)) != len(at):
+                    i = int(outside[0]) if len(outside) else int(np.flatnonzero(np.bincount(at)[at] > 1)[0])
+                    row = int(parent[i])
+                    who = ", ".join(str(batch.column(c)[row]) for c in keys)
+                    raise ValueError(f"record {who}: position {block_id[row] * block_size + k[i]} is "
+                                     f"{'outside the record' if len(outside) else 'given twice'}")
+                dense[at] = v
             for key, b in zip(zip(*(batch.column(c).to_pylist() for c in keys)), block_id.tolist()):
                 mask = seen.get(key)
                 if mask is None:
@@ -312,7 +327,8 @@ def cells_to_segments(
     cells: DataFrame, n_cells: int, block_size: int, fill: float, keys=("record_name",), partitions: int | None = None
 ) -> DataFrame:
     """A1-A3 from sparse cells ``(record_name, pos, value)``: dense segments
-    of a fixed-length vector, absent cells = ``fill``.
+    of a fixed-length vector, absent cells = ``fill``. A position outside the
+    vector, or given twice for a record, fails the job with the record.
 
     A group is one segment (at most ``block_size`` cells). Blocks with no
     cell at all are filled in by the kernel from the blocks each record has

@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.functions.arrays import block_count, dense_from_entries, dot
+from gridframe.functions.arrays import block_count, dense_from_entries
 from gridframe.operators.index import broadcast_if_small, partitions_for
-from gridframe.session import ship_package
+from gridframe.session import checkpoint_dir, ship_package
 
 # Bytes of a broadcast side we accept per join (vector x of a product).
 DEFAULT_BROADCAST_BYTES = 512 * 1024 * 1024
@@ -32,9 +32,10 @@ DEFAULT_BROADCAST_BYTES = 512 * 1024 * 1024
 # A11 segmentation
 # --------------------------------------------------------------------------
 def segment(vectors: DataFrame, block_size: int, keys=("record_name",), values: str = "values") -> DataFrame:
-    """Cut whole vectors into ``block_size`` segments (narrow, no shuffle)."""
+    """Cut whole vectors into ``block_size`` segments (narrow, no shuffle). An empty
+    vector has no segment (``verify.check_lengths`` reports it)."""
     keys = list(keys)
-    return vectors.select(
+    return vectors.where(F.size(values) > 0).select(
         *keys, values, F.explode(F.sequence(F.lit(0), block_count(values, block_size) - 1)).alias("block_id")
     ).select(
         *keys,
@@ -100,17 +101,18 @@ def transpose_sql(segments: DataFrame, names: DataFrame, block_size: int) -> Dat
 # --------------------------------------------------------------------------
 # M2 blocked transpose: tiles of (block of cells) x (block of records)
 # --------------------------------------------------------------------------
-def _tile_transposer(records_per_tile: int):
+def _tile_transposer(records_per_tile: int, n_records: int | None = None):
     def transpose_tile(table: pa.Table) -> pa.Table:
         n = table.num_rows
         row0 = int(table.column("row0")[0].as_py())
         rblock = int(table.column("rblock")[0].as_py())
         col_idx = table.column("col_idx").to_numpy()
         first = rblock * records_per_tile
-        if col_idx.min() != first or col_idx.max() != first + n - 1:
+        expected = n if n_records is None else min(records_per_tile, n_records - first)
+        if n != expected or not np.array_equal(np.sort(col_idx), np.arange(first, first + n)):
             raise ValueError(
-                f"tile (row {row0}, record block {rblock}): records {col_idx.min()}..{col_idx.max()} for {n} rows; "
-                "a segment is missing or duplicated"
+                f"tile (row {row0}, record block {rblock}): records {col_idx.min()}..{col_idx.max()} in {n} rows, "
+                f"expected {first}..{first + expected - 1} once each; a segment is missing or duplicated"
             )
         vals = table.column("values").combine_chunks()
         lengths = pc.list_value_length(vals).to_numpy(zero_copy_only=False)
@@ -158,6 +160,7 @@ def transpose_blocked(
     partitions: int | None = None,
     n_cells: int | None = None,
     sub_block: int | None = None,
+    n_records: int | None = None,
 ) -> DataFrame:
     """``A^T`` segments -> column chunks of ``A`` ``(row_idx, rblock, values)``.
 
@@ -169,9 +172,9 @@ def transpose_blocked(
     Use ``merge_column_chunks`` for whole rows when there are several record
     blocks.
     """
-    if partitions is None:
-        n_rec, n_cells = matrix_shape(segments, names, block_size, n_cells)
-        partitions = partitions_for(segments.sparkSession, 4.0 * n_rec * n_cells)
+    if partitions is None or n_records is None:
+        n_records, n_cells = matrix_shape(segments, names, block_size, n_cells)
+        partitions = partitions or partitions_for(segments.sparkSession, 4.0 * n_records * n_cells)
     ship_package(segments.sparkSession)
     sub = block_size if not sub_block or sub_block >= block_size else int(sub_block)
     tiles = attach_col_idx(segments, names).select(
@@ -194,23 +197,36 @@ def transpose_blocked(
             (F.col("block_id").cast("long") * block_size).alias("row0"), "rblock", "col_idx", "values"
         )
     return tiles.repartition(partitions, "row0", "rblock").groupBy("row0", "rblock").applyInArrow(
-        _tile_transposer(records_per_tile),
+        _tile_transposer(records_per_tile, n_records),
         "row_idx long, rblock int, values array<float>",
     )
 
 
-def merge_column_chunks(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+def merge_column_chunks(chunks: DataFrame, partitions: int | None = None, n_records: int | None = None) -> DataFrame:
     """Stitch column chunks of ``A`` into whole rows on ``row_idx``.
 
     One shuffle (not one join per chunk); a group holds one segment per
     record block, i.e. one value per record in total. ``partitions`` sizes
-    that shuffle (default: Spark's setting, adjusted by AQE).
+    that shuffle (default: Spark's setting, adjusted by AQE). A row whose
+    record blocks are not 0, 1, 2, ... once each, or that has not
+    ``n_records`` values (if given), fails the job with its index.
     """
     if partitions:
         chunks = chunks.repartition(partitions, "row_idx")
     return chunks.groupBy("row_idx").agg(
         F.sort_array(F.collect_list(F.struct("rblock", "values"))).alias("_p")
-    ).select("row_idx", F.flatten(F.transform("_p", lambda s: s["values"])).alias("values"))
+    ).select("row_idx", "_p", F.flatten(F.transform("_p", lambda s: s["values"])).alias("_v")).select(
+        "row_idx", _checked_row(n_records).alias("values"))
+
+
+def _checked_row(n_records: int | None):
+    blocks = F.transform("_p", lambda s: s["rblock"])
+    whole = blocks == F.sequence(F.lit(0), F.size("_p") - 1)
+    if n_records is not None:
+        whole = whole & (F.size("_v") == n_records)
+    message = F.concat(F.lit("row "), F.col("row_idx").cast("string"), F.lit(": record blocks "), F.to_json(blocks),
+                       F.lit(" with "), F.size("_v").cast("string"), F.lit(" values; a block is missing or repeated"))
+    return F.when(whole, F.col("_v")).otherwise(F.raise_error(message).cast("array<float>"))
 
 
 def transpose(
@@ -234,10 +250,10 @@ def transpose(
         sub, records_per_tile = tile_plan(n_records, block_size, max_tile_bytes)
     else:
         sub = block_size
-    chunks = transpose_blocked(segments, names, block_size, records_per_tile, partitions, n_cells, sub)
+    chunks = transpose_blocked(segments, names, block_size, records_per_tile, partitions, n_cells, sub, n_records)
     if n_records <= records_per_tile:
         return chunks.select("row_idx", "values")
-    return merge_column_chunks(chunks, partitions)
+    return merge_column_chunks(chunks, partitions, n_records)
 
 
 def to_long(rows: DataFrame, row_col: str = "row_idx", col_col: str = "col_idx") -> DataFrame:
@@ -264,16 +280,20 @@ def vector_segments(spark, values, block_size: int) -> DataFrame:
 
 def vector_from_cells(cells: DataFrame, n_cells: int, block_size: int, default: float = 0.0) -> DataFrame:
     """A vector given as a table ``(pos, value)`` -> segments ``(block_id,
-    values array<double>)``; absent positions get ``default``. A group is
-    one block (at most ``block_size`` entries)."""
+    values array<double>)``; absent positions, and blocks without any entry, get
+    ``default``, so the vector always has its full length. A group is one block
+    (at most ``block_size`` entries)."""
     n_blocks = -(-n_cells // block_size)
     last_len = n_cells - (n_blocks - 1) * block_size
     grouped = cells.select(
         (F.col("pos") / block_size).cast("int").alias("block_id"),
         F.struct((F.col("pos") % block_size).cast("int").alias("k"), F.col("value").cast("double").alias("value")).alias("e"),
     ).groupBy("block_id").agg(F.collect_list("e").alias("_e"))
+    all_blocks = cells.sparkSession.range(n_blocks).select(F.col("id").cast("int").alias("block_id"))
     length = F.when(F.col("block_id") == n_blocks - 1, F.lit(last_len)).otherwise(F.lit(block_size))
-    return grouped.select("block_id", dense_from_entries("_e", length, default, "double").alias("values"))
+    none = F.array().cast("array<struct<k:int,value:double>>")
+    return all_blocks.join(grouped, "block_id", "left").withColumn("_e", F.coalesce("_e", none)).select(
+        "block_id", dense_from_entries("_e", length, default, "double").alias("values"))
 
 
 def column_means(segments: DataFrame, block_size: int) -> DataFrame:
@@ -295,6 +315,30 @@ def _masked(values: str, fill: float | None):
     return F.transform(values, lambda v: F.when(v == fill_f, F.lit(0.0).cast("float")).otherwise(v))
 
 
+def _dots(fill: float | None):
+    """numpy dot products of Arrow batches ``(record_name, block_id, values, _x)``."""
+    def run(batches):
+        for batch in batches:
+            v, x = batch.column(2), batch.column(3)
+            size = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+            wrong = np.flatnonzero(np.nan_to_num(pc.list_value_length(x).to_numpy(zero_copy_only=False), nan=-1) != size)
+            if len(wrong):
+                i = int(wrong[0])
+                raise ValueError(f"record {batch.column(0)[i]}, block {batch.column(1)[i]}: {size[i]} cells, but the vector's "
+                                 f"block has {pc.list_value_length(x)[i]}")
+            a = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if fill is not None:
+                f32 = np.float32(fill)
+                a[np.isnan(a) if np.isnan(f32) else a == f32] = 0.0
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+            # a zero at the end, so that an empty last segment has a place to start
+            terms = np.append(a * x.flatten().to_numpy(zero_copy_only=False), 0.0)
+            sums = np.where(size > 0, np.add.reduceat(terms, starts), 0.0) if len(size) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], names=["record_name", "_d"])
+
+    return run
+
+
 def matvec(
     segments: DataFrame,
     x_segments: DataFrame,
@@ -304,24 +348,23 @@ def matvec(
 ) -> DataFrame:
     """M6: ``A^T x``, one number per record ``(record_name, value)``.
 
-    ``x`` is joined to segments on ``block_id``. Its size is known (8 bytes
-    per cell): when it fits ``max_broadcast_bytes`` it is broadcast whole,
-    otherwise the product runs in passes over block ranges, each pass
-    broadcasting one slice of ``x``. Partial dot products are summed per
-    record with a map-side combine. Cells equal to ``fill`` count as 0.
+    ``x`` is checkpointed (it is used twice) and joined to the segments on
+    ``block_id``; every segment needs its block of ``x`` at full length (see
+    ``vector_from_cells``), or the job fails with the record and block. While
+    ``x`` (8 bytes per cell) is within ``max_broadcast_bytes`` it is broadcast;
+    beyond, both sides are shuffled on the block, and AQE splits a block that
+    many records share. Dot products are numpy's, one Arrow batch at a time;
+    partial sums are combined map-side. Cells equal to ``fill`` count as 0.
     """
-    n_blocks = x_segments.agg(F.max("block_id")).first()[0]
-    n_blocks = 0 if n_blocks is None else n_blocks + 1
-    per_pass = max(1, max_broadcast_bytes // (8 * block_size))
-    xs = x_segments.select("block_id", F.col("values").alias("_x"))
-    partials = None
-    for lo in range(0, max(n_blocks, 1), per_pass):
-        hi = lo + per_pass - 1
-        piece = segments.where(F.col("block_id").between(lo, hi)).join(
-            F.broadcast(xs.where(F.col("block_id").between(lo, hi))), "block_id"
-        ).select("record_name", dot(_masked("values", fill), "_x").alias("_d"))
-        partials = piece if partials is None else partials.unionByName(piece)
-    return partials.groupBy("record_name").agg(F.sum("_d").alias("value"))
+    spark = segments.sparkSession
+    ship_package(spark)
+    checkpoint_dir(spark)
+    x = x_segments.select("block_id", F.col("values").cast("array<double>").alias("_x")).checkpoint(eager=True)
+    cells = x.agg(F.sum(F.size("_x"))).first()[0] or 0
+    side = F.broadcast(x) if 8 * cells <= max_broadcast_bytes else x.hint("merge")
+    joined = segments.select("record_name", "block_id", "values").join(side, "block_id", "left").select(
+        "record_name", "block_id", "values", "_x")
+    return joined.mapInArrow(_dots(fill), "record_name string, _d double").groupBy("record_name").agg(F.sum("_d").alias("value"))
 
 
 def matvec_transpose(segments: DataFrame, y: DataFrame, block_size: int, fill: float | None = None) -> DataFrame:

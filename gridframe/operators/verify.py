@@ -98,11 +98,13 @@ def compare_vectors(a: DataFrame, b: DataFrame, tol: float = 0.0) -> DataFrame:
     la = a.select("record_name", F.posexplode("values").alias("pos", "_a"))
     lb = b.select("record_name", F.posexplode("values").alias("pos", "_b"))
     j = la.join(lb, ["record_name", "pos"], "full_outer")
-    d = F.col("_a").cast("double") - F.col("_b").cast("double")
+    same = F.col("_a") == F.col("_b")  # NaN equals NaN here (Q13)
+    d = F.when(same, F.lit(0.0)).otherwise(F.col("_a").cast("double") - F.col("_b").cast("double"))
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     return j.groupBy("record_name").agg(
         F.count("_a").alias("n_a"),
         F.count("_b").alias("n_b"),
+        # a NaN against a number is a mismatch too (Spark sorts NaN above all numbers)
         F.sum(F.when(both & (F.abs(d) > tol), 1).otherwise(0)).cast("long").alias("n_mismatch"),
         F.sqrt(F.sum(F.when(both, d * d).otherwise(0.0))).alias("l2"),
     )
@@ -155,16 +157,23 @@ def segment_completeness(segments: DataFrame, n_cells: int, block_size: int) ->
         F.min("block_id").alias("_lo"),
         F.max("block_id").alias("_hi"),
         F.sum(F.col("block_id").cast("long")).alias("_sum"),
+        # with count, sum and ends these tell 0,2,2,2,4 from 0,1,2,3,4
+        F.bit_xor(F.xxhash64("block_id")).alias("_xor"),
+        F.sum(F.col("block_id").cast("decimal(20,0)") * F.col("block_id")).alias("_squares"),
     )
     tails = segments.where(F.col("block_id") == last_block).groupBy("record_name").agg(
         F.max(F.size("values")).alias("last_length")
     )
     per_record = counts.join(tails, "record_name", "left")
     expected_sum = expected_blocks * (expected_blocks - 1) // 2
+    expected_squares = (expected_blocks - 1) * expected_blocks * (2 * expected_blocks - 1) // 6
+    expected_xor = segments.sparkSession.range(expected_blocks).agg(
+        F.bit_xor(F.xxhash64(F.col("id").cast("int")))).first()[0]
     reason = (
         F.when(F.col("n_segments") > expected_blocks, F.lit("repeated segments (duplicate record name)"))
         .when(F.col("n_segments") < expected_blocks, F.concat(F.lit("blocks "), F.col("n_segments").cast("string")))
-        .when((F.col("_lo") != 0) | (F.col("_hi") != last_block) | (F.col("_sum") != expected_sum),
+        .when((F.col("_lo") != 0) | (F.col("_hi") != last_block) | (F.col("_sum") != expected_sum)
+              | (F.col("_squares") != F.lit(expected_squares).cast("decimal(38,0)")) | (F.col("_xor") != expected_xor),
               F.lit("block ids inconsistent"))
         .when(F.col("last_length") != last_len, F.concat(F.lit("last block length "), F.col("last_length").cast("string")))
     )
@@ -173,6 +182,21 @@ def segment_completeness(segments: DataFrame, n_cells: int, block_size: int) ->
     )
 
 
+def require_same_records(segments: DataFrame, names: DataFrame, examples: int = 5) -> None:
+    """The name table and the stored records are the same set (both ways);
+    raises with counts and examples, since a transpose would otherwise lose
+    records that have no name, or lack those that are only named."""
+    stored = segments.where(F.col("block_id") == 0).select("record_name").distinct()
+    unnamed = stored.join(names, "record_name", "left_anti").select("record_name", F.lit("has no name").alias("why"))
+    absent = names.select("record_name").distinct().join(stored, "record_name", "left_anti").select(
+        "record_name", F.lit("is not stored").alias("why"))
+    wrong = unnamed.union(absent)
+    sample = wrong.limit(examples).collect()
+    if sample:
+        listed = ", ".join(f"{r['record_name']} {r['why']}" for r in sample)
+        raise ValidationError(f"names and stored records differ in {wrong.count()} records, e.g. {listed}")
+
+
 def require_complete(segments: DataFrame, n_cells: int, block_size: int, examples: int = 5) -> None:
     """Raise with counts and a few record names unless every record's
     segments form one full vector (run before a transpose)."""

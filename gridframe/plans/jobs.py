@@ -49,41 +49,58 @@ def convert(
 ) -> dict:
     """Decode every listed archive into the segment store.
 
-    The manifest (entries with offsets) is written once per input list;
-    entries already in ``decoded`` (good or quarantined) are skipped, so a
-    re-run only does the missing work. ``chunk_id`` = archive rank in name
-    order div ``archives_per_chunk`` (the record batches of the store)."""
+    * The manifest grows: archives of the list that it lacks are listed and
+      appended (in new chunks, ranked by name), so a longer list, or a repeated
+      line, does the missing work and no other.
+    * Archives that cannot be listed, or whose listing breaks off, become
+      quarantine rows with the reason, like entries that cannot be decoded.
+    * A chunk (``archives_per_chunk`` archives) counts as done once the ``done``
+      table names it, which happens after its files are committed. Pending
+      chunks overwrite their own partitions, so a run that died half-way is
+      repeated without missing or doubled blocks.
+    """
     out_dir = out_dir.rstrip("/")
-    manifest_path, decoded_path = f"{out_dir}/manifest", f"{out_dir}/decoded"
-    if not _exists(spark, manifest_path):
-        listed = archives.archive_paths(archives.read_archive_list(spark, file_list), root)
-        ranked = index.dense_index(listed, [F.col("archive_name")], "archive_rank")
-        manifest = archives.expand_archives(ranked).join(
-            ranked.select("archive_path", (F.col("archive_rank") / archives_per_chunk).cast("int").alias("chunk_id")),
+    manifest_path, decoded_path, done_path = f"{out_dir}/manifest", f"{out_dir}/decoded", f"{out_dir}/done"
+    listed = archives.archive_paths(archives.read_archive_list(spark, file_list).distinct(), root)
+    new, first_chunk = listed, 0
+    if _exists(spark, manifest_path):
+        known = spark.read.parquet(manifest_path)
+        new = listed.join(known.select("archive_path").distinct(), "archive_path", "left_anti")
+        first_chunk = (known.agg(F.max("chunk_id")).first()[0] or 0) + 1
+    ranked = index.dense_index(new, [F.col("archive_name")], "archive_rank")
+    if not ranked.isEmpty():
+        archives.expand_archives(ranked).join(
+            ranked.select("archive_path", ((F.col("archive_rank") / archives_per_chunk).cast("int") + first_chunk).alias("chunk_id")),
             "archive_path",
-        )
-        manifest.write.parquet(manifest_path)
-    manifest = spark.read.parquet(manifest_path)
-    pending = manifest
-    if _exists(spark, decoded_path):
-        pending = store.pending_entries(manifest, entries_done(spark, decoded_path))
+        ).write.mode("append").parquet(manifest_path)
+    if not _exists(spark, manifest_path):
+        raise ValueError(f"{file_list} lists no archive")
+    pending = spark.read.parquet(manifest_path).join(listed.select("archive_path"), "archive_path", "left_semi")
+    if _exists(spark, done_path):
+        pending = pending.join(spark.read.parquet(done_path), "chunk_id", "left_anti")
+    # a chunk is rewritten whole, with the archives of it that this list does not name
+    chunks = pending.select("chunk_id").distinct()
+    pending = spark.read.parquet(manifest_path).join(index.broadcast_if_small(chunks), "chunk_id", "left_semi")
     # size the clustering shuffle from what is known before decoding:
     # entries x cells x 4 bytes
     n_pending = pending.count()
-    total_cells = max(o + n for _, o, n, _ in archives.layout_spec(layout))
-    write_parts = index.partitions_for(spark, 4.0 * n_pending * total_cells)
-    # chunk_id rides along from the manifest row into the decoded rows: no
-    # join of the decoded data afterwards
-    decoded = archives.decode_entries(pending, layout, block_size, partitions, carry=["chunk_id"]).withColumn(
-        "status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")
-    )
-    # one pass: segments clustered by block (products combine map-side,
-    # row groups skip on block / record predicates), failures alongside
-    # hash on block (a range partitioning would sample, i.e. decode twice)
-    (decoded.repartition(write_parts, "block_id")
-        .sortWithinPartitions("status", "block_id", "record_name")
-        .write.mode("append").partitionBy("status", "chunk_id").option("compression", "zstd")
-        .parquet(decoded_path))
+    if n_pending:
+        total_cells = max(o + n for _, o, n, _ in archives.layout_spec(layout))
+        write_parts = index.partitions_for(spark, 4.0 * n_pending * total_cells)
+        # chunk_id rides along from the manifest row into the decoded rows: no
+        # join of the decoded data afterwards
+        decoded = archives.decode_entries(pending, layout, block_size, partitions, carry=["chunk_id"]).withColumn(
+            "status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")
+        )
+        # one pass: segments clustered by block (products combine map-side,
+        # row groups skip on block / record predicates), failures alongside,
+        # spread by archive; hash on block (a range partitioning would sample,
+        # i.e. decode twice)
+        (decoded.repartition(write_parts, "block_id", F.when(F.col("block_id").isNull(), F.hash("archive_path", "entry_idx")))
+            .sortWithinPartitions("status", "block_id", "record_name")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("status", "chunk_id").option("compression", "zstd").parquet(decoded_path))
+        pending.select("chunk_id").distinct().write.mode("append").parquet(done_path)
     counts = {r["status"]: r["count"] for r in entries_done(spark, decoded_path).groupBy("status").count().collect()}
     return {"manifest": manifest_path, "decoded": decoded_path,
             "records": counts.get("ok", 0), "quarantined": counts.get("quarantine", 0)}
@@ -133,13 +150,15 @@ def transpose(
 ) -> DataFrame:
     """Rows of ``A`` ``(row_idx, values)`` written sorted by ``row_idx``.
 
+    Before any cell moves, the column order (V1), the equality of named and
+    stored records (J1) and the completeness of every record are required.
     The blocked method plans its tiles from the shape (one shuffle unless a
     cell's column over all records exceeds the tile budget)."""
     seg = segments(spark, decoded_path)
     col_names = spark.read.parquet(names_path)
-    _, n_cells = matrix.matrix_shape(seg, col_names, block_size)
-    last = seg.where(F.col("block_id") == n_cells // block_size - 1).agg(F.max(F.size("values"))).first()[0]
-    verify.require_complete(seg, (n_cells // block_size - 1) * block_size + (last or 0), block_size)
+    verify.require_order(col_names)
+    verify.require_same_records(seg, col_names)
+    verify.require_complete(seg, stored_cells(spark, decoded_path, block_size), block_size)
     if method == "blocked":
         rows = matrix.transpose(seg, col_names, block_size, records_per_tile)
     elif method == "sql":
@@ -170,6 +189,15 @@ def compare(spark, decoded_path: str, other: DataFrame) -> DataFrame:
     return verify.compare_vectors(mine, other)
 
 
+def stored_cells(spark: SparkSession, decoded_path: str, block_size: int = DEFAULT_BLOCK_SIZE) -> int:
+    """Cells of a stored record: whole blocks, and the last one's length."""
+    seg = segments(spark, decoded_path)
+    last_block = seg.agg(F.max("block_id")).first()[0]
+    if last_block is None:
+        return 0
+    return last_block * block_size + seg.where(F.col("block_id") == last_block).agg(F.max(F.size("values"))).first()[0]
+
+
 def multiply(spark, decoded_path: str, x_segments: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE,
              fill: float | None = None) -> DataFrame:
     """M6: ``A^T x`` (one number per record)."""
@@ -214,6 +242,11 @@ def main(argv=None) -> None:
     m.add_argument("out_dir"), m.add_argument("x_path"), m.add_argument("target")
     m.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
     m.add_argument("--fill", type=float, default=None)
+    m.add_argument("--default", type=float, default=0.0, help="value of positions that x does not list")
+    my = sub.add_parser("multiply-transpose", help="A y for y given as Parquet (record_name, y); writes (row_idx, value)")
+    my.add_argument("out_dir"), my.add_argument("y_path"), my.add_argument("target")
+    my.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
+    my.add_argument("--fill", type=float, default=None)
     g = sub.add_parser("gaps", help="missing 6-hourly records on the time axis of the stored names")
     g.add_argument("out_dir"), g.add_argument("target"), g.add_argument("--step-hours", type=int, default=6)
     e = sub.add_parser("export")
@@ -232,10 +265,12 @@ def main(argv=None) -> None:
     elif a.cmd == "export":
         export_record(spark, f"{d}/decoded", a.record_name, a.target, a.block_size)
     elif a.cmd == "multiply":
-        x_cells = spark.read.parquet(a.x_path)
-        n_cells = x_cells.agg(F.max("pos")).first()[0] + 1
-        x = matrix.vector_from_cells(x_cells, n_cells, a.block_size)
+        # the length is the store's, not that of the positions x happens to list
+        n_cells = stored_cells(spark, f"{d}/decoded", a.block_size)
+        x = matrix.vector_from_cells(spark.read.parquet(a.x_path), n_cells, a.block_size, a.default)
         multiply(spark, f"{d}/decoded", x, a.block_size, a.fill).write.parquet(a.target)
+    elif a.cmd == "multiply-transpose":
+        multiply_transpose(spark, f"{d}/decoded", spark.read.parquet(a.y_path), a.block_size, a.fill).write.parquet(a.target)
     elif a.cmd == "gaps":
         stamps = spark.read.parquet(f"{d}/names").where(F.col("ts").isNotNull())
         gaps = timeaxis.time_gaps(stamps, "ts", step_hours=a.step_hours)

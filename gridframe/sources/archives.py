@@ -29,13 +29,15 @@ DECODED_SCHEMA = (
     "archive_path string, entry_idx int, record_name string, block_id int, "
     "values array<float>, reason string"
 )
-MANIFEST_DDL = "archive_path string, entry_idx int, record_name string, size long, data_offset long"
+MANIFEST_DDL = "archive_path string, entry_idx int, record_name string, size long, data_offset long, reason string"
 
 
 MANIFEST_ARROW = pa.schema([
     ("archive_path", pa.string()), ("entry_idx", pa.int32()), ("record_name", pa.string()),
-    ("size", pa.int64()), ("data_offset", pa.int64()),
+    ("size", pa.int64()), ("data_offset", pa.int64()), ("reason", pa.string()),
 ])
+# entry_idx of a manifest row about the archive itself (unreadable, or cut off)
+WHOLE_ARCHIVE = -1
 
 
 # --------------------------------------------------------------------------
@@ -54,6 +56,26 @@ def _open(path: str):
     return filesystem.open_input_file(inner)
 
 
+def _read_entry(handles: dict, path: str, offset: int, size: int) -> bytes:
+    """An entry's bytes; ``handles`` keeps the last archive open between calls."""
+    fh = handles.get(path)
+    if fh is None:
+        for old in handles.values():
+            old.close()
+        handles.clear()
+        fh = handles[path] = _open(path)
+    fh.seek(offset)
+    payload = fh.read(size)
+    if len(payload) != size:
+        raise OSError(f"short read: {len(payload)} of {size} bytes")
+    return payload
+
+
+def _listed(manifest: DataFrame) -> DataFrame:
+    """Manifest rows that name a readable entry."""
+    return manifest.where(F.col("reason").isNull()) if "reason" in manifest.columns else manifest
+
+
 def _output(path: str):
     """Writable binary stream for a local path or a pyarrow filesystem URI."""
     if path.startswith("file:"):
@@ -80,35 +102,46 @@ def archive_paths(archive_list: DataFrame, root: str) -> DataFrame:
     return archive_list.select("archive_name", join_path(root, "archive_name").alias("archive_path"))
 
 
-def _list_entries(batches):
-    for batch in batches:
-        out = {"archive_path": [], "entry_idx": [], "record_name": [], "size": [], "data_offset": []}
-
-        def add(path, idx, name, size, offset):
-            out["archive_path"].append(path)
-            out["entry_idx"].append(idx)
-            out["record_name"].append(name)
-            out["size"].append(size)
-            out["data_offset"].append(offset)
-
-        for path in batch.column("archive_path").to_pylist():
+def _list_archive(path: str):
+    """Manifest rows of one archive: its records and, where the archive cannot be
+    read or its listing ends before the end-of-archive mark (a damaged or cut
+    header), one row with the reason."""
+    try:
+        with _open(path) as fh:
             if not path.endswith(".tar"):
                 # Q10: a plain file is a one-entry record
-                with _open(path) as fh:
-                    add(path, 0, os.path.basename(path), fh.seek(0, 2), 0)
-                continue
+                yield path, 0, os.path.basename(path), fh.seek(0, 2), 0, None
+                return
             # headers only: the seekable reader skips over member data
-            with _open(path) as fh, tarfile.open(fileobj=fh, mode="r:") as tar:
+            with tarfile.open(fileobj=fh, mode="r:") as tar:
+                seen = set()
                 for idx, member in enumerate(tar):
                     if member.isfile():  # Q15: directories count but are not records
-                        add(path, idx, os.path.basename(member.name), member.size, member.offset_data)
-        yield pa.RecordBatch.from_pydict(out, schema=MANIFEST_ARROW)
+                        name = os.path.basename(member.name)
+                        reason = f"repeated record name ({member.name})" if name in seen else None
+                        seen.add(name)
+                        yield path, idx, name, member.size, member.offset_data, reason
+                fh.seek(tar.offset)
+                mark = fh.read(tarfile.BLOCKSIZE)
+                if len(mark) < tarfile.BLOCKSIZE or mark.strip(b"\0"):
+                    yield path, WHOLE_ARCHIVE, None, None, None, f"listing ends at byte {tar.offset} without the end-of-archive mark"
+    except (OSError, EOFError, tarfile.TarError) as exc:
+        yield path, WHOLE_ARCHIVE, None, None, None, f"unreadable archive: {type(exc).__name__}: {exc}"
+
+
+def _list_entries(batches):
+    for batch in batches:
+        rows = [r for path in batch.column("archive_path").to_pylist() for r in _list_archive(path)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(MANIFEST_ARROW)], schema=MANIFEST_ARROW)
 
 
 def expand_archives(paths: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(archive_path)`` -> manifest. Only tar headers are read (seeks
     over member data), so an archive costs a few reads; archives are hashed
-    over at most four tasks per core (an archive list is one row per file)."""
+    over at most four tasks per core (an archive list is one row per file).
+    Rows with a ``reason`` stand for what could not be listed; decoding turns
+    them into quarantine rows."""
     ship_package(paths.sparkSession)
     n = partitions or max(1, min(paths.count(), 4 * paths.sparkSession.sparkContext.defaultParallelism))
     return paths.select("archive_path").repartition(n, "archive_path").mapInArrow(_list_entries, MANIFEST_DDL)
@@ -135,24 +168,24 @@ def tar_only(paths: DataFrame, col: str = "archive_path") -> DataFrame:
 # --------------------------------------------------------------------------
 # S4/S5/S14 decode to segments
 # --------------------------------------------------------------------------
-def layout_spec(layout: DataFrame) -> list[tuple[str, int, int, int]]:
+def layout_spec(layout: DataFrame) -> list[tuple[str, int, int, tuple[int, int, int]]]:
     """Driver-side copy of the layout (metadata: one row per variable):
-    ``(var, offset, length, rank)`` in vector order."""
+    ``(var, offset, length, (n_levels, n_lat, n_lon))`` in vector order."""
     rows = layout.groupBy("var", "var_pos").agg(
         F.min("offset").alias("offset"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("n_levels"),
-        F.first("n_lat").alias("n_lat"),
+        F.first("n_lat").alias("n_lat"), F.first("n_lon").alias("n_lon"),
     ).orderBy("var_pos").collect()
-    return [(r["var"], int(r["offset"]), int(r["length"]), 3 if r["n_levels"] > 1 else 2) for r in rows]
+    return [(r["var"], int(r["offset"]), int(r["length"]), (int(r["n_levels"]), int(r["n_lat"]), int(r["n_lon"]))) for r in rows]
 
 
 def vectorize(ds: netcdf.Dataset, spec, total: int) -> np.ndarray:
     """Pick the layout's variables and lay them out row-major.
 
     Raises ``ValueError`` with the reason for any missing variable, rank other
-    than 2 or 3, non-float data, missing fill attribute or wrong size (Q8,
-    Q9); the caller quarantines the record."""
+    than 2 or 3, shape other than the layout's, non-float data or missing fill
+    attribute (Q8, Q9); the caller quarantines the record."""
     out = np.empty(total, dtype=np.float32)
-    for var, offset, length, rank in spec:
+    for var, offset, length, grid in spec:
         if var not in ds.variables:
             raise ValueError(f"missing variable {var}")
         v = ds.variables[var]
@@ -162,10 +195,10 @@ def vectorize(ds: netcdf.Dataset, spec, total: int) -> np.ndarray:
             raise ValueError(f"{var} is not float")
         if "_FillValue" not in v.attrs:
             raise ValueError(f"{var} has no _FillValue")
-        data = ds.read(var).reshape(-1)
-        if data.size != length:
-            raise ValueError(f"{var} has {data.size} cells, layout expects {length}")
-        out[offset:offset + length] = data
+        expected = grid if len(v.shape) == 3 else grid[1:]
+        if tuple(v.shape) != expected or grid[0] != 1 and len(v.shape) == 2:
+            raise ValueError(f"{var} has shape {list(v.shape)}, layout expects {list(grid if grid[0] > 1 else grid[1:])}")
+        out[offset:offset + length] = ds.read(var).reshape(-1)
     return out
 
 
@@ -217,21 +250,15 @@ def _decoder(spec, total: int, block_size: int, carry: tuple = ()):
             for batch in batches:
                 cols = batch.to_pydict()
                 extras = list(zip(*(cols[c] for c, _ in carry))) if carry else [()] * batch.num_rows
-                for path, idx, name, size, offset, extra in zip(
+                for path, idx, name, size, offset, reason, extra in zip(
                     cols["archive_path"], cols["entry_idx"], cols["record_name"], cols["size"], cols["data_offset"],
-                    extras,
+                    cols["reason"], extras,
                 ):
+                    if reason is not None:  # the listing could not vouch for it
+                        yield emit_bad(path, idx, name, reason, extra)
+                        continue
                     try:
-                        fh = handles.get(path)
-                        if fh is None:
-                            for old in handles.values():
-                                old.close()
-                            handles.clear()
-                            fh = handles[path] = _open(path)
-                        fh.seek(offset)
-                        payload = fh.read(size)
-                        if len(payload) != size:
-                            raise OSError(f"short read: {len(payload)} of {size} bytes")
+                        payload = _read_entry(handles, path, offset, size)
                     except OSError as exc:
                         yield emit_bad(path, idx, name, f"unreadable entry: {exc}", extra)
                         continue
@@ -265,7 +292,8 @@ def decode_entries(
     total = max(o + n for _, o, n, _ in spec)
     n = partitions or _decode_partitions(manifest)
     carry = list(carry)
-    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset", *carry)
+    reason = F.col("reason") if "reason" in manifest.columns else F.lit(None).cast("string").alias("reason")
+    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset", reason, *carry)
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -357,15 +385,8 @@ def _describer(variables: list[str]):
                     cols["archive_path"], cols["entry_idx"], cols["record_name"], cols["size"], cols["data_offset"]
                 ):
                     try:
-                        fh = handles.get(path)
-                        if fh is None:
-                            for old in handles.values():
-                                old.close()
-                            handles.clear()
-                            fh = handles[path] = _open(path)
-                        fh.seek(offset)
-                        ds = netcdf.loads(fh.read(size))
-                    except (OSError, netcdf.NetCDFError) as exc:
+                        ds = netcdf.loads(_read_entry(handles, path, offset, size))
+                    except Exception as exc:  # noqa: BLE001 - a damaged entry is a row with its reason
                         add(path, idx, name, None, None, None, None, None, None, f"{type(exc).__name__}: {exc}")
                         continue
                     for var in variables:
@@ -398,7 +419,7 @@ def describe_entries(manifest: DataFrame, variables: list[str], partitions: int
     by offset, spread over tasks like ``decode_entries``."""
     ship_package(manifest.sparkSession)
     n = partitions or _decode_partitions(manifest)
-    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
+    entries = _listed(manifest).select("archive_path", "entry_idx", "record_name", "size", "data_offset")
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
     return entries.mapInArrow(_describer(list(variables)), DESCRIBE_SCHEMA)
 
@@ -423,14 +444,7 @@ def _variable_reader(var: str, level: int | None):
                     row = {"record_name": [name], "var": [var], "dims": [None], "fill": [None],
                            "values": [None], "reason": [None]}
                     try:
-                        fh = handles.get(path)
-                        if fh is None:
-                            for old in handles.values():
-                                old.close()
-                            handles.clear()
-                            fh = handles[path] = _open(path)
-                        fh.seek(offset)
-                        ds = netcdf.loads(fh.read(size))
+                        ds = netcdf.loads(_read_entry(handles, path, offset, size))
                         data = ds.read(var)
                         if level is not None:
                             if data.ndim != 3 or not 0 <= level < data.shape[0]:
@@ -440,7 +454,7 @@ def _variable_reader(var: str, level: int | None):
                         row["dims"] = [[int(x) for x in data.shape]]
                         row["fill"] = [None if fill is None else float(np.asarray(fill).reshape(-1)[0])]
                         row["values"] = [pa.array(np.ascontiguousarray(data, dtype=np.float32).reshape(-1))]
-                    except (OSError, ValueError) as exc:
+                    except Exception as exc:  # noqa: BLE001 - a damaged entry is a row with its reason
                         row["reason"] = [f"{type(exc).__name__}: {exc}"]
                     yield pa.RecordBatch.from_pydict(row, schema=schema)
         finally:
@@ -457,7 +471,7 @@ def read_variable(manifest: DataFrame, var: str, level: int | None = None, parti
     One row per entry: meant for variables or levels that fit a row."""
     ship_package(manifest.sparkSession)
     n = partitions or _decode_partitions(manifest)
-    entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset")
+    entries = _listed(manifest).select("archive_path", "entry_idx", "record_name", "size", "data_offset")
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
     return entries.mapInArrow(
         _variable_reader(var, level),

@@ -35,7 +35,7 @@ def _batch_writer(root: str, layout: DataFrame, out_dir: str, block_size: int):
         decoded = archives.decode_entries(pending, lay, block_size).withColumn(
             "status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")
         ).withColumn("chunk_id", F.lit(int(epoch_id)))
-        (decoded.repartition("block_id")
+        (decoded.repartition("block_id", F.when(F.col("block_id").isNull(), F.hash("archive_path", "entry_idx")))
             .sortWithinPartitions("status", "block_id", "record_name")
             .write.mode("append").partitionBy("status", "chunk_id").option("compression", "zstd")
             .parquet(decoded_path))
