@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridframe.functions.arrays import mask_equal  # noqa: F401  (re-exported)
+from gridframe.operators import matrix
 from gridframe.session import ship_package
 
 
@@ -225,6 +226,62 @@ def missing_any(cells: DataFrame) -> DataFrame:
     )
 
 
+def _layers(layout: DataFrame, block_size: int) -> DataFrame:
+    """Layout rows (metadata) once per block they touch."""
+    return layout.select("var", "level", "n_lat", "n_lon", "offset", "length", F.explode(F.sequence(
+        (F.col("offset") / block_size).cast("long"), ((F.col("offset") + F.col("length") - 1) / block_size).cast("long"))).alias("block_id")).withColumn(
+        "block_id", F.col("block_id").cast("int"))
+
+
+def missing_census_segments(segments: DataFrame, layout: DataFrame, block_size: int, fill: float) -> DataFrame:
+    """G5 on the stored segments: missing cells are counted as arrays per block;
+    only the counts, one per cell of the grid, meet the layout."""
+    counts = matrix.block_sums(segments.select("block_id", F.lit(1.0).alias("w"), "values"), fill, missing=True)
+    cells = counts.select("block_id", "n", F.posexplode("sums").alias("k", "m")).select(
+        "block_id", (F.col("block_id").cast("long") * block_size + F.col("k")).alias("pos"), "n", "m")
+    local = F.col("pos") - F.col("offset")
+    return cells.join(F.broadcast(_layers(layout, block_size)), "block_id").where(
+        (F.col("pos") >= F.col("offset")) & (F.col("pos") < F.col("offset") + F.col("length"))).select(
+        "var", "level", (local / F.col("n_lon")).cast("int").alias("i"), (local % F.col("n_lon")).cast("int").alias("j"),
+        F.col("m").cast("long").alias("n_missing"), F.col("n").alias("n_records"))
+
+
+def missing_any_segments(segments: DataFrame, layout: DataFrame, block_size: int, fill: float) -> DataFrame:
+    """G6 on the stored segments: per segment and variable the missing cells are
+    counted in the array, then added up per record."""
+    spans = variable_spans(layout).select("var", F.col("offset").alias("_o"), F.col("length").alias("_n"))
+    touched = spans.select("var", "_o", "_n", F.explode(F.sequence(
+        (F.col("_o") / block_size).cast("long"), ((F.col("_o") + F.col("_n") - 1) / block_size).cast("long"))).alias("block_id")).withColumn(
+        "block_id", F.col("block_id").cast("int"))
+    base = F.col("block_id").cast("long") * block_size
+    first = F.greatest(F.col("_o") - base, F.lit(0)).cast("int")
+    last = F.least(F.col("_o") + F.col("_n") - base, F.size("values").cast("long")).cast("int")
+    gone = F.size(F.filter(F.slice("values", first + 1, F.greatest(last - first, F.lit(0))), lambda v: v == F.lit(fill).cast("float")))
+    return segments.join(F.broadcast(touched), "block_id").select("record_name", "var", gone.cast("long").alias("m")).groupBy(
+        "record_name", "var").agg((F.sum("m") > 0).alias("any_missing"), F.sum("m").alias("n_missing"))
+
+
+def segment_range(segments: DataFrame, start: int, length: int, block_size: int) -> DataFrame:
+    """P7 on the store: cells ``start .. start + length - 1`` as ``(record_name, pos,
+    value)``. Only the blocks of the range are read (a filter that reaches the scan)."""
+    lo, hi = start // block_size, (start + max(length, 1) - 1) // block_size
+    pos = F.col("block_id").cast("long") * block_size + F.col("k")
+    return segments.where(F.col("block_id").between(lo, hi)).select("record_name", "block_id", F.posexplode("values").alias("k", "value")).select(
+        "record_name", pos.alias("pos"), "value").where(F.col("pos").between(start, start + length - 1))
+
+
+def segment_level(segments: DataFrame, layout: DataFrame, var: str, level: int, block_size: int) -> DataFrame:
+    """P6/A5 on the store: one level of a variable as cells ``(record_name, var, level, i,
+    j, value)``; only the blocks it lies in are read."""
+    found = layout.where((F.col("var") == var) & (F.col("level") == level)).first()
+    if found is None:
+        raise ValueError(f"the layout has no level {level} of {var}")
+    cells = segment_range(segments, int(found["offset"]), int(found["length"]), block_size)
+    local = F.col("pos") - F.lit(int(found["offset"]))
+    return cells.select("record_name", F.lit(var).alias("var"), F.lit(level).alias("level"),
+                        (local / F.lit(found["n_lon"])).cast("int").alias("i"), (local % F.lit(found["n_lon"])).cast("int").alias("j"), "value")
+
+
 # --------------------------------------------------------------------------
 # J5 variable groups
 # --------------------------------------------------------------------------

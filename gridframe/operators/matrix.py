@@ -296,23 +296,78 @@ def vector_from_cells(cells: DataFrame, n_cells: int, block_size: int, default:
         "block_id", dense_from_entries("_e", length, default, "double").alias("values"))
 
 
-def column_means(segments: DataFrame, block_size: int) -> DataFrame:
-    """Mean record vector as segments ``(block_id, values array<double>)``.
+# Blocks whose sums a task holds before it hands them on (8 KiB each at 1024 cells).
+BLOCKS_IN_TASK = 4096
 
-    Per-cell partial sums are combined map-side before the shuffle.
-    """
-    cells = segments.select("block_id", F.posexplode("values").alias("k", "v"))
-    means = cells.groupBy("block_id", "k").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    return means.groupBy("block_id").agg(
-        F.sort_array(F.collect_list(F.struct("k", "m"))).alias("_p")
-    ).select("block_id", F.transform("_p", lambda s: s["m"]).alias("values"))
+
+def _block_sums(fill: float | None, missing: bool):
+    """Arrow kernel ``(block_id, w, values)`` -> ``(block_id, sums, n)``: one array per
+    block and task (or per ``BLOCKS_IN_TASK`` blocks), added up with numpy."""
+    f32 = None if fill is None else np.float32(fill)
+
+    def flush(sums, counts):
+        blocks = sorted(sums)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(blocks, pa.int32()), pa.array([sums[b] for b in blocks], pa.list_(pa.float64())), pa.array([counts[b] for b in blocks], pa.int64())],
+            names=["block_id", "sums", "n"])
+
+    def run(batches):
+        sums, counts = {}, {}
+        for batch in batches:
+            values = batch.column("values")
+            flat = values.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(values).to_numpy(zero_copy_only=False))
+            gone = None if f32 is None else np.isnan(flat) if np.isnan(f32) else flat == f32
+            if missing:
+                flat = gone.astype(np.float64)
+            elif gone is not None:
+                flat = np.where(gone, 0.0, flat.astype(np.float64))
+            at = 0
+            for block, w, end in zip(batch.column("block_id").to_pylist(), batch.column("w").to_pylist(), ends.tolist()):
+                part = flat[at:end].astype(np.float64) * w
+                at = end
+                have = sums.get(block)
+                if have is None:
+                    sums[block], counts[block] = part, 1
+                    continue
+                if len(have) != len(part):
+                    raise ValueError(f"block {block}: segments of {len(have)} and {len(part)} cells")
+                have += part
+                counts[block] += 1
+            if len(sums) > BLOCKS_IN_TASK:
+                yield flush(sums, counts)
+                sums, counts = {}, {}
+        if sums:
+            yield flush(sums, counts)
+
+    return run
+
+
+def _merge_block_sums(table):
+    lengths = pc.list_value_length(table.column("sums")).to_numpy()
+    if (lengths != lengths[0]).any():
+        raise ValueError(f"block {table.column('block_id')[0]}: segments of {sorted(set(lengths.tolist()))} cells")
+    parts = table.column("sums").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, int(lengths[0]))
+    return pa.table({"block_id": table.column("block_id").slice(0, 1), "sums": pa.array([parts.sum(0)], pa.list_(pa.float64())),
+                     "n": pa.array([int(pc.sum(table.column("n")).as_py())], pa.int64())})
 
 
-def _masked(values: str, fill: float | None):
-    if fill is None:
-        return F.col(values)
-    fill_f = F.lit(fill).cast("float")
-    return F.transform(values, lambda v: F.when(v == fill_f, F.lit(0.0).cast("float")).otherwise(v))
+def block_sums(rows: DataFrame, fill: float | None = None, missing: bool = False) -> DataFrame:
+    """Sums of segments per block: ``(block_id, w, values)`` -> ``(block_id, sums
+    array<double>, n)`` with ``sums[k]`` = sum of ``w * values[k]``, cells equal to
+    ``fill`` counting as 0 (or, with ``missing``, sums of ``w`` over the cells that
+    equal it). Arrays are added inside the tasks; what is shuffled is one array
+    per task and block, and a group holds one block's."""
+    ship_package(rows.sparkSession)
+    partial = rows.select("block_id", F.col("w").cast("double").alias("w"), "values").mapInArrow(
+        _block_sums(fill, missing), "block_id int, sums array<double>, n long")
+    return partial.groupBy("block_id").applyInArrow(_merge_block_sums, "block_id int, sums array<double>, n long")
+
+
+def column_means(segments: DataFrame, block_size: int) -> DataFrame:
+    """Mean record vector as segments ``(block_id, values array<double>)``."""
+    sums = block_sums(segments.select("block_id", F.lit(1.0).alias("w"), "values"))
+    return sums.select("block_id", F.transform("sums", lambda v: v / F.col("n")).alias("values"))
 
 
 def _dots(fill: float | None):
@@ -371,15 +426,14 @@ def matvec_transpose(segments: DataFrame, y: DataFrame, block_size: int, fill: f
     """M7: ``A y``, one number per cell ``(row_idx, value)``.
 
     ``y`` has one number per record ``(record_name, y)``; it is broadcast
-    after a row count. Cells are summed with a map-side partial aggregate,
-    which is small when segments are stored clustered by ``block_id``.
-    Cells equal to ``fill`` count as 0.
+    after a row count. Arrays are summed per block inside the tasks
+    (``block_sums``), and only the final sums become one row per cell. Cells
+    equal to ``fill`` count as 0.
     """
     scaled = segments.join(broadcast_if_small(y.select("record_name", "y")), "record_name")
-    cells = scaled.select("block_id", "y", F.posexplode(_masked("values", fill)).alias("k", "v"))
-    return cells.groupBy(
-        (F.col("block_id").cast("long") * block_size + F.col("k")).alias("row_idx")
-    ).agg(F.sum(F.col("v").cast("double") * F.col("y").cast("double")).alias("value"))
+    sums = block_sums(scaled.select("block_id", F.col("y").alias("w"), "values"), fill)
+    return sums.select("block_id", F.posexplode("sums").alias("k", "value")).select(
+        (F.col("block_id").cast("long") * block_size + F.col("k")).alias("row_idx"), "value")
 
 
 def indexed_rows(segments: DataFrame, names: DataFrame) -> DataFrame:

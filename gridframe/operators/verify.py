@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridframe.operators.index import broadcast_if_small
+from gridframe.session import ship_package
 
 
 def check_lengths(vectors: DataFrame, expected: int | None = None) -> DataFrame:
@@ -89,25 +90,52 @@ def check_order(names: DataFrame) -> DataFrame:
     )
 
 
-def compare_vectors(a: DataFrame, b: DataFrame, tol: float = 0.0) -> DataFrame:
-    """Per record, compare two vector tables cell by cell.
-
-    Full outer join on ``(record_name, pos)``: cells present on one side
-    only are counted; ``l2`` is the norm of the difference over shared
-    cells."""
-    la = a.select("record_name", F.posexplode("values").alias("pos", "_a"))
-    lb = b.select("record_name", F.posexplode("values").alias("pos", "_b"))
-    j = la.join(lb, ["record_name", "pos"], "full_outer")
-    same = F.col("_a") == F.col("_b")  # NaN equals NaN here (Q13)
-    d = F.when(same, F.lit(0.0)).otherwise(F.col("_a").cast("double") - F.col("_b").cast("double"))
-    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    return j.groupBy("record_name").agg(
-        F.count("_a").alias("n_a"),
-        F.count("_b").alias("n_b"),
-        # a NaN against a number is a mismatch too (Spark sorts NaN above all numbers)
-        F.sum(F.when(both & (F.abs(d) > tol), 1).otherwise(0)).cast("long").alias("n_mismatch"),
-        F.sqrt(F.sum(F.when(both, d * d).otherwise(0.0))).alias("l2"),
-    )
+def _differences(tol: float):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("_a"), batch.column("_b")
+            na, nb = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+            fa, fb = (x.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for x in (a, b))
+            both = np.minimum(na, nb)
+            row = np.repeat(np.arange(len(both)), both)
+            k = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+            u, v = fa[(np.cumsum(na) - na)[row] + k], fb[(np.cumsum(nb) - nb)[row] + k]
+            # NaN equals NaN (Q13); NaN against a number is a mismatch
+            d = np.where((u == v) | (np.isnan(u) & np.isnan(v)), 0.0, u - v)
+            wrong = ~(np.abs(d) <= tol)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("record_name"), pa.array(na), pa.array(nb), pa.array(np.bincount(row[wrong], minlength=len(both)).astype(np.int64)),
+                 pa.array(np.bincount(row, d * d, minlength=len(both)).astype(np.float64))], names=["record_name", "na", "nb", "m", "s"])
+
+    return run
+
+
+def compare_segments(a: DataFrame, b: DataFrame, tol: float = 0.0) -> DataFrame:
+    """Per record, compare two segment tables block by block.
+
+    Full outer join on ``(record_name, block_id)``; the arrays are compared in
+    numpy, so no cell becomes a row. Cells present on one side only are
+    counted (``n_a``, ``n_b``); ``l2`` is the norm of the difference over
+    shared cells."""
+    ship_package(a.sparkSession)
+    left = a.select("record_name", "block_id", F.col("values").cast("array<double>").alias("_a"))
+    right = b.select("record_name", "block_id", F.col("values").cast("array<double>").alias("_b"))
+    parts = left.join(right, ["record_name", "block_id"], "full_outer").select("record_name", "_a", "_b").mapInArrow(
+        _differences(tol), "record_name string, na long, nb long, m long, s double")
+    return parts.groupBy("record_name").agg(
+        F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum("m").alias("n_mismatch"), F.sqrt(F.sum("s")).alias("l2"))
+
+
+def compare_vectors(a: DataFrame, b: DataFrame, tol: float = 0.0, block_size: int = 1024) -> DataFrame:
+    """V2/G7 for tables of whole vectors ``(record_name, values)``: cut into segments
+    and compared block by block."""
+    from gridframe.operators.matrix import segment
+
+    return compare_segments(segment(a, block_size), segment(b, block_size), tol)
 
 
 class ValidationError(ValueError):
@@ -182,15 +210,21 @@ def segment_completeness(segments: DataFrame, n_cells: int, block_size: int) ->
     )
 
 
-def require_same_records(segments: DataFrame, names: DataFrame, examples: int = 5) -> None:
-    """The name table and the stored records are the same set (both ways);
-    raises with counts and examples, since a transpose would otherwise lose
-    records that have no name, or lack those that are only named."""
+def record_differences(segments: DataFrame, names: DataFrame) -> DataFrame:
+    """``(record_name, why)`` of stored records without a name and of names
+    without a stored record."""
     stored = segments.where(F.col("block_id") == 0).select("record_name").distinct()
     unnamed = stored.join(names, "record_name", "left_anti").select("record_name", F.lit("has no name").alias("why"))
     absent = names.select("record_name").distinct().join(stored, "record_name", "left_anti").select(
         "record_name", F.lit("is not stored").alias("why"))
-    wrong = unnamed.union(absent)
+    return unnamed.union(absent)
+
+
+def require_same_records(segments: DataFrame, names: DataFrame, examples: int = 5) -> None:
+    """The name table and the stored records are the same set (both ways);
+    raises with counts and examples, since a transpose would otherwise lose
+    records that have no name, or lack those that are only named."""
+    wrong = record_differences(segments, names)
     sample = wrong.limit(examples).collect()
     if sample:
         listed = ", ".join(f"{r['record_name']} {r['why']}" for r in sample)

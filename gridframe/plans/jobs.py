@@ -182,11 +182,11 @@ def export_record(spark, decoded_path: str, record_name: str, out_path: str, blo
     store.write_record_export(found, block_size, out_path, fmt)
 
 
-def compare(spark, decoded_path: str, other: DataFrame) -> DataFrame:
+def compare(spark, decoded_path: str, other: DataFrame, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """Stored records against independently decoded vectors
     ``(record_name, values)`` (only the records present in ``other``)."""
-    mine = matrix.unsegment(store.semi_join_records(segments(spark, decoded_path), other))
-    return verify.compare_vectors(mine, other)
+    mine = store.semi_join_records(segments(spark, decoded_path), other)
+    return verify.compare_segments(mine, matrix.segment(other, block_size))
 
 
 def stored_cells(spark: SparkSession, decoded_path: str, block_size: int = DEFAULT_BLOCK_SIZE) -> int:
