@@ -28,7 +28,7 @@ from gridframe.session import ship_package
 
 ORDER = 4
 #: training sample: about so many whole documents per language, none longer than so many characters
-TRAIN_DOCS = 300
+TRAIN_DOCS = 200
 TRAIN_CHARS = 20_000
 DISCOUNT = 0.75
 #: characters that count as independent evidence in the score
