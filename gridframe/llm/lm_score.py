@@ -33,9 +33,9 @@ from gridframe.session import ship_package
 ORDER = 3
 BACKOFF = 0.4
 #: words of a chunk, n-grams of a bucket: what one group holds in memory
-CHUNK_WORDS = 300_000
+CHUNK_WORDS = 600_000
 BUCKET_GRAMS = 1_500_000
-SPARE_BITS = 20
+SPARE_BITS = 18
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
