@@ -12,6 +12,7 @@ from __future__ import annotations
 import io
 import os
 import tarfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridframe.functions.names import archive_name_for, is_archive, join_path, utc_wall_clock
-from gridframe.session import ship_package
+from gridframe.session import local_path, ship_package
 from gridframe.sources import netcdf
 
 # Segments per Arrow batch from the decoder (4 MiB at 1024-float segments).
@@ -314,14 +315,13 @@ def split_quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --------------------------------------------------------------------------
 # S13 (re-aimed): write record grids as NetCDF files packed into archives
 # --------------------------------------------------------------------------
-def _archive_writer(out_dir: str, spec):
-    def write_archive(table: pa.Table) -> pa.Table:
-        name = table.column("archive_name")[0].as_py()
-        records = table.column("record_name").to_pylist()
-        values = table.column("values")
-        path = f"{out_dir.rstrip('/')}/{name}"
-        with _output(path) as stream, tarfile.open(fileobj=stream, mode="w|") as tar:
-            for k, rec in enumerate(records):
+def _encoder(spec):
+    """Records ``(archive_name, record_name, values)`` -> their NetCDF files."""
+    def encode(batches):
+        for batch in batches:
+            values = batch.column("values")
+            payloads = []
+            for k in range(batch.num_rows):
                 vec = np.asarray(values[k].values.to_numpy(zero_copy_only=False), dtype=np.float32)
                 dims, variables = {}, []
                 for var, offset, length, shape in spec:
@@ -329,26 +329,73 @@ def _archive_writer(out_dir: str, spec):
                     dims.update(zip(dnames, shape))
                     data = vec[offset:offset + length].reshape(shape)
                     variables.append((var, dnames, data, {"_FillValue": np.float32(1e20)}))
-                payload = netcdf.dumps(dims, variables)
-                info = tarfile.TarInfo(rec)
+                payloads.append(netcdf.dumps(dims, variables))
+            yield pa.RecordBatch.from_arrays([batch.column("archive_name"), batch.column("record_name"), pa.array(payloads, pa.binary())],
+                                             names=["archive_name", "record_name", "payload"])
+
+    return encode
+
+
+def _commit(temporary: str, path: str) -> None:
+    """Give a finished file its name; a file of that name from an earlier attempt goes."""
+    if "://" not in path or path.startswith("file:"):
+        os.replace(local_path(temporary), local_path(path))
+        return
+    from pyarrow import fs
+
+    filesystem, inner = fs.FileSystem.from_uri(path)
+    filesystem.move(fs.FileSystem.from_uri(temporary)[1], inner)
+
+
+def _assembler(out_dir: str):
+    """Files sorted by archive -> tar archives, written as the rows stream by: one
+    batch is in memory, however large an archive is."""
+    def assemble(batches):
+        name = temporary = stream = tar = None
+        count, done = 0, []
+
+        def close():
+            tar.close()
+            stream.close()
+            path = f"{out_dir.rstrip('/')}/{name}"
+            _commit(temporary, path)
+            done.append((name, path, count))
+
+        for batch in batches:
+            for archive, record, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if archive != name:
+                    if tar is not None:
+                        close()
+                    # the attempt's own name: a retried or doubled task disturbs no other
+                    name, count, temporary = archive, 0, f"{out_dir.rstrip('/')}/_{archive}.{uuid.uuid4().hex}"
+                    stream = _output(temporary)
+                    tar = tarfile.open(fileobj=stream, mode="w|")
+                info = tarfile.TarInfo(record)
                 info.size = len(payload)
                 tar.addfile(info, io.BytesIO(payload))
-        return pa.table({"archive_name": [name], "archive_path": [path], "n_entries": [len(records)]},
-                        schema=pa.schema([("archive_name", pa.string()), ("archive_path", pa.string()),
-                                          ("n_entries", pa.int64())]))
+                count += 1
+        if tar is not None:
+            close()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
+            names=["archive_name", "archive_path", "n_entries"])
 
-    return write_archive
+    return assemble
 
 
 def write_grid_archives(vectors: DataFrame, out_dir: str, spec: list[tuple[str, int, int, tuple]]) -> DataFrame:
     """Write ``(archive_name, record_name, values)`` as one tar per archive,
-    one NetCDF classic file per record. ``spec`` = ``(var, offset, length,
-    shape)``. Returns ``(archive_name, archive_path, n_entries)``; a group
-    is one archive (its size is the caller's archive granularity)."""
+    one NetCDF classic file per record, in record-name order. ``spec`` = ``(var,
+    offset, length, shape)``. Returns ``(archive_name, archive_path, n_entries)``.
+
+    Records are encoded wherever they are, so one archive that holds them all
+    is encoded by many tasks; the files are then sorted by archive and written
+    as they stream by. An archive appears under its name only when it is whole."""
     ship_package(vectors.sparkSession)
-    return vectors.groupBy("archive_name").applyInArrow(
-        _archive_writer(out_dir, spec), "archive_name string, archive_path string, n_entries long"
-    )
+    encoded = vectors.select("archive_name", "record_name", "values").mapInArrow(
+        _encoder(spec), "archive_name string, record_name string, payload binary")
+    return encoded.repartition("archive_name").sortWithinPartitions("archive_name", "record_name").mapInArrow(
+        _assembler(out_dir), "archive_name string, archive_path string, n_entries long")
 
 
 # --------------------------------------------------------------------------

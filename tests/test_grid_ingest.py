@@ -3,6 +3,7 @@ import os
 import tarfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridframe.operators import grid, verify
@@ -161,3 +162,69 @@ def test_read_variable_level(spark, tmp_dir):
     assert rows["pgbh02.gdas.1979010106.grb2"]["reason"].startswith("NetCDFError")
     whole = archives.read_variable(manifest, "cc").where("reason IS NULL").first()
     assert whole["dims"] == [2, 3] and whole["fill"] == np.float32(1e20)
+
+
+def test_one_archive_of_all_records(spark, tmp_dir):
+    """Encoded by many tasks, committed once; a second attempt replaces the file."""
+    vec = spark.createDataFrame([("all.tar", f"r{i:04d}", [float(i)] * 4) for i in range(300)],
+                                "archive_name string, record_name string, values array<float>").repartition(8)
+    written = archives.write_grid_archives(vec, tmp_dir, [("v", 0, 4, (2, 2))])
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "FlatMapGroups" not in plan
+    for _ in range(2):
+        assert [tuple(r) for r in written.collect()] == [("all.tar", os.path.join(tmp_dir, "all.tar"), 300)]
+        assert os.listdir(tmp_dir) == ["all.tar"]
+    listed = archives.expand_archives(spark.createDataFrame([(os.path.join(tmp_dir, "all.tar"),)], "archive_path string")).collect()
+    assert [r["record_name"] for r in sorted(listed, key=lambda r: r["entry_idx"])] == [f"r{i:04d}" for i in range(300)]
+
+
+def test_listing_reports_what_it_cannot_read(spark, tmp_dir):
+    vec = spark.createDataFrame([("a.tar", f"r{i}", [1.0] * 4) for i in range(5)], "archive_name string, record_name string, values array<float>")
+    archives.write_grid_archives(vec, tmp_dir, [("v", 0, 4, (2, 2))]).collect()
+    path = os.path.join(tmp_dir, "a.tar")
+    raw = open(path, "rb").read()
+    third = [r for r in archives.expand_archives(spark.createDataFrame([(path,)], "archive_path string")).collect() if r["entry_idx"] == 3][0]
+    cut = third["data_offset"] - 512
+    cases = {"whole.tar": raw, "cut.tar": raw[:cut + 200], "bad.tar": raw[:cut] + b"x" * 300 + raw[cut + 300:], "empty.tar": b"",
+             "header.tar": b"y" * 1024, "no-mark.tar": raw[:cut]}
+    for name, data in cases.items():
+        with open(os.path.join(tmp_dir, name), "wb") as fh:
+            fh.write(data)
+    paths = spark.createDataFrame([(os.path.join(tmp_dir, n),) for n in [*cases, "absent.tar"]], "archive_path string")
+    got = {}
+    for r in archives.expand_archives(paths).collect():
+        got.setdefault(os.path.basename(r["archive_path"]), []).append(r["reason"] is None)
+    assert sorted(got.pop("whole.tar")) == [True] * 5
+    for name in ("cut.tar", "bad.tar", "no-mark.tar"):
+        assert sorted(got.pop(name)) == [False, True, True, True], name
+    assert got == {"empty.tar": [False], "header.tar": [False], "absent.tar": [False]}
+
+
+def test_wrong_shapes_are_refused(spark):
+    from gridframe.sources import netcdf
+
+    spec = archives.layout_spec(grid.layout_offsets(spark.createDataFrame(
+        [("v", 0, 1, 2, 3)], "var string, var_pos int, n_levels int, n_lat int, n_lon int")))
+    fill = {"_FillValue": np.float32(1e20)}
+    for shape, ok in (((2, 3), True), ((3, 2), False), ((1, 2, 3), True), ((6, 1), False)):
+        names = [f"d{i}" for i in range(len(shape))]
+        ds = netcdf.loads(netcdf.dumps(dict(zip(names, shape)), [("v", names, np.zeros(shape, np.float32), fill)]))
+        if ok:
+            assert archives.vectorize(ds, spec, 6).shape == (6,)
+        else:
+            with pytest.raises(ValueError, match="shape"):
+                archives.vectorize(ds, spec, 6)
+
+
+def test_placement_is_checked(spark):
+    layout = grid.layout_offsets(spark.createDataFrame([("a", 0, 1, 2, 3), ("b", 1, 1, 2, 3)],
+                                                       "var string, var_pos int, n_levels int, n_lat int, n_lon int"))
+    ddl = "record_name string, var string, values array<float>"
+    both = [("r", "a", [1.0] * 6), ("r", "b", [2.0] * 6)]
+    assert grid.to_record_segments(spark.createDataFrame(both, ddl), layout, 4).count() == 3
+    for rows in ([both[1]], [both[0]] * 2 + [both[1]], [("r", "a", [1.0] * 5), both[1]]):
+        with pytest.raises(Exception, match="record r"):
+            grid.to_record_segments(spark.createDataFrame(rows, ddl), layout, 4).collect()
+    for cells in ([("r", 12, 1.0)], [("r", 3, 1.0), ("r", 3, 2.0)], [("r", -1, 1.0)]):
+        with pytest.raises(Exception, match="outside the record|given twice"):
+            grid.cells_to_segments(spark.createDataFrame(cells, "record_name string, pos long, value float"), 10, 4, 0.0).collect()

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gridframe.operators import index, matrix, timeaxis
@@ -149,3 +150,56 @@ def test_matvec_equals_mllib_indexed_row_matrix(spark):
     mllib = {r.index: r.vector[0] for r in product.rows.collect()}
     assert set(ours) == set(mllib)
     assert max(abs(ours[i] - mllib[i]) for i in ours) < 1e-9
+
+
+def test_transpose_refuses_wrong_columns(spark):
+    """A record given twice while another lacks the block, and a missing last record."""
+    names = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "record_name string, col_idx long")
+    rows = [("a", 0, [1.0, 2.0]), ("b", 0, [3.0, 4.0]), ("b", 0, [3.0, 4.0]), ("d", 0, [7.0, 8.0])]
+    ddl = "record_name string, block_id int, values array<float>"
+    for bad in (rows, rows[:2] + [("c", 0, [5.0, 6.0])]):
+        with pytest.raises(Exception, match="missing or duplicated"):
+            matrix.transpose(spark.createDataFrame(bad, ddl), names, 2, n_cells=2).collect()
+    chunks = [(0, 0, [1.0, 2.0]), (0, 2, [5.0])]
+    with pytest.raises(Exception, match="missing or repeated"):
+        matrix.merge_column_chunks(spark.createDataFrame(chunks, "row_idx long, rblock int, values array<float>")).collect()
+
+
+def test_products_need_whole_vectors(spark):
+    seg = spark.createDataFrame([("a", 0, [1.0, 1.0]), ("a", 1, [1.0]), ("b", 0, [2.0, 2.0]), ("b", 1, [2.0])],
+                                "record_name string, block_id int, values array<float>")
+    cells = spark.createDataFrame([(0, 3.0)], "pos long, value double")
+    x = matrix.vector_from_cells(cells, 3, 2, default=1.0)
+    for budget in (1 << 20, 0):
+        assert {tuple(r) for r in matrix.matvec(seg, x, 2, max_broadcast_bytes=budget).collect()} == {("a", 5.0), ("b", 10.0)}
+    for short in (x.where("block_id = 0"), spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 1.0])], "block_id int, values array<double>")):
+        with pytest.raises(Exception, match="the vector's block has"):
+            matrix.matvec(seg, short, 2).collect()
+    y = spark.createDataFrame([("a", 1.0), ("b", 10.0)], "record_name string, y double")
+    assert {tuple(r) for r in matrix.matvec_transpose(seg, y, 2, fill=2.0).collect()} == {(0, 1.0), (1, 1.0), (2, 1.0)}
+
+
+def test_completeness_sees_repeated_blocks(spark):
+    from gridframe.operators import verify
+
+    seg = spark.createDataFrame([("a", b, [0.0] * 2) for b in (0, 2, 2, 2, 4)] + [("b", b, [0.0] * 2) for b in range(5)],
+                                "record_name string, block_id int, values array<float>")
+    assert [r["record_name"] for r in verify.segment_completeness(seg, 10, 2).collect()] == ["a"]
+    names = spark.createDataFrame([("a",), ("z",)], "record_name string")
+    assert {tuple(r) for r in verify.record_differences(seg, names).collect()} == {("b", "has no name"), ("z", "is not stored")}
+
+
+def test_compare_counts_nan_as_equal(spark):
+    nan = float("nan")
+    ddl = "record_name string, values array<float>"
+    a = spark.createDataFrame([("r", [1.0, nan, nan, 4.0]), ("s", [1.0])], ddl)
+    b = spark.createDataFrame([("r", [1.0, nan, 3.0, 6.0]), ("t", [1.0, 2.0])], ddl)
+    from gridframe.operators import verify
+
+    got = {r["record_name"]: (r["n_a"], r["n_b"], r["n_mismatch"]) for r in verify.compare_vectors(a, b).collect()}
+    assert got == {"r": (4, 4, 2), "s": (1, 0, 0), "t": (0, 2, 0)}
+
+
+def test_empty_vectors_have_no_segment(spark):
+    df = spark.createDataFrame([("a", []), ("b", [1.0])], "record_name string, values array<float>")
+    assert [r["record_name"] for r in matrix.segment(df, 4).collect()] == ["b"]
