@@ -150,15 +150,10 @@ def flatten_cells(cells: DataFrame, n_lat: int, n_lon: int) -> DataFrame:
 def permute_axes(vectors: DataFrame, depth: int) -> DataFrame:
     """A variable stored as [h, w, d] (d fastest) -> ``depth`` rows of
     ``h*w`` values: row k holds element k of every cell, in cell order."""
-    k = F.col("k")
-    return vectors.select(
-        "record_name",
-        F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("k"),
-        "values",
-    ).select(
-        "record_name", k.cast("int").alias("k"),
-        F.filter("values", lambda v, p: p % depth == k).alias("values"),
-    )
+    planes = F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda k: F.when(
+        F.size("values") > k, F.transform(F.sequence(k, F.size("values") - 1, F.lit(depth)), lambda i: F.get("values", i))).otherwise(
+        F.array().cast("array<float>")))
+    return vectors.select("record_name", F.posexplode(planes).alias("k", "values"))
 
 
 def level_slice(vectors: DataFrame, level: int, n_lat: int, n_lon: int, offset: int = 0) -> DataFrame:
@@ -182,50 +177,6 @@ def missing_mask(vectors: DataFrame, fill: float) -> DataFrame:
     return vectors.select("record_name", mask_equal("values", fill).alias("mask"))
 
 
-def cells_with_layout(segments: DataFrame, layout: DataFrame, block_size: int, fill: float) -> DataFrame:
-    """A6 over a whole layout: segments -> cells
-    ``(record_name, var, level, i, j, value, is_missing)``.
-
-    Each cell's layer is found with a range lookup against the (broadcast,
-    metadata-sized) layout on the layer's block span."""
-    lay = layout.select(
-        "var", "level", "n_lat", "n_lon", "offset", "length",
-        F.explode(F.sequence(
-            (F.col("offset") / block_size).cast("long"),
-            ((F.col("offset") + F.col("length") - 1) / block_size).cast("long"),
-        )).alias("block_id"),
-    ).withColumn("block_id", F.col("block_id").cast("int"))
-    cells = segments.select("record_name", "block_id", F.posexplode("values").alias("k", "value"))
-    cells = cells.withColumn("pos", F.col("block_id").cast("long") * block_size + F.col("k"))
-    joined = cells.join(F.broadcast(lay), "block_id").where(
-        (F.col("pos") >= F.col("offset")) & (F.col("pos") < F.col("offset") + F.col("length"))
-    )
-    local = F.col("pos") - F.col("offset")
-    return joined.select(
-        "record_name", "var", "level",
-        (local / F.col("n_lon")).cast("int").alias("i"),
-        (local % F.col("n_lon")).cast("int").alias("j"),
-        "value",
-        (F.col("value") == F.lit(fill).cast("float")).alias("is_missing"),
-    )
-
-
-def missing_census(cells: DataFrame) -> DataFrame:
-    """Per grid cell of each variable, how many records lack data."""
-    return cells.groupBy("var", "level", "i", "j").agg(
-        F.sum(F.col("is_missing").cast("long")).alias("n_missing"),
-        F.count(F.lit(1)).alias("n_records"),
-    )
-
-
-def missing_any(cells: DataFrame) -> DataFrame:
-    """Per record and variable, whether any cell is missing."""
-    return cells.groupBy("record_name", "var").agg(
-        F.bool_or("is_missing").alias("any_missing"),
-        F.sum(F.col("is_missing").cast("long")).alias("n_missing"),
-    )
-
-
 def _layers(layout: DataFrame, block_size: int) -> DataFrame:
     """Layout rows (metadata) once per block they touch."""
     return layout.select("var", "level", "n_lat", "n_lon", "offset", "length", F.explode(F.sequence(

@@ -49,6 +49,17 @@ def column_names(records: DataFrame, order: str = "time", name_col: str = "recor
     return dense_index(names, keys, "col_idx").select("col_idx", "record_name", "ts")
 
 
+def _slot(ts, step_hours: int):
+    """The slot a wall-clock time lies in (its beginning)."""
+    return F.date_trunc("day", ts) + F.make_dt_interval(hours=(F.hour(ts) / int(step_hours)).cast("int") * int(step_hours))
+
+
+def off_slot_records(stamps: DataFrame, ts_col: str = "ts", step_hours: int = 6) -> DataFrame:
+    """Rows whose time is not the beginning of a slot of the regular axis."""
+    ts = utc_wall_clock(stamps, ts_col)
+    return stamps.where(_slot(ts, step_hours) != ts)
+
+
 def time_gaps(
     stamps: DataFrame,
     ts_col: str = "ts",
@@ -61,19 +72,18 @@ def time_gaps(
     inputs alike. The calendar runs from the first to the last record of each group; it is
     generated in coarse windows of 1024 steps, then expanded, so no array
     longer than 1024 slots is built. Missing slots are a left anti join of
-    the calendar against the slots present.
+    the calendar against the slots present. A record that does not lie on a
+    slot (09:00 on a 6-hour axis) fills none; ``off_slot_records`` lists it.
     """
     by = list(by or [])
     step = F.expr(f"INTERVAL {int(step_hours)} HOURS")
     coarse = F.expr(f"INTERVAL {int(step_hours) * 1024} HOURS")
     if 24 % int(step_hours):
         raise ValueError("step_hours must divide 24")
-    ts = utc_wall_clock(stamps, ts_col)
-    slot = F.date_trunc("day", ts) + F.make_dt_interval(
-        hours=(F.hour(ts) / int(step_hours)).cast("int") * int(step_hours)
-    )
-    present = stamps.select(*by, slot.alias("slot")).distinct()
-    bounds = present.groupBy(*by).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    ts, slot = utc_wall_clock(stamps, ts_col), _slot(utc_wall_clock(stamps, ts_col), step_hours)
+    slots = stamps.select(*by, slot.alias("slot"), (slot == ts).alias("on_slot")).distinct()
+    present = slots.where("on_slot").drop("on_slot")
+    bounds = slots.groupBy(*by).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     windows = bounds.select(*by, "hi", F.explode(F.sequence("lo", "hi", coarse)).alias("w"))
     calendar = windows.select(
         *by,

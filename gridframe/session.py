@@ -80,11 +80,6 @@ def is_local_uri(uri: str) -> bool:
     return uri.startswith("file:") or uri.startswith("/") or "://" not in uri
 
 
-def ensure_dir(uri: str) -> None:
-    if is_local_uri(uri):
-        os.makedirs(local_path(uri), exist_ok=True)
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -198,12 +198,3 @@ def dumps(dims: dict[str, int], variables: list[tuple[str, list[str], np.ndarray
         begins.append(pos)
         pos += len(raw)
     return header + var_list(begins) + b"".join(blobs)
-
-
-def load_file(path: str) -> Dataset:
-    with open(path, "rb") as fh:
-        return loads(fh.read())
-
-
-def read_bytes(stream: io.BufferedIOBase) -> Dataset:
-    return loads(stream.read())

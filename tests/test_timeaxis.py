@@ -52,3 +52,10 @@ def test_gaps_and_periods_of_instants_ignore_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == ["pgbh02.gdas.1979010106.grb2"]
     assert periods == ["pgbh02.gdas.19790101-19790105.tar", "pgbh02.gdas.19790126-19790131.tar"]
+
+
+def test_off_slot_records_fill_no_slot(spark):
+    df = spark.createDataFrame([("2020-01-01 00:00:00",), ("2020-01-01 09:00:00",), ("2020-01-01 12:00:00",)], "t string").select(
+        F.to_timestamp_ntz("t").alias("ts"))
+    assert [str(r["slot"]) for r in timeaxis.time_gaps(df, "ts", step_hours=6).collect()] == ["2020-01-01 06:00:00"]
+    assert [str(r["ts"]) for r in timeaxis.off_slot_records(df, "ts").collect()] == ["2020-01-01 09:00:00"]
