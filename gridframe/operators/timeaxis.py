@@ -55,9 +55,9 @@ def _slot(ts, step_hours: int):
 
 
 def off_slot_records(stamps: DataFrame, ts_col: str = "ts", step_hours: int = 6) -> DataFrame:
-    """Rows whose time is not the beginning of a slot of the regular axis."""
+    """Rows whose hour (records are named by it) begins no slot of the regular axis."""
     ts = utc_wall_clock(stamps, ts_col)
-    return stamps.where(_slot(ts, step_hours) != ts)
+    return stamps.where(_slot(ts, step_hours) != F.date_trunc("hour", ts))
 
 
 def time_gaps(
@@ -81,7 +81,7 @@ def time_gaps(
     if 24 % int(step_hours):
         raise ValueError("step_hours must divide 24")
     ts, slot = utc_wall_clock(stamps, ts_col), _slot(utc_wall_clock(stamps, ts_col), step_hours)
-    slots = stamps.select(*by, slot.alias("slot"), (slot == ts).alias("on_slot")).distinct()
+    slots = stamps.select(*by, slot.alias("slot"), (slot == F.date_trunc("hour", ts)).alias("on_slot")).distinct()
     present = slots.where("on_slot").drop("on_slot")
     bounds = slots.groupBy(*by).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
     windows = bounds.select(*by, "hi", F.explode(F.sequence("lo", "hi", coarse)).alias("w"))
