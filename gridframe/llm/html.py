@@ -4,7 +4,7 @@ Every element of the page gets a composite text density: its characters per
 tag, adjusted by how much of its text and of its tags are links. Scores of the
 children, summed, are an element's density sum. The element of the largest sum
 holds the article, and the least density on its path to the body is the
-threshold: inside it, child elements below the threshold whose text is mostly
+threshold: inside it, child elements below the threshold that are lists of
 links go.
 
 Elements whose tag or class says that they are no article text (menus, forms,
@@ -54,7 +54,7 @@ NEVER = frozenset("html body".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S)
-MARKING = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -80,7 +80,7 @@ def _marked(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or attributes.isspace() or name in NEVER:
         return False
-    for key, value in MARKING.findall(attributes):
+    for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN_STYLE.search(value):
             return True
@@ -151,7 +151,7 @@ def parse(page: str) -> Node:
                     leave(node)
         new = Node(name, here, here.dropped or _marked(name, m[3], here.in_article))
         here.parts.append(new)
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS and name not in RAW:
+        if name in VOID:
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -240,7 +240,9 @@ def _blocks(node: Node, threshold: float, out: list[list[str]]) -> None:
             if block:
                 out.append([])
             continue
-        linked = x is not node and x.name not in HEADINGS and x.link_chars > 0.5 * x.chars and x.density < threshold and block
+        # lists of links: mostly link text, several links, thinner than the path's threshold
+        linked = (x is not node and block and x.name not in HEADINGS and x.link_tags > 1
+                  and x.link_chars > 0.5 * x.chars and x.density < threshold)
         if linked:
             out.append([])
             continue

@@ -14,8 +14,8 @@ scores high.
 
 A request is a sorted run of n-gram numbers, stored as byte planes of the
 differences, which the shuffle's compression shrinks. The numbers have
-``SPARE_BITS`` bits more than the corpus has n-grams, so about one n-gram in a
-million shares its number with another. Chunks and buckets are sized from the
+``SPARE_BITS`` bits more than the corpus has n-grams, so about four n-grams in a
+million share their number with another. Chunks and buckets are sized from the
 corpus: memory stays bounded and the shuffles grow with the corpus. A frequent
 n-gram is one entry per chunk, so no bucket is hot.
 """

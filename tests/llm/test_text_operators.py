@@ -277,6 +277,7 @@ def test_url_filter_equals_brute_force(spark):
      "T\n\nFirst paragraph, long enough to count.\n\nSecond one, also rather long.\n\none\n\ntwo"),
     ("<article><h1>A</h1><form>f</form><aside>s</aside><p>x <a href='q>ok</a>'>l</a>\n y<br>z</p><footer>foot</footer></article>", "A\n\nx l y z"),
     ("<div>" * 5000 + "deep", "deep"), ("<article><p>cut off <b>here", "cut off here"), ("<!-- only a comment", ""),
+    ("<article><p title='the hidden class of ads'>kept</p><p><a href=/x/>one link</a></p><p>a<p hidden>b<p class=notice>c</article>", "kept\n\none link\n\na"),
 ])
 def test_html(page, text):
     assert html.main_text(page) == text
