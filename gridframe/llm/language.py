@@ -33,6 +33,9 @@ TRAIN_CHARS = 20_000
 DISCOUNT = 0.75
 #: characters that count as independent evidence in the score
 EVIDENCE = 40
+#: nats per character beyond the calibration texts' reach at which a text is rejected:
+#: texts that mix learnt languages stay below it, other languages and noise lie above
+MARGIN = 1.0
 CHUNK = 1 << 19
 SPACE = 32
 _TOP = 0x32400  # letters beyond are taken as they are
@@ -264,7 +267,7 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     empty = sizes == 0
     mean = np.where(np.isfinite(model.mean), model.mean, np.inf)[best] if model.mean is not None else np.full(len(ce), np.inf)
     spread = (model.reach * model.spread)[best] if model.mean is not None else 0.0
-    limit = mean + spread / np.sqrt(np.maximum(sizes, 1)) + 0.25
+    limit = mean + spread / np.sqrt(np.maximum(sizes, 1)) + MARGIN
     return ["und" if e else model.languages[b] for b, e in zip(best, empty, strict=True)], score, np.where(empty, 0.0, lowest), empty | (lowest > limit)
 
 
