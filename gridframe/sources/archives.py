@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridframe.functions.names import archive_name_for, is_archive, join_path, utc_wall_clock
-from gridframe.session import local_path, ship_package
+from gridframe.session import checkpoint_dir, local_path, ship_package
 from gridframe.sources import netcdf
 
 # Segments per Arrow batch from the decoder (4 MiB at 1024-float segments).
@@ -271,9 +271,15 @@ def _decoder(spec, total: int, block_size: int, carry: tuple = ()):
     return decode_batches
 
 
-def _decode_partitions(manifest: DataFrame, bytes_per_task: int = 1 << 30) -> int:
+def _sized(manifest: DataFrame, partitions: int | None, bytes_per_task: int = 1 << 30) -> tuple[DataFrame, int]:
+    """The manifest and the number of tasks for its bytes. A manifest that still has
+    to be listed is checkpointed first, so the archives are listed once (R4)."""
+    if partitions:
+        return manifest, partitions
+    checkpoint_dir(manifest.sparkSession)
+    manifest = manifest.checkpoint(eager=True)
     total = manifest.agg(F.sum("size")).first()[0] or 0
-    return max(4 * manifest.sparkSession.sparkContext.defaultParallelism, int(-(-total // bytes_per_task)))
+    return manifest, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, int(-(-total // bytes_per_task)))
 
 
 def decode_entries(
@@ -291,7 +297,7 @@ def decode_entries(
     ship_package(manifest.sparkSession)
     spec = layout_spec(layout)
     total = max(o + n for _, o, n, _ in spec)
-    n = partitions or _decode_partitions(manifest)
+    manifest, n = _sized(manifest, partitions)
     carry = list(carry)
     reason = F.col("reason") if "reason" in manifest.columns else F.lit(None).cast("string").alias("reason")
     entries = manifest.select("archive_path", "entry_idx", "record_name", "size", "data_offset", reason, *carry)
@@ -465,7 +471,7 @@ def describe_entries(manifest: DataFrame, variables: list[str], partitions: int
     ``reason`` when the entry or variable cannot be read. Entries are read
     by offset, spread over tasks like ``decode_entries``."""
     ship_package(manifest.sparkSession)
-    n = partitions or _decode_partitions(manifest)
+    manifest, n = _sized(manifest, partitions)
     entries = _listed(manifest).select("archive_path", "entry_idx", "record_name", "size", "data_offset")
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
     return entries.mapInArrow(_describer(list(variables)), DESCRIBE_SCHEMA)
@@ -517,7 +523,7 @@ def read_variable(manifest: DataFrame, var: str, level: int | None = None, parti
     ``level`` only that level of a 3-D variable (a ``(lat, lon)`` plane).
     One row per entry: meant for variables or levels that fit a row."""
     ship_package(manifest.sparkSession)
-    n = partitions or _decode_partitions(manifest)
+    manifest, n = _sized(manifest, partitions)
     entries = _listed(manifest).select("archive_path", "entry_idx", "record_name", "size", "data_offset")
     entries = entries.repartition(n, "archive_path", "entry_idx").sortWithinPartitions("archive_path", "data_offset")
     return entries.mapInArrow(
