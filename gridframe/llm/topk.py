@@ -6,7 +6,8 @@ query the lists are read in step, each from the end that its query component
 favours: a vector met for the first time is scored in full, and the bound is
 the sum, over the dimensions, of the query component times the value at the
 reading depth. No unread vector of the block can beat the bound, so reading
-stops when it cannot beat the query's k-th best score. A query's best k of
+stops when it cannot beat the query's k-th best score, or when all vectors of the
+block have been met. A query's best k of
 every block meet in a partial and a final ranking.
 
 Queries travel in blocks of fixed size to every block of vectors, so neither
@@ -27,7 +28,7 @@ from gridframe.session import ship_package
 
 K = 10
 SCALE = 1024
-#: vectors of a block, queries of a query block, list entries read in a step
+#: vectors of a block, queries of a query block, list entries read in the first step (each next step reads twice as many)
 BLOCK, QUERY_BLOCK, STEP = 1024, 512, 8
 
 
@@ -61,14 +62,15 @@ class Block:
         up = query[used] > 0
         seen = np.zeros(n, bool)
         best: list[tuple[int, int]] = []
-        depth = 0
-        while depth < n:
-            end = min(n, depth + STEP)
+        depth, step, unmet = 0, STEP, n
+        while unmet:
+            end, step = min(n, depth + step), 2 * step
             at = np.arange(depth, end)
             rows = np.where(up[None, :], n - 1 - at[:, None], at[:, None])
             met = self.lists[rows, used[None, :]].ravel()
             met = np.unique(met[~seen[met]])
             seen[met] = True
+            unmet -= len(met)
             scores = self.vectors[met] @ query
             if len(met) > k:  # the k-th best of these bounds what can matter
                 keep = np.flatnonzero(scores >= np.partition(scores, len(met) - k - 1)[len(met) - k - 1])
