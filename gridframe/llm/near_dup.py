@@ -9,12 +9,14 @@ Every register keeps its earliest point. Two documents agree on a register with
 the probability of their weighted Jaccard similarity, whatever the weights, and
 points after the time by which all registers are taken are never made.
 
-Signatures are banded. Exact copies are first collapsed to one document, and
-every bucket links its members to one leader, its member with the most bucket
-mates, so the links grow with the documents and not with the square of a
-group. Links are verified by the exact overlap of the shingle multisets.
-Members outside the leader's class go on to another round with a leader of
-their own, until a round adds no link. Classes are connected components.
+Signatures are banded. Exact copies are first collapsed to one document. In every
+round a bucket names leaders: the first is its member with the most bucket
+mates, later ones come from its largest class and, twice as many every round,
+from all its members. A leader is compared with all members of other classes by
+the exact overlap of the shingle multisets and then leaves the bucket; its class
+mates stay as partners of the others. A bucket is done when its members are of
+one class, so every pair of a bucket is either verified or of one class in the
+end. Classes are connected components.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
+#: so many ids of a round's documents are sent to all tasks; more are shuffled
+BROADCAST_IDS = 500_000
 
 
 def shingles(flat: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,20 +165,50 @@ def _units(n: int):
     return run
 
 
-def _verified(links: DataFrame, rows: DataFrame, reps: DataFrame, similarity: float, n: int) -> DataFrame:
+def _verified(links: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
     """Links whose shingle multisets overlap enough: sum of minima over sum of maxima."""
-    wanted = reps.join(links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct(),
-                       "doc_id", "left_semi")
-    one_row = ["doc_id", "k1", "k2"]
-    units = T.reliable(rows.join(wanted, one_row, "left_semi").dropDuplicates(one_row).select(
-        "doc_id", T.word_hashes("text").alias("words")).mapInArrow(_units(n), "doc_id long, units array<long>"))
-    one = units.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
-    two = units.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
+    wanted = T.reliable(links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    some = units.join(wanted, "doc_id", "left_semi")
+    one = some.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
+    two = some.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
     both = F.size(F.array_intersect("ua", "ub"))
     return links.join(two, "b").join(one, "a").where(
         both >= F.lit(similarity) * (F.size("ua") + F.size("ub") - both)).select("a", "b")
 
 
+def _with_leaders(left: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
+    """(bucket, a, mates, c, lead) of the buckets with members of several classes.
+
+    Leaders of a round: the first member of the largest class, as many others of
+    that class as compare about one pair a member, and about 2 ** ``number``
+    members of any class, so a bucket is empty after a logarithmic number of
+    rounds. They are drawn by a hash of the id: nothing is sorted per bucket.
+    """
+    if classes is not None:
+        left = left.join(classes.withColumnRenamed("node", "a"), "a", "left").select("bucket", "a", "mates", F.coalesce("component", "a").alias("c"))
+    else:
+        left = left.select("bucket", "a", "mates", F.col("a").alias("c"))
+    parts = left.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.max(F.struct("mates", (-F.col("a")).alias("minus"))).alias("top"))
+    whole = parts.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.count("*").alias("k"),
+        F.max(F.struct("n", "top.mates", "top.minus", "c")).alias("big")).where("k > 1")
+    drawn = T.sample_rank("a")
+    lead = ((F.col("a") == -F.col("big.minus"))
+            | ((F.col("c") == F.col("big.c")) & (drawn * F.col("big.n") < F.floor(F.col("n") / (F.col("n") - F.col("big.n"))))))
+    if number:
+        lead = lead | (drawn * F.col("n") < F.lit(float(2 ** number)))
+    return left.join(whole, "bucket").select("bucket", "a", "mates", "c", lead.alias("lead"))
+
+
+def _pairs(marked: DataFrame) -> DataFrame:
+    """(lo, hi, low_leads): each pair of a leader and a member of another class once."""
+    leaders = marked.where("lead").select("bucket", F.col("a").alias("b"), F.col("c").alias("bc"))
+    return marked.join(leaders, "bucket").where("a <> b and c <> bc").groupBy(
+        F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.col("b") < F.col("a")).alias("low_leads"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                     shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, representative) of every row; ``class_id`` is the least id
@@ -202,29 +236,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").count().where("count > 1")
     left = T.reliable(banded.join(shared, "bucket").select("bucket", "a", "count"))
-    mates = T.reliable(left.groupBy("a").agg(F.sum("count").alias("mates")))
-    found, classes = None, None
+    mates = left.groupBy("a").agg(F.sum("count").alias("mates"))
+    left = T.reliable(left.join(mates, "a").select("bucket", "a", "mates"))
+    one_row = ["doc_id", "k1", "k2"]
+    wanted = reps.join(left.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    units = T.reliable(keyed.join(wanted, one_row, "left_semi").dropDuplicates(one_row).select(
+        "doc_id", T.word_hashes("text").alias("words")).mapInArrow(_units(shingle), "doc_id long, units array<long>"))
+    found, classes, tried, number = None, None, None, 0
     while True:
-        ranked = left.join(mates, "a")
-        if classes is not None:
-            ranked = ranked.join(classes.withColumnRenamed("node", "a"), "a", "left")
-        ranked = ranked.select("bucket", "a", "mates", F.coalesce("component", "a").alias("c") if classes is not None else F.col("a").alias("c"))
-        leaders = ranked.groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("a")).alias("minus"), "c")).alias("top"),
-                                               F.count("*").alias("n")).where("n > 1").select(
-            "bucket", (-F.col("top.minus")).alias("b"), F.col("top.c").alias("bc"))
-        left = T.reliable(ranked.join(leaders, "bucket").where("a <> b and c <> bc").select("bucket", "a", "b"))
-        links = T.reliable(left.select("a", "b").distinct())
-        if links.isEmpty():
+        marked = T.reliable(_with_leaders(left, classes, number))
+        if marked.isEmpty():
             break
-        good = T.reliable(_verified(links, keyed, reps, similarity, shingle))
+        pairs = _pairs(marked)
+        if tried is not None:
+            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
+        pairs = T.reliable(pairs)
+        left, number = marked.where("not lead").select("bucket", "a", "mates"), number + 1
+        if pairs.isEmpty():
+            continue
+        tried = pairs.select("lo", "hi") if tried is None else tried.union(pairs.select("lo", "hi"))
+        good = T.reliable(_verified(pairs.selectExpr("if(low_leads, hi, lo) AS a", "if(low_leads, lo, hi) AS b"), units, similarity))
         if good.isEmpty():
-            break
+            continue
         found = good if found is None else found.union(good)
         classes = T.reliable(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        side = classes.withColumnRenamed("node", "a").withColumnRenamed("component", "ca")
-        other = classes.withColumnRenamed("node", "b").withColumnRenamed("component", "cb")
-        left = T.reliable(left.join(side, "a", "left").join(other, "b", "left").where(
-            F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("bucket", "a"))
     final = member_of.select("doc_id", "rep")
     if classes is not None:
         final = final.join(classes, final.rep == classes.node, "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))

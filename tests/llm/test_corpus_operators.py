@@ -84,6 +84,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_group_without_original(spark):
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in rnd.sample(range(200), 3):
+            copy[at] = f"x{rnd.randrange(10 ** 9)}"
+        rows.append((i, " ".join(copy)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c"), (1, None), (2, None), (3, ""), (4, ""), (5, "one two"), (6, "One, two!"), (7, "..."), (8, "!!!"),
             (9, "rose " * 50_000), (10, "rose " * 50_001), (11, "same row here"), (11, "same row here")]
