@@ -13,9 +13,8 @@ scores high.
    n-gram occurrence gets its count and every document sums its words' scores.
 
 A request is a sorted run of n-gram numbers, stored as byte planes of the
-differences, which the shuffle's compression shrinks. The numbers have
-``SPARE_BITS`` bits more than the corpus has n-grams, so about four n-grams in a
-million share their number with another. Chunks and buckets are sized from the
+differences, which the shuffle's compression shrinks. The numbers are the full
+64-bit hashes of the n-grams. Chunks and buckets are sized from the
 corpus: memory stays bounded and the shuffles grow with the corpus. A frequent
 n-gram is one entry per chunk, so no bucket is hot.
 """
@@ -35,7 +34,6 @@ BACKOFF = 0.4
 #: words of a chunk, n-grams of a bucket: what one group holds in memory
 CHUNK_WORDS = 600_000
 BUCKET_GRAMS = 1_500_000
-SPARE_BITS = 18
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
@@ -61,12 +59,12 @@ class Grams:
     """The n-grams of a chunk: per order the number, document and position of every
     occurrence, and the chunk's distinct numbers, bucket by bucket."""
 
-    def __init__(self, words: np.ndarray, offsets: np.ndarray, order: int, bits: int, buckets: int):
+    def __init__(self, words: np.ndarray, offsets: np.ndarray, order: int, buckets: int):
         self.order = order
         numbers, self.docs, self.places = [], [], []
         for m in range(1, order + 1):
             h, doc, pos = T.word_grams(words, offsets, m)
-            numbers.append(h.view(np.uint64) >> np.uint64(64 - bits))
+            numbers.append(h.view(np.uint64))
             self.docs.append(doc)
             self.places.append(pos)
         self.sizes = [len(x) for x in numbers]
@@ -77,9 +75,9 @@ class Grams:
         self.cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
 
 
-def _requests(order: int, bits: int, buckets: int):
+def _requests(order: int, buckets: int):
     def run(key, table):
-        g = Grams(*T.list_parts(table.column("words")), order, bits, buckets)
+        g = Grams(*T.list_parts(table.column("words")), order, buckets)
         counts = g.counts[g.by_bucket]
         rows = [(int(g.bucket[a]), pack_sorted(g.keys[a:b] // np.uint64(buckets)), pack_counts(counts[a:b]))
                 for a, b in zip(g.cuts[:-1], g.cuts[1:], strict=True)]
@@ -100,11 +98,11 @@ def _totals(table):
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": pa.array(answers, pa.binary())})
 
 
-def _scores(order: int, bits: int, buckets: int, corpus_words: int, backoff: float):
+def _scores(order: int, buckets: int, corpus_words: int, backoff: float):
     def run(docs, answers):
         words, offsets = T.list_parts(docs.column("words"))
         lengths = np.diff(offsets)
-        g = Grams(words, offsets, order, bits, buckets)
+        g = Grams(words, offsets, order, buckets)
         answers = answers.sort_by("bucket")
         total = np.empty(len(g.keys), np.int64)
         if len(g.keys):
@@ -156,11 +154,10 @@ def backoff_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.size(T.words("text"))).alias("n")).first()["n"] or 0
     grams = max(1, total * order)
-    bits = min(64, int(grams).bit_length() + SPARE_BITS)
     chunks, buckets = max(1, -(-total // chunk_words)), max(1, -(-grams // bucket_grams))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
     hashed = dealt.repartition("chunk").select("chunk", "doc_id", T.word_hashes("text").alias("words"))
-    requests = hashed.groupBy("chunk").applyInArrow(_requests(order, bits, buckets), "bucket int, chunk int, keys binary, counts binary")
+    requests = hashed.groupBy("chunk").applyInArrow(_requests(order, buckets), "bucket int, chunk int, keys binary, counts binary")
     answers = requests.groupBy("bucket").applyInArrow(_totals, "chunk int, bucket int, totals binary")
     return hashed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _scores(order, bits, buckets, int(total), backoff), "doc_id long, n_words long, log_score double, score double")
+        _scores(order, buckets, int(total), backoff), "doc_id long, n_words long, log_score double, score double")

@@ -234,6 +234,17 @@ def test_lm_scores_equal_brute_force(spark, chunk, bucket):
     assert lm_score.backoff_scores(df.limit(0)).count() == 0
 
 
+def test_alike_numbers_are_told_apart(spark):
+    words = [f"w{i}" for i in range(5000)]
+    hashes = np.array([r["h"][0] for r in spark.createDataFrame([(w,) for w in words], "text string").select(T.word_hashes("text").alias("h")).collect()])
+    top = T.word_grams(hashes, np.arange(5001), 1)[0].view(np.uint64) >> np.uint64(64 - 21)
+    order = np.argsort(top, kind="stable")
+    at = np.flatnonzero(np.diff(top[order]) == 0)[0]
+    pair = [words[order[at]], words[order[at + 1]]]  # equal in their first 21 bits
+    got = lm_score.backoff_scores(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect()
+    assert [r["log_score"] for r in got] == [round(math.log(0.5), 6)] * 2
+
+
 def test_sorted_runs_round_trip():
     x = np.unique(np.random.default_rng(0).integers(0, 2 ** 63, 1000).astype(np.uint64))
     assert (lm_score.unpack_sorted(lm_score.pack_sorted(x)) == x).all()
