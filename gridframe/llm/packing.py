@@ -15,7 +15,8 @@ Ids are those of the byte-level BPE file. A text is split by the file's own
 pre-tokenising pattern and every distinct piece goes once through the BPE model
 of the ``tokenizers`` library; a Python worker remembers the pieces it has
 seen, for all its tasks. Merges never cross pieces, so the ids equal those of
-encoding the whole text.
+encoding the whole text. A text that holds one of the file's added tokens (as
+``<|endoftext|>``) goes whole through the tokenizer, which gives that token's id.
 """
 
 from __future__ import annotations
@@ -59,6 +60,7 @@ class PieceEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokens_of = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.pieces_of = regex.compile(PIECE_PATTERN).findall
 
@@ -71,6 +73,9 @@ class PieceEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack("<%dI" % len(ids), *ids)
         return b"".join(map(self.__getitem__, self.pieces_of(text)))
 
 

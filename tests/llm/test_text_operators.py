@@ -180,6 +180,17 @@ def test_packing_round_trip(spark, docs):
     assert all(n == 2048 for n in full[:-1]) and sorted(by_seq) == list(range(len(by_seq)))
 
 
+def test_packing_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>é", "<|endoftext", "plain text  only"]
+    got = packing.token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], "<u2" if len(r["ids"]) == 2 * r["doc_tokens"] else "<u4").tolist() for r in got}
+    assert ids == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+
+
 def test_packing_odd_rows(spark):
     got = packing.pack(odd(spark)).collect()
     assert sum(r["length"] for r in got if r["doc_id"] == 1) == 1
