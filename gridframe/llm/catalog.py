@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import decontaminate, exact_dedup, html, language, licenses, lm_score, near_dup, packing, topk, toxicity, urls
+from gridframe.llm import decontaminate, exact_dedup, html, language, lexical, licenses, lm_score, near_dup, packing, topk, toxicity, urls
 from gridframe.llm import text as T
 
 
@@ -69,6 +69,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_decontaminate": op2_decontaminate,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,4 +118,36 @@ ORACLE_SQL: dict[str, str] = {
         FROM t
         WINDOW best AS (PARTITION BY bare ORDER BY chars DESC, doc_id NULLS LAST)
     """,
+    "op13_lexical": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), totals AS (
+            SELECT count(*) AS all_docs, CAST(sum(len(words)) AS BIGINT) AS all_words FROM d WHERE len(words) > 0
+        ), lengths AS (
+            SELECT r, doc_id, 100 - 25 + (25 * len(words) * all_docs) // all_words AS m FROM d, totals WHERE len(words) > 0
+        ), tfs AS (
+            SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(words) AS t FROM d) GROUP BY r, t
+        ), weights AS (
+            SELECT t, CAST(floor(1000 * ln(CAST(2 * max(all_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tfs, totals GROUP BY t
+        ), items AS (
+            SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM benchmark
+        ), asked AS (
+            SELECT item, item_id, t, count(*) AS n FROM (SELECT item, item_id, unnest(words) AS t FROM items) GROUP BY item, item_id, t
+        ), scored AS (
+            SELECT item, item_id, r, doc_id, CAST(sum(n * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+            FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN lengths USING (r)
+            GROUP BY item, item_id, r, doc_id
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
 }
