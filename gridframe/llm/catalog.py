@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridframe.llm import decontaminate, exact_dedup, html, language, lexical, licenses, lm_score, near_dup, packing, topk, toxicity, urls
+from gridframe.llm import decontaminate, exact_dedup, html, language, lexical, licenses, lm_score, near_dup, packing, token_links, topk, toxicity, urls
 from gridframe.llm import text as T
 
 
@@ -69,6 +69,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.link_scores(_read(spark, sf_dir, "documents"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_token_links": op12_token_links,
     "op13_lexical": op13_lexical,
 }
 
