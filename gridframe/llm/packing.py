@@ -11,17 +11,13 @@ is cut into fixed windows. Two passes:
    bounds. Every document emits its boundary records (pieces) by itself, so no
    row moves between tasks and no window is gathered anywhere.
 
-Ids are those of the byte-level BPE file. A text is split by the file's own
-pre-tokenising pattern and every distinct piece goes once through the BPE model
-of the ``tokenizers`` library; a Python worker remembers the pieces it has
-seen, for all its tasks. Merges never cross pieces, so the ids equal those of
-encoding the whole text. A text that holds one of the file's added tokens (as
-``<|endoftext|>``) goes whole through the tokenizer, which gives that token's id.
+Ids are those of the byte-level BPE file, as ``Tokenizer.encode`` of the
+``tokenizers`` library gives them (see ``tokens.ByteBpe``); an added token of the
+file in a text (as ``<|endoftext|>``) gets its own id.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,76 +26,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.llm import text as T
+from gridframe.llm import tokens
 from gridframe.session import scratch_path, ship_package
 
 WINDOW = 2048
 END_ID = 1
-#: distinct pieces that a worker remembers before it starts afresh (about 100 MB)
-REMEMBERED_PIECES = 500_000
-#: the pre-tokenising pattern of the byte-level vocabulary (fixed value)
-PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _byte_letters() -> dict[int, int]:
-    """The byte-level vocabulary writes printable Latin-1 bytes as themselves and the
-    others, in order, as the characters from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: 256 + n for n, b in enumerate(others)}
-
-
-class PieceEncoder(dict):
-    """Piece -> its token ids as little-endian unsigned 32-bit bytes, filled as pieces come."""
-
-    def __init__(self, tokenizer_path: str | None):
-        import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokens_of = self.tokenizer.model.tokenize
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
-        self.pieces_of = regex.compile(PIECE_PATTERN).findall
-
-    def __missing__(self, piece: str) -> bytes:
-        tokens = self.tokens_of(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
-        ids = struct.pack("<%dI" % len(tokens), *[t.id for t in tokens])
-        if len(self) >= REMEMBERED_PIECES:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack("<%dI" % len(ids), *ids)
-        return b"".join(map(self.__getitem__, self.pieces_of(text)))
-
-
-_ENCODERS: dict[str | None, PieceEncoder] = {}
+def _binary(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Lists of numbers laid end to end, as one Arrow array of their bytes."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]) * flat.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
 
 
 def _tokenise(tokenizer_path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _ENCODERS:
-            _ENCODERS[tokenizer_path] = PieceEncoder(tokenizer_path)
-        encoder = _ENCODERS[tokenizer_path]
-        end = np.array([end_id], "<u4").tobytes()
-        start = 0
+        encoder = tokens.byte_bpe(tokenizer_path, added_tokens=True)
+        # two bytes an id where they suffice: half the table
+        kind = np.dtype("<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4")
+        end, start = np.array([end_id], np.uint32), 0
         for batch in batches:
-            ids = [encoder.encode(t or "") + end for t in batch.column(1).to_pylist()]
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            parts, lengths = [], np.empty(batch.num_rows, np.int64)
+            for i, text in enumerate(batch.column(1)):
+                ids = encoder.encode(text.as_py() or "")
+                parts += [ids, end]
+                lengths[i] = len(ids) + 1
             starts = start + np.cumsum(lengths) - lengths
             start += int(lengths.sum())
-            small = [np.frombuffer(x, "<u4") for x in ids]
-            # two bytes an id where they suffice: half the table
-            stored = [x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes() for x in small]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(starts), pa.array(lengths), pa.array(stored, pa.binary())],
-                names=["doc_id", "part", "part_start", "doc_tokens", "ids"])
+            stored = _binary(np.concatenate([end[:0], *parts]).astype(kind), lengths)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(starts), pa.array(lengths), stored],
+                                             names=["doc_id", "part", "part_start", "doc_tokens", "ids"])
 
     return run
 
@@ -129,7 +85,7 @@ def token_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pass 1: (doc_id, part, part_start, doc_tokens, ids binary), written to the
     shared folder and read back. ``ids`` are little-endian, two bytes each
-    where all ids of the document are below 65536, else four."""
+    where the vocabulary has at most 65536, else four."""
     spark = docs.sparkSession
     ship_package(spark)
     path = scratch_path(spark, "packing-ids")

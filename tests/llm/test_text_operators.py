@@ -157,7 +157,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     extra = spark.createDataFrame([(900_001, "日本語 <|endoftext|> naïve’s 😀\r\n\t  x²½ ٣"), (900_002, None), (900_003, "")], "doc_id long, text string")
     some = docs.select("doc_id", "text").union(extra).repartition(5)
     pieces = packing.pack(some).collect()
@@ -198,11 +197,21 @@ def test_packing_odd_rows(spark):
     assert packing.pack(odd(spark).limit(0)).count() == 0
 
 
-def test_encoder_forgets(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED_PIECES", 3)
-    small = packing.PieceEncoder(None).encode("one two three four one two five six one")
-    monkeypatch.setattr(packing, "REMEMBERED_PIECES", 1000)
-    assert small == packing.PieceEncoder(None).encode("one two three four one two five six one")
+def test_byte_bpe_equals_the_tokenizer(docs):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gridframe.llm import tokens
+
+    tokenizer, mine = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.byte_bpe(added_tokens=True)
+    rnd = random.Random(5)
+    letters = list("aé日😀'sdt 12\n\t\r\xa0\u2028\x00_-<|") + ["<|endoftext|>", "'ll", "   ", "\u0301", "٣", "ſ"]
+    made = ["".join(rnd.choices(letters, k=rnd.randint(1, 60))) for _ in range(2000)]
+    for text in [*made, "a" * 5000, " " * 3000, *[r["text"] or "" for r in docs.select("text").collect()]]:
+        assert mine.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert b"".join(mine.token_bytes[i] for i in mine.encode("é <|endoftext|>x")) == "é <|endoftext|>x".encode()
 
 
 # --- licences ----------------------------------------------------------------
