@@ -9,19 +9,30 @@ Every register keeps its earliest point. Two documents agree on a register with
 the probability of their weighted Jaccard similarity, whatever the weights, and
 points after the time by which all registers are taken are never made.
 
-Signatures are banded. Exact copies are first collapsed to one document. In every
-round a bucket names leaders: the first is its member with the most bucket
-mates, later ones come from its largest class and, twice as many every round,
-from all its members. A leader is compared with all members of other classes by
-the exact overlap of the shingle multisets and then leaves the bucket; its class
-mates stay as partners of the others. A bucket is done when its members are of
-one class, so every pair of a bucket is either verified or of one class in the
-end. Classes are connected components.
+Signatures are banded. Exact copies are first collapsed to one document. The
+members of a bucket are resolved by pivots. A pivot is compared with every other
+member by the exact overlap of the shingle multisets:
+
+* a member of similarity s or more is linked, one of 2s - 1 or more is *near*, any
+  other *far*. Jaccard distance is a metric, so a far member cannot be linked to
+  one that is linked to the pivot.
+* Near members are known by their differences from the pivot (the shingles they
+  lack or add). Two of them overlap by what their sizes say plus the differences
+  they share, so a link between them needs either small differences, when the
+  member with the least one is linked to both, or a number of shared differences:
+  an equi-join on the rarest of them (prefix filter) finds all such pairs, and
+  each is verified. Copies of one text share few differences, so large groups of
+  near copies are not compared pair by pair.
+
+The pivot and the members linked to it leave the bucket; a bucket without far
+members is done, another goes on with more pivots. So every pair of a bucket is
+verified, excluded or of one class in the end. Classes are connected components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +49,10 @@ BANDS = 32
 ROWS = 6
 #: so many ids of a round's documents are sent to all tasks; more are shuffled
 BROADCAST_IDS = 500_000
+#: members that share one copy of their pivot's shingles
+PIVOT_MEMBERS = 1000
+#: parts that the copies of one text are dealt into when they learn their representative
+COPY_SALTS = 64
 
 
 def shingles(flat: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,48 +180,101 @@ def _units(n: int):
     return run
 
 
-def _verified(links: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
-    """Links whose shingle multisets overlap enough: sum of minima over sum of maxima."""
-    wanted = T.reliable(links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    some = units.join(wanted, "doc_id", "left_semi")
-    one = some.select(F.col("doc_id").alias("a"), F.col("units").alias("ua"))
-    two = some.select(F.col("doc_id").alias("b"), F.col("units").alias("ub"))
-    both = F.size(F.array_intersect("ua", "ub"))
-    return links.join(two, "b").join(one, "a").where(
-        both >= F.lit(similarity) * (F.size("ua") + F.size("ub") - both)).select("a", "b")
-
-
-def _with_leaders(left: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
-    """(bucket, a, mates, c, lead) of the buckets with members of several classes.
-
-    Leaders of a round: the first member of the largest class, as many others of
-    that class as compare about one pair a member, and about 2 ** ``number``
-    members of any class, so a bucket is empty after a logarithmic number of
-    rounds. They are drawn by a hash of the id: nothing is sorted per bucket.
-    """
+def _some_units(units: DataFrame, wanted: DataFrame) -> DataFrame:
+    wanted = T.reliable(wanted.distinct())
+    return units.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+
+
+def _compared(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """(pivot, m, linked, near, size, least, delta) of every pair (pivot, m): ``size``
+    units of the pivot, ``delta`` the units that only one of the two has, if near, and
+    ``least`` the share of units that a partner must make up for.
+
+    A pivot with many members is repeated, so that they are spread over tasks."""
+    many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(PIVOT_MEMBERS)).cast("int").alias("salts"))
+    some = _some_units(units, pairs.select(F.col("pivot").alias("doc_id")).union(pairs.select("m")))
+    pivots = many.join(some.select(F.col("doc_id").alias("pivot"), F.col("units").alias("up")), "pivot").select(
+        "pivot", "up", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    members = pairs.join(some.select(F.col("doc_id").alias("m"), F.col("units").alias("um")), "m").join(many, "pivot").withColumn(
+        "salt", F.pmod(F.xxhash64("m"), F.col("salts")).cast("int")).drop("salts")
+    both = members.join(pivots.drop("salts"), ["pivot", "salt"])
+    shared = F.size(F.array_intersect("up", "um"))
+    size, own = F.size("up"), F.size("um")
+    joint = both.select("pivot", "m", "up", "um", shared.alias("shared"), size.alias("size"), own.alias("own"),
+                        (size + own - shared).alias("union"))
+    near = F.col("shared") >= F.lit(2 * similarity - 1) * F.col("union")
+    delta = F.concat(F.array_except("up", "um"), F.array_except("um", "up"))
+    return joint.select(
+        "pivot", "m", (F.col("shared") >= F.lit(similarity) * F.col("union")).alias("linked"), near.alias("near"), "size",
+        # a link needs an overlap of s / (1 + s) of both sizes: this and the partner's ``least`` less the pivot's size
+        # is how many differences they must share
+        (F.lit(similarity / (1 + similarity)) * F.col("own") + F.col("size") - F.col("shared")).alias("least"),
+        F.when(near, delta).alias("delta"))
+
+
+def _near_links(near: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Links (a, b) among the near members of each pivot, unless one class joins them already."""
+    own = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("m"))
+    rows = near.withColumn("node", own)
+    if classes is not None:
+        rows = rows.join(classes, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+    # pivots all of whose near members are linked have nothing more to find
+    best = near.groupBy("pivot").agg(F.min(F.struct("least", "m")).alias("top"), F.min(F.when(~F.col("linked"), F.col("least"))).alias("low"))
+    rows = rows.join(best.where("low IS NOT NULL"), "pivot")
+    spare = F.col("size") + F.lit(1e-6)  # rounding may only add candidates
+    by_size = rows.where((F.col("least") + F.col("top.least") <= F.col("size") - F.lit(1e-6)) & (F.col("m") != F.col("top.m"))).select(
+        F.col("m").alias("a"), F.col("top.m").alias("b"))
+    units = rows.select("pivot", "m", "linked", "node", "least", "size", "top", "low", F.explode("delta").alias("unit"))
+    units = units.join(units.groupBy("pivot", "unit").agg(F.count("*").alias("n")).where("n > 1"), ["pivot", "unit"])
+    rare = F.transform(F.sort_array(F.collect_list(F.struct("n", "unit"))), lambda x: x["unit"])
+
+    def prefix(some: DataFrame, partner: F.Column, id_: str, node: str) -> DataFrame:
+        """The units of which a linked partner must share one: all but the most common
+        ones that it could share anyway. A unit that no other member has counts as rarer."""
+        need = F.greatest(F.ceil(F.col("least") + partner - spare), F.lit(1))
+        return some.groupBy("pivot", "m", "node", "least", "size", "top", "low").agg(rare.alias("order")).select(
+            "pivot", F.col("m").alias(id_), F.col("node").alias(node), F.explode(
+                F.slice("order", F.lit(1), F.greatest(F.size("order") - need.cast("int") + 1, F.lit(0)))).alias("unit"))
+
+    probe = prefix(units.where(~F.col("linked")), F.col("top.least"), "a", "na")
+    index = prefix(units, F.col("low"), "b", "nb")
+    pairs = probe.join(index, ["pivot", "unit"]).where("na <> nb").select("pivot", "a", "b").distinct()
+    known = near.select("pivot", "m", "delta", "least", "size")
+    one = known.select("pivot", F.col("m").alias("a"), F.col("delta").alias("da"), F.col("least").alias("la"), "size")
+    two = known.select("pivot", F.col("m").alias("b"), F.col("delta").alias("db"), F.col("least").alias("lb"))
+    good = pairs.join(one, ["pivot", "a"]).join(two, ["pivot", "b"]).where(
+        F.size(F.array_intersect("da", "db")) >= F.col("la") + F.col("lb") - spare)
+    return good.select("a", "b").union(by_size)
+
+
+def _with_pivots(left: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
+    """(bucket, pivot, m, mates) of the buckets with members of several classes: the
+    member with the most bucket mates is a pivot, in later rounds about
+    2 ** ``number`` others as well, drawn by a hash of the id."""
     if classes is not None:
         left = left.join(classes.withColumnRenamed("node", "a"), "a", "left").select("bucket", "a", "mates", F.coalesce("component", "a").alias("c"))
     else:
         left = left.select("bucket", "a", "mates", F.col("a").alias("c"))
-    parts = left.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.max(F.struct("mates", (-F.col("a")).alias("minus"))).alias("top"))
-    whole = parts.groupBy("bucket").agg(
-        F.sum("n").alias("n"), F.count("*").alias("k"),
-        F.max(F.struct("n", "top.mates", "top.minus", "c")).alias("big")).where("k > 1")
-    drawn = T.sample_rank("a")
-    lead = ((F.col("a") == -F.col("big.minus"))
-            | ((F.col("c") == F.col("big.c")) & (drawn * F.col("big.n") < F.floor(F.col("n") / (F.col("n") - F.col("big.n"))))))
-    if number:
-        lead = lead | (drawn * F.col("n") < F.lit(float(2 ** number)))
-    return left.join(whole, "bucket").select("bucket", "a", "mates", "c", lead.alias("lead"))
-
-
-def _pairs(marked: DataFrame) -> DataFrame:
-    """(lo, hi, low_leads): each pair of a leader and a member of another class once."""
-    leaders = marked.where("lead").select("bucket", F.col("a").alias("b"), F.col("c").alias("bc"))
-    return marked.join(leaders, "bucket").where("a <> b and c <> bc").groupBy(
-        F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.col("b") < F.col("a")).alias("low_leads"))
+    whole = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("mates", (-F.col("a")).alias("minus"))).alias("top"),
+                                       F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    rows = left.join(whole.select("bucket", "n", F.col("top.minus").alias("minus")), "bucket")
+    first = F.col("a") == -F.col("minus")
+    if not number:  # one pivot a bucket: no join of the members with themselves
+        return rows.where(~first).select("bucket", (-F.col("minus")).alias("pivot"), F.col("a").alias("m"), "mates")
+    pivots = rows.where(first | (T.sample_rank("a") * F.col("n") < F.lit(float(2 ** number)))).select("bucket", F.col("a").alias("pivot"))
+    return rows.join(pivots, "bucket").where("a <> pivot").select("bucket", "pivot", F.col("a").alias("m"), "mates")
+
+
+def _unresolved(marked: DataFrame, compared: DataFrame) -> DataFrame:
+    """(bucket, a, mates) of what a round leaves: neither pivots nor members linked to
+    one, in buckets where every pivot has far members among them."""
+    result = marked.join(compared.select("pivot", "m", "linked", "near"), ["pivot", "m"])
+    pivots = result.select("bucket", F.col("pivot").alias("m")).distinct()
+    gone = result.where("linked").select("bucket", "m").union(pivots).distinct()
+    rest = result.join(gone, ["bucket", "m"], "left_anti")
+    far = rest.groupBy("bucket", "pivot").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("far"))
+    more = far.groupBy("bucket").agg(F.min("far").alias("far")).where("far > 0").select("bucket")
+    return rest.join(more, "bucket", "left_semi").select("bucket", F.col("m").alias("a"), "mates").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
@@ -227,44 +295,49 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keyed = base.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text").where(F.col("text").isNotNull())
     signed = keyed.select("doc_id", "k1", "k2", T.word_hashes("text").alias("words")).mapInArrow(
         _sign(bands, rows, shingle), "doc_id long, k1 long, k2 long, bands array<long>")
-    signed = T.reliable(signed)
+    signed = T.stored(signed, "near-signed")
     ids = signed.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
-    copies = ids.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member_of = T.reliable(ids.join(copies, ["k1", "k2"]).select("doc_id", "k1", "k2", "rep"))
+    # the answer goes back to the copies through salted keys: a text may have very many
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(COPY_SALTS))
+    salted = ids.withColumn("salt", salt)
+    firsts = salted.groupBy("k1", "k2", "salt").agg(F.min("doc_id").alias("low"))
+    lows = firsts.groupBy("k1", "k2").agg(F.min("low").alias("rep"), F.collect_list("salt").alias("salts")).select(
+        "k1", "k2", "rep", F.explode("salts").alias("salt"))
+    member_of = T.stored(salted.join(lows, ["k1", "k2", "salt"]).select("doc_id", "k1", "k2", "rep"), "near-members")
     reps = member_of.where("doc_id = rep").drop("rep")
     banded = signed.join(reps, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"]).select(
         F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").count().where("count > 1")
-    left = T.reliable(banded.join(shared, "bucket").select("bucket", "a", "count"))
-    mates = left.groupBy("a").agg(F.sum("count").alias("mates"))
-    left = T.reliable(left.join(mates, "a").select("bucket", "a", "mates"))
+    kept = T.stored(banded.join(shared, "bucket").select("bucket", "a", "count"), "near-buckets")
+    mates = kept.groupBy("a").agg(F.sum("count").alias("mates"))
+    left = T.stored(kept.join(mates, "a").select("bucket", "a", "mates"), "near-left")
+    T.discard(kept, signed)
     one_row = ["doc_id", "k1", "k2"]
     wanted = reps.join(left.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    units = T.reliable(keyed.join(wanted, one_row, "left_semi").dropDuplicates(one_row).select(
-        "doc_id", T.word_hashes("text").alias("words")).mapInArrow(_units(shingle), "doc_id long, units array<long>"))
-    found, classes, tried, number = None, None, None, 0
+    units = T.stored(keyed.join(wanted, one_row, "left_semi").dropDuplicates(one_row).select(
+        "doc_id", T.word_hashes("text").alias("words")).mapInArrow(_units(shingle), "doc_id long, units array<long>"), "near-units")
+    found, classes, number = [], None, 0
     while True:
-        marked = T.reliable(_with_leaders(left, classes, number))
+        marked = T.stored(_with_pivots(left, classes, number), "near-marked")
         if marked.isEmpty():
             break
-        pairs = _pairs(marked)
-        if tried is not None:
-            pairs = pairs.join(tried, ["lo", "hi"], "left_anti")
-        pairs = T.reliable(pairs)
-        left, number = marked.where("not lead").select("bucket", "a", "mates"), number + 1
-        if pairs.isEmpty():
-            continue
-        tried = pairs.select("lo", "hi") if tried is None else tried.union(pairs.select("lo", "hi"))
-        good = T.reliable(_verified(pairs.selectExpr("if(low_leads, hi, lo) AS a", "if(low_leads, lo, hi) AS b"), units, similarity))
-        if good.isEmpty():
-            continue
-        found = good if found is None else found.union(good)
-        classes = T.reliable(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        compared = T.stored(_compared(marked.select("pivot", "m").distinct(), units, similarity), "near-compared")
+        near = compared.where("near").drop("near")
+        links = T.stored(compared.where("linked").select(F.col("pivot").alias("a"), F.col("m").alias("b")).union(
+            _near_links(near, classes)), "near-links")
+        after = T.stored(_unresolved(marked, compared), "near-left")
+        T.discard(left, marked, compared)
+        left, number = after, number + 1
+        if not links.isEmpty():
+            found.append(links)
+            before, classes = classes, T.stored(components(reduce(DataFrame.union, found).select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-classes")
+            T.discard(before)
+    T.discard(left, marked, units, *found)
     final = member_of.select("doc_id", "rep")
     if classes is not None:
         final = final.join(classes, final.rep == classes.node, "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     else:
         final = final.select("doc_id", F.col("rep").alias("class_id"))
-    lone = base.where(F.col("text").isNull()).select("doc_id").distinct().join(ids, "doc_id", "left_anti").select(
+    lone = base.where(F.col("text").isNull()).select("doc_id").distinct().join(member_of, "doc_id", "left_anti").select(
         "doc_id", F.col("doc_id").alias("class_id"))
     return final.union(lone).withColumn("representative", F.col("doc_id") == F.col("class_id"))

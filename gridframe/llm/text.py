@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridframe.session import checkpoint_dir
+from gridframe.session import checkpoint_dir, scratch_path
 
 WORD_BREAK = r"[^\p{L}\p{N}\p{M}]+"
 #: rows of a Python batch: short, since one text may be very long
@@ -48,6 +48,23 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back; ``discard`` removes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove stored tables that nothing needs any more."""
+    for df in tables:
+        if df is not None:
+            folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def list_parts(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(flat values, offsets) of an Arrow list column; a null list is empty."""
     if isinstance(column, pa.ChunkedArray):
