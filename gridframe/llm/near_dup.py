@@ -25,7 +25,7 @@ member by the exact overlap of the shingle multisets:
   near copies are not compared pair by pair.
 
 The pivot and the members linked to it leave the bucket; a bucket without far
-members is done, another goes on with more pivots. So every pair of a bucket is
+members is done, another goes on with pivots from the far ones. So every pair of a bucket is
 verified, excluded or of one class in the end. Classes are connected components.
 """
 
@@ -51,6 +51,8 @@ ROWS = 6
 BROADCAST_IDS = 500_000
 #: members that share one copy of their pivot's shingles
 PIVOT_MEMBERS = 1000
+#: so few fresh members of a bucket are all pivots
+FEW_FRESH = 4
 #: parts that the copies of one text are dealt into when they learn their representative
 COPY_SALTS = 64
 
@@ -193,11 +195,11 @@ def _compared(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFram
     A pivot with many members is repeated, so that they are spread over tasks."""
     many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(PIVOT_MEMBERS)).cast("int").alias("salts"))
     some = _some_units(units, pairs.select(F.col("pivot").alias("doc_id")).union(pairs.select("m")))
-    pivots = many.join(some.select(F.col("doc_id").alias("pivot"), F.col("units").alias("up")), "pivot").select(
+    pivots = many.join(some.select(F.col("doc_id").alias("pivot"), F.col("units").alias("up")).hint("merge"), "pivot").select(
         "pivot", "up", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    members = pairs.join(some.select(F.col("doc_id").alias("m"), F.col("units").alias("um")), "m").join(many, "pivot").withColumn(
+    members = pairs.join(some.select(F.col("doc_id").alias("m"), F.col("units").alias("um")).hint("merge"), "m").join(many.hint("merge"), "pivot").withColumn(
         "salt", F.pmod(F.xxhash64("m"), F.col("salts")).cast("int")).drop("salts")
-    both = members.join(pivots.drop("salts"), ["pivot", "salt"])
+    both = members.join(pivots.drop("salts").hint("merge"), ["pivot", "salt"])
     shared = F.size(F.array_intersect("up", "um"))
     size, own = F.size("up"), F.size("um")
     joint = both.select("pivot", "m", "up", "um", shared.alias("shared"), size.alias("size"), own.alias("own"),
@@ -217,15 +219,18 @@ def _near_links(near: DataFrame, classes: DataFrame | None) -> DataFrame:
     own = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("m"))
     rows = near.withColumn("node", own)
     if classes is not None:
-        rows = rows.join(classes, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+        rows = rows.join(classes.hint("merge"), "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
     # pivots all of whose near members are linked have nothing more to find
     best = near.groupBy("pivot").agg(F.min(F.struct("least", "m")).alias("top"), F.min(F.when(~F.col("linked"), F.col("least"))).alias("low"))
-    rows = rows.join(best.where("low IS NOT NULL"), "pivot")
+    rows = rows.join(best.where("low IS NOT NULL").hint("merge"), "pivot")
     spare = F.col("size") + F.lit(1e-6)  # rounding may only add candidates
     by_size = rows.where((F.col("least") + F.col("top.least") <= F.col("size") - F.lit(1e-6)) & (F.col("m") != F.col("top.m"))).select(
         F.col("m").alias("a"), F.col("top.m").alias("b"))
-    units = rows.select("pivot", "m", "linked", "node", "least", "size", "top", "low", F.explode("delta").alias("unit"))
-    units = units.join(units.groupBy("pivot", "unit").agg(F.count("*").alias("n")).where("n > 1"), ["pivot", "unit"])
+    # who has fewer differences than the easiest partner asks for has no partner
+    partner = F.when(F.col("linked"), F.col("low")).otherwise(F.col("top.least"))
+    able = rows.where(F.col("least") + partner - spare <= F.size("delta"))
+    units = able.select("pivot", "m", "linked", "node", "least", "size", "top", "low", F.explode("delta").alias("unit"))
+    units = units.join(units.groupBy("pivot", "unit").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), ["pivot", "unit"])
     rare = F.transform(F.sort_array(F.collect_list(F.struct("n", "unit"))), lambda x: x["unit"])
 
     def prefix(some: DataFrame, partner: F.Column, id_: str, node: str) -> DataFrame:
@@ -238,43 +243,53 @@ def _near_links(near: DataFrame, classes: DataFrame | None) -> DataFrame:
 
     probe = prefix(units.where(~F.col("linked")), F.col("top.least"), "a", "na")
     index = prefix(units, F.col("low"), "b", "nb")
-    pairs = probe.join(index, ["pivot", "unit"]).where("na <> nb").select("pivot", "a", "b").distinct()
+    pairs = probe.join(index.hint("merge"), ["pivot", "unit"]).where("na <> nb").select("pivot", "a", "b").distinct()
     known = near.select("pivot", "m", "delta", "least", "size")
     one = known.select("pivot", F.col("m").alias("a"), F.col("delta").alias("da"), F.col("least").alias("la"), "size")
     two = known.select("pivot", F.col("m").alias("b"), F.col("delta").alias("db"), F.col("least").alias("lb"))
-    good = pairs.join(one, ["pivot", "a"]).join(two, ["pivot", "b"]).where(
+    good = pairs.join(one.hint("merge"), ["pivot", "a"]).join(two.hint("merge"), ["pivot", "b"]).where(
         F.size(F.array_intersect("da", "db")) >= F.col("la") + F.col("lb") - spare)
     return good.select("a", "b").union(by_size)
 
 
 def _with_pivots(left: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
-    """(bucket, pivot, m, mates) of the buckets with members of several classes: the
-    member with the most bucket mates is a pivot, in later rounds about
-    2 ** ``number`` others as well, drawn by a hash of the id."""
+    """(bucket, pivot, m, mates, seen) of the buckets with members of several classes.
+
+    Pivots are drawn from the fresh members: the one with the most bucket mates, from
+    the third round on about 2 ** (number - 1) others as well, by a hash of the id."""
     if classes is not None:
-        left = left.join(classes.withColumnRenamed("node", "a"), "a", "left").select("bucket", "a", "mates", F.coalesce("component", "a").alias("c"))
+        left = left.join(classes.withColumnRenamed("node", "a").hint("merge"), "a", "left").withColumn("c", F.coalesce("component", "a"))
     else:
-        left = left.select("bucket", "a", "mates", F.col("a").alias("c"))
-    whole = left.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.struct("mates", (-F.col("a")).alias("minus"))).alias("top"),
-                                       F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
-    rows = left.join(whole.select("bucket", "n", F.col("top.minus").alias("minus")), "bucket")
-    first = F.col("a") == -F.col("minus")
-    if not number:  # one pivot a bucket: no join of the members with themselves
-        return rows.where(~first).select("bucket", (-F.col("minus")).alias("pivot"), F.col("a").alias("m"), "mates")
-    pivots = rows.where(first | (T.sample_rank("a") * F.col("n") < F.lit(float(2 ** number)))).select("bucket", F.col("a").alias("pivot"))
-    return rows.join(pivots, "bucket").where("a <> pivot").select("bucket", "pivot", F.col("a").alias("m"), "mates")
+        left = left.withColumn("c", F.col("a"))
+    top = F.max(F.when(F.col("fresh"), F.struct("mates", (-F.col("a")).alias("minus"))))
+    whole = left.groupBy("bucket").agg(F.count(F.when(F.col("fresh"), 1)).alias("n"), top.alias("top"),
+                                       F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 AND n > 0")
+    rows = left.join(whole.select("bucket", "n", (-F.col("top.minus")).alias("first")).hint("merge"), "bucket")
+    if number < 2:  # one pivot a bucket: no join of the members with themselves
+        return rows.where("a <> first").select("bucket", F.col("first").alias("pivot"), F.col("a").alias("m"), "mates", "seen")
+    drawn = F.col("fresh") & ((T.sample_rank("a") * F.col("n") < F.lit(float(2 ** (number - 1)))) | (F.col("n") <= FEW_FRESH))
+    pivots = rows.where((F.col("a") == F.col("first")) | drawn).select("bucket", F.col("a").alias("pivot"))
+    return rows.join(pivots.hint("merge"), "bucket").where("a <> pivot").select("bucket", "pivot", F.col("a").alias("m"), "mates", "seen")
 
 
 def _unresolved(marked: DataFrame, compared: DataFrame) -> DataFrame:
-    """(bucket, a, mates) of what a round leaves: neither pivots nor members linked to
-    one, in buckets where every pivot has far members among them."""
-    result = marked.join(compared.select("pivot", "m", "linked", "near"), ["pivot", "m"])
+    """(bucket, a, mates, seen, fresh) of what a round leaves: members that are neither
+    pivots nor linked to one. ``seen`` are the pivots, of all rounds, that a member is
+    near to; near members of one pivot are resolved among themselves, so a bucket is
+    done if one pivot was near to all, and otherwise the members far from the pivot
+    that was near to most are fresh."""
+    result = marked.join(compared.select("pivot", "m", "linked", "near").hint("merge"), ["pivot", "m"])
     pivots = result.select("bucket", F.col("pivot").alias("m")).distinct()
-    gone = result.where("linked").select("bucket", "m").union(pivots).distinct()
-    rest = result.join(gone, ["bucket", "m"], "left_anti")
-    far = rest.groupBy("bucket", "pivot").agg(F.sum(F.when(F.col("near"), 0).otherwise(1)).alias("far"))
-    more = far.groupBy("bucket").agg(F.min("far").alias("far")).where("far > 0").select("bucket")
-    return rest.join(more, "bucket", "left_semi").select("bucket", F.col("m").alias("a"), "mates").distinct()
+    members = result.groupBy("bucket", "m").agg(F.max("linked").alias("gone"), F.first("mates").alias("mates"), F.first("seen").alias("seen"),
+                                                F.collect_list(F.when(F.col("near"), F.col("pivot"))).alias("new"))
+    rest = members.where("not gone").join(pivots.hint("merge"), ["bucket", "m"], "left_anti").select(
+        "bucket", "m", "mates", F.concat("seen", "new").alias("seen"))
+    cover = rest.select("bucket", F.explode_outer("seen").alias("by")).groupBy("bucket", "by").agg(F.count("by").alias("n"))
+    best = cover.groupBy("bucket").agg(F.max(F.struct("n", "by")).alias("best"))
+    size = rest.groupBy("bucket").agg(F.count("*").alias("size"))
+    more = size.join(best.hint("merge"), "bucket").where("best.n < size").select("bucket", "best.by")
+    return rest.join(more.hint("merge"), "bucket").select(
+        "bucket", F.col("m").alias("a"), "mates", "seen", (~F.coalesce(F.array_contains("seen", F.col("by")), F.lit(False))).alias("fresh"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
@@ -310,7 +325,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = banded.groupBy("bucket").count().where("count > 1")
     kept = T.stored(banded.join(shared, "bucket").select("bucket", "a", "count"), "near-buckets")
     mates = kept.groupBy("a").agg(F.sum("count").alias("mates"))
-    left = T.stored(kept.join(mates, "a").select("bucket", "a", "mates"), "near-left")
+    left = T.stored(kept.join(mates, "a").select("bucket", "a", "mates", F.array().cast("array<long>").alias("seen"), F.lit(True).alias("fresh")), "near-left")
     T.discard(kept, signed)
     one_row = ["doc_id", "k1", "k2"]
     wanted = reps.join(left.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
