@@ -67,8 +67,17 @@ def matrix_shape(segments: DataFrame, names: DataFrame, block_size: int, n_cells
 
 
 def attach_col_idx(frame: DataFrame, names: DataFrame) -> DataFrame:
-    """Record name -> column index of ``A`` (inner equi-join)."""
-    return frame.join(broadcast_if_small(names.select("record_name", "col_idx")), "record_name")
+    """Record name -> column index of ``A``. A record that the names lack fails
+    the job with its name; names without a record are found where the rows of ``A``
+    are checked for their length."""
+    joined = frame.join(broadcast_if_small(names.select("record_name", "col_idx")), "record_name", "left")
+    return joined.withColumn("col_idx", required("col_idx", "has no column name").cast("long"))
+
+
+def required(column: str, complaint: str):
+    """A joined column that every record must have: null fails the job with the record."""
+    message = F.concat(F.lit("record "), F.coalesce("record_name", F.lit("(null)")), F.lit(f" {complaint}"))
+    return F.when(F.col(column).isNull(), F.raise_error(message)).otherwise(F.col(column))
 
 
 # --------------------------------------------------------------------------
@@ -202,6 +211,41 @@ def transpose_blocked(
     )
 
 
+def transpose_ranges(segments: DataFrame, names: DataFrame, block_size: int, n_cells: int, n_records: int, partitions: int,
+                     sub_block: int | None = None) -> DataFrame:
+    """``A^T`` segments -> whole rows of ``A`` in sorted, contiguous ranges of ``row_idx``,
+    one range per partition, for matrices whose tiles hold all records (``tile_plan``).
+
+    The tiles are dealt out by range and sorted, and each is transposed as its rows
+    stream by: the matrix moves once, and what comes out can be written as it is."""
+    ship_package(segments.sparkSession)
+    sub = min(block_size, sub_block or tile_plan(n_records, block_size)[0])
+    n_sub = -(-block_size // sub)
+    tiles = attach_col_idx(segments, names).select("block_id", "col_idx", "values", F.explode(F.sequence(F.lit(0), F.lit(n_sub - 1))).alias("_s")).select(
+        (F.col("block_id").cast("long") * block_size + F.col("_s") * sub).alias("row0"), F.lit(0).alias("rblock"), "col_idx",
+        F.slice("values", F.col("_s") * sub + 1, F.lit(sub)).alias("values")).where(F.size("values") > 0)
+    in_range = F.least((F.col("row0") * F.lit(partitions) / F.lit(max(1, n_cells))).cast("int"), F.lit(partitions - 1))
+    one_tile = _tile_transposer(max(1, n_records), n_records)
+
+    def run(batches):
+        held, row0 = [], None
+        for batch in batches:
+            starts = batch.column("row0").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(starts)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if held and starts[a] != row0:
+                    yield from one_tile(pa.Table.from_batches(held)).drop_columns(["rblock"]).to_batches()
+                    held = []
+                row0 = starts[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from one_tile(pa.Table.from_batches(held)).drop_columns(["rblock"]).to_batches()
+
+    return tiles.repartitionById(partitions, in_range).sortWithinPartitions("row0").mapInArrow(run, "row_idx long, values array<float>")
+
+
 def merge_column_chunks(chunks: DataFrame, partitions: int | None = None, n_records: int | None = None) -> DataFrame:
     """Stitch column chunks of ``A`` into whole rows on ``row_idx``.
 
@@ -422,16 +466,19 @@ def matvec(
     return joined.mapInArrow(_dots(fill), "record_name string, _d double").groupBy("record_name").agg(F.sum("_d").alias("value"))
 
 
-def matvec_transpose(segments: DataFrame, y: DataFrame, block_size: int, fill: float | None = None) -> DataFrame:
+def matvec_transpose(segments: DataFrame, y: DataFrame, block_size: int, fill: float | None = None,
+                     default: float | None = None) -> DataFrame:
     """M7: ``A y``, one number per cell ``(row_idx, value)``.
 
     ``y`` has one number per record ``(record_name, y)``; it is broadcast
     after a row count. Arrays are summed per block inside the tasks
     (``block_sums``), and only the final sums become one row per cell. Cells
-    equal to ``fill`` count as 0.
+    equal to ``fill`` count as 0. A record without a ``y`` counts with ``default``,
+    or fails the job with its name if there is none.
     """
-    scaled = segments.join(broadcast_if_small(y.select("record_name", "y")), "record_name")
-    sums = block_sums(scaled.select("block_id", F.col("y").alias("w"), "values"), fill)
+    scaled = segments.join(broadcast_if_small(y.select("record_name", F.col("y").cast("double").alias("y"))), "record_name", "left")
+    weight = required("y", "has no y").cast("double") if default is None else F.coalesce("y", F.lit(float(default)))
+    sums = block_sums(scaled.select("block_id", weight.alias("w"), "values"), fill)
     return sums.select("block_id", F.posexplode("sums").alias("k", "value")).select(
         (F.col("block_id").cast("long") * block_size + F.col("k")).alias("row_idx"), "value")
 

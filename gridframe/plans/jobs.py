@@ -8,7 +8,7 @@
 
 Store layout (under ``out_dir``): ``decoded/status=ok|quarantine/chunk_id=k``
 holds segments and failure rows from one write; ``manifest`` the archive
-entries; ``names`` and ``matrix`` the transpose outputs. All intermediate
+entries; ``log`` which of them count; ``names`` and ``matrix`` the transpose outputs. All intermediate
 state lives in these tables, so a lost executor only re-runs its tasks and
 a lost job resumes from what is stored.
 """
@@ -23,18 +23,7 @@ from pyspark.sql import functions as F
 
 from gridframe.operators import index, matrix, timeaxis, verify
 from gridframe.schemas import DEFAULT_BLOCK_SIZE
-from gridframe.sources import archives, store
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Is there a readable Parquet dataset at ``path``?"""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - resolves the path only
-        return True
-    except AnalysisException:
-        return False
+from gridframe.sources import archives, ingest_log, store
 
 
 def convert(
@@ -47,70 +36,31 @@ def convert(
     archives_per_chunk: int = 200,
     partitions: int | None = None,
 ) -> dict:
-    """Decode every listed archive into the segment store.
+    """Decode every listed archive into the segment store (see ``ingest_log``).
 
-    * The manifest grows: archives of the list that it lacks are listed and
-      appended (in new chunks, ranked by name), so a longer list, or a repeated
-      line, does the missing work and no other.
+    * Archives that the log holds in their present version are left alone, so a
+      longer list, a repeated line or a run after a failure does the missing work
+      and no other; a mended, replaced or grown archive is read again, and what
+      its earlier version left no longer counts.
     * Archives that cannot be listed, or whose listing breaks off, become
       quarantine rows with the reason, like entries that cannot be decoded.
-    * A chunk (``archives_per_chunk`` archives) counts as done once the ``done``
-      table names it, which happens after its files are committed. Pending
-      chunks overwrite their own partitions, so a run that died half-way is
-      repeated without missing or doubled blocks.
+    * A chunk holds ``archives_per_chunk`` archives, ranked by name within a run;
+      every run, batch or streaming, writes chunks of its own.
     """
     out_dir = out_dir.rstrip("/")
-    manifest_path, decoded_path, done_path = f"{out_dir}/manifest", f"{out_dir}/decoded", f"{out_dir}/done"
-    listed = archives.archive_paths(archives.read_archive_list(spark, file_list).distinct(), root)
-    new, first_chunk = listed, 0
-    if _exists(spark, manifest_path):
-        known = spark.read.parquet(manifest_path)
-        new = listed.join(known.select("archive_path").distinct(), "archive_path", "left_anti")
-        first_chunk = (known.agg(F.max("chunk_id")).first()[0] or 0) + 1
-    ranked = index.dense_index(new, [F.col("archive_name")], "archive_rank")
-    if not ranked.isEmpty():
-        archives.expand_archives(ranked).join(
-            ranked.select("archive_path", ((F.col("archive_rank") / archives_per_chunk).cast("int") + first_chunk).alias("chunk_id")),
-            "archive_path",
-        ).write.mode("append").parquet(manifest_path)
-    if not _exists(spark, manifest_path):
+    listed = archives.read_archive_list(spark, file_list)
+    if listed.isEmpty():
         raise ValueError(f"{file_list} lists no archive")
-    pending = spark.read.parquet(manifest_path).join(listed.select("archive_path"), "archive_path", "left_semi")
-    if _exists(spark, done_path):
-        pending = pending.join(spark.read.parquet(done_path), "chunk_id", "left_anti")
-    # a chunk is rewritten whole, with the archives of it that this list does not name
-    chunks = pending.select("chunk_id").distinct()
-    pending = spark.read.parquet(manifest_path).join(index.broadcast_if_small(chunks), "chunk_id", "left_semi")
-    # size the clustering shuffle from what is known before decoding:
-    # entries x cells x 4 bytes
-    n_pending = pending.count()
-    if n_pending:
-        total_cells = max(o + n for _, o, n, _ in archives.layout_spec(layout))
-        write_parts = index.partitions_for(spark, 4.0 * n_pending * total_cells)
-        # chunk_id rides along from the manifest row into the decoded rows: no
-        # join of the decoded data afterwards
-        decoded = archives.decode_entries(pending, layout, block_size, partitions, carry=["chunk_id"]).withColumn(
-            "status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")
-        )
-        # one pass: segments clustered by block (products combine map-side,
-        # row groups skip on block / record predicates), failures alongside,
-        # spread by archive; hash on block (a range partitioning would sample,
-        # i.e. decode twice)
-        (decoded.repartition(write_parts, "block_id", F.when(F.col("block_id").isNull(), F.hash("archive_path", "entry_idx")))
-            .sortWithinPartitions("status", "block_id", "record_name")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("status", "chunk_id").option("compression", "zstd").parquet(decoded_path))
-        pending.select("chunk_id").distinct().write.mode("append").parquet(done_path)
-    counts = {r["status"]: r["count"] for r in entries_done(spark, decoded_path).groupBy("status").count().collect()}
-    return {"manifest": manifest_path, "decoded": decoded_path,
-            "records": counts.get("ok", 0), "quarantined": counts.get("quarantine", 0)}
+    ingest_log.ingest(spark, listed, root, layout, out_dir, block_size, archives_per_chunk, partitions)
+    counts = ingest_log.live(ingest_log.read_log(spark, out_dir)).agg(F.sum("n_records"), F.sum("n_quarantined")).first()
+    return {"manifest": f"{out_dir}/manifest", "decoded": f"{out_dir}/decoded", "records": counts[0] or 0, "quarantined": counts[1] or 0}
 
 
 def entries_done(spark: SparkSession, decoded_path: str) -> DataFrame:
     """One row per entry already in the store: block 0 of each decoded record
     (row groups skip on the block-sorted files) and the quarantine rows
     (partition pruning) -- never a scan of every segment."""
-    done = spark.read.parquet(decoded_path)
+    done = ingest_log.live_rows(spark, decoded_path)
     return done.where(
         ((F.col("status") == "ok") & (F.col("block_id") == 0)) | (F.col("status") == "quarantine")
     ).select("archive_path", "entry_idx", "status")
@@ -118,13 +68,13 @@ def entries_done(spark: SparkSession, decoded_path: str) -> DataFrame:
 
 def segments(spark: SparkSession, decoded_path: str) -> DataFrame:
     """The ``A^T`` store: good segments only (partition pruning on status)."""
-    return spark.read.parquet(decoded_path).where(F.col("status") == "ok").select(
+    return ingest_log.live_rows(spark, decoded_path).where(F.col("status") == "ok").select(
         "record_name", "block_id", "values", "chunk_id"
     )
 
 
 def quarantine(spark: SparkSession, decoded_path: str) -> DataFrame:
-    return spark.read.parquet(decoded_path).where(F.col("status") == "quarantine").select(
+    return ingest_log.live_rows(spark, decoded_path).where(F.col("status") == "quarantine").select(
         "archive_path", "entry_idx", "record_name", "reason"
     )
 
@@ -159,14 +109,21 @@ def transpose(
     verify.require_order(col_names)
     verify.require_same_records(seg, col_names)
     verify.require_complete(seg, stored_cells(spark, decoded_path, block_size), block_size)
+    n_cells = stored_cells(spark, decoded_path, block_size)
+    n_rec = col_names.count()
+    parts = index.partitions_for(spark, 4.0 * n_rec * n_cells)
+    if method == "blocked" and records_per_tile is None and matrix.tile_plan(n_rec, block_size)[1] >= n_rec:
+        # tiles are dealt out by the ranges that the files hold: the only exchange of the matrix
+        rows = matrix.transpose_ranges(seg, col_names, block_size, n_cells, n_rec, parts)
+        store.write_matrix(rows, out_path, in_ranges=True)
+        return spark.read.parquet(out_path)
     if method == "blocked":
-        rows = matrix.transpose(seg, col_names, block_size, records_per_tile)
+        rows = matrix.transpose(seg, col_names, block_size, records_per_tile, n_cells)
     elif method == "sql":
         rows = matrix.transpose_sql(seg, col_names, block_size)
     else:
         raise ValueError("method is 'blocked' or 'sql'")
-    n_rec, n_cells = matrix.matrix_shape(seg, col_names, block_size)
-    store.write_matrix(rows, out_path, partitions=index.partitions_for(spark, 4.0 * n_rec * n_cells), n_rows=n_cells)
+    store.write_matrix(rows, out_path, partitions=parts, n_rows=n_cells)
     return spark.read.parquet(out_path)
 
 
@@ -235,7 +192,7 @@ def main(argv=None) -> None:
     n = sub.add_parser("names")
     n.add_argument("out_dir"), n.add_argument("--order", default="time"), n.add_argument("--text")
     t = sub.add_parser("transpose")
-    t.add_argument("out_dir"), t.add_argument("--method", default="blocked")
+    t.add_argument("out_dir")
     t.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
     t.add_argument("--records-per-tile", type=int, default=None)
     m = sub.add_parser("multiply", help="A^T x for x given as Parquet (pos, value); writes (record_name, value)")
@@ -247,6 +204,10 @@ def main(argv=None) -> None:
     my.add_argument("out_dir"), my.add_argument("y_path"), my.add_argument("target")
     my.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
     my.add_argument("--fill", type=float, default=None)
+    f = sub.add_parser("forget", help="take the archives of a list out of the store")
+    f.add_argument("root"), f.add_argument("file_list"), f.add_argument("out_dir")
+    v = sub.add_parser("vacuum", help="remove partitions in which nothing counts any more")
+    v.add_argument("out_dir")
     g = sub.add_parser("gaps", help="missing 6-hourly records on the time axis of the stored names")
     g.add_argument("out_dir"), g.add_argument("target"), g.add_argument("--step-hours", type=int, default=6)
     e = sub.add_parser("export")
@@ -258,10 +219,14 @@ def main(argv=None) -> None:
     if a.cmd == "convert":
         print(json.dumps(convert(spark, a.root, a.file_list, _layout_from_json(spark, a.layout_json), d,
                                  a.block_size, a.archives_per_chunk)))
+    elif a.cmd == "forget":
+        ingest_log.forget(spark, archives.read_archive_list(spark, a.file_list), a.root, d)
+    elif a.cmd == "vacuum":
+        print(json.dumps({"removed": ingest_log.vacuum(spark, d)}))
     elif a.cmd == "names":
         names(spark, f"{d}/decoded", f"{d}/names", a.order, a.text)
     elif a.cmd == "transpose":
-        transpose(spark, f"{d}/decoded", f"{d}/names", f"{d}/matrix", a.block_size, a.records_per_tile, a.method)
+        transpose(spark, f"{d}/decoded", f"{d}/names", f"{d}/matrix", a.block_size, a.records_per_tile)
     elif a.cmd == "export":
         export_record(spark, f"{d}/decoded", a.record_name, a.target, a.block_size)
     elif a.cmd == "multiply":

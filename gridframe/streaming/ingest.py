@@ -1,44 +1,34 @@
 """Incremental conversion with Structured Streaming.
 
 Archive-list files (one archive name per line) dropped into ``list_dir`` are
-the stream. Each micro-batch expands its archives, decodes the entries and
-appends segments and quarantine rows to the store, exactly like the batch
-``convert`` job; the micro-batch id is the store's ``chunk_id`` (one record
-batch per trigger). The streaming checkpoint records which list files are
-done, and every batch skips entries already in the store (left anti join),
-so a batch replayed after a failure writes nothing twice.
+the stream. Each micro-batch is one conversion of the store's ingest log, like
+the batch ``convert`` job, whose commit carries the stream's checkpoint and the
+number of the batch: a batch replayed after a failure removes what its earlier
+attempt wrote, and one that was committed is not repeated. Batch and streaming
+conversions share the log, so either skips what the other has done.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.schemas import DEFAULT_BLOCK_SIZE
-from gridframe.sources import archives, store
+from gridframe.sources import ingest_log
 
 
-def _batch_writer(root: str, layout: DataFrame, out_dir: str, block_size: int):
-    decoded_path = f"{out_dir.rstrip('/')}/decoded"
+def _batch_writer(root: str, layout: DataFrame, out_dir: str, block_size: int, checkpoint: str):
     layout_rows = layout.collect()
     layout_schema = layout.schema
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        names = batch.select(F.trim("value").alias("archive_name")).where(F.col("archive_name") != "").distinct()
-        manifest = archives.expand_archives(archives.archive_paths(names, root))
-        from gridframe.plans.jobs import _exists, entries_done
-
-        pending = store.pending_entries(manifest, entries_done(spark, decoded_path)) \
-            if _exists(spark, decoded_path) else manifest
-        lay = spark.createDataFrame(layout_rows, layout_schema)
-        decoded = archives.decode_entries(pending, lay, block_size).withColumn(
-            "status", F.when(F.col("reason").isNull(), "ok").otherwise("quarantine")
-        ).withColumn("chunk_id", F.lit(int(epoch_id)))
-        (decoded.repartition("block_id", F.when(F.col("block_id").isNull(), F.hash("archive_path", "entry_idx")))
-            .sortWithinPartitions("status", "block_id", "record_name")
-            .write.mode("append").partitionBy("status", "chunk_id").option("compression", "zstd")
-            .parquet(decoded_path))
+        names = batch.select(F.trim("value").alias("archive_name")).where(F.col("archive_name") != "")
+        ingest_log.ingest(spark, names, root, spark.createDataFrame(layout_rows, layout_schema), out_dir, block_size,
+                          commit_id=f"stream-{stream}-{epoch_id}")
 
     return write_batch
 
@@ -62,7 +52,7 @@ def start_ingest(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.load(list_dir)
-    writer = lines.writeStream.foreachBatch(_batch_writer(root, layout, out_dir, block_size)).option(
+    writer = lines.writeStream.foreachBatch(_batch_writer(root, layout, out_dir, block_size, checkpoint)).option(
         "checkpointLocation", checkpoint
     )
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
