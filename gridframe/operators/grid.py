@@ -24,9 +24,8 @@ def layout_offsets(variables: DataFrame, max_group_length: int | None = None) ->
     """Layout table from ``(var, var_pos, n_levels, n_lat, n_lon)``.
 
     One row per variable level with its ``offset`` and ``length``, in
-    ``(var_pos, level)`` order. ``group_id`` packs whole variables into
-    groups of about ``max_group_length`` cells (the variable-group chunking):
-    group = offset of the variable's first level div ``max_group_length``.
+    ``(var_pos, level)`` order. With ``max_group_length``, ``group_id`` numbers
+    groups of at most so many cells (see ``layout_groups``).
 
     A running sum over the variables (metadata: one row per variable), as an
     expression; the levels are exploded from it.
@@ -40,9 +39,47 @@ def layout_offsets(variables: DataFrame, max_group_length: int | None = None) ->
     layout = levels.select(
         "var", F.col("var_pos").cast("int").alias("var_pos"), "level", F.col("n_lat").cast("int").alias("n_lat"),
         F.col("n_lon").cast("int").alias("n_lon"), (F.col("_o") + F.col("level") * plane).alias("offset"), plane.alias("length"),
-        *([F.expr(f"cast(_o div {int(max_group_length)} as int)").alias("group_id")] if max_group_length else []),
     )
-    return layout
+    return layout_groups(layout, max_group_length) if max_group_length else layout
+
+
+def _next_fit(bound: int):
+    """Arrow fold over the layout's rows in order, with the open group as its state."""
+    import pyarrow as pa
+
+    def run(batches):
+        group, used, current = -1, 0, None
+        for batch in batches:
+            ids = []
+            for var, length, whole in zip(*(batch.column(c).to_pylist() for c in ("var", "length", "_whole"))):
+                if length > bound:
+                    raise ValueError(f"a level of {var} has {length} cells, groups hold {bound}")
+                if whole > bound:  # split by level
+                    size, current = length, None
+                elif var != current:
+                    size, current = whole, var
+                else:
+                    size = 0  # came with the variable's first level
+                if group < 0 or used + size > bound:
+                    group, used = group + 1, 0
+                used += size
+                ids.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.int32())], names=[*batch.schema.names[:-1], "group_id"])
+
+    return run
+
+
+def layout_groups(layout: DataFrame, max_group_length: int) -> DataFrame:
+    """``group_id`` of every layout row, next fit in vector order: a variable joins
+    the open group or, where it does not fit, opens the next. A variable larger
+    than ``max_group_length`` is split between its levels; a single level that is
+    larger fails. No group exceeds the bound. The layout is metadata (a row per
+    variable level), so one task folds it."""
+    ship_package(layout.sparkSession)
+    sized = layout.withColumn("_whole", F.sum("length").over(Window.partitionBy("var", "var_pos")))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in layout.schema.fields)
+    return sized.coalesce(1).sortWithinPartitions("var_pos", "var", "level").select(*layout.columns, "_whole").mapInArrow(
+        _next_fit(int(max_group_length)), f"{ddl}, group_id int")
 
 
 def variable_spans(layout: DataFrame) -> DataFrame:
@@ -87,22 +124,27 @@ def to_record_segments(grid_vars: DataFrame, layout: DataFrame, block_size: int)
     ``fill_missing_variables`` supplies absent variables.
     """
     total = variable_spans(layout).agg(F.sum("length")).first()[0] or 0
-    spans = F.broadcast(variable_spans(layout).select("var", F.col("offset").alias("_o"), F.col("length").alias("_n")))
+    following = F.lead("offset", 1, 0).over(Window.orderBy("offset"))  # metadata: one row per variable
+    spans = F.broadcast(variable_spans(layout).select("var", F.col("offset").alias("_o"), F.col("length").alias("_n"), following.alias("_next")))
     v = grid_vars.join(spans, "var")
     first = (F.col("_o") / block_size).cast("long")
     last = ((F.col("_o") + F.col("_n") - 1) / block_size).cast("long")
     sized = F.when(F.size("values") == F.col("_n"), F.col("values")).otherwise(F.raise_error(F.concat(
         F.lit("record "), F.col("record_name"), F.lit(": variable "), F.col("var"), F.lit(" has "), F.size("values").cast("string"),
         F.lit(" cells, the layout expects "), F.col("_n").cast("string"))).cast("array<float>"))
-    pieces = v.select("record_name", "_o", "_n", sized.alias("values"), F.explode(F.sequence(first, last)).alias("block_id"))
+    pieces = v.select("record_name", "_o", "_n", sized.alias("values"), F.explode(
+        F.array_union(F.sequence(first, last), F.array((F.col("_next") / block_size).cast("long")))).alias("block_id"))
     start = F.greatest(F.col("block_id") * block_size - F.col("_o"), F.lit(0))
     end = F.least(F.col("_n"), (F.col("block_id") + 1) * block_size - F.col("_o"))
     pieces = pieces.select(
         "record_name",
         F.col("block_id").cast("int").alias("block_id"),
         (F.col("_o") + start - F.col("block_id") * block_size).alias("_at"),
-        F.slice("values", (start + 1).cast("int"), (end - start).cast("int")).alias("_piece"),
+        F.when(end > start, F.slice("values", (start + 1).cast("int"), (end - start).cast("int"))).otherwise(
+            F.array().cast("array<float>")).alias("_piece"),
     )
+    # every variable also names the block in which the next one begins (the last one: block 0) by an
+    # empty piece, so a variable whose blocks would all be absent shows as a block without cells
     # each piece must begin where the one before it ends, from 0 to the block's length
     end = F.aggregate("_p", F.lit(0).cast("long"), lambda at, s: F.when(s["_at"] == at, at + F.size(s["_piece"])).otherwise(F.lit(-1).cast("long")))
     wanted = F.least(F.lit(block_size).cast("long"), F.lit(int(total)) - F.col("block_id").cast("long") * block_size)
@@ -110,7 +152,7 @@ def to_record_segments(grid_vars: DataFrame, layout: DataFrame, block_size: int)
     message = F.concat(F.lit("record "), F.col("record_name"), F.lit(", block "), F.col("block_id").cast("string"),
                        F.lit(": a variable is absent or given twice"))
     return pieces.groupBy("record_name", "block_id").agg(
-        F.sort_array(F.collect_list(F.struct("_at", "_piece"))).alias("_p")
+        F.sort_array(F.filter(F.collect_list(F.struct("_at", "_piece")), lambda s: F.size(s["_piece"]) > 0)).alias("_p")
     ).select("record_name", "block_id", F.when(end == wanted, whole).otherwise(F.raise_error(message).cast("array<float>")).alias("values"))
 
 

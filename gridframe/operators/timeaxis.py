@@ -16,6 +16,7 @@ from gridframe.functions.names import (  # noqa: F401  (record_name_for re-expor
     utc_wall_clock,
 )
 from gridframe.operators.index import dense_index
+from gridframe.session import checkpoint_dir, ship_package
 
 
 def parse_record_time(names: DataFrame, name_col: str = "record_name") -> DataFrame:
@@ -94,6 +95,83 @@ def time_gaps(
     return calendar.join(present, by + ["slot"], "left_anti")
 
 
+def _runs_in_partition(by_types, step_hours: int):
+    """Arrow kernel over sorted (by..., slot): gaps between neighbours inside the
+    partition, and its first and last row (``edge`` 0 and 1)."""
+    import numpy as np
+    import pyarrow as pa
+
+    n_by = len(by_types)
+
+    def run(batches):
+        last = first = part = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_by)))) if n_by else [()] * batch.num_rows
+            slots = batch.column(n_by).to_numpy()
+            part = batch.column(n_by + 1)[0].as_py()
+            if not batch.num_rows:
+                continue
+            rows = []
+            if first is None:
+                first = (keys[0], int(slots[0]))
+            elif keys[0] == last[0] and slots[0] > last[1] + 1:
+                rows.append((keys[0], last[1], int(slots[0])))
+            for i in np.flatnonzero(np.diff(slots) != 1):
+                if keys[i] == keys[i + 1] and slots[i + 1] > slots[i] + 1:
+                    rows.append((keys[i], int(slots[i]), int(slots[i + 1])))
+            last = (keys[-1], int(slots[-1]))
+            yield emit([(*k, a, b, part, None) for k, a, b in rows])
+        if first is not None:
+            yield emit([(*first[0], first[1], first[1], part, 0), (*last[0], last[1], last[1], part, 1)])
+
+    def emit(rows):
+        types = [*by_types, pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = [f"k{i}" for i in range(n_by)] + ["before", "after", "part", "edge"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    return run
+
+
+def time_gap_runs(stamps: DataFrame, ts_col: str = "ts", step_hours: int = 6, by: list | None = None) -> DataFrame:
+    """W2/V3 as islands: ``(by..., first_missing, last_missing, n_missing)``, one row per
+    unbroken run of slots without a record, with the slots and bounds of ``time_gaps``.
+
+    No calendar is made, so a gap costs one row however long it is. The slots are
+    sorted by range; a task compares neighbours, and what lies between two
+    partitions follows from their edge rows, two per partition."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    by = list(by or [])
+    if 24 % int(step_hours):
+        raise ValueError("step_hours must divide 24")
+    spark = stamps.sparkSession
+    ship_package(spark)
+    checkpoint_dir(spark)
+    ts, slot = utc_wall_clock(stamps, ts_col), _slot(utc_wall_clock(stamps, ts_col), step_hours)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    number = F.expr(f"timestampdiff(HOUR, _epoch, _slot) div {int(step_hours)}")
+    slots = stamps.select(*by, slot.alias("_slot"), epoch.alias("_epoch"), (slot == F.date_trunc("hour", ts)).alias("_on")).where(
+        "_slot IS NOT NULL").select(*by, number.cast("long").alias("_s"), "_on").distinct()
+    # markers just outside each group's bounds, so that slots missing at its ends are a run too
+    bounds = slots.groupBy(*by).agg(F.min("_s").alias("lo"), F.max("_s").alias("hi")).where("lo IS NOT NULL")
+    marks = bounds.select(*by, F.explode(F.array(F.col("lo") - 1, F.col("hi") + 1)).alias("_s"))
+    points = slots.where("_on").drop("_on").unionByName(marks).dropDuplicates()
+    named = points.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], "_s")
+    keys = [f"k{i}" for i in range(len(by))]
+    types = [to_arrow_type(named.schema[k].dataType) for k in keys]
+    ddl = "".join(f"{k} {named.schema[k].dataType.simpleString()}, " for k in keys) + "before long, after long, part int, edge int"
+    sorted_ = named.repartitionByRange(*keys, "_s").sortWithinPartitions(*keys, "_s")
+    found = sorted_.select(*keys, "_s", F.spark_partition_id().alias("part")).mapInArrow(
+        _runs_in_partition(types, step_hours), ddl).checkpoint(eager=True)
+    edges = sorted(found.where("edge IS NOT NULL").collect(), key=lambda r: (r["part"], r["edge"]))  # two per partition
+    between = [(*[a[k] for k in keys], a["after"], b["before"], a["part"], None) for a, b in zip(edges[1::2], edges[2::2])
+               if all(a[k] == b[k] for k in keys) and b["before"] > a["after"] + 1]
+    runs = found.where("edge IS NULL").union(spark.createDataFrame(between, found.schema))
+    slot_at = lambda n: F.timestamp_add("HOUR", n * int(step_hours), epoch)
+    return runs.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], slot_at(F.col("before") + 1).alias("first_missing"),
+                       slot_at(F.col("after") - 1).alias("last_missing"), (F.col("after") - F.col("before") - 1).alias("n_missing"))
+
+
 def archive_periods(stamps: DataFrame, ts_col: str = "ts") -> DataFrame:
     """Archive of each record time, with the period parsed back from
     the name and the number of records per archive."""

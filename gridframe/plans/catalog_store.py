@@ -213,3 +213,6 @@ def q_convert_resume(spark, sf_dir):
         jobs.convert(spark, root, f"{lists}/{listing}", _embedding_grid_layout(spark), out, BLOCK, archives_per_chunk=1)
     done = jobs.entries_done(spark, f"{out}/decoded")
     return done.groupBy("status", F.element_at(F.split("archive_path", "/"), -1).alias("archive_name")).agg(F.count(F.lit(1)).alias("n_entries"))
+
+
+from gridframe.plans import catalog_sets  # noqa: E402, F401  (registers its queries)

@@ -486,6 +486,18 @@ def _variable_reader(var: str, level: int | None):
         ("fill", pa.float32()), ("values", pa.list_(pa.float32())), ("reason", pa.string()),
     ])
 
+    def plane(handles, path, offset, size):
+        """The header and the bytes of the one level, no others."""
+        from gridframe.sources import extents
+
+        _read_entry(handles, path, offset, 0)  # opens the archive
+        found = extents.planes(extents.read_header(handles[path], offset, size), var, offset, size)
+        if not 0 <= level < len(found):
+            raise ValueError(f"no level {level} in {var} of {len(found)} levels")
+        _, dims, fill, begin, n_bytes = found[level]
+        data = np.frombuffer(_read_entry(handles, path, begin, n_bytes), ">f4").astype(np.float32)
+        return {"dims": [dims], "fill": [fill], "values": [pa.array(data)]}
+
     def read(batches):
         handles = {}
         try:
@@ -497,12 +509,12 @@ def _variable_reader(var: str, level: int | None):
                     row = {"record_name": [name], "var": [var], "dims": [None], "fill": [None],
                            "values": [None], "reason": [None]}
                     try:
+                        if level is not None:
+                            row |= plane(handles, path, offset, size)
+                            yield pa.RecordBatch.from_pydict(row, schema=schema)
+                            continue
                         ds = netcdf.loads(_read_entry(handles, path, offset, size))
                         data = ds.read(var)
-                        if level is not None:
-                            if data.ndim != 3 or not 0 <= level < data.shape[0]:
-                                raise ValueError(f"no level {level} in {var} of shape {list(data.shape)}")
-                            data = data[level]
                         fill = ds.variables[var].attrs.get("_FillValue")
                         row["dims"] = [[int(x) for x in data.shape]]
                         row["fill"] = [None if fill is None else float(np.asarray(fill).reshape(-1)[0])]
