@@ -167,3 +167,17 @@ WHERE var = 'purchase' AND record_name IN (SELECT record_name FROM ev WHERE var
 def q_projected_variables(spark, sf_dir):
     chosen = grid.project_variables(fx.event_grid_vars(spark, sf_dir), ["purchase"])
     return chosen.select("record_name", "var", F.posexplode("values").alias("k", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+# The archives as a data source -------------------------------------------------------
+@query("archive_source", f"""
+WITH {_EMB}
+SELECT record_name, CAST(pos % 16 AS INTEGER) AS k, CAST(value AS DOUBLE) AS value FROM c WHERE pos >= 48
+""")
+def q_archive_source(spark, sf_dir):
+    from gridframe.sources import datasource
+
+    listing, root = _written_archives(spark, sf_dir)
+    datasource.register(spark)
+    planes = spark.read.format("gridarchive").load(root).where("var = 'emb3d' AND level = 1")
+    return planes.select("record_name", F.posexplode("values").alias("k", "value")).withColumn("value", F.col("value").cast("double"))
