@@ -18,10 +18,10 @@ import os
 import tarfile
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from gridframe.session import is_local_uri, local_path
 from gridframe.sources import archives, extents
 
 SCHEMA = "archive_path string, record_name string, var string, level int, dims array<int>, fill float, values array<float>"
@@ -39,6 +39,15 @@ class ByteRange(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
+def _names(folder: str) -> list[str]:
+    if is_local_uri(folder):
+        return sorted(os.listdir(local_path(folder)))
+    from pyarrow import fs
+
+    filesystem, inner = fs.FileSystem.from_uri(folder)
+    return sorted(f.base_name for f in filesystem.get_file_info(fs.FileSelector(inner)))
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options.get("path", "")
@@ -60,7 +69,7 @@ class ArchiveReader(DataSourceReader):
             with archives._open(self.listing) as fh:
                 names = [line.strip() for line in fh.read().decode().splitlines()]
         else:
-            names = sorted(n for n in os.listdir(self.root) if n.endswith(".tar"))
+            names = [n for n in _names(self.root) if n.endswith(".tar")]
         return [f"{self.root.rstrip('/')}/{n}" for n in dict.fromkeys(names) if n]
 
     def partitions(self) -> list[ByteRange]:
@@ -96,7 +105,7 @@ class ArchiveReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([
                 pa.array([path] * len(chosen)), pa.array([name] * len(chosen)), pa.array([p[0] for p in chosen]),
                 pa.array([p[1] for p in chosen], pa.int32()), pa.array([p[2] for p in chosen], pa.list_(pa.int32())),
-                pa.array([np.nan if p[3] is None else p[3] for p in chosen], pa.float32()), pa.array(values, pa.list_(pa.float32()))],
+                pa.array([p[3] for p in chosen], pa.float32()), pa.array(values, pa.list_(pa.float32()))],
                 schema=_ARROW)
 
 
@@ -109,7 +118,7 @@ class ArchiveSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader(dict(self.options))
+        return ArchiveReader(self.options)
 
 
 def register(spark) -> None:
