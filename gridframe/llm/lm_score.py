@@ -48,11 +48,17 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Counts as byte planes, as many as the largest needs, after their number."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = max(1, int(x.max(initial=0)).bit_length() + 7 >> 3)
+    return bytes([used]) + planes[:used].tobytes()
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :raw[0]] = planes.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 class Grams:
@@ -92,7 +98,9 @@ def _totals(table):
     keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
     counts = np.concatenate([unpack_counts(c) for c in table.column("counts").to_pylist()])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.minimum(np.bincount(at, counts)[at], 2 ** 32 - 1)
+    total = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
+    np.add.at(total, at, counts)
+    total = total[at]
     cuts = np.cumsum([0, *map(len, keys)])
     answers = [pack_counts(total[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "totals": pa.array(answers, pa.binary())})

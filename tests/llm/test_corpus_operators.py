@@ -271,3 +271,15 @@ def test_pipeline_stages(spark):
         now = spark.createDataFrame(rows, docs.schema)
         assert stage(spark, docs.limit(0), SF).count() == 0, name
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_counts_have_no_cap():
+    x = np.array([1, 2 ** 32 + 5, 2 ** 52, 0])
+    assert lm_score.unpack_counts(lm_score.pack_counts(x)).tolist() == x.tolist()
+    assert len(lm_score.pack_counts(x[:1])) == 2 and lm_score.unpack_counts(lm_score.pack_counts(x[:0])).tolist() == []
+    import pyarrow as pa
+
+    keys = [lm_score.pack_sorted(np.array(k, np.uint64)) for k in ([3, 9], [9])]
+    table = pa.table({"chunk": [0, 1], "bucket": [0, 0], "keys": keys, "counts": [lm_score.pack_counts(np.array(c)) for c in ([1, 2 ** 33], [2 ** 33])]})
+    answers = [lm_score.unpack_counts(r).tolist() for r in lm_score._totals(table).column("totals").to_pylist()]
+    assert answers == [[1, 2 ** 34], [2 ** 34]]
