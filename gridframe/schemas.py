@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # Record (grid file) name pattern, Spark datetime syntax: 6-hourly records.
 RECORD_NAME_PATTERN = "'pgbh02.gdas.'yyyyMMddHH'.grb2'"
-RECORD_NAME_REGEX = r"^pgbh02\.gdas\.(\d{10})\.grb2$"
-RECORD_SUFFIX = ".grb2"
 DECODED_SUFFIX = ".nc"
 # Archive name: one tar per period of a month, days 1-5, 6-10, 11-15, 16-20,
 # 21-25 and 26 to month end (six periods per month).
@@ -34,8 +32,6 @@ DEFAULT_VARIABLES = [
     "PWAT_P0_2L108_GLL0", "TMP_P0_L100_GLL0", "VVEL_P0_L100_GLL0",
     "VGRD_P0_L100_GLL0", "RH_P0_L100_GLL0", "SPFH_P0_L100_GLL0",
 ]
-# Records per write batch of A^T, in the original conversion.
-RECORDS_PER_CHUNK = 1000
 # ---------------------------------------------------------------------------
 
 # Default number of floats per stored vector segment (4 KiB of payload).

@@ -321,7 +321,7 @@ def split_quarantine(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --------------------------------------------------------------------------
 # S13 (re-aimed): write record grids as NetCDF files packed into archives
 # --------------------------------------------------------------------------
-def _encoder(spec):
+def _encoder(spec, fill: float):
     """Records ``(archive_name, record_name, values)`` -> their NetCDF files."""
     def encode(batches):
         for batch in batches:
@@ -334,7 +334,7 @@ def _encoder(spec):
                     dnames = [f"{var}_d{a}" for a in range(len(shape))]
                     dims.update(zip(dnames, shape))
                     data = vec[offset:offset + length].reshape(shape)
-                    variables.append((var, dnames, data, {"_FillValue": np.float32(1e20)}))
+                    variables.append((var, dnames, data, {"_FillValue": np.float32(fill)}))
                 payloads.append(netcdf.dumps(dims, variables))
             yield pa.RecordBatch.from_arrays([batch.column("archive_name"), batch.column("record_name"), pa.array(payloads, pa.binary())],
                                              names=["archive_name", "record_name", "payload"])
@@ -389,17 +389,18 @@ def _assembler(out_dir: str):
     return assemble
 
 
-def write_grid_archives(vectors: DataFrame, out_dir: str, spec: list[tuple[str, int, int, tuple]]) -> DataFrame:
+def write_grid_archives(vectors: DataFrame, out_dir: str, spec: list[tuple[str, int, int, tuple]], fill: float = 1e20) -> DataFrame:
     """Write ``(archive_name, record_name, values)`` as one tar per archive,
     one NetCDF classic file per record, in record-name order. ``spec`` = ``(var,
-    offset, length, shape)``. Returns ``(archive_name, archive_path, n_entries)``.
+    offset, length, shape)``, ``fill`` the value of missing cells that the files
+    declare. Returns ``(archive_name, archive_path, n_entries)``.
 
     Records are encoded wherever they are, so one archive that holds them all
     is encoded by many tasks; the files are then sorted by archive and written
     as they stream by. An archive appears under its name only when it is whole."""
     ship_package(vectors.sparkSession)
     encoded = vectors.select("archive_name", "record_name", "values").mapInArrow(
-        _encoder(spec), "archive_name string, record_name string, payload binary")
+        _encoder(spec, fill), "archive_name string, record_name string, payload binary")
     return encoded.repartition("archive_name").sortWithinPartitions("archive_name", "record_name").mapInArrow(
         _assembler(out_dir), "archive_name string, archive_path string, n_entries long")
 
