@@ -28,10 +28,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the least id (one
-    row of it, if rows repeat). Rows without an id have no class and stay."""
-    stay = near_dup.near_duplicates(docs).where("representative").select("doc_id").distinct()
-    chosen = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class of near-duplicates, that of the least id. Two texts
+    of one id are two documents; rows that repeat id and text are one. Rows without
+    an id have no class and stay."""
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn("_gf_key", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
+    ids = keyed.groupBy("_gf_key").agg(F.min("doc_id").alias("low"))
+    classes = near_dup.near_duplicates(keyed, id_col="_gf_key").select(F.col("doc_id").alias("_gf_key"), "class_id")
+    stay = classes.join(ids, "_gf_key").groupBy("class_id").agg(F.min(F.struct("low", "_gf_key")).alias("first")).select("first._gf_key")
+    chosen = keyed.join(stay, "_gf_key", "left_semi").dropDuplicates(["_gf_key"]).select(docs.columns)
     return chosen.union(docs.where(F.col("doc_id").isNull()))
 
 
