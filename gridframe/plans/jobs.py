@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridframe.operators import index, matrix, timeaxis, verify
-from gridframe.schemas import DEFAULT_BLOCK_SIZE
+from gridframe.schemas import DEFAULT_BLOCK_SIZE, DEFAULT_VARIABLES
 from gridframe.sources import archives, ingest_log, store
 
 
@@ -180,6 +180,12 @@ def _layout_from_json(spark, path: str) -> DataFrame:
     return grid.layout_offsets(variables)
 
 
+def default_layout(n_lat: int, n_lon: int, pressure_levels: int) -> list[list]:
+    """``[var, n_levels, n_lat, n_lon]`` of the default variables, in vector order: those
+    on pressure levels have ``pressure_levels`` of them, the others one."""
+    return [[v, pressure_levels if "_L100_" in v else 1, n_lat, n_lon] for v in DEFAULT_VARIABLES]
+
+
 def main(argv=None) -> None:
     from gridframe.session import get_spark
 
@@ -189,6 +195,10 @@ def main(argv=None) -> None:
     c.add_argument("root"), c.add_argument("file_list"), c.add_argument("layout_json"), c.add_argument("out_dir")
     c.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
     c.add_argument("--archives-per-chunk", type=int, default=200)
+    y = sub.add_parser("layout", help="write the layout file of the default variables")
+    y.add_argument("out_dir", metavar="layout_json")
+    y.add_argument("--n-lat", type=int, default=361), y.add_argument("--n-lon", type=int, default=720)
+    y.add_argument("--pressure-levels", type=int, default=37)
     n = sub.add_parser("names")
     n.add_argument("out_dir"), n.add_argument("--order", default="time"), n.add_argument("--text")
     t = sub.add_parser("transpose")
@@ -214,6 +224,10 @@ def main(argv=None) -> None:
     e.add_argument("out_dir"), e.add_argument("record_name"), e.add_argument("target")
     e.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
     a = p.parse_args(argv)
+    if a.cmd == "layout":
+        with open(a.out_dir, "w") as fh:
+            json.dump(default_layout(a.n_lat, a.n_lon, a.pressure_levels), fh)
+        return
     spark = get_spark()
     d = a.out_dir.rstrip("/")
     if a.cmd == "convert":

@@ -106,3 +106,11 @@ def test_cli_flow(spark, tmp_dir):
     assert [r[0] for r in spark.read.parquet(f"{tmp_dir}/gaps").collect()] == ["pgbh02.gdas.1979030112.grb2"]
     jobs.main(["export", out, hours[0], f"{tmp_dir}/one", "--block-size", "4"])
     assert spark.read.json(f"{tmp_dir}/one").count() == 6
+
+
+def test_default_layout(spark, tmp_dir):
+    import json
+
+    jobs.main(["layout", os.path.join(tmp_dir, "layout.json")])
+    rows = json.load(open(os.path.join(tmp_dir, "layout.json")))
+    assert len(rows) == 31 and sum(d * la * lo for _, d, la, lo in rows) == 54_843_120  # cells of a full record
