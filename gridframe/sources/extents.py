@@ -47,7 +47,7 @@ def planes(ds: netcdf.Dataset, var: str, offset: int, size: int) -> list[tuple[i
     """``(level, dims, fill, begin, n_bytes)`` of a float variable's levels; a 2-D one is level 0."""
     v = ds.variables.get(var)
     if v is None:
-        raise ValueError(f"missing variable {var}")
+        raise netcdf.NetCDFError(f"missing variable {var}")
     if v.nc_type != 5 or len(v.shape) not in (2, 3):
         raise ValueError(f"{var} is not a float grid of rank 2 or 3")
     dims = [int(x) for x in v.shape[-2:]]
