@@ -292,6 +292,6 @@ def extract(pages: DataFrame, *, html_col: str = "html", keep: list[str] | None
     """
     ship_package(pages.sparkSession)
     keep = [c for c in ([c for c in pages.columns if c != html_col] if keep is None else keep) if c not in ("text", "n_chars")]
-    picked = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).alias("_gf_html"))
+    picked = pages.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, T.plain_names(len(keep)), strict=True)], F.col(html_col).alias("_gf_html"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(_extract, f"{fields}, text string, n_chars long" if fields else "text string, n_chars long")
+    return picked.mapInArrow(_extract, f"{fields}, text string, n_chars long" if fields else "text string, n_chars long").toDF(*keep, "text", "n_chars")

@@ -296,9 +296,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))]
                     + [pa.array(lang, pa.string()), pa.array(np.round(score, 6)), pa.array(np.round(ce, 6)), pa.array(rejected)],
-                    names=keep + new)
+                    names=T.plain_names(len(keep)) + new)
 
-    picked = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_gf_text"))
+    picked = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, T.plain_names(len(keep)), strict=True)], F.col(text_col).alias("_gf_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     outputs = "lang_pred string, score double, cross_entropy double, rejected boolean"
-    return picked.mapInArrow(run, f"{fields}, {outputs}" if fields else outputs)
+    return picked.mapInArrow(run, f"{fields}, {outputs}" if fields else outputs).toDF(*keep, *new)

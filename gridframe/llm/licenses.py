@@ -187,7 +187,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     # most rows know no sentence: the rules run over the others only
     some = F.when(F.size("_gf_ids") > 0, matched)
     return rows.withColumn("_gf_m", some).select(
-        *keep, F.array_join("_gf_ids", ",").alias("sentences"),
+        *[F.col(f"`{c}`") for c in keep], F.array_join("_gf_ids", ",").alias("sentences"),
         F.coalesce(F.array_join(F.array_distinct("_gf_m.found"), ","), F.lit("")).alias("licenses"),
         F.coalesce(F.length(F.regexp_replace("_gf_m.left", "[^<]", "")), F.lit(0)).alias("unmatched"))
 

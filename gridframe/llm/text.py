@@ -48,6 +48,11 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plain_names(n: int) -> list[str]:
+    """Names for kept columns on their way through Arrow, which reads a dot as a path."""
+    return [f"_gf_k{i}" for i in range(n)]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back; ``discard`` removes it."""
     path = scratch_path(df.sparkSession, name)

@@ -315,3 +315,13 @@ def test_html_pages(spark):
         want[r["page_id"]] = "\n\n".join(b for b in blocks if b)
     assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_kept_columns_may_have_dots(spark, docs):
+    rows = docs.limit(40).withColumn("a.b", F.lit(7))
+    model = language.fit(docs)
+    for out in (licenses.scan(rows), language.identify(rows, model), html.extract(rows.withColumn("html", F.col("text")).withColumn("x.y", F.lit(1)))):
+        assert "a.b" in out.columns and {r["a.b"] for r in out.collect()} == {7}
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    out = toxicity.classify(rows, toxicity.fit(docs, labels))
+    assert {r["a.b"] for r in out.collect()} == {7}
