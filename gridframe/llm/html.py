@@ -2,13 +2,17 @@
 
 Every element of the page gets a composite text density: its characters per
 tag, adjusted by how much of its text and of its tags are links. Scores of the
-children, summed, are an element's density sum. The element of the largest sum
-holds the article, and the least density on its path to the body is the
-threshold: inside it, child elements below the threshold that are lists of
-links go.
-
-Elements whose tag or class says that they are no article text (menus, forms,
-adverts, comment lists ...) take no part in the densities.
+children, summed, are an element's density sum. The least density on the path
+from the element of the largest sum to the body is the threshold. Walking down
+from the body, every element that reaches it gives the subtree of the largest
+sum below it, so an article in several sections is kept whole. The text is what
+the least element around all of these holds, without thin containers and lists
+of links.
+
+Elements whose tag says that they are no article text (menus, forms, scripts
+...) take no part in the densities. Those that only a class, id or role marks
+(adverts, notices, comment lists ...) take none either, unless the page is
+nearly empty without them.
 """
 
 from __future__ import annotations
@@ -51,6 +55,10 @@ LAYOUT = re.compile(r"(?<![a-z])(?:nav|navbar|navigation|menu|side-?bar|header|m
 AROUND = re.compile(r"(?<![a-z])(?:has|with|without|no|content|main|wrap|wrapper|article|entry|post|story|container|layout|page)(?![a-z])", re.I)
 COMMENT = re.compile(r"(?<![a-z])(?:comments?|reply|replies)(?![a-z])", re.I)
 NEVER = frozenset("html body".split())
+#: blocks that hold text of their own; the other ones hold blocks
+TEXTS = HEADINGS | frozenset("p pre blockquote ul ol dl li dt dd table figure figcaption address caption center".split())
+#: an element marked by its class is text after all if the rest of the page has less than this part of its characters
+REST = 0.2
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S)
@@ -60,11 +68,11 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "dropped", "paragraph", "in_article",
-                 "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "dropped", "marked", "paragraph", "in_article",
+                 "chars", "tags", "link_chars", "link_tags", "density", "total", "top")
 
-    def __init__(self, name: str, parent: Node | None, dropped: bool):
-        self.name, self.parent, self.dropped = name, parent, dropped
+    def __init__(self, name: str, parent: Node | None, dropped: bool, marked: str = ""):
+        self.name, self.parent, self.dropped, self.marked = name, parent, dropped, marked
         self.parts: list = []  # strings and nodes in page order
         self.paragraph: Node | None = self if name == "p" else None
         if parent is not None and name not in ("p", "td", "th", "table", "button"):
@@ -72,28 +80,37 @@ class Node:
         self.in_article = name in ("article", "main") or parent is not None and parent.in_article
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.top: Node = self  # the node of the largest density sum in this subtree
 
 
-def _marked(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's tag or attributes say that it is no article text."""
+def _hidden(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element's tag says that it is no article text, or it is not shown."""
     if name in DROPPED or name == "header" and not in_article:
         return True
     if not attributes or attributes.isspace() or name in NEVER:
         return False
+    return any(
+        (key := k.lower()) == "hidden" or key == "aria-hidden" and v.strip("\"'") == "true" or key == "style" and HIDDEN_STYLE.search(v)
+        for k, v in ATTRIBUTE.findall(attributes))
+
+
+def _mark(name: str, attributes: str, in_article: bool) -> str:
+    """What an element's class, id or role says that it is, if no article text: a
+    ``comment``, something ``outside`` the article, or an empty string."""
+    if not attributes or attributes.isspace() or name in NEVER:
+        return ""
     for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN_STYLE.search(value):
-            return True
-        if key in ("class", "id", "role"):
-            for word in value.replace("_", "-").split():
+        if key.lower() in ("class", "id", "role"):
+            for word in value.strip("\"'").replace("_", "-").split():
+                if COMMENT.search(word):
+                    return "comment"
                 if name in ("article", "main"):
-                    if COMMENT.search(word):
-                        return True
-                elif OUTSIDE.search(word):
-                    return True
-                elif not (in_article and name == "header" or name in HEADINGS) and LAYOUT.search(word) and not AROUND.search(word):
-                    return True
-    return False
+                    continue
+                if OUTSIDE.search(word):
+                    return "outside"
+                if not (in_article and name == "header" or name in HEADINGS) and LAYOUT.search(word) and not AROUND.search(word):
+                    return "outside"
+    return ""
 
 
 def parse(page: str) -> Node:
@@ -149,7 +166,8 @@ def parse(page: str) -> Node:
                     node = node.parent
                 if node.name == other:
                     leave(node)
-        new = Node(name, here, here.dropped or _marked(name, m[3], here.in_article))
+        gone = here.dropped or _hidden(name, m[3], here.in_article)
+        new = Node(name, here, gone, "" if gone else _mark(name, m[3], here.in_article))
         here.parts.append(new)
         if name in VOID:
             continue
@@ -171,6 +189,47 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
+def _plain_chars(node: Node, stop: bool) -> int:
+    """Characters outside links below a node; ``stop`` leaves out marked elements."""
+    n, stack = 0, [node]
+    while stack:
+        for p in stack.pop().parts:
+            if isinstance(p, str):
+                n += len(SPACE.sub(" ", p).strip())
+            elif not p.dropped and p.name != "a" and not (stop and p.marked):
+                stack.append(p)
+    return n
+
+
+def settle(root: Node) -> None:
+    """Drop the elements that their class marks, but for one that holds nearly all
+    text of a page without an article element. Comments always go."""
+    marked, rest, article = [], 0, False
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.marked:
+            marked.append(node)
+            continue
+        article = article or node.name in ("article", "main")
+        stack.extend(p for p in node.parts if not isinstance(p, str) and not p.dropped)
+    if marked:
+        rest = _plain_chars(root, stop=True)
+    for node in marked:
+        if node.marked == "outside" and not (article and rest):
+            own = _plain_chars(node, stop=True)
+            if rest < REST * own:
+                node.marked = ""
+                inner = [p for p in node.parts if not isinstance(p, str) and not p.dropped]
+                while inner:  # marks inside it hold
+                    p = inner.pop()
+                    p.dropped = bool(p.marked)
+                    if not p.dropped:
+                        inner.extend(q for q in p.parts if not isinstance(q, str) and not q.dropped)
+                continue
+        node.dropped = True
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in characters, tags, densities and density sums of all kept nodes."""
     nodes = _walk(root)
@@ -196,42 +255,79 @@ def measure(root: Node) -> list[Node]:
         node.total = sum(p.density for p in node.parts if not isinstance(p, str) and not p.dropped)
         if any(isinstance(p, str) and not p.isspace() for p in node.parts):
             node.total += 0.0 if node.name == "a" else node.density * 1e-9  # text of its own breaks ties
+        node.top = node
+        for p in node.parts:
+            if not isinstance(p, str) and not p.dropped and p.top.total > node.top.total:
+                node.top = p.top
     return nodes
 
 
-def _content(nodes: list[Node]) -> tuple[Node, float]:
-    """The subtree of the largest density sum, and the threshold of its path to the
-    body. It is widened to the article element it stands in, or else over
-    headings that stand beside it."""
-    best = max(nodes, key=lambda n: n.total)
-    if not best.chars:
-        best = nodes[0]
-    threshold, node, article = best.density, best, None
-    while node is not None and node.name != "body":
+def _block_of(node: Node) -> Node:
+    while node.name not in BLOCKS and node.parent is not None:
+        node = node.parent
+    return node
+
+
+def _plain(node: Node) -> bool:
+    """Whether a node is paragraphs without links."""
+    return not node.link_chars and (node.name in TEXTS or any(p.name in TEXTS for p in node.parts if not isinstance(p, str)))
+
+
+def _content(root: Node) -> tuple[Node, float, set[int], set[int]]:
+    """The element around all kept subtrees, the threshold, and the kept subtrees and
+    the elements above them (by ``id``).
+
+    The element of the largest density sum and its path to the body set the
+    threshold; every element that reaches it, from the body down, gives its
+    subtree of the largest sum. A kept paragraph stands for the element it is in.
+    """
+    best = root.top if root.top.chars else root
+    threshold, node = best.density, best
+    while node is not None and node.name != "html":
         if node.density:
             threshold = min(threshold, node.density)
-        if node.name in ("article", "main") and (article is None or article.name == "main" and node.name == "main"):
-            article = node
         node = node.parent
-    if article is not None:
-        return article, threshold
-    while best.name not in BLOCKS or best.name in HEADINGS or best.name == "p":
-        if best.parent is None:
-            break
+    kept, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold:
+            kept.append(_block_of(node.top))
+        if node.top is not node:
+            stack.extend(p for p in node.parts if not isinstance(p, str) and not p.dropped and p.name != "a" and p.chars)
+    best = _block_of(best)
+    if (best.name in HEADINGS or best.name == "p") and best.parent is not None:
         best = best.parent
-    while best.parent is not None:
-        beside = [p for p in best.parent.parts if p is not best]
-        if any(not p.isspace() if isinstance(p, str) else not p.dropped and p.chars and p.name not in HEADINGS for p in beside):
+    whole = {id(best), *map(id, kept)}
+    above: dict[int, int] = {}  # kept subtrees in an element that holds some
+    for node in {id(n): n for n in [best, *kept]}.values():
+        while node is not None:
+            above[id(node)] = above.get(id(node), 0) + 1
+            node = node.parent
+    around = best
+    while above[id(around)] < len(whole) and around.parent is not None:
+        around = around.parent
+    article = around
+    while article is not None and article.name not in ("article", "main"):
+        article = article.parent
+    if article is not None:
+        around = article
+    while article is None and around.parent is not None:  # headings, and plain text in one container with it, belong to it
+        outer = around.parent.name in ("body", "html")
+        beside = [p for p in around.parent.parts if p is not around]
+        if any(not p.isspace() if isinstance(p, str) else not p.dropped and p.chars and p.name not in HEADINGS and (outer or not _plain(p)) for p in beside):
             break
-        best = best.parent
-    return best, threshold
+        around = around.parent
+    return around, threshold, whole, set(above)
 
 
-def _blocks(node: Node, threshold: float, out: list[list[str]]) -> None:
-    """Collect the text of a subtree, a new block wherever a block element begins or ends."""
-    stack: list = [("open", node)]
+def _blocks(node: Node, threshold: float, whole: set[int], above: set[int], out: list[list[str]]) -> None:
+    """Collect the text of a subtree, a new block wherever a block element begins or
+    ends. Outside the kept subtrees, containers below the threshold go: inside an
+    article element those that are links in good part, elsewhere those with links or
+    without a paragraph."""
+    stack: list = [("open", node, id(node) in whole)]
     while stack:
-        what, x = stack.pop()
+        what, x, kept = stack.pop()
         if what == "text":
             out[-1].append(x)
             continue
@@ -240,24 +336,26 @@ def _blocks(node: Node, threshold: float, out: list[list[str]]) -> None:
             if block:
                 out.append([])
             continue
+        thin = x is not node and block and x.name not in HEADINGS and x.density < threshold
         # lists of links: mostly link text, several links, thinner than the path's threshold
-        linked = (x is not node and block and x.name not in HEADINGS and x.link_tags > 1
-                  and x.link_chars > 0.5 * x.chars and x.density < threshold)
-        if linked:
+        linked = thin and x.link_tags > 1 and x.link_chars > 0.5 * x.chars
+        beside = thin and not kept and id(x) not in above and x.name not in TEXTS and (
+            x.link_chars > x.chars / 3 if x.in_article else not _plain(x))
+        if linked or beside:
             out.append([])
             continue
         if block:
             out.append([])
         if x.name == "br":
             out[-1].append(" ")
-        stack.append(("close", x))
+        stack.append(("close", x, kept))
         for p in reversed(x.parts):
             if isinstance(p, str):
-                stack.append(("text", p))
+                stack.append(("text", p, kept))
             elif not p.dropped:
-                stack.append(("open", p))
+                stack.append(("open", p, kept or id(p) in whole))
             elif p.name in BLOCKS:
-                stack.append(("close", p))
+                stack.append(("close", p, kept))
 
 
 def main_text(page: str | None) -> str:
@@ -265,10 +363,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    nodes = measure(root)
-    best, threshold = _content(nodes)
+    settle(root)
+    measure(root)
     out: list[list[str]] = [[]]
-    _blocks(best, threshold, out)
+    _blocks(*_content(root), out)
     texts = (SPACE.sub(" ", "".join(parts)).strip() for parts in out)
     return "\n\n".join(t for t in texts if t)
 

@@ -303,6 +303,39 @@ def test_html(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "A sentence of the story, with commas, that goes on for a while. " * 4
+MENU = "<ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Sport</a></ul>"
+
+
+@pytest.mark.parametrize("page, blocks", [
+    # sections of a container without an article element, the last one short
+    (f"<body>{MENU}<div><section><h2>A</h2><p>{STORY}<p>{STORY}</section><section><h2>B</h2><p>{STORY}</section>"
+     "<section><h2>C</h2><p>Short one.</section></div></body>", ["A", STORY, STORY, "B", STORY, "C", "Short one."]),
+    # sibling containers right below the body, between lists of links
+    (f"<body>{MENU}<div><p>{STORY}<p>{STORY}</div><div><p>{STORY}</div><div><a href=1>x</a> | <a href=2>y</a></div></body>", [STORY, STORY, STORY]),
+    # a class word that would take the whole page; the comments inside it go
+    (f"<body>{MENU}<div class='text-alert-story'><p>{STORY}<p>{STORY}<div class=comments><p>{STORY * 5}</div></div></body>", [STORY, STORY]),
+    # marked elements go, however long, if there is text without them
+    (f"<body><div class='cookie-notice'><p>{STORY * 3}</div><div><p>{STORY}</div><div class=comments><p>{STORY * 20}</div></body>", [STORY]),
+    # a teaser article beside the story is links
+    (f"<body><main><article><h1>T</h1><p>{STORY}<p>{STORY}</article><article><h3><a href=1>Other story</a></h3><a href=2>read on</a></article></main></body>",
+     ["T", STORY, STORY]),
+])
+def test_html_by_density(page, blocks):
+    assert html.main_text(page) == "\n\n".join(b.strip() for b in blocks)
+
+
+def test_html_pages_without_article_elements(spark):
+    """The density alone finds what the article elements hold, also cut into containers."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        page, want = r["html"], html.main_text(r["html"])
+        plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html.main_text(plain) == want
+        # a container per paragraph: thin ones stay inside a common container (right below the body they go)
+        cut = page.replace("<article>", "<div><div>").replace("</article>", "</div></div>").replace("</p><p>", "</p></div><div><p>")
+        assert html.main_text(cut) == want
+
+
 def test_html_pages(spark):
     import re
 
