@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 1. Test items are cut into segments (long items only) and their word n-grams
-   are the possible seeds. A bitmap of fixed size over the seeds' hashes goes to
-   the tasks, whatever the number of items.
+   are the possible seeds. A bitmap of bounded size over the seeds' hashes goes
+   to the tasks.
 2. One pass over the documents counts, per seed, the documents that hold it.
-   Of every two neighbouring n-grams of a segment the rarer one is a seed, so a
-   stretch of n + 1 words copied word by word always holds one.
+   Every n-gram of a short segment is a seed. Of every two neighbouring n-grams
+   of a longer one the rarer is, so a stretch of n + 1 words copied word by word
+   always holds one.
 3. A second pass cuts out the passages around seeds. They meet the items in an
    equi-join on the seed. Hits of one passage and segment whose diagonals lie
    close become one candidate.
@@ -31,7 +32,9 @@ from pyspark.sql.window import Window
 from gridframe.llm import text as T
 from gridframe.session import ship_package
 
-GRAM = 4
+GRAM = 3
+#: every n-gram of a segment of up to so many words is a seed
+SHORT = 24
 #: words of a segment, and of its step; items up to the first length are one segment
 SEGMENT, STEP = 96, 48
 #: a passage reaches so many words beyond its seeds, and is cut after so many
@@ -40,7 +43,8 @@ LONGEST = 1024
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: least part of a segment's own score that counts as a copy
 THRESHOLD = 0.5
-BITMAP_BITS = 1 << 24
+#: bits of the bitmap of seeds, by their number: at least and at most (32 MB), and per seed
+LEAST_BITS, MOST_BITS, BITS_PER_SEED = 1 << 24, 1 << 28, 16
 
 
 def item_segments(items: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -55,51 +59,44 @@ def item_segments(items: DataFrame, *, id_col: str = "item_id", text_col: str =
 def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flat, offsets = T.list_parts(batch.column(2))
-        for n in range(1, GRAM + 1):
-            gram, row, at = T.word_grams(flat, offsets, n)
-            ok = np.minimum(np.diff(offsets), GRAM)[row] == n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[ok]), batch.column(0).take(pa.array(row[ok])), batch.column(1).take(pa.array(row[ok])), pa.array(at[ok].astype(np.int32))],
-                names=["gram", "item_id", "segment", "at"])
+        gram, row, at = T.word_grams(flat, offsets, GRAM)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(gram), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)),
+             pa.array((np.diff(offsets) <= SHORT)[row])], names=["gram", "item_id", "segment", "at", "short"])
 
 
 def seeds_of(segments: DataFrame) -> DataFrame:
-    """(gram, item_id, segment, at): every n-gram of every segment. A segment shorter
-    than n is its own gram."""
-    return segments.mapInArrow(_item_grams, "gram long, item_id long, segment int, at int")
+    """(gram, item_id, segment, at, short): every n-gram of every segment."""
+    return segments.mapInArrow(_item_grams, "gram long, item_id long, segment int, at int, short boolean")
 
 
-def _hits(flat: np.ndarray, offsets: np.ndarray, lengths: list[int], bitmap: np.ndarray):
+def _hits(flat: np.ndarray, offsets: np.ndarray, bitmap: np.ndarray):
     """(document, position, gram) of the n-grams whose bit is set."""
-    docs, places, grams = [], [], []
-    for n in lengths:
-        gram, doc, pos = T.word_grams(flat, offsets, n)
-        bit = gram.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
-        hit = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-        docs.append(doc[hit])
-        places.append(pos[hit])
-        grams.append(gram[hit])
-    d, p, g = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (docs, places, grams))
-    order = np.lexsort((p, d))
-    return d[order], p[order], g[order]
+    gram, doc, pos = T.word_grams(flat, offsets, GRAM)
+    bit = gram.view(np.uint64) & np.uint64(8 * len(bitmap) - 1)
+    hit = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+    return doc[hit], pos[hit], gram[hit]
 
 
 def _bitmap(grams: DataFrame) -> np.ndarray:
-    """Bits of the seeds' hashes: 2 MB, however many seeds there are."""
-    words = grams.select(F.col("gram").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("bit")).distinct().select(
+    """Bits of the seeds' hashes, of a power of two between the bounds. With more
+    seeds than the upper bound allows for, more hits go to the join, none is lost."""
+    n = BITS_PER_SEED * grams.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << n.bit_length()))
+    words = grams.select(F.col("gram").bitwiseAND(F.lit(bits - 1)).alias("bit")).distinct().select(
         F.expr("bit div 32").alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("one")).groupBy(
         "word").agg(F.sum("one").alias("bits")).toArrow()
-    out = np.zeros(BITMAP_BITS // 32, "<u4")
+    out = np.zeros(bits // 32, "<u4")
     out[np.asarray(words.column("word").combine_chunks())] = np.asarray(words.column("bits").combine_chunks()).astype("<u4")
     return out.view(np.uint8)
 
 
-def _counts(lengths: list[int], shared):
+def _counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, T.BATCH_ROWS):
                 flat, offsets = T.list_parts(batch.slice(lo, T.BATCH_ROWS).column(0))
-                doc, _, gram = _hits(flat, offsets, lengths, shared.value)
+                doc, _, gram = _hits(flat, offsets, shared.value)
                 if len(doc):
                     pairs = np.unique(np.stack([gram, doc], 1), axis=0)
                     gram, n = np.unique(pairs[:, 0], return_counts=True)
@@ -108,13 +105,13 @@ def _counts(lengths: list[int], shared):
     return run
 
 
-def _passages(lengths: list[int], shared):
+def _passages(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, T.BATCH_ROWS):
                 part = batch.slice(lo, T.BATCH_ROWS)
                 flat, offsets = T.list_parts(part.column(2))
-                doc, pos, gram = _hits(flat, offsets, lengths, shared.value)
+                doc, pos, gram = _hits(flat, offsets, shared.value)
                 if not len(doc):
                     continue
                 ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -194,7 +191,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     whole, exact copy) and about where it begins, in words.
 
     * null ids and null, empty or word-less texts match nothing;
-    * items shorter than n words must occur word by word to be found;
+    * items of fewer than n words mark documents of the same words and nothing else;
     * repeated rows: one row per pair of ids; ties: the first place;
     * very long texts are cut into passages, long items into segments;
     * empty tables: no rows. Other columns are not read.
@@ -203,21 +200,20 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     ship_package(spark)
     segments = T.reliable(item_segments(items, id_col=item_col, text_col=item_text_col))
     grams = T.reliable(seeds_of(segments))
-    lengths = [r[0] for r in segments.select(F.least(F.size("words"), F.lit(GRAM)).alias("n")).distinct().collect()]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("k"),
                        T.word_hashes(F.col(text_col)).alias("words")).where(F.col("doc_id").isNotNull())
     possible = spark.sparkContext.broadcast(_bitmap(grams))
-    held = texts.select("words").mapInArrow(_counts(lengths, possible), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
-    rated = grams.join(held, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    held = texts.select("words").mapInArrow(_counts(possible), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+    rated = grams.where("not short").join(held, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     around = Window.partitionBy("item_id", "segment").orderBy("at")  # at most SEGMENT rows
     before, after = F.lag("df").over(around), F.lead("df").over(around)
     # the rarer of two neighbours, the first of equals, and whatever has no neighbour
     seeds = T.reliable(rated.select("gram", "item_id", "segment", "at", "df", before.alias("b"), after.alias("a")).where(
         (F.col("b").isNull() & F.col("a").isNull()) | (F.col("df") < F.col("b")) | (F.col("df") <= F.col("a"))).select(
-        "gram", "item_id", "segment", "at"))
+        "gram", "item_id", "segment", "at").union(grams.where("short").select("gram", "item_id", "segment", "at")))
     rare = spark.sparkContext.broadcast(_bitmap(seeds))
     passages = T.reliable(texts.mapInArrow(
-        _passages(lengths, rare), "doc_id long, k long, begin long, words array<long>, grams array<long>, places array<int>"))
+        _passages(rare), "doc_id long, k long, begin long, words array<long>, grams array<long>, places array<int>"))
     met = passages.select("doc_id", "k", "begin", F.explode(F.arrays_zip("grams", "places")).alias("g")).select(
         "doc_id", "k", "begin", F.col("g.grams").alias("gram"), F.col("g.places").alias("place")).join(seeds, "gram")
     # hits whose diagonals differ by less than a few words are one candidate
@@ -228,6 +224,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     pairs = spots.join(segments.withColumnRenamed("words", "item_words"), ["item_id", "segment"]).join(one, ["doc_id", "k", "begin"]).select(
         "doc_id", "item_id", "segment", "begin", "low", "high", "item_words", "words")
     scored = pairs.mapInArrow(_aligned, "doc_id long, item_id long, segment int, score double, place long")
-    return scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(
+    tiny = segments.where(F.size("words") < GRAM).select("item_id", "words").join(
+        texts.where((F.size("words") > 0) & (F.size("words") < GRAM)), "words").select(
+        "doc_id", "item_id", F.lit(0).alias("segment"), F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("place"))
+    return scored.union(tiny).where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("score", (-F.col("place")).alias("p"))).alias("top")).select(
         "doc_id", "item_id", F.col("top.score").alias("score"), F.greatest(F.lit(0), -F.col("top.p")).alias("place"))

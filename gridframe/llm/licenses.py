@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 
 #: a line that goes on in lower case, or amid a licence's name, belongs to the line before it (capture 1: its beginning)
 WRAPPED = r"[ \t]*\r?\n[ \t*#/;>|-]*([a-z(]|Foundation\b|Software Foundation|Public License|General Public|Lesser General|Affero General|License,)"
+#: a line that ends amid a reference to a licence, or amid a holder's name, goes on in the next one (capture 1: its end)
+UNFINISHED = (r"(\b[Uu]nder(?: the| a| an)?(?: terms of(?: the)?)?|\bterms of(?: the)?|\bname of(?: the)?|\bLicen[cs]e,|"
+              r"\b(?:MIT|BSD|ISC|Apache|GNU|Mozilla|Eclipse|Creative|Commons|Affero|Lesser|General|Clause))[ \t]*\r?\n[ \t*#/;>|-]*")
+#: a machine-readable reference ends with its identifier (capture 1)
+TAGGED = r"(SPDX-License-Identifier:[ \t]*[A-Za-z0-9.+-]+)"
+#: a full stop that ends no sentence (captures 1 and 2: around it)
+ABBREVIATION = r"\b(Inc|Ltd|Co|Corp)\.,?[ \t]+(nor|and|or)\b"
 SENTENCE_END = r"[.!?;]+[ \t]+|[.!?;:]*[ \t]*[\r\n]+|[.!?;:]+$"
 ANCHOR = r"licen|copyright|permission|redistribut|warrant|rights reserved|free software|public domain|creative commons|copying and distribution"
 NOT_WORD = r"[^a-z0-9]+"
@@ -47,6 +54,10 @@ CC_VERSIONS = ["2.0", "2.5", "3.0", "4.0"]
 REFERENCE = (r"^(?:(?:this|the|all|our)(?: [a-z]+){1,4} (?:is|are) |it is |content is |text is )?(?:dual )?"
              r"(?:licensed|released|distributed|published|available|made available|provided) under (?:the terms of )?(?:the |a |an )?(.+)$")
 NAME_TAIL = r"(?: international| unported)?(?: public)?(?: licen[cs]e)?(?: the licen[cs]e)?$"
+#: whose name a clause protects
+HOLDER = r"^neither the names? of .+ nor the names? of (?:its|their|any|the) (?:other )?contributors? may "
+ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors may "
+SPDX = "spdx license identifier "
 GNU_SUBJECT = r"^(?:this [a-z]+|it|the [a-z]+) is free software "
 
 #: identifier, sentences (normalised) that stand for it
@@ -111,6 +122,13 @@ def sentence_table() -> dict[str, str]:
         out[f"{terms} either version {version} of the license or at your option any later version"] = f"gnu:{_gnu(family, version)}-or-later"
         out[f"{terms} version {version} of the license"] = f"gnu:{_gnu(family, version)}"
         out[f"{terms} version {version}"] = f"gnu:{_gnu(family, version)}"
+    # machine-readable references; "only" is what the plain number says
+    for k in [k for k in NAMES if k != "BSD"] + [f"CC-{kind}-{v}" for kind in CC_KINDS for v in CC_VERSIONS]:
+        out[SPDX + re.sub(NOT_WORD, " ", k.lower())] = f"name:{k}"
+    for family, _, version in GNU:
+        k = _gnu(family, version)
+        out[SPDX + re.sub(NOT_WORD, " ", f"{k}-only".lower())] = f"name:{k}"
+        out[SPDX + re.sub(NOT_WORD, " ", f"{k}-or-later".lower())] = f"gnu:{k}-or-later"
     return out
 
 
@@ -148,7 +166,9 @@ def run_text(identifiers: list[str]) -> str:
 
 def sentences(text: Column) -> Column:
     """Normalised sentences with an anchor word; every known sentence has one."""
-    cut = F.filter(F.split(F.regexp_replace(text, WRAPPED, " $1"), SENTENCE_END), lambda s: F.lower(s).rlike(ANCHOR))
+    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        text, TAGGED, "$1. "), UNFINISHED, "$1 "), WRAPPED, " $1"), ABBREVIATION, "$1 $2")
+    cut = F.filter(F.split(lines, SENTENCE_END), lambda s: F.lower(s).rlike(ANCHOR))
     return F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " ")))
 
 
@@ -158,7 +178,7 @@ def _map(table: dict[str, str]) -> Column:
 
 def identify(sentence: Column) -> Column:
     """Identifier of a normalised sentence, or null; ``name:X`` is a reference to licence X."""
-    known = _map(sentence_table())[F.regexp_replace(sentence, GNU_SUBJECT, "this program is free software ")]
+    known = _map(sentence_table())[F.regexp_replace(F.regexp_replace(sentence, GNU_SUBJECT, "this program is free software "), HOLDER, ANY_HOLDER)]
     name = F.regexp_replace(F.regexp_extract(sentence, REFERENCE, 1), NAME_TAIL, "")
     return F.coalesce(known, F.concat(F.lit("name:"), _map(name_table())[name]))
 
@@ -201,10 +221,11 @@ def oracle_sql() -> str:
         return ", ".join(f"({q(s)}, {q(k)})" for s, k in sorted(table.items()))
 
     sql = f"""WITH known(s, k) AS (VALUES {values(sentence_table())}), names(name, lic) AS (VALUES {values(name_table())}),
-    cut AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(regexp_replace(coalesce(text, ''), {q(WRAPPED)}, ' \\1', 'g'), {q(SENTENCE_END)}) AS a FROM documents),
+    cut AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+                   {q(TAGGED)}, '\\1. ', 'g'), {q(UNFINISHED)}, '\\1 ', 'g'), {q(WRAPPED)}, ' \\1', 'g'), {q(ABBREVIATION)}, '\\1 \\2', 'g'), {q(SENTENCE_END)}) AS a FROM documents),
     one AS (SELECT r, unnest(a) AS s, unnest(range(len(a))) AS i FROM cut),
     norm AS (SELECT r, i, trim(regexp_replace(lower(s), {q(NOT_WORD)}, ' ', 'g')) AS s FROM one WHERE regexp_matches(lower(s), {q(ANCHOR)})),
-    named AS (SELECT r, i, regexp_replace(s, {q(GNU_SUBJECT)}, 'this program is free software ') AS s,
+    named AS (SELECT r, i, regexp_replace(regexp_replace(s, {q(GNU_SUBJECT)}, 'this program is free software '), {q(HOLDER)}, {q(ANY_HOLDER)}) AS s,
                      regexp_replace(regexp_extract(s, {q(REFERENCE)}, 1), {q(NAME_TAIL)}, '') AS name FROM norm),
     looked AS (SELECT r, i, coalesce(k, 'name:' || lic) AS k FROM named LEFT JOIN known USING (s) LEFT JOIN names USING (name)),
     ids AS (SELECT r, list(k ORDER BY i) AS ks FROM looked WHERE k IS NOT NULL GROUP BY r),

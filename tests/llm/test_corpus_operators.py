@@ -156,6 +156,34 @@ def test_decontamination_finds_copies_only(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_recall_of_edited_copies(spark):
+    """Copies with 15-30 % of their words replaced, against full alignment of all pairs."""
+    rnd = random.Random(4)
+    items, docs, want = [], [], Counter()
+    for n in (12, 16, 24, 48, 96):
+        for _ in range(120):
+            w = [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+            copy = [f"x{rnd.randrange(10 ** 6)}" if rnd.random() < p else x for p in [rnd.uniform(0.15, 0.3)] for x in w]
+            around = [f"y{rnd.randrange(10 ** 6)}" for _ in range(60)]
+            items.append((len(items), " ".join(w)))
+            docs.append((len(docs), " ".join(around[:30] + copy + around[30:])))
+            if brute_align(w, copy) >= decontaminate.THRESHOLD * n:
+                want[n] += 1
+    sizes = [len(t.split()) for _, t in items]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r["doc_id"] == r["item_id"] for r in got)
+    found = Counter(sizes[r["item_id"]] for r in got)
+    assert all(want[n] >= 90 and found[n] >= 0.97 * want[n] for n in want), (found, want)
+
+
+def test_decontamination_by_tiny_items(spark):
+    """An item of one or two words marks a document of these words only."""
+    docs = [(1, "the"), (2, "The!"), (3, "the end"), (4, "the end of the story"), (5, "end the"), (6, None), (7, "")]
+    items = [(1, "the"), (2, "The end."), (3, ""), (4, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got} == {(1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0)}
+
+
 # --- top-k -----------------------------------------------------------------------
 
 def brute_top(rows, queries, k):

@@ -216,6 +216,45 @@ def test_byte_bpe_equals_the_tokenizer(docs):
 
 # --- licences ----------------------------------------------------------------
 
+BSD_TEXT = """Copyright (c) 2012, The Regents. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """3. Neither the name of {} nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+
+
+def test_licences_as_projects_write_them(spark):
+    rows = [
+        ("Licensed under the Apache License,\nVersion 2.0", "Apache-2.0"),
+        ("This file is licensed under the\nMIT License", "MIT"),
+        ("licensed under the MIT\nLicense.", "MIT"),
+        ("Released under the terms of the\nGNU General Public License, version 3.", "GPL-3.0"),
+        ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+        ("/* SPDX-License-Identifier: Apache-2.0 */\n#include <a.h>", "Apache-2.0"),
+        ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+        ("// SPDX-License-Identifier: LGPL-2.1-or-later\r\n", "LGPL-2.1-or-later"),
+        (BSD_TEXT, "BSD-2-Clause,All-Rights-Reserved"),
+        (BSD_TEXT + THIRD.format("the University"), "BSD-3-Clause,All-Rights-Reserved"),
+        (BSD_TEXT + THIRD.format("the\n   University of Somewhere"), "BSD-3-Clause,All-Rights-Reserved"),
+        (BSD_TEXT + THIRD.format("Example, Inc."), "BSD-3-Clause,All-Rights-Reserved"),
+        # a reference on a line of its own, after lines that do not end in a full stop
+        ("walking through the,\nReleased under the MIT License.\nand so on", "MIT"),
+        ("Prices went under the\nbudget of the\nyear", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()}
+    assert got == {i: k for i, (_, k) in enumerate(rows)}
+
+
 def test_licence_rules(spark):
     import re
 
