@@ -215,4 +215,4 @@ def q_convert_resume(spark, sf_dir):
     return done.groupBy("status", F.element_at(F.split("archive_path", "/"), -1).alias("archive_name")).agg(F.count(F.lit(1)).alias("n_entries"))
 
 
-from gridframe.plans import catalog_sets  # noqa: E402, F401  (registers its queries)
+from gridframe.plans import catalog_grown, catalog_sets  # noqa: E402, F401  (register their queries)
