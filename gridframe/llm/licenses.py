@@ -11,6 +11,7 @@ Everything is an expression of one row: no shuffle, no join, no Python.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ TAGGED = r"(SPDX-License-Identifier:[ \t]*[A-Za-z0-9.+-]+)"
 ABBREVIATION = r"\b(Inc|Ltd|Co|Corp)\.,?[ \t]+(nor|and|or)\b"
 SENTENCE_END = r"[.!?;]+[ \t]+|[.!?;:]*[ \t]*[\r\n]+|[.!?;:]+$"
 ANCHOR = r"licen|copyright|permission|redistribut|warrant|rights reserved|free software|public domain|creative commons|copying and distribution"
+#: every anchor holds one of these, so a text without any has no sentence to look up
+IN_ANCHORS = ["licen", "copyright", "permission", "redistribut", "warrant", "reserved", "software", "domain", "commons", "distribution"]
 NOT_WORD = r"[^a-z0-9]+"
 MARK = "|"
 
@@ -196,7 +199,10 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     """
     new = ["sentences", "licenses", "unmatched"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    known = F.filter(F.transform(sentences(F.coalesce(F.col(text_col), F.lit(""))), identify), lambda k: k.isNotNull())
+    low = F.lower(F.col(text_col))
+    possible = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in IN_ANCHORS])
+    known = F.when(possible, F.filter(F.transform(sentences(F.col(text_col)), identify), lambda k: k.isNotNull())).otherwise(
+        F.array().cast("array<string>"))
     listed = F.array(*[F.struct(F.lit(run_text(ids)).alias("run"), F.lit(name).alias("name")) for name, ids in rules()])
     start = F.struct(F.array_join(F.transform("_gf_ids", lambda k: F.concat(F.lit("<"), k, F.lit(">"))), "").alias("left"),
                      F.array().cast("array<string>").alias("found"))

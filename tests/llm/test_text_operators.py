@@ -259,6 +259,7 @@ def test_licence_rules(spark):
     import re
 
     assert all(re.search(licenses.ANCHOR, s) for s in licenses.sentence_table())
+    assert all(any(w in a for w in licenses.IN_ANCHORS) for a in licenses.ANCHOR.split("|"))
     rows = [
         (1, "Foo.\nLicensed under CC BY-NC 4.0.\nBar", "CC-BY-NC-4.0"),
         (2, "This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
