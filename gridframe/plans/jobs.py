@@ -3,6 +3,7 @@
 * ``convert``    archives -> ``A^T`` segment store + quarantine (E1), resumable
 * ``names``      store -> ordered column-name table (+ optional text export)
 * ``transpose``  store + names -> rows of ``A`` (E2), blocked or SQL form
+* ``grow``       records that the rows of ``A`` lack -> column chunks appended to them
 * ``lookup`` / ``export_record`` / ``compare`` (E3)
 * ``multiply``   ``A^T x`` and ``A y`` on the store
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gridframe.operators import index, matrix, timeaxis, verify
 from gridframe.schemas import DEFAULT_BLOCK_SIZE, DEFAULT_VARIABLES
-from gridframe.sources import archives, ingest_log, store
+from gridframe.sources import archives, growing, ingest_log, store
 
 
 def convert(
@@ -127,6 +128,28 @@ def transpose(
     return spark.read.parquet(out_path)
 
 
+def grow(spark: SparkSession, decoded_path: str, out_path: str, block_size: int = DEFAULT_BLOCK_SIZE, order: str = "time",
+         max_records: int | None = None, row_parts: int | None = None) -> DataFrame:
+    """E2 by column chunks: the stored records that ``out_path`` (``sources.growing``,
+    created if absent) does not hold yet become its next columns, in chunks of at
+    most ``max_records``. Called again after more was converted, or after it died, it
+    goes on with what is missing. Records that would come before a stored column
+    raise. Gives the rows of all columns."""
+    seg = segments(spark, decoded_path)
+    if not ingest_log.table_exists(spark, f"{out_path}/shape"):
+        n_cells = stored_cells(spark, decoded_path, block_size)
+        n_rec = seg.where(F.col("block_id") == 0).count()
+        growing.create(spark, out_path, n_cells, block_size, row_parts or index.partitions_for(spark, 4.0 * n_rec * n_cells))
+    fresh = seg.where(F.col("block_id") == 0).select("record_name").join(growing.names(spark, out_path), "record_name", "left_anti")
+    table = timeaxis.column_names(fresh, order=order)
+    n_new = table.count()
+    step = max_records or max(1, n_new)
+    for low in range(0, n_new, step):
+        mine = table.where((F.col("col_idx") >= low) & (F.col("col_idx") < low + step))
+        growing.append(spark, out_path, store.semi_join_records(seg, mine), mine.withColumn("col_idx", F.col("col_idx") - low))
+    return growing.read(spark, out_path)
+
+
 def lookup(spark: SparkSession, decoded_path: str, record_name: str, block_size: int = DEFAULT_BLOCK_SIZE) -> DataFrame:
     """One record in long form ``(record_name, pos, value)``."""
     return store.export_record_long(store.lookup_record(segments(spark, decoded_path), record_name), block_size)
@@ -205,6 +228,10 @@ def main(argv=None) -> None:
     t.add_argument("out_dir")
     t.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
     t.add_argument("--records-per-tile", type=int, default=None)
+    w = sub.add_parser("grow", help="append the records that out_dir/grown lacks as column chunks")
+    w.add_argument("out_dir"), w.add_argument("--order", default="time"), w.add_argument("--max-records", type=int, default=None)
+    w.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
+    w.add_argument("--compact", action="store_true", help="then merge all chunks into one base")
     m = sub.add_parser("multiply", help="A^T x for x given as Parquet (pos, value); writes (record_name, value)")
     m.add_argument("out_dir"), m.add_argument("x_path"), m.add_argument("target")
     m.add_argument("--block-size", type=int, default=DEFAULT_BLOCK_SIZE)
@@ -241,6 +268,10 @@ def main(argv=None) -> None:
         names(spark, f"{d}/decoded", f"{d}/names", a.order, a.text)
     elif a.cmd == "transpose":
         transpose(spark, f"{d}/decoded", f"{d}/names", f"{d}/matrix", a.block_size, a.records_per_tile)
+    elif a.cmd == "grow":
+        grow(spark, f"{d}/decoded", f"{d}/grown", a.block_size, a.order, a.max_records)
+        if a.compact:
+            growing.compact(spark, f"{d}/grown")
     elif a.cmd == "export":
         export_record(spark, f"{d}/decoded", a.record_name, a.target, a.block_size)
     elif a.cmd == "multiply":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridframe.operators import grid, matrix
 from gridframe.plans import jobs
-from gridframe.sources import archives
+from gridframe.sources import archives, growing
 
 
 def test_convert_transpose_lookup_resume(spark, tmp_dir):
@@ -32,6 +32,8 @@ def test_convert_transpose_lookup_resume(spark, tmp_dir):
     out = os.path.join(tmp_dir, "store")
     first = jobs.convert(spark, root, listing, layout, out, block_size=8, archives_per_chunk=1)
     assert (first["records"], first["quarantined"]) == (12, 0)
+    first_chunks = jobs.grow(spark, f"{out}/decoded", f"{out}/grown", 8, max_records=5)
+    assert np.array_equal(np.array([r["values"] for r in first_chunks.orderBy("row_idx").collect()], np.float32), data[:12].T)
     # resume with a longer list: only the new archive is decoded
     with open(listing, "a") as fh:
         fh.write("pgbh02.gdas.19790106-19790110.tar\n")
@@ -53,6 +55,10 @@ def test_convert_transpose_lookup_resume(spark, tmp_dir):
         a = jobs.transpose(spark, f"{out}/decoded", f"{out}/names", f"{out}/matrix_{method}", 8, 7, method)
         rows = {r["row_idx"]: r["values"] for r in a.collect()}
         assert np.array_equal(np.array([rows[i] for i in range(30)], np.float32), data.T)
+    jobs.main(["grow", out, "--block-size", "8", "--compact"])  # the later records follow as one more chunk
+    grown = growing.read(spark, f"{out}/grown")
+    assert [r["n_cols"] for r in growing.chunks(spark, f"{out}/grown")] == [20]
+    assert np.array_equal(np.array([r["values"] for r in grown.orderBy("row_idx").collect()], np.float32), data.T)
     one = jobs.lookup(spark, f"{out}/decoded", hours[3], 8).orderBy("pos").collect()
     assert np.array_equal(np.array([r["value"] for r in one], np.float32), data[3])
     import contextlib
