@@ -83,7 +83,8 @@ def required(column: str, complaint: str):
 # --------------------------------------------------------------------------
 # M1 transpose in SQL form: explode cells, group by row index
 # --------------------------------------------------------------------------
-def transpose_sql(segments: DataFrame, names: DataFrame, block_size: int) -> DataFrame:
+def transpose_sql(segments: DataFrame, names: DataFrame, block_size: int, *, fill: float | None = None,
+                  n_cells: int | None = None) -> DataFrame:
     """``A^T`` segments -> rows of ``A`` ``(row_idx, values)``.
 
     Every cell travels once through the shuffle as ``(row_idx, col_idx,
@@ -92,19 +93,66 @@ def transpose_sql(segments: DataFrame, names: DataFrame, block_size: int) -> Dat
     as a cross-check: it ships several times the bytes of
     ``transpose_blocked`` and its exchange follows
     ``spark.sql.shuffle.partitions`` (AQE coalesces it).
+
+    With ``fill``, the value of absent cells, these stay behind and are put back
+    where a row is built, so the exchange grows with the cells that are there and
+    not with the shape of the matrix. The first cell of every segment travels in
+    any case: a record whose segment is missing or repeated fails the job.
     """
     cells = attach_col_idx(segments, names).select(
         "col_idx", "block_id", F.posexplode("values").alias("_k", "value")
     )
+    if fill is not None:
+        cells = cells.where((F.col("_k") == 0) | ~F.col("value").eqNullSafe(F.lit(fill).cast("float")))
     # col_idx < 2^31 (one per record): an int keeps the shuffled structs small
     cells = cells.select(
         (F.col("block_id").cast("long") * block_size + F.col("_k")).alias("row_idx"),
         F.col("col_idx").cast("int").alias("col_idx"),
         "value",
     )
-    return cells.groupBy("row_idx").agg(
-        F.sort_array(F.collect_list(F.struct("col_idx", "value"))).alias("_p")
-    ).select("row_idx", F.transform("_p", lambda s: s["value"]).alias("values"))
+    if fill is None:
+        return cells.groupBy("row_idx").agg(
+            F.sort_array(F.collect_list(F.struct("col_idx", "value"))).alias("_p")
+        ).select("row_idx", F.transform("_p", lambda s: s["value"]).alias("values"))
+    spark = segments.sparkSession
+    n_records, n_cells = matrix_shape(segments, names, block_size, n_cells)
+    ship_package(spark)
+    # a row without a present cell comes from the range; the partitions are those of the dense rows
+    empty = spark.range(n_cells).select(F.col("id").alias("row_idx"), F.lit(None).cast("int").alias("col_idx"), F.lit(None).cast("float").alias("value"))
+    entry = F.when(F.col("col_idx").isNotNull(), F.struct("col_idx", "value"))
+    return cells.union(empty).repartition(partitions_for(spark, 4.0 * n_records * n_cells), "row_idx").groupBy("row_idx").agg(
+        F.collect_list(entry).alias("_e")
+    ).mapInArrow(_dense_rows(n_records, block_size, fill), "row_idx long, values array<float>")
+
+
+def _dense_rows(n_records: int, block_size: int, fill: float, out_cells: int = 1 << 20):
+    """Arrow kernel: the present cells of each row of ``A`` -> the whole row."""
+    step = max(1, out_cells // max(1, n_records))
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                n, row, entries = batch.num_rows, batch.column("row_idx").to_numpy(), batch.column("_e")
+                flat = entries.flatten()
+                at = pc.list_parent_indices(entries).to_numpy(zero_copy_only=False).astype(np.int64) * n_records
+                at += flat.field("col_idx").to_numpy(zero_copy_only=False)
+                held = np.bincount(at, minlength=n * n_records).reshape(n, n_records)
+                bad = np.flatnonzero((held > 1).any(1) | ((row % block_size == 0) & (held == 0).any(1)))
+                if len(bad):
+                    raise ValueError(f"row {row[bad[0]]}: a record's segment is missing or repeated")
+                values = flat.field("value")
+                dense = np.full(n * n_records, fill, np.float32)
+                dense[at] = values.to_numpy(zero_copy_only=False)
+                mask = None
+                if values.null_count:
+                    mask = np.zeros(n * n_records, bool)
+                    mask[at] = values.is_null().to_numpy(zero_copy_only=False)
+                offsets = pa.array(np.arange(0, n * n_records + 1, n_records, dtype=np.int32)) if n_records else pa.array(np.zeros(n + 1, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row_idx"), pa.ListArray.from_arrays(offsets, pa.array(dense, pa.float32(), mask=mask))], names=["row_idx", "values"])
+
+    return run
 
 
 # --------------------------------------------------------------------------

@@ -721,7 +721,7 @@ def q_daily_transpose_blocked(spark, sf_dir):
 @query("daily_transpose_sql", _DAILY_A_ORACLE)
 def q_daily_transpose_sql(spark, sf_dir):
     seg = daily_segments(spark, sf_dir)
-    return _a_summary(matrix.transpose_sql(seg, daily_names(spark, sf_dir), DAILY_BLOCK))
+    return _a_summary(matrix.transpose_sql(seg, daily_names(spark, sf_dir), DAILY_BLOCK, fill=fx.FILL, n_cells=fx.part_count(spark, sf_dir)))
 
 
 @query("daily_matvec", f"""

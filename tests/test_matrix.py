@@ -203,3 +203,17 @@ def test_compare_counts_nan_as_equal(spark):
 def test_empty_vectors_have_no_segment(spark):
     df = spark.createDataFrame([("a", []), ("b", [1.0])], "record_name string, values array<float>")
     assert [r["record_name"] for r in matrix.segment(df, 4).collect()] == ["b"]
+
+
+def test_transpose_sql_leaves_absent_cells_behind(spark):
+    """Only present cells are shuffled; rows without any, nulls and NaN come back as they were."""
+    fill, nan = 1e20, float("nan")
+    rows = [("r0", [1.0, fill, fill, None, fill]), ("r1", [fill, fill, fill, nan, 2.0])]
+    vec = spark.createDataFrame(rows, "record_name string, values array<float>")
+    names, seg = timeaxis.column_names(vec, order="name"), matrix.segment(vec, 2)
+    made = matrix.transpose_sql(seg, names, 2, fill=fill, n_cells=5)
+    want = {r["row_idx"]: [str(v) for v in r["values"]] for r in matrix.transpose_sql(seg, names, 2).collect()}
+    assert {r["row_idx"]: [str(v) for v in r["values"]] for r in made.collect()} == want and len(want) == 5
+    for broken in (seg.where("not (record_name = 'r1' and block_id = 1)"), seg.union(seg.where("record_name = 'r0'"))):
+        with pytest.raises(Exception, match="missing or repeated"):
+            matrix.transpose_sql(broken, names, 2, fill=fill, n_cells=5).collect()
