@@ -44,13 +44,17 @@ def segment(vectors: DataFrame, block_size: int, keys=("record_name",), values:
     )
 
 
-def unsegment(segments: DataFrame, keys=("record_name",)) -> DataFrame:
+def unsegment(segments: DataFrame, keys=("record_name",), partitions: int | None = None) -> DataFrame:
     """J6-style reassembly of whole vectors from segments.
 
     One group per vector: only for vectors that fit a row (lookups, exports,
-    small layouts), never for the full-size records.
+    small layouts), never for the full-size records. Of these, pieces can be put
+    together, with the piece among the ``keys``. ``partitions`` sizes the shuffle
+    (default: Spark's setting, adjusted by AQE to the compressed size).
     """
     keys = list(keys)
+    if partitions:
+        segments = segments.repartition(partitions, *keys)
     return segments.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("block_id", "values"))).alias("_parts")
     ).select(*keys, F.flatten(F.transform("_parts", lambda p: p["values"])).alias("values"))

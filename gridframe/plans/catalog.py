@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridframe.functions.names import archive_name_for
 from gridframe.operators import grid, matrix, timeaxis
+from gridframe.operators.index import partitions_for
 from gridframe.plans import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -652,6 +653,8 @@ def q_archive_counts(spark, sf_dir):
 # (2,499 x 20,000 = 50M cells at sf0.1) and drives the benchmark.
 # ---------------------------------------------------------------------------
 DAILY_BLOCK = 1024
+# Segments of a record that are put together in one row on the way to an archive.
+DAILY_PIECE = 64
 
 _DAILY = """
 d AS (SELECT strftime(date_trunc('day', l_shipdate), 'pgbh02.gdas.%Y%m%d00.grb2') AS record_name,
@@ -671,9 +674,17 @@ FROM part p LEFT JOIN ds ON ds.pos = p.p_partkey
 """
 
 
+def daily_parts(spark, sf_dir) -> int:
+    """Partitions for the dense daily matrix: its shuffled fill compresses so well that
+    sizes measured at run time would put very much of it into one task."""
+    n_days = fx.table(spark, sf_dir, "lineitem").select(F.date_trunc("day", F.col("l_shipdate"))).distinct().count()
+    return partitions_for(spark, 4.0 * n_days * fx.part_count(spark, sf_dir))
+
+
 def daily_segments(spark, sf_dir):
     n_cells = fx.part_count(spark, sf_dir)
-    return grid.cells_to_segments(fx.daily_cells(spark, sf_dir), n_cells, DAILY_BLOCK, fx.FILL)
+    return grid.cells_to_segments(fx.daily_cells(spark, sf_dir), n_cells, DAILY_BLOCK, fx.FILL,
+                                  partitions=daily_parts(spark, sf_dir))
 
 
 def daily_names(spark, sf_dir):
@@ -805,18 +816,20 @@ def q_daily_ingest(spark, sf_dir):
 
     n_cells = fx.part_count(spark, sf_dir)
     n_lat, n_lon = _daily_grid_shape(n_cells)
-    seg = daily_segments(spark, sf_dir)
+    seg, parts = daily_segments(spark, sf_dir), daily_parts(spark, sf_dir)
     root = scratch_path(spark, "daily-archives")
-    # one group per archive period (at most six days), records as whole grids
-    per_record = matrix.unsegment(seg).select(
-        "record_name", "values",
+    # one group per archive period (at most six days), records in pieces of a fixed size
+    pieces = matrix.unsegment(
+        seg.withColumn("piece", (F.col("block_id") / DAILY_PIECE).cast("int")), ("record_name", "piece"), partitions=parts
+    ).select(
+        "record_name", "piece", "values",
         F.regexp_extract("record_name", r"(\d{8})00", 1).alias("_day"),
     ).select(
-        "record_name", "values",
+        "record_name", "piece", "values",
         archive_name_for(F.to_timestamp("_day", "yyyyMMdd")).alias("archive_name"),
     )
     listing = f"{root}-list"
-    archives.write_grid_archives(per_record, root, [("qty", 0, n_cells, (n_lat, n_lon))]).select(
+    archives.write_grid_archives(pieces, root, [("qty", 0, n_cells, (n_lat, n_lon))], piece_col="piece", partitions=parts).select(
         "archive_name"
     ).write.text(listing)
     variables = spark.createDataFrame([("qty", 0, 1, n_lat, n_lon)],

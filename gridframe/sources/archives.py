@@ -10,6 +10,7 @@ the task, so no whole record vector ever becomes a Spark row.
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import tarfile
 import uuid
@@ -353,7 +354,71 @@ def _commit(temporary: str, path: str) -> None:
     filesystem.move(fs.FileSystem.from_uri(temporary)[1], inner)
 
 
-def _assembler(out_dir: str):
+def _record_file(header: bytes, size: int, pieces, record: str):
+    """The bytes of one record's file as its pieces ``(number, values)`` stream by."""
+    yield header
+    expected = 0
+    for number, values in pieces:
+        if number != expected:
+            raise ValueError(f"record {record}: piece {number} where piece {expected} should be")
+        raw = np.asarray(values.values.to_numpy(zero_copy_only=False), dtype=">f4").tobytes()
+        size -= len(raw)
+        if size < 0:
+            break
+        yield raw
+        expected += 1
+    if size:
+        raise ValueError(f"record {record}: its pieces hold {'more' if size < 0 else 'fewer'} cells than the layout")
+
+
+class _Stream:
+    """Chunks of bytes as a file to read from; what is asked for comes whole."""
+
+    def __init__(self, chunks):
+        self.chunks, self.held = chunks, io.BytesIO()
+
+    def read(self, n: int) -> bytes:
+        out = self.held.read(n)
+        while len(out) < n:
+            chunk = next(self.chunks, None)
+            if chunk is None:
+                break
+            self.held = io.BytesIO(chunk)
+            out += self.held.read(n - len(out))
+        return out
+
+
+def _whole_files(batches):
+    """``(archive, record, size, file)`` of encoded records."""
+    for batch in batches:
+        for archive, record, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            yield archive, record, len(payload), io.BytesIO(payload)
+
+
+def _piece_files(spec, fill: float):
+    """``(archive, record, size, file)`` of records in pieces, sorted by archive, record and number."""
+    dims, variables, cells = {}, [], 0
+    for var, offset, length, shape in spec:
+        if offset != cells:
+            raise ValueError("records in pieces need variables that follow one another from cell 0")
+        dnames = [f"{var}_d{a}" for a in range(len(shape))]
+        dims.update(zip(dnames, shape))
+        variables.append((var, dnames, np.broadcast_to(np.float32(0), shape), {"_FillValue": np.float32(fill)}))
+        cells += length
+    header = netcdf.dumps(dims, variables, header_only=True)
+
+    def run(batches):
+        rows = ((*key, batch.column("values")[k]) for batch in batches
+                for k, key in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))))
+        for (archive, record), group in itertools.groupby(rows, key=lambda r: r[:2]):
+            chunks = _record_file(header, 4 * cells, (r[2:] for r in group), record)
+            yield archive, record, len(header) + 4 * cells, _Stream(chunks)
+            next(chunks, None)  # the check after the last piece
+
+    return run
+
+
+def _assembler(out_dir: str, files):
     """Files sorted by archive -> tar archives, written as the rows stream by: one
     batch is in memory, however large an archive is."""
     def assemble(batches):
@@ -367,19 +432,18 @@ def _assembler(out_dir: str):
             _commit(temporary, path)
             done.append((name, path, count))
 
-        for batch in batches:
-            for archive, record, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if archive != name:
-                    if tar is not None:
-                        close()
-                    # the attempt's own name: a retried or doubled task disturbs no other
-                    name, count, temporary = archive, 0, f"{out_dir.rstrip('/')}/_{archive}.{uuid.uuid4().hex}"
-                    stream = _output(temporary)
-                    tar = tarfile.open(fileobj=stream, mode="w|")
-                info = tarfile.TarInfo(record)
-                info.size = len(payload)
-                tar.addfile(info, io.BytesIO(payload))
-                count += 1
+        for archive, record, size, file in files(batches):
+            if archive != name:
+                if tar is not None:
+                    close()
+                # the attempt's own name: a retried or doubled task disturbs no other
+                name, count, temporary = archive, 0, f"{out_dir.rstrip('/')}/_{archive}.{uuid.uuid4().hex}"
+                stream = _output(temporary)
+                tar = tarfile.open(fileobj=stream, mode="w|")
+            info = tarfile.TarInfo(record)
+            info.size = size
+            tar.addfile(info, file)
+            count += 1
         if tar is not None:
             close()
         yield pa.RecordBatch.from_arrays(
@@ -389,7 +453,8 @@ def _assembler(out_dir: str):
     return assemble
 
 
-def write_grid_archives(vectors: DataFrame, out_dir: str, spec: list[tuple[str, int, int, tuple]], fill: float = 1e20) -> DataFrame:
+def write_grid_archives(vectors: DataFrame, out_dir: str, spec: list[tuple[str, int, int, tuple]], fill: float = 1e20,
+                        piece_col: str | None = None, partitions: int | None = None) -> DataFrame:
     """Write ``(archive_name, record_name, values)`` as one tar per archive,
     one NetCDF classic file per record, in record-name order. ``spec`` = ``(var,
     offset, length, shape)``, ``fill`` the value of missing cells that the files
@@ -397,12 +462,24 @@ def write_grid_archives(vectors: DataFrame, out_dir: str, spec: list[tuple[str,
 
     Records are encoded wherever they are, so one archive that holds them all
     is encoded by many tasks; the files are then sorted by archive and written
-    as they stream by. An archive appears under its name only when it is whole."""
+    as they stream by. An archive appears under its name only when it is whole.
+
+    Records too large for a row come in pieces numbered 0, 1, 2, ... by ``piece_col``
+    and are written piece by piece, so a task holds one batch of pieces whatever a
+    record's size. ``spec`` must then cover the cells in order; a record whose pieces
+    are not all there once each fails the job. ``partitions`` sizes the shuffle (default:
+    Spark's setting, adjusted by AQE)."""
     ship_package(vectors.sparkSession)
+    dealt = ([partitions] if partitions else []) + ["archive_name"]
+    written = "archive_name string, archive_path string, n_entries long"
+    if piece_col is not None:
+        keys = ["archive_name", "record_name", piece_col]
+        return vectors.select(*keys, "values").repartition(*dealt).sortWithinPartitions(*keys).mapInArrow(
+            _assembler(out_dir, _piece_files(spec, fill)), written)
     encoded = vectors.select("archive_name", "record_name", "values").mapInArrow(
         _encoder(spec, fill), "archive_name string, record_name string, payload binary")
-    return encoded.repartition("archive_name").sortWithinPartitions("archive_name", "record_name").mapInArrow(
-        _assembler(out_dir), "archive_name string, archive_path string, n_entries long")
+    return encoded.repartition(*dealt).sortWithinPartitions("archive_name", "record_name").mapInArrow(
+        _assembler(out_dir, _whole_files), written)
 
 
 # --------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridframe.operators import grid, verify
+from gridframe.operators import grid, matrix, verify
 from gridframe.sources import archives, netcdf, store
 
 
@@ -228,3 +228,19 @@ def test_placement_is_checked(spark):
     for cells in ([("r", 12, 1.0)], [("r", 3, 1.0), ("r", 3, 2.0)], [("r", -1, 1.0)]):
         with pytest.raises(Exception, match="outside the record|given twice"):
             grid.cells_to_segments(spark.createDataFrame(cells, "record_name string, pos long, value float"), 10, 4, 0.0).collect()
+
+
+def test_archives_of_records_in_pieces(spark, tmp_dir):
+    """Piece by piece the same files as from whole rows; a missing piece fails."""
+    rows = [(f"a{i % 2}.tar", f"r{i}", [float(10 * i + k) for k in range(10)]) for i in range(5)]
+    vec = spark.createDataFrame(rows, "archive_name string, record_name string, values array<float>")
+    spec = [("v", 0, 4, (2, 2)), ("w", 4, 6, (6,))]
+    archives.write_grid_archives(vec, f"{tmp_dir}/whole", spec).collect()
+    pieces = matrix.segment(vec, 3, ("archive_name", "record_name")).withColumnRenamed("block_id", "piece").repartition(3)
+    done = archives.write_grid_archives(pieces, f"{tmp_dir}/pieces", spec, piece_col="piece").collect()
+    assert sorted((r["archive_name"], r["n_entries"]) for r in done) == [("a0.tar", 3), ("a1.tar", 2)]
+    for name in ("a0.tar", "a1.tar"):
+        assert open(f"{tmp_dir}/whole/{name}", "rb").read() == open(f"{tmp_dir}/pieces/{name}", "rb").read()
+    for gone, said in ((1, "where piece 1"), (3, "fewer cells")):
+        with pytest.raises(Exception, match=said):
+            archives.write_grid_archives(pieces.where(f"record_name <> 'r2' or piece <> {gone}"), f"{tmp_dir}/bad", spec, piece_col="piece").collect()
