@@ -11,12 +11,17 @@ Each document's logit is compared with the threshold of its *predicted*
 language group (a naive Bayes vote of the same hashed words). The thresholds
 come from calibration documents that training did not see. The score is the
 logistic function of the distance, so 0.5 is the decision line everywhere.
+
+All labelled documents outside the held-out fifth are learned from, whole. They
+are dealt into shards by a hash. In a pass every shard goes on from the common
+model by itself; then the models are merged in a shuffle by blocks of table rows,
+each row by how often the shards touched it. Counts of words, votes and logits
+are summed up likewise.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,16 +35,22 @@ from gridframe.session import ship_package
 BUCKETS = 1 << 17
 #: letters of a word's beginning that are hashed by themselves
 PREFIX = 4
-#: words and beginnings in fewer training documents than this learn nothing
+#: table rows that fewer training documents use learn nothing; a word needs both of its rows
 LEAST_DOCS = 5
 WIDTH = 8
 FILTERS = 12
 WIDTHS = (1, 2, 3)
+#: passes over all training documents: the most, the least, and the documents that at least go through in all
 EPOCHS = 6
+LEAST_EPOCHS = 2
+EPOCH_DOCS = 18_000
 BATCH = 32
-#: training sample: about so many whole documents of each label, none of more words than TRAIN_WORDS
-TRAIN_DOCS = 1500
-TRAIN_WORDS = 3000
+#: letters of all documents per shard
+SHARD_CHARS = 1 << 27
+#: table rows that are merged at once
+MERGE_ROWS = 1 << 13
+#: steps of one unit of the logit that calibration tells apart
+LOGIT_STEPS = 1000
 #: words convolved at once
 CHUNK = 1 << 18
 
@@ -167,114 +178,253 @@ def _pick(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros((0, 3), np.int32), *docs]), np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
 
 
-def _without_rare(docs: list[np.ndarray], blank: int) -> list[np.ndarray]:
-    """Words, and beginnings, of fewer than LEAST_DOCS documents made blank."""
-    doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
-    rows = _pick(docs)[0]
-    word = rows[:, 0].astype(np.int64) * blank + rows[:, 1]
-    for key, columns in ((word, slice(0, 2)), (rows[:, 2].copy(), slice(2, 3))):
-        order = np.lexsort((doc, key))
-        k, d = key[order], doc[order]
-        fresh = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-        kind = np.cumsum(fresh) - 1
-        held = np.bincount(kind, fresh | np.concatenate([[True], d[1:] != d[:-1]]) if len(k) else None)
-        rows[order[held[kind] < LEAST_DOCS], columns] = blank
-    return np.split(rows, np.cumsum([len(d) for d in docs])[:-1])
-
-
-def train(docs: list[np.ndarray], labels: np.ndarray, *, epochs: int = EPOCHS, buckets: int = BUCKETS, seed: int = 7) -> Model:
-    """Fit on lists of table rows (``rows_of``) with Adagrad; both labels weigh the same."""
-    model = _start(seed, buckets)
-    labels = np.asarray(labels, np.float32)
-    if len(set(labels.tolist())) < 2:
-        model.constant = float(labels[0]) if len(labels) else 0.0
-        return model
-    docs = _without_rare(docs, 3 * buckets)
-    rng = np.random.default_rng(seed)
-    weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
-    past = {"table": np.full(model.table.shape, 1e-3, np.float32), "bias": np.full(len(model.bias), 1e-3, np.float32),
-            "out": np.full(len(model.out), 1e-3, np.float32), "kernels": [np.full(k.shape, 1e-3, np.float32) for k in model.kernels], "in": 1e-3}
-    rate = 0.1
-    for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        for lo in range(0, len(order), BATCH):
-            pick = order[lo:lo + BATCH]
-            flat, offsets = _pick([docs[i] for i in pick])
-            top, arg, x, place = _maxima(model, flat, offsets, where=True)
-            act = np.maximum(top + model.bias, 0)
-            z = act @ model.out + model.intercept
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]) * weight[pick] / len(pick)
-            d_out = act.T @ err
-            d_top = np.outer(err, model.out) * (act > 0)
-            word_at = np.full(len(x), -1, np.int64)
-            word_at[place] = np.arange(len(place))
-            rows, grads = [], []
-            for w, (kernel, pos) in enumerate(zip(model.kernels, arg, strict=True)):
-                d = d_top[:, w * FILTERS:(w + 1) * FILTERS]
-                for j in range(len(kernel)):
-                    at = pos + j
-                    inputs = x[at]  # [docs, filters, WIDTH]
-                    d_kernel = np.einsum("df,dfe->ef", d, inputs)
-                    words = word_at[at]
-                    live = (words >= 0) & (d != 0)
-                    g = d[..., None] * kernel[j].T[None]
-                    for side in range(3):
-                        rows.append(flat[words[live], side])
-                        grads.append(g[live])
-                    past["kernels"][w][j] += d_kernel ** 2
-                    kernel[j] -= rate * d_kernel / np.sqrt(past["kernels"][w][j])
-            rows_all, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-            total = np.zeros((len(rows_all), WIDTH), np.float32)
-            np.add.at(total, inverse, np.concatenate(grads))
-            past["table"][rows_all] += total ** 2
-            model.table[rows_all] -= rate * total / np.sqrt(past["table"][rows_all])
-            model.table[-1] = 0
-            d_bias = d_top.sum(0)
-            past["bias"] += d_bias ** 2
-            model.bias -= rate * d_bias / np.sqrt(past["bias"])
-            past["out"] += d_out ** 2
-            model.out -= rate * d_out / np.sqrt(past["out"])
-            d_in = float(err.sum())
-            past["in"] += d_in ** 2
-            model.intercept -= rate * d_in / float(np.sqrt(past["in"]))
-    return model
-
-
-def learn_groups(model: Model, docs: list[np.ndarray], groups: list[str | None]) -> None:
-    """Naive Bayes votes of hashed words for the language groups."""
-    model.groups = sorted({g for g in groups if g is not None}) or ["any"]
-    votes = np.full((model.buckets, len(model.groups)), 0.1, np.float64)
-    for d, g in zip(docs, groups, strict=True):
-        if g is not None and len(d):
-            np.add.at(votes[:, model.groups.index(g)], d[:, 0], 1)
-    model.votes = np.log(votes / votes.sum(0)).astype(np.float32)
-    model.limits = np.zeros(len(model.groups))
+def _peaks(model: Model, rows: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maxima of the filters over each document and the words they begin at; a word at
+    or beyond the document's end is filling. Long documents run through in chunks."""
+    n = len(offsets) - 1
+    top, at = np.full((n, len(model.bias)), -np.inf, np.float32), np.zeros((n, len(model.bias)), np.int64)
+    gap, cuts = max(WIDTHS), []
 
+    def flush() -> None:
+        sizes = np.array([hi - lo for _, lo, hi in cuts])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        found, arg, _, _ = _maxima(model, np.concatenate([rows[lo:hi] for _, lo, hi in cuts]), starts, where=True)
+        word = np.concatenate(arg, 1)
+        for i, (d, lo, _) in enumerate(cuts):
+            better = found[i] > top[d]
+            at[d, better] = (word[i] - gap * i - starts[i] + lo)[better]
+            top[d, better] = found[i, better]
+        cuts.clear()
 
-def calibrate(model: Model, docs: list[np.ndarray], labels: np.ndarray) -> None:
+    waiting = 0
+    for d in range(n):
+        lo, hi = int(offsets[d]), int(offsets[d + 1])
+        while True:
+            end = min(hi, lo + CHUNK)
+            cuts.append((d, lo, end))
+            waiting += end - lo
+            if waiting >= CHUNK:
+                flush()
+                waiting = 0
+            if end == hi:
+                break
+            lo = end - gap + 1
+    if cuts:
+        flush()
+    return top, at
+
+
+class Training:
+    """A model under Adagrad, and what changed since it was taken up."""
+
+    RATE = 0.1
+
+    def __init__(self, model: Model, past_rows: np.ndarray, past_dense: np.ndarray):
+        self.model = Model(model.table.copy(), [k.copy() for k in model.kernels], model.bias.copy(), model.out.copy(), model.intercept)
+        self.first, self.past_rows = model, past_rows
+        self.past = np.repeat(past_rows[:, None], WIDTH, 1)
+        self.dense0, self.past_dense = dense_part(model), past_dense.copy()
+        self.touched, self.docs = np.zeros(len(model.table), np.float32), 0
+
+    def step(self, flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> None:
+        """One batch of documents (rows of the table); both labels weigh the same."""
+        model, n = self.model, len(labels)
+        top, at = _peaks(model, flat, offsets)
+        act = np.maximum(top + model.bias, 0)
+        err = (1 / (1 + np.exp(-np.clip(act @ model.out + model.intercept, -30, 30))) - labels) * weight / n
+        d_out, d_top = act.T @ err, np.outer(err, model.out) * (act > 0)
+        ends = offsets[1:][:, None]
+        rows, grads, d_kernels = [], [], []
+        for w, kernel in enumerate(model.kernels):
+            d, begin = d_top[:, w * FILTERS:(w + 1) * FILTERS], at[:, w * FILTERS:(w + 1) * FILTERS]
+            for j in range(len(kernel)):
+                inside = begin + j < ends
+                word = flat[np.where(inside, begin + j, 0)] if len(flat) else np.full((*begin.shape, 3), len(model.table) - 1)
+                inputs = np.where(inside[..., None], model.table[word].sum(2), 0)  # [docs, filters, WIDTH]
+                d_kernels.append(np.einsum("df,dfe->ef", d, inputs))
+                live = inside & (d != 0)
+                g = d[..., None] * kernel[j].T[None]
+                for side in range(3):
+                    rows.append(word[live][:, side])
+                    grads.append(g[live])
+        rows_all, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        total = np.zeros((len(rows_all), WIDTH), np.float32)
+        np.add.at(total, inverse, np.concatenate(grads))
+        self.past[rows_all] += total ** 2
+        model.table[rows_all] -= self.RATE * total / np.sqrt(self.past[rows_all])
+        model.table[-1] = 0
+        self.touched[rows_all] += 1
+        grad = np.concatenate([*[k.ravel() for k in d_kernels], d_top.sum(0), d_out, [err.sum()]]).astype(np.float32)
+        self.past_dense += grad ** 2
+        set_dense(model, dense_part(model) - self.RATE * grad / np.sqrt(self.past_dense))
+        self.docs += n
+
+    def changes(self) -> Iterator[tuple[int, bytes]]:
+        """(block, numbers) per block of touched table rows; block -1 has all else."""
+        touched = np.flatnonzero(self.touched)
+        rise = (self.past[touched].mean(1) - self.past_rows[touched]).astype(np.float32)
+        rows = np.concatenate([touched[:, None], self.touched[touched][:, None], rise[:, None],
+                               self.model.table[touched] - self.first.table[touched]], 1).astype(np.float32)
+        for block in np.unique(touched // MERGE_ROWS).tolist():
+            yield block, rows[touched // MERGE_ROWS == block].tobytes()
+        dense = np.concatenate([[self.docs], dense_part(self.model) - self.dense0, self.past_dense])
+        yield -1, dense.astype(np.float32).tobytes()
+
+
+def dense_part(model: Model) -> np.ndarray:
+    return np.concatenate([*[k.ravel() for k in model.kernels], model.bias, model.out, [model.intercept]]).astype(np.float32)
+
+
+def set_dense(model: Model, flat: np.ndarray) -> None:
+    lo = 0
+    for i, k in enumerate(model.kernels):
+        model.kernels[i] = flat[lo:lo + k.size].reshape(k.shape).astype(np.float32)
+        lo += k.size
+    n = len(model.bias)
+    model.bias, model.out, model.intercept = flat[lo:lo + n].astype(np.float32), flat[lo + n:lo + 2 * n].astype(np.float32), float(flat[-1])
+
+
+def _merged(key, table):
+    """The changes of one block over all shards: a row's mean by the steps that touched
+    it, all else by documents."""
+    block, parts = key[0].as_py(), table.sort_by("shard").column("data").to_pylist()
+    arrays = [np.frombuffer(p, np.float32) for p in parts]
+    if block < 0:
+        docs = np.array([a[0] for a in arrays], np.float64)
+        out = (np.stack([a[1:] for a in arrays]).astype(np.float64) * docs[:, None]).sum(0) / docs.sum()
+        data = np.concatenate([[docs.sum()], out]).astype(np.float32)
+    else:
+        total = np.zeros((MERGE_ROWS, WIDTH + 2), np.float64)
+        for a in arrays:
+            a = a.reshape(-1, WIDTH + 3).astype(np.float64)
+            at = a[:, 0].astype(np.int64) - block * MERGE_ROWS
+            total[at, 0] += a[:, 1]
+            total[at, 1:] += a[:, 1:2] * a[:, 2:]
+        at = np.flatnonzero(total[:, 0])
+        data = np.concatenate([(at + block * MERGE_ROWS)[:, None], total[at, 1:] / total[at, :1]], 1).astype(np.float32).ravel()
+    return pa.table({"block": pa.array([block], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+
+
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    low = np.int64(BUCKETS - 1)
+    bits = BUCKETS.bit_length() - 1
+    return np.stack([packed & low, (packed >> bits & low) + BUCKETS, (packed >> 2 * bits & low) + 2 * BUCKETS], 1)
+
+
+def _packed(text_col: str):
+    """Per word the three table rows of ``rows_of`` in one number."""
+    low, bits = F.lit(BUCKETS - 1).cast("long"), BUCKETS.bit_length() - 1
+
+    def one(w):
+        h = F.xxhash64(w)
+        return h.bitwiseAND(low).bitwiseOR(F.shiftleft(F.shiftrightunsigned(h, 32).bitwiseAND(low), bits)).bitwiseOR(
+            F.shiftleft(F.xxhash64(F.left(w, F.lit(PREFIX))).bitwiseAND(low), 2 * bits))
+
+    return F.transform(T.words(F.col(text_col)), one)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, T.BATCH_ROWS):
+            part = batch.slice(lo, T.BATCH_ROWS)
+            words, offsets = T.list_parts(part.column(part.num_columns - 1))
+            yield part, _unpacked(words), offsets
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per table row (kind 0), words per language and row (kind 1) and
+    documents per label (kind 2) of a task, in blocks."""
+    used, votes, labels = np.zeros(3 * BUCKETS, np.int64), {}, np.zeros(2, np.int64)
+    for part, rows, offsets in _slices(batches):
+        doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))[:, None]
+        used += np.bincount(np.unique(doc * 3 * BUCKETS + rows) % (3 * BUCKETS), minlength=3 * BUCKETS)
+        labels += np.bincount(np.asarray(part.column(0)), minlength=2)
+        for lang, lo, hi in zip(part.column(1).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+            if lang is not None:
+                if lang not in votes:
+                    votes[lang] = np.zeros(BUCKETS, np.int64)
+                np.add.at(votes[lang], rows[lo:hi, 0], 1)
+    out = [(0, None, b, used[b * MERGE_ROWS:(b + 1) * MERGE_ROWS]) for b in range(-(-len(used) // MERGE_ROWS))] if labels.any() else []
+    out += [(1, k, b, v[b * MERGE_ROWS:(b + 1) * MERGE_ROWS]) for k, v in votes.items() for b in range(-(-BUCKETS // MERGE_ROWS))]
+    out.append((2, None, 0, labels))
+    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.string()),
+                                      pa.array([o[2] for o in out], pa.int32()), pa.array([o[3].tobytes() for o in out], pa.binary())],
+                                     names=["kind", "lang", "block", "data"])
+
+
+def _summed(key, table):
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("data").to_pylist())
+    return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "lang": pa.array([key[1].as_py()], pa.string()),
+                     "block": pa.array([key[2].as_py()], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
+
+
+def _pass(shared, rare: np.ndarray, weight: np.ndarray) -> Callable:
+    """One pass over a task's shards, each from the common model."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, unused, weights = shared.value, rare.value, weight
+        now, shard = None, None
+
+        def changes():
+            found = list(now.changes())
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([shard] * len(found), pa.int32()),
+                                               pa.array([d for _, d in found], pa.binary())], names=["block", "shard", "data"])
+
+        for part, rows, offsets in _slices(batches):
+            blank = 3 * BUCKETS
+            few = unused[rows]
+            rows[:, :2][few[:, 0] | few[:, 1]] = blank
+            rows[few[:, 2], 2] = blank
+            label, owner = np.asarray(part.column(0)), np.asarray(part.column(2))
+            cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if owner[a] != shard:
+                    if now is not None:
+                        yield changes()
+                    now, shard = Training(*start), int(owner[a])
+                for lo in range(a, b, BATCH):
+                    hi = min(b, lo + BATCH)
+                    now.step(rows[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], label[lo:hi], weights[label[lo:hi]])
+        if now is not None:
+            yield changes()
+
+    return run
+
+
+def _quantile(z: np.ndarray, n: np.ndarray, q: float) -> float:
+    """The quantile of values z that occur n times each."""
+    order = np.argsort(z, kind="stable")
+    ends, place = np.cumsum(n[order]), q * (n.sum() - 1)
+    low, high = (z[order][np.searchsorted(ends, p, side="right")] for p in (np.floor(place), np.ceil(place)))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def calibrate(model: Model, z: np.ndarray, group: np.ndarray, labels: np.ndarray, n: np.ndarray) -> None:
     """The threshold of each group: the cut of the logits with the fewest errors,
-    a missed toxic document counting as two."""
-    if model.constant is not None or not docs:
+    a missed toxic document counting as two. ``n`` documents have each (z, group, label)."""
+    if model.constant is not None or not len(z):
         return
-    flat, offsets = _pick(docs)
-    z, group, labels = logits(model, flat, offsets), _group(model, flat, offsets), np.asarray(labels)
 
     def cut(mask: np.ndarray, least: int) -> float | None:
-        pos, neg = np.sort(z[mask & (labels == 1)]), np.sort(z[mask & (labels == 0)])
-        if len(pos) < least or len(neg) < least:
+        order = np.argsort(z, kind="stable")
+        order = order[mask[order]]
+        values, pos = z[order], np.where(labels[order] == 1, n[order], 0)
+        neg = n[order] - pos
+        if pos.sum() < least or neg.sum() < least:
             return None
-        at = np.unique(np.concatenate([pos, neg]))
+        at = np.unique(values)
         at = np.concatenate([[at[0] - 1], (at[1:] + at[:-1]) / 2, [at[-1] + 1]])
-        wrong = 2 * np.searchsorted(pos, at) + len(neg) - np.searchsorted(neg, at)
+        below = np.searchsorted(values, at)
+        wrong = 2 * np.concatenate([[0], np.cumsum(pos)])[below] + neg.sum() - np.concatenate([[0], np.cumsum(neg)])[below]
         best = np.flatnonzero(wrong == wrong.min())
         return float((at[best[0]] + at[best[-1]]) / 2)
 
     # groups differ in where their clean documents lie: a group without a cut of its own
     # takes the one over all, each group measured from its clean documents' upper end
-    top = np.zeros(len(model.groups))
+    top, clean = np.zeros(len(model.groups)), labels == 0
     for k in range(len(model.groups)):
-        clean = z[(group == k) & (labels == 0)]
-        top[k] = np.quantile(clean, 0.95) if len(clean) >= 20 else np.quantile(z[labels == 0], 0.95) if (labels == 0).any() else 0.0
+        own = clean & (group == k)
+        some = own if n[own].sum() >= 20 else clean
+        top[k] = _quantile(z[some], n[some], 0.95) if some.any() else 0.0
     z = z - top[group]
     overall = cut(np.ones(len(z), bool), 1) or 0.0
     for k in range(len(model.groups)):
@@ -288,38 +438,80 @@ def _hashed(text_col: str) -> list:
             F.transform(T.words(F.col(text_col)), lambda w: F.xxhash64(F.left(w, F.lit(PREFIX)))).alias("_gf_begins")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        lang_col: str | None = "lang", train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> Model:
-    """Fit on a bounded sample: about ``train_docs`` whole documents of each label,
-    of at most ``train_words`` words (8 characters counted a word), drawn by a
-    hash of the id from the labelled documents outside the held-out fifth. One
-    in five calibrates. ``lang_col`` only names the groups to be told apart."""
-    spark = docs.sparkSession
+def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+                  lang_col: str | None = "lang", shards: int = 1) -> DataFrame:
+    """(label, lang, shard, tune, words) of every labelled document outside the held-out
+    fifth, whole, sorted by shard and a hash. One in five, by that hash, calibrates."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~T.held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
-    sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    model = _start(0, BUCKETS)
-    if not sizes:
-        model.constant = 0.0
-        return model
-    rate = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, train_docs / v)))])
-    drawn = marked.where(T.sample_rank("doc_id") < rate[F.col("label")])  # about 2 * train_docs ids, whatever the input
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("lang")).where(
-        F.col("text").isNotNull() & (F.length("text") <= 8 * train_words))
-    got = rows.join(F.broadcast(spark.createDataFrame(drawn.collect(), drawn.schema)), "doc_id").select(
-        "doc_id", "label", "lang", *_hashed("text")).toArrow()
-    words, offsets = T.list_parts(got.column("_gf_words"))
-    flat = rows_of(words, T.list_parts(got.column("_gf_begins"))[0], BUCKETS)
-    del words
-    ids = np.asarray(got.column("doc_id").combine_chunks())
-    label, lang = np.asarray(got.column("label").combine_chunks()), got.column("lang").to_pylist()
-    lists = [flat[offsets[i]:offsets[i + 1]] for i in range(len(ids))]
-    order = sorted(range(len(ids)), key=lambda i: (int(ids[i]), len(lists[i]), zlib.crc32(lists[i].tobytes())))
-    kept, tuned = [i for n, i in enumerate(order) if n % 5 != 4], [i for n, i in enumerate(order) if n % 5 == 4]
-    model = train([lists[i] for i in kept], label[kept] if kept else np.zeros(0))
-    learn_groups(model, [lists[i] for i in kept], [lang[i] for i in kept])
-    calibrate(model, [lists[i] for i in tuned], label[tuned] if tuned else np.zeros(0))
+        F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    mix = F.xxhash64(F.lit("toxicity"), "doc_id")
+    found = rows.join(marked, "doc_id").select(
+        "label", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), (F.pmod(mix, F.lit(5)) == 4).alias("tune"),
+        mix.alias("mix"), F.xxhash64("text").alias("own"), _packed("text").alias("words"))
+    return found.repartition(shards, "shard").sortWithinPartitions("shard", "mix", "own").select("label", "lang", "shard", "tune", "words")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        lang_col: str | None = "lang") -> Model:
+    """Fit on all labelled documents outside the held-out fifth, whole, in
+    ``LEAST_EPOCHS`` to ``EPOCHS`` passes. One in five calibrates instead. Null texts
+    teach nothing. ``lang_col`` only names the groups to be told apart."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    model = _start(7, BUCKETS)
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    rows = T.stored(labelled_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, lang_col=lang_col,
+                                  shards=max(1, -(-chars // SHARD_CHARS))), "toxicity-rows")
+    taught = rows.where("not tune").select("label", "lang", "shard", "words")
+    counted = taught.mapInArrow(_counts, "kind int, lang string, block int, data binary").groupBy("kind", "lang", "block").applyInArrow(
+        _summed, "kind int, lang string, block int, data binary").collect()
+    used, votes, each = np.zeros(3 * BUCKETS + 1, np.int64), {}, np.zeros(2, np.int64)
+    for r in counted:
+        into = used if r["kind"] == 0 else votes.setdefault(r["lang"], np.zeros(BUCKETS, np.int64)) if r["kind"] == 1 else each
+        data = np.frombuffer(r["data"], np.int64)
+        into[r["block"] * MERGE_ROWS:r["block"] * MERGE_ROWS + len(data)] = data
+    if not each.all():
+        model.constant = float(each[1] > 0)
+        T.discard(rows)
+        return model
+    model.groups = sorted(votes) or ["any"]
+    heard = np.stack([votes.get(g, np.zeros(BUCKETS)) for g in model.groups], 1) + 0.1
+    model.votes, model.limits = np.log(heard / heard.sum(0)).astype(np.float32), np.zeros(len(model.groups))
+    weight = (each.sum() / (2 * each)).astype(np.float32)
+    rare = spark.sparkContext.broadcast(used < LEAST_DOCS)
+    past, past_dense = np.full(len(model.table), 1e-3, np.float32), np.full(len(dense_part(model)), 1e-3, np.float32)
+    for _ in range(int(np.clip(-(-EPOCH_DOCS // int(each.sum())), LEAST_EPOCHS, EPOCHS))):
+        shared = spark.sparkContext.broadcast((Model(model.table, model.kernels, model.bias, model.out, model.intercept), past, past_dense))
+        merged = taught.mapInArrow(_pass(shared, rare, weight), "block int, shard int, data binary").groupBy("block").applyInArrow(
+            _merged, "block int, data binary").collect()
+        for r in merged:
+            data = np.frombuffer(r["data"], np.float32)
+            if r["block"] < 0:
+                n = len(past_dense)
+                set_dense(model, dense_part(model) + data[1:1 + n])
+                past_dense = data[1 + n:].copy()
+            else:
+                data = data.reshape(-1, WIDTH + 2)
+                at = data[:, 0].astype(np.int64)
+                past[at] += data[:, 1]
+                model.table[at] += data[:, 2:]
+        shared.unpersist()
+    shared = spark.sparkContext.broadcast(model)
+
+    def logit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for part, found, offsets in _slices(batches):
+            z = np.round(np.clip(logits(m, found, offsets), -30, 30) * LOGIT_STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(_group(m, found, offsets).astype(np.int32)), part.column(0)], names=["z", "grp", "label"])
+
+    tuned = rows.where("tune").select("label", "words").mapInArrow(logit_rows, "z int, grp int, label int").groupBy(
+        "z", "grp", "label").count().orderBy("z", "grp", "label").collect()  # as many rows as the grid of logits, at most
+    z, group, label, n = (np.array([r[i] for r in tuned], t) for i, t in enumerate((np.float64, np.int64, np.int64, np.int64)))
+    calibrate(model, z / LOGIT_STEPS, group, label, n)
+    T.discard(rows)
     return model
 
 

@@ -398,3 +398,27 @@ def test_kept_columns_may_have_dots(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     out = toxicity.classify(rows, toxicity.fit(docs, labels))
     assert {r["a.b"] for r in out.collect()} == {7}
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """All labelled rows reach the training, the long ones too, in several shards."""
+    text = F.when(F.col("id") == 7, F.repeat(F.lit("plain "), 40_000)).when(F.col("id") % 40 == 0, F.lit("a vile day")).otherwise(F.lit("a fair day"))
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.col("text").contains("vile").cast("int").alias("toxic"))
+    rows = toxicity.labelled_rows(docs, labels, shards=3)
+    assert rows.count() == docs.where(~T.held_out("doc_id")).count() and rows.agg(F.max(F.size("words"))).first()[0] == 40_000
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 100_000)
+    got = toxicity.classify(docs.join(labels, "doc_id"), toxicity.fit(docs, labels))
+    assert got.where("doc_id <> 7 and predicted <> toxic").count() == 0  # row 7: words of no other row
+
+
+def test_toxicity_peaks_of_long_documents(monkeypatch):
+    rng = np.random.default_rng(8)
+    model = toxicity._start(2, 64)
+    model.table[:-1] = rng.normal(size=model.table[:-1].shape)
+    d = rng.integers(-2 ** 62, 2 ** 62, 300)
+    flat, offsets = toxicity._pick([toxicity.rows_of(x, x, 64) for x in (d, d[:0], d[40:], d[:1])])
+    top, at = toxicity._peaks(model, flat, offsets)
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
+    top2, at2 = toxicity._peaks(model, flat, offsets)
+    assert np.allclose(top, top2, atol=1e-4) and np.array_equal(at, at2)
