@@ -22,7 +22,9 @@ member by the exact overlap of the shingle multisets:
   member with the least one is linked to both, or a number of shared differences:
   an equi-join on the rarest of them (prefix filter) finds all such pairs, and
   each is verified. Copies of one text share few differences, so large groups of
-  near copies are not compared pair by pair.
+  near copies are not compared pair by pair. Where many members share one difference,
+  they are not paired but become a bucket of their own, with pivots that have this
+  difference too, so that it tells nothing there.
 
 The pivot and the members linked to it leave the bucket; a bucket without far
 members is done, another goes on with pivots from the far ones. So every pair of a bucket is
@@ -52,7 +54,15 @@ BROADCAST_IDS = 500_000
 #: members that share one copy of their pivot's shingles
 PIVOT_MEMBERS = 1000
 #: so few fresh members of a bucket are all pivots
-FEW_FRESH = 4
+FEW_FRESH = 16
+#: so many times more pivots in each round
+PIVOT_GROWTH = 8
+#: so many near members that share a difference are paired; more are a bucket of their own
+SHARERS = 256
+#: rounds that make such buckets; later ones pair all, so that the rounds end
+SPLIT_ROUNDS = 12
+#: classes are brought up to date when the links have grown by this share
+CLASS_SHARE = 0.1
 #: parts that the copies of one text are dealt into when they learn their representative
 COPY_SALTS = 64
 
@@ -214,8 +224,11 @@ def _compared(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFram
         F.when(near, delta).alias("delta"))
 
 
-def _near_links(near: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """Links (a, b) among the near members of each pivot, unless one class joins them already."""
+def _prefixes(near: DataFrame, classes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that the least differences of each pivot's near members tell, and
+    (pivot, m, node, linked, unit, probing, indexed) of the units of which a partner of
+    m must share one: ``probing`` for partners of any kind, if m is not linked itself,
+    ``indexed`` for those that are not linked."""
     own = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("m"))
     rows = near.withColumn("node", own)
     if classes is not None:
@@ -233,30 +246,61 @@ def _near_links(near: DataFrame, classes: DataFrame | None) -> DataFrame:
     units = units.join(units.groupBy("pivot", "unit").agg(F.count("*").alias("n")).where("n > 1").hint("merge"), ["pivot", "unit"])
     rare = F.transform(F.sort_array(F.collect_list(F.struct("n", "unit"))), lambda x: x["unit"])
 
-    def prefix(some: DataFrame, partner: F.Column, id_: str, node: str) -> DataFrame:
-        """The units of which a linked partner must share one: all but the most common
-        ones that it could share anyway. A unit that no other member has counts as rarer."""
+    def length(partner: F.Column) -> F.Column:
+        """All units but the most common ones that a partner could share anyway. A unit
+        that no other member has counts as rarer."""
         need = F.greatest(F.ceil(F.col("least") + partner - spare), F.lit(1))
-        return some.groupBy("pivot", "m", "node", "least", "size", "top", "low").agg(rare.alias("order")).select(
-            "pivot", F.col("m").alias(id_), F.col("node").alias(node), F.explode(
-                F.slice("order", F.lit(1), F.greatest(F.size("order") - need.cast("int") + 1, F.lit(0)))).alias("unit"))
-
-    probe = prefix(units.where(~F.col("linked")), F.col("top.least"), "a", "na")
-    index = prefix(units, F.col("low"), "b", "nb")
-    pairs = probe.join(index.hint("merge"), ["pivot", "unit"]).where("na <> nb").select("pivot", "a", "b").distinct()
+        return F.greatest(F.size("order") - need.cast("int") + 1, F.lit(0))
+
+    probe = F.when(F.col("linked"), F.lit(0)).otherwise(length(F.col("top.least")))
+    ordered = units.groupBy("pivot", "m", "node", "linked", "least", "size", "top", "low").agg(rare.alias("order")).select(
+        "pivot", "m", "node", "linked", "order", probe.alias("probe"), length(F.col("low")).alias("index"))
+    prefix = ordered.select("pivot", "m", "node", "linked", "probe", "index", F.posexplode(
+        F.slice("order", F.lit(1), F.greatest("probe", "index"))).alias("pos", "unit"))
+    return by_size, prefix.select("pivot", "m", "node", "linked", "unit", (F.col("pos") < F.col("probe")).alias("probing"),
+                                  (F.col("pos") < F.col("index")).alias("indexed"))
+
+
+def _sharers(prefix: DataFrame) -> DataFrame:
+    """(pivot, unit, n, sign) of the units that members of several classes share, ``sign`` by the members."""
+    return prefix.groupBy("pivot", "unit").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("m").cast("decimal(20,0)")).alias("sign"), F.max("probing").alias("any"),
+        F.min("node").alias("c0"), F.max("node").alias("c1")).where("any AND c0 < c1").select("pivot", "unit", "n", "sign")
+
+
+def _split(prefix: DataFrame, sharers: DataFrame, number: int) -> DataFrame:
+    """The buckets (bucket, a, mates, age, seen, fresh) of the members that share a unit
+    with many; units of the same members make one. Linked members have the pivot in
+    common and meet only those that are not linked."""
+    many = sharers.where(F.col("n") > SHARERS).groupBy("pivot", "n", "sign").agg(F.min("unit").alias("unit"))
+    return prefix.join(many.hint("merge"), ["pivot", "unit"]).select(
+        F.xxhash64(F.lit(number), "pivot", "unit").alias("bucket"), F.col("m").alias("a"), F.col("n").alias("mates"), F.lit(0).alias("age"),
+        F.when(F.col("linked"), F.array("pivot")).otherwise(F.array().cast("array<long>")).alias("seen"), (~F.col("linked")).alias("fresh"))
+
+
+def _near_links(near: DataFrame, prefix: DataFrame, sharers: DataFrame) -> DataFrame:
+    """Links (a, b) among the near members of each pivot that share a unit of the
+    prefix, unless one class joins them already."""
+    spare = F.col("size") + F.lit(1e-6)
+    some = prefix.join(sharers.select("pivot", "unit").hint("merge"), ["pivot", "unit"])
+    probe = some.where("probing").select("pivot", "unit", F.col("m").alias("a"), F.col("node").alias("na"))
+    index = some.where("indexed").select("pivot", "unit", F.col("m").alias("b"), F.col("node").alias("nb"), "linked")
+    # two members that are not linked find each other from either side
+    pairs = probe.join(index.hint("merge"), ["pivot", "unit"]).where("na <> nb AND (linked OR a < b)").select("pivot", "a", "b").distinct()
     known = near.select("pivot", "m", "delta", "least", "size")
     one = known.select("pivot", F.col("m").alias("a"), F.col("delta").alias("da"), F.col("least").alias("la"), "size")
     two = known.select("pivot", F.col("m").alias("b"), F.col("delta").alias("db"), F.col("least").alias("lb"))
     good = pairs.join(one.hint("merge"), ["pivot", "a"]).join(two.hint("merge"), ["pivot", "b"]).where(
         F.size(F.array_intersect("da", "db")) >= F.col("la") + F.col("lb") - spare)
-    return good.select("a", "b").union(by_size)
+    return good.select("a", "b")
 
 
 def _with_pivots(left: DataFrame, classes: DataFrame | None, number: int) -> DataFrame:
-    """(bucket, pivot, m, mates, seen) of the buckets with members of several classes.
+    """(bucket, pivot, m, mates, age, seen, drawn) of the buckets with members of several classes.
 
     Pivots are drawn from the fresh members: the one with the most bucket mates, from
-    the third round on about 2 ** (number - 1) others as well, by a hash of the id."""
+    a bucket's second round on about ``PIVOT_GROWTH ** (age - 1)`` others as well, by a
+    hash of the id."""
     if classes is not None:
         left = left.join(classes.withColumnRenamed("node", "a").hint("merge"), "a", "left").withColumn("c", F.coalesce("component", "a"))
     else:
@@ -265,31 +309,37 @@ def _with_pivots(left: DataFrame, classes: DataFrame | None, number: int) -> Dat
     whole = left.groupBy("bucket").agg(F.count(F.when(F.col("fresh"), 1)).alias("n"), top.alias("top"),
                                        F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 AND n > 0")
     rows = left.join(whole.select("bucket", "n", (-F.col("top.minus")).alias("first")).hint("merge"), "bucket")
-    if number < 2:  # one pivot a bucket: no join of the members with themselves
-        return rows.where("a <> first").select("bucket", F.col("first").alias("pivot"), F.col("a").alias("m"), "mates", "seen")
-    drawn = F.col("fresh") & ((T.sample_rank("a") * F.col("n") < F.lit(float(2 ** (number - 1)))) | (F.col("n") <= FEW_FRESH))
-    pivots = rows.where((F.col("a") == F.col("first")) | drawn).select("bucket", F.col("a").alias("pivot"))
-    return rows.join(pivots.hint("merge"), "bucket").where("a <> pivot").select("bucket", "pivot", F.col("a").alias("m"), "mates", "seen")
+    if number < 1:  # one pivot a bucket: no join of the members with themselves
+        return rows.where("a <> first").select("bucket", F.col("first").alias("pivot"), F.col("a").alias("m"), "mates", "age", "seen", F.lit(False).alias("drawn"))
+    more = T.sample_rank("a") * F.col("n") < F.pow(F.lit(float(PIVOT_GROWTH)), F.col("age") - 1)
+    drawn = F.col("fresh") & (F.col("age") > 0) & (more | (F.col("n") <= FEW_FRESH))
+    rows = rows.withColumn("drawn", (F.col("a") == F.col("first")) | drawn)
+    pivots = rows.where("drawn").select("bucket", F.col("a").alias("pivot"))
+    return rows.join(pivots.hint("merge"), "bucket").where("a <> pivot").select("bucket", "pivot", F.col("a").alias("m"), "mates", "age", "seen", "drawn")
 
 
 def _unresolved(marked: DataFrame, compared: DataFrame) -> DataFrame:
-    """(bucket, a, mates, seen, fresh) of what a round leaves: members that are neither
+    """(bucket, a, mates, age, seen, fresh) of what a round leaves: members that are neither
     pivots nor linked to one. ``seen`` are the pivots, of all rounds, that a member is
     near to; near members of one pivot are resolved among themselves, so a bucket is
     done if one pivot was near to all, and otherwise the members far from the pivot
     that was near to most are fresh."""
     result = marked.join(compared.select("pivot", "m", "linked", "near").hint("merge"), ["pivot", "m"])
-    pivots = result.select("bucket", F.col("pivot").alias("m")).distinct()
-    members = result.groupBy("bucket", "m").agg(F.max("linked").alias("gone"), F.first("mates").alias("mates"), F.first("seen").alias("seen"),
+    members = result.groupBy("bucket", "m").agg(F.max(F.col("linked") | F.col("drawn")).alias("gone"), F.first("mates").alias("mates"), (F.first("age") + 1).alias("age"), F.first("seen").alias("seen"),
                                                 F.collect_list(F.when(F.col("near"), F.col("pivot"))).alias("new"))
-    rest = members.where("not gone").join(pivots.hint("merge"), ["bucket", "m"], "left_anti").select(
-        "bucket", "m", "mates", F.concat("seen", "new").alias("seen"))
+    rest = members.where("not gone").select(
+        "bucket", "m", "mates", "age", F.concat("seen", "new").alias("seen"))
     cover = rest.select("bucket", F.explode_outer("seen").alias("by")).groupBy("bucket", "by").agg(F.count("by").alias("n"))
     best = cover.groupBy("bucket").agg(F.max(F.struct("n", "by")).alias("best"))
     size = rest.groupBy("bucket").agg(F.count("*").alias("size"))
     more = size.join(best.hint("merge"), "bucket").where("best.n < size").select("bucket", "best.by")
     return rest.join(more.hint("merge"), "bucket").select(
-        "bucket", F.col("m").alias("a"), "mates", "seen", (~F.coalesce(F.array_contains("seen", F.col("by")), F.lit(False))).alias("fresh"))
+        "bucket", F.col("m").alias("a"), "mates", "age", "seen", (~F.coalesce(F.array_contains("seen", F.col("by")), F.lit(False))).alias("fresh"))
+
+
+def _classes(links: list[DataFrame]) -> DataFrame:
+    """(node, component) of the classes that all links make."""
+    return components(reduce(DataFrame.union, links).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
@@ -325,28 +375,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = banded.groupBy("bucket").count().where("count > 1")
     kept = T.stored(banded.join(shared, "bucket").select("bucket", "a", "count"), "near-buckets")
     mates = kept.groupBy("a").agg(F.sum("count").alias("mates"))
-    left = T.stored(kept.join(mates, "a").select("bucket", "a", "mates", F.array().cast("array<long>").alias("seen"), F.lit(True).alias("fresh")), "near-left")
+    left = T.stored(kept.join(mates, "a").select("bucket", "a", "mates", F.lit(0).alias("age"), F.array().cast("array<long>").alias("seen"), F.lit(True).alias("fresh")), "near-left")
     T.discard(kept, signed)
     one_row = ["doc_id", "k1", "k2"]
     wanted = reps.join(left.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
     units = T.stored(keyed.join(wanted, one_row, "left_semi").dropDuplicates(one_row).select(
         "doc_id", T.word_hashes("text").alias("words")).mapInArrow(_units(shingle), "doc_id long, units array<long>"), "near-units")
-    found, classes, number = [], None, 0
+    found, classes, number, n_links, n_known = [], None, 0, 0, 0
     while True:
         marked = T.stored(_with_pivots(left, classes, number), "near-marked")
         if marked.isEmpty():
             break
         compared = T.stored(_compared(marked.select("pivot", "m").distinct(), units, similarity), "near-compared")
         near = compared.where("near").drop("near")
-        links = T.stored(compared.where("linked").select(F.col("pivot").alias("a"), F.col("m").alias("b")).union(
-            _near_links(near, classes)), "near-links")
-        after = T.stored(_unresolved(marked, compared), "near-left")
-        T.discard(left, marked, compared)
+        by_size, prefix = _prefixes(near, classes)
+        prefix = T.stored(prefix, "near-prefix")
+        sharers = _sharers(prefix)
+        after = _unresolved(marked, compared)
+        if number < SPLIT_ROUNDS:
+            after = after.union(_split(prefix, sharers, number))
+            sharers = sharers.where(F.col("n") <= SHARERS)
+        links = T.stored(compared.where("linked").select(F.col("pivot").alias("a"), F.col("m").alias("b")).union(by_size).union(
+            _near_links(near, prefix, sharers)), "near-links")
+        after = T.stored(after, "near-left")
+        T.discard(left, marked, compared, prefix)
         left, number = after, number + 1
-        if not links.isEmpty():
+        new = links.count()
+        if new:
             found.append(links)
-            before, classes = classes, T.stored(components(reduce(DataFrame.union, found).select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-classes")
+            n_links += new
+        if n_links - n_known > CLASS_SHARE * n_known:
+            before, classes, n_known = classes, T.stored(_classes(found), "near-classes"), n_links
             T.discard(before)
+    if n_known < n_links:
+        before, classes = classes, T.stored(_classes(found), "near-classes")
+        T.discard(before)
     T.discard(left, marked, units, *found)
     final = member_of.select("doc_id", "rep")
     if classes is not None:

@@ -97,6 +97,27 @@ def test_near_duplicates_group_without_original(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_shared_differences(spark, monkeypatch):
+    """Members that share a difference with many get a bucket of their own instead of being paired."""
+    rnd = random.Random(3)
+    base, passage = [f"w{i}" for i in range(200)], [f"p{i}" for i in range(22)]
+    rows = []
+    for i in range(70):
+        copy = base[:90] + passage + base[112:] if i % 3 else list(base)
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            copy[rnd.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    monkeypatch.setattr(near_dup, "SHARERS", 4)
+    paired, split = [], []
+    links, buckets = near_dup._near_links, near_dup._split
+    monkeypatch.setattr(near_dup, "_near_links", lambda near, prefix, sharers: (
+        paired.append(sharers.agg(F.max("n")).first()[0] or 0), links(near, prefix, sharers))[1])
+    monkeypatch.setattr(near_dup, "_split", lambda *a: (split.append(buckets(*a).count()), buckets(*a))[1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_classes(rows)
+    assert max(paired) <= 4 and max(split) > 4
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c"), (1, None), (2, None), (3, ""), (4, ""), (5, "one two"), (6, "One, two!"), (7, "..."), (8, "!!!"),
             (9, "rose " * 50_000), (10, "rose " * 50_001), (11, "same row here"), (11, "same row here")]
