@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridframe.llm import text as T
@@ -441,17 +441,23 @@ def _hashed(text_col: str) -> list:
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                   lang_col: str | None = "lang", shards: int = 1) -> DataFrame:
     """(label, lang, shard, tune, words) of every labelled document outside the held-out
-    fifth, whole, sorted by shard and a hash. One in five, by that hash, calibrates."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(
-        F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~T.held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                       (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("lang")).where(
-        F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    mix = F.xxhash64(F.lit("toxicity"), "doc_id")
-    found = rows.join(marked, "doc_id").select(
-        "label", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), (F.pmod(mix, F.lit(5)) == 4).alias("tune"),
-        mix.alias("mix"), F.xxhash64("text").alias("own"), _packed("text").alias("words"))
-    return found.repartition(shards, "shard").sortWithinPartitions("shard", "mix", "own").select("label", "lang", "shard", "tune", "words")
+    fifth, whole, sorted by shard and a hash. One in five, by that hash, calibrates.
+
+    Labels and documents go to their shard together, in one exchange for any size of
+    the two, and meet there by a window over the sorted rows of an id."""
+    kind = docs.select(F.col(id_col).alias("doc_id")).schema["doc_id"].dataType
+    marked = labels.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(label_col).cast("int").alias("label"),
+                           F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang")).where(F.col("label").isin(0, 1))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("int").alias("label"), F.col(text_col).alias("text"),
+                       (F.col(lang_col) if lang_col else F.lit(None)).cast("string").alias("lang")).where(F.col("text").isNotNull())
+    both = marked.union(rows).where(F.col("doc_id").isNotNull() & ~T.held_out("doc_id")).select(
+        "doc_id", "label", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"),
+        F.xxhash64(F.lit("toxicity"), "doc_id").alias("mix"), F.xxhash64("text").alias("own"))
+    dealt = both.repartition(shards, "shard")
+    # an id's labels come before its texts
+    before = Window.partitionBy("shard", "mix", "doc_id").orderBy(F.col("text").isNotNull(), "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dealt.withColumn("label", F.max("label").over(before)).where(F.col("text").isNotNull() & F.col("label").isNotNull())
+    return found.select("label", "lang", "shard", (F.pmod("mix", F.lit(5)) == 4).alias("tune"), _packed("text").alias("words"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",

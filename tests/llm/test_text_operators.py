@@ -422,3 +422,15 @@ def test_toxicity_peaks_of_long_documents(monkeypatch):
     monkeypatch.setattr(toxicity, "CHUNK", 50)
     top2, at2 = toxicity._peaks(model, flat, offsets)
     assert np.allclose(top, top2, atol=1e-4) and np.array_equal(at, at2)
+
+
+def test_toxicity_labels_and_texts_meet_in_one_exchange(spark):
+    """Whatever their sizes, labels and texts are shuffled once, together; an id's texts all take its highest label."""
+    docs = spark.createDataFrame([(1, "one", "en"), (1, "one", "en"), (1, "other one", None), (2, "two", "en"), (3, None, "en"), (None, "none", "en"),
+                                  (5, "five", "en"), (6, "", "en"), (7, "no label", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (3, 1), (5, 2), (6, 0), (None, 1), (99, 1)], "doc_id int, toxic int")
+    rows = toxicity.labelled_rows(docs, labels, shards=3)
+    taught = docs.where("doc_id in (1, 2, 6)").where(~T.held_out("doc_id")).select((F.col("doc_id") == 1).cast("int").alias("label"), "lang", F.size(T.words("text")).alias("n"))
+    assert taught.count() > 1 and sorted(rows.select("label", "lang", F.size("words")).collect(), key=str) == sorted(taught.collect(), key=str)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
