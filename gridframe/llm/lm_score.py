@@ -13,8 +13,9 @@ scores high.
    n-gram occurrence gets its count and every document sums its words' scores.
 
 A request is a sorted run of n-gram numbers, stored as byte planes of the
-differences, which the shuffle's compression shrinks. The numbers are the full
-64-bit hashes of the n-grams. Chunks and buckets are sized from the
+differences: the low planes are noise and stay, the high ones and the counts are
+entropy-coded, which the shuffle's own compression does not do. The numbers are the
+full 64-bit hashes of the n-grams. Chunks and buckets are sized from the
 corpus: memory stays bounded and the shuffles grow with the corpus. A frequent
 n-gram is one entry per chunk, so no bucket is hot.
 """
@@ -32,32 +33,48 @@ from gridframe.session import ship_package
 ORDER = 3
 BACKOFF = 0.4
 #: words of a chunk, n-grams of a bucket: what one group holds in memory
-CHUNK_WORDS = 600_000
+CHUNK_WORDS = 1_600_000
 BUCKET_GRAMS = 1_500_000
 
 
+ZSTD = pa.Codec("zstd", 1)
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
-    """A rising run of 64-bit numbers as byte planes of its differences."""
+    """A rising run of 64-bit numbers as byte planes of its differences: the number of
+    low planes that are kept as they are, the length, these planes, the others coded."""
     d = np.diff(x, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+    planes = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T)
+    low = max(0, int(x[-1]) // len(x)).bit_length() - 1 >> 3 if len(x) and x[-1] >= len(x) else 0
+    return bytes([low]) + len(x).to_bytes(8, "little") + planes[:low].tobytes() + ZSTD.compress(planes[low:].tobytes(), asbytes=True)
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    low, n = raw[0], int.from_bytes(raw[1:9], "little")
+    coded = ZSTD.decompress(raw[9 + low * n:], (8 - low) * n, asbytes=True) if n else b""
+    planes = np.frombuffer(raw[9:9 + low * n] + coded, np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def pack_counts(x: np.ndarray) -> bytes:
-    """Counts as byte planes, as many as the largest needs, after their number."""
+    """Counts as byte planes, as many as the largest needs, after their number; 128
+    more and the length tell that the planes are coded."""
     planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     used = max(1, int(x.max(initial=0)).bit_length() + 7 >> 3)
-    return bytes([used]) + planes[:used].tobytes()
+    plain = planes[:used].tobytes()
+    coded = ZSTD.compress(plain, asbytes=True)
+    if len(coded) + 8 < len(plain):
+        return bytes([used + 128]) + len(x).to_bytes(8, "little") + coded
+    return bytes([used]) + plain
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    used, plain = raw[0] & 127, raw[1:]
+    if raw[0] & 128:
+        plain = ZSTD.decompress(raw[9:], used * int.from_bytes(raw[1:9], "little"), asbytes=True)
+    planes = np.frombuffer(plain, np.uint8).reshape(used, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :raw[0]] = planes.T
+    out[:, :used] = planes.T
     return out.view("<u8").ravel().astype(np.int64)
 
 
@@ -67,16 +84,20 @@ class Grams:
 
     def __init__(self, words: np.ndarray, offsets: np.ndarray, order: int, buckets: int):
         self.order = order
-        numbers, self.docs, self.places = [], [], []
-        for m in range(1, order + 1):
+        keys, counts, self.index, self.docs, self.places, known = [], [], [], [], [], 0
+        for m in range(1, order + 1):  # orders have different numbers; one at a time, since a chunk is large
             h, doc, pos = T.word_grams(words, offsets, m)
-            numbers.append(h.view(np.uint64))
-            self.docs.append(doc)
-            self.places.append(pos)
-        self.sizes = [len(x) for x in numbers]
-        keys, self.index, self.counts = np.unique(np.concatenate(numbers), return_inverse=True, return_counts=True)
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        self.by_bucket = np.argsort(bucket, kind="stable")  # rising numbers inside a bucket
+            own, at, times = np.unique(h.view(np.uint64), return_inverse=True, return_counts=True)
+            keys.append(own)
+            counts.append(times.astype(np.int32))
+            self.index.append((at + known).astype(np.int32))
+            self.docs.append(doc.astype(np.int32))
+            self.places.append(pos.astype(np.int32))
+            known += len(own)
+            del h, doc, pos, own, at, times
+        keys, self.counts = np.concatenate(keys), np.concatenate(counts)
+        bucket = (keys % np.uint64(buckets)).astype(np.int32)
+        self.by_bucket = np.lexsort((keys, bucket))  # rising numbers inside a bucket
         self.keys, self.bucket = keys[self.by_bucket], bucket[self.by_bucket]
         self.cuts = np.flatnonzero(np.concatenate([[True], self.bucket[1:] != self.bucket[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
 
@@ -116,10 +137,9 @@ def _scores(order: int, buckets: int, corpus_words: int, backoff: float):
         if len(g.keys):
             total[g.by_bucket] = np.concatenate([unpack_counts(x) for x in answers.column("totals").to_pylist()])
         # counts of the other documents, for every occurrence of every order
-        ends = np.cumsum([0, *g.sizes])
         others = []
         for m in range(order):
-            at = g.index[ends[m]:ends[m + 1]]
+            at = g.index[m]
             pair, inverse, own = np.unique(g.docs[m] * np.int64(len(g.keys) + 1) + at, return_inverse=True, return_counts=True)
             others.append(np.maximum(total[at] - own[inverse], 0))
         # occurrence of order m that ends at word i begins at i - m + 1

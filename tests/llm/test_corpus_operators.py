@@ -332,3 +332,17 @@ def test_counts_have_no_cap():
     table = pa.table({"chunk": [0, 1], "bucket": [0, 0], "keys": keys, "counts": [lm_score.pack_counts(np.array(c)) for c in ([1, 2 ** 33], [2 ** 33])]})
     answers = [lm_score.unpack_counts(r).tolist() for r in lm_score._totals(table).column("totals").to_pylist()]
     assert answers == [[1, 2 ** 34], [2 ** 34]]
+
+
+def test_requests_are_entropy_coded():
+    """A gram's number takes little more than the bits that its neighbours leave open, its count little more than nothing."""
+    rng = np.random.default_rng(4)
+    for n, top in ((20_000, 2 ** 56), (20_000, 2 ** 63), (3, 2 ** 20), (1, 1)):
+        x = np.unique(rng.integers(0, top, n).astype(np.uint64))
+        raw = lm_score.pack_sorted(x)
+        assert (lm_score.unpack_sorted(raw) == x).all()
+        assert n < 100 or len(raw) < n * (np.log2(top / n) + 2.2) / 8
+    assert lm_score.unpack_sorted(lm_score.pack_sorted(x[:0])).tolist() == []
+    counts = np.where(rng.random(20_000) < 0.1, rng.integers(2, 300, 20_000), 1)
+    raw = lm_score.pack_counts(counts)
+    assert lm_score.unpack_counts(raw).tolist() == counts.tolist() and len(raw) < 10_000
