@@ -226,9 +226,10 @@ def _compared(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFram
 
 def _prefixes(near: DataFrame, classes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that the least differences of each pivot's near members tell, and
-    (pivot, m, node, linked, unit, probing, indexed) of the units of which a partner of
-    m must share one: ``probing`` for partners of any kind, if m is not linked itself,
-    ``indexed`` for those that are not linked."""
+    (pivot, m, node, linked, least, size, unit, probing, indexed, rest) of the units of
+    which a partner of m must share one: ``probing`` for partners of any kind, if m is
+    not linked itself, ``indexed`` for those that are not linked. ``rest`` counts the
+    shared units of m from this one on."""
     own = F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("m"))
     rows = near.withColumn("node", own)
     if classes is not None:
@@ -254,11 +255,11 @@ def _prefixes(near: DataFrame, classes: DataFrame | None) -> tuple[DataFrame, Da
 
     probe = F.when(F.col("linked"), F.lit(0)).otherwise(length(F.col("top.least")))
     ordered = units.groupBy("pivot", "m", "node", "linked", "least", "size", "top", "low").agg(rare.alias("order")).select(
-        "pivot", "m", "node", "linked", "order", probe.alias("probe"), length(F.col("low")).alias("index"))
-    prefix = ordered.select("pivot", "m", "node", "linked", "probe", "index", F.posexplode(
+        "pivot", "m", "node", "linked", "least", "size", "order", probe.alias("probe"), length(F.col("low")).alias("index"))
+    prefix = ordered.select("pivot", "m", "node", "linked", "least", "size", "probe", "index", F.size("order").alias("length"), F.posexplode(
         F.slice("order", F.lit(1), F.greatest("probe", "index"))).alias("pos", "unit"))
-    return by_size, prefix.select("pivot", "m", "node", "linked", "unit", (F.col("pos") < F.col("probe")).alias("probing"),
-                                  (F.col("pos") < F.col("index")).alias("indexed"))
+    return by_size, prefix.select("pivot", "m", "node", "linked", "least", "size", "unit", (F.col("pos") < F.col("probe")).alias("probing"),
+                                  (F.col("pos") < F.col("index")).alias("indexed"), (F.col("length") - F.col("pos")).alias("rest"))
 
 
 def _sharers(prefix: DataFrame) -> DataFrame:
@@ -278,15 +279,27 @@ def _split(prefix: DataFrame, sharers: DataFrame, number: int) -> DataFrame:
         F.when(F.col("linked"), F.array("pivot")).otherwise(F.array().cast("array<long>")).alias("seen"), (~F.col("linked")).alias("fresh"))
 
 
+def _candidates(prefix: DataFrame, sharers: DataFrame) -> DataFrame:
+    """Pairs (pivot, a, b) of near members that share a unit of the prefix and have
+    units enough from there on, unless one class joins them already.
+
+    All members of a pivot order their units alike, so a pair has all it shares from its
+    first common unit on: a link passes there, if at none of the later ones."""
+    some = prefix.join(sharers.select("pivot", "unit").hint("merge"), ["pivot", "unit"])
+    probe = some.where("probing").select("pivot", "unit", F.col("m").alias("a"), F.col("node").alias("na"), F.col("least").alias("la"),
+                                         F.col("rest").alias("ra"), "size")
+    index = some.where("indexed").select("pivot", "unit", F.col("m").alias("b"), F.col("node").alias("nb"), F.col("least").alias("lb"),
+                                         F.col("rest").alias("rb"), "linked")
+    enough = F.least("ra", "rb") >= F.col("la") + F.col("lb") - F.col("size") - F.lit(1e-6)
+    # two members that are not linked find each other from either side
+    return probe.join(index.hint("merge"), ["pivot", "unit"]).where(F.expr("na <> nb AND (linked OR a < b)") & enough).select("pivot", "a", "b").distinct()
+
+
 def _near_links(near: DataFrame, prefix: DataFrame, sharers: DataFrame) -> DataFrame:
     """Links (a, b) among the near members of each pivot that share a unit of the
     prefix, unless one class joins them already."""
     spare = F.col("size") + F.lit(1e-6)
-    some = prefix.join(sharers.select("pivot", "unit").hint("merge"), ["pivot", "unit"])
-    probe = some.where("probing").select("pivot", "unit", F.col("m").alias("a"), F.col("node").alias("na"))
-    index = some.where("indexed").select("pivot", "unit", F.col("m").alias("b"), F.col("node").alias("nb"), "linked")
-    # two members that are not linked find each other from either side
-    pairs = probe.join(index.hint("merge"), ["pivot", "unit"]).where("na <> nb AND (linked OR a < b)").select("pivot", "a", "b").distinct()
+    pairs = _candidates(prefix, sharers)
     known = near.select("pivot", "m", "delta", "least", "size")
     one = known.select("pivot", F.col("m").alias("a"), F.col("delta").alias("da"), F.col("least").alias("la"), "size")
     two = known.select("pivot", F.col("m").alias("b"), F.col("delta").alias("db"), F.col("least").alias("lb"))

@@ -118,6 +118,20 @@ def test_near_duplicates_shared_differences(spark, monkeypatch):
     assert max(paired) <= 4 and max(split) > 4
 
 
+def test_near_duplicates_common_differences_make_no_candidates(spark):
+    """Members that share some differences, but too few for a link, are not paired."""
+    common = list(range(1, 9))
+    rows = [(0, 2 + i, False, 100, 56.44, common + [1000 + 16 * (i // 2) + k for k in range(16)]) for i in range(40)]
+    rows.append((0, 100, False, 100, 50.5, common + list(range(5000, 5016))))  # easily linked: the others' prefixes grow
+    near = spark.createDataFrame(rows, "pivot long, m long, linked boolean, size int, least double, delta array<long>").coalesce(2)
+    _, prefix = near_dup._prefixes(near, None)
+    sharers = near_dup._sharers(prefix)
+    wanted = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and len({*a[5]} & {*b[5]}) >= a[4] + b[4] - 100}
+    assert len(wanted) == 60
+    assert {tuple(sorted(r)) for r in near_dup._near_links(near, prefix, sharers).collect()} == wanted
+    assert near_dup._candidates(prefix, sharers).count() == len(wanted)  # before, all pairs that share one unit of their prefixes
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c"), (1, None), (2, None), (3, ""), (4, ""), (5, "one two"), (6, "One, two!"), (7, "..."), (8, "!!!"),
             (9, "rose " * 50_000), (10, "rose " * 50_001), (11, "same row here"), (11, "same row here")]
