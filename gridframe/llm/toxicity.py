@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -166,10 +167,9 @@ def _group(model: Model, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums.argmax(1)
 
 
-def scores(model: Model, words: np.ndarray, begins: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def scores(model: Model, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if model.constant is not None:
         return np.full(len(offsets) - 1, model.constant)
-    rows = rows_of(words, begins, model.buckets)
     z = logits(model, rows, offsets) - model.limits[_group(model, rows, offsets)]
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
@@ -432,12 +432,6 @@ def calibrate(model: Model, z: np.ndarray, group: np.ndarray, labels: np.ndarray
         model.limits[k] = top[k] + (overall if found is None else found)
 
 
-def _hashed(text_col: str) -> list:
-    """Hashes of the words and of their beginnings."""
-    return [T.word_hashes(F.col(text_col)).alias("_gf_words"),
-            F.transform(T.words(F.col(text_col)), lambda w: F.xxhash64(F.left(w, F.lit(PREFIX)))).alias("_gf_begins")]
-
-
 def labelled_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                   lang_col: str | None = "lang", shards: int = 1) -> DataFrame:
     """(label, lang, shard, tune, words) of every labelled document outside the held-out
@@ -532,21 +526,20 @@ def classify(docs: DataFrame, model: Model, *, text_col: str = "text", keep: lis
     """
     spark = docs.sparkSession
     ship_package(spark)
-    new = ["score", "predicted"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     shared = spark.sparkContext.broadcast(model)  # fixed by BUCKETS, WIDTH and the languages sampled
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, T.BATCH_ROWS):
-                part = batch.slice(lo, T.BATCH_ROWS)
-                words, offsets = T.list_parts(part.column(part.num_columns - 2))
-                score = np.round(scores(m, words, T.list_parts(part.column(part.num_columns - 1))[0], offsets), 6)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(len(keep))] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
-                    names=T.plain_names(len(keep)) + new)
-
-    picked = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, T.plain_names(len(keep)), strict=True)], *_hashed(text_col))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-2])
-    return picked.mapInArrow(run, f"{fields}, score double, predicted int" if fields else "score double, predicted int").toDF(*keep, *new)
+            out = np.empty(len(batch))
+            for lo in range(0, len(batch), T.BATCH_ROWS):
+                part = batch.iloc[lo:lo + T.BATCH_ROWS].to_numpy()
+                offsets = np.concatenate([[0], np.cumsum([len(w) for w in part])]).astype(np.int64)
+                out[lo:lo + T.BATCH_ROWS] = np.round(scores(m, _unpacked(np.concatenate(part).astype(np.int64, copy=False)), offsets), 6)
+            yield pd.Series(out)
+
+    # only the words' numbers go to Python, the kept columns stay with Spark; not deterministic: once per row, whatever filters follow
+    return docs.select(*[F.col(f"`{c}`").alias(c) for c in keep], score.asNondeterministic()(_packed(text_col)).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))

@@ -434,3 +434,22 @@ def test_toxicity_labels_and_texts_meet_in_one_exchange(spark):
     assert taught.count() > 1 and sorted(rows.select("label", "lang", F.size("words")).collect(), key=str) == sorted(taught.collect(), key=str)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_toxicity_sends_only_words_to_python(spark):
+    """Kept columns, the texts themselves too, stay with Spark; each row is scored once, whatever filter follows."""
+    model = toxicity._start(2, toxicity.BUCKETS)
+    model.table[:-1] = np.random.default_rng(5).normal(size=model.table[:-1].shape)
+    model.groups, model.votes, model.limits = ["any"], np.zeros((toxicity.BUCKETS, 1), np.float32), np.zeros(1)
+    texts = ["Some words, here", "other words", "", None, "words " * 700]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("gap", F.expr("make_interval(1)"))  # a type Arrow does not take
+    out = toxicity.classify(docs, model)
+    assert [c for c, _ in out.dtypes] == ["doc_id", "text", "gap", "score", "predicted"]
+    got = {r["doc_id"]: r for r in out.withColumn("gap", F.col("gap").cast("string")).collect()}
+    for i, text in enumerate(texts):
+        h = spark.sql("SELECT 1").select(T.word_hashes(F.lit(text)).alias("w"), F.transform(T.words(F.lit(text)), lambda w: F.xxhash64(F.left(w, F.lit(toxicity.PREFIX)))).alias("b")).first()
+        rows = toxicity.rows_of(np.array(h["w"], np.int64), np.array(h["b"], np.int64), toxicity.BUCKETS)
+        score = toxicity.scores(model, rows, np.array([0, len(rows)]))[0]
+        assert got[i]["gap"] == "1 years" and abs(got[i]["score"] - score) < 1e-5 and got[i]["predicted"] == (got[i]["score"] >= 0.5)
+    plan = out.where("predicted = 0").select("text")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
